@@ -160,5 +160,5 @@ def build_levels(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     tb = assemble_task_base(frames)
     cp = prepare_clusters(frames["clusters"])
     integ = integrate_levels(tb, cp)
-    return {"task_base": tb, "clusters": cp, "integrated": integ,
+    return {"task_base": tb, "clusters_prepared": cp, "integrated": integ,
             "task_level": task_sample_from_base(tb), "cluster_level": cluster_sample(integ)}
