@@ -315,5 +315,109 @@ nex AS (SELECT count(*) FILTER (WHERE d > thr) AS n_excluded FROM cd),
     "FROM tr_f", "FROM tr_f CROSS JOIN nex").replace(" AS z FROM", " AS z, n_excluded FROM"))
 
 
+# ----------------------------------------------------------------------- GLM
+from .sqlgen import Glm  # noqa: E402
+
+_FAMS = [("frac_logit", "binomial", f"{SHARE} / 100e0", 0.01), ("gamma_log", "gamma", SHARE, 1.0),
+         ("poisson_log", "poisson", SHARE, 1.0)]
+_GLMS = {}
+for _px, _x in (("aug_", "augmentation_index"), ("risk_", "risk_management_index")):
+    for _nm, _fam, _y, _sc in _FAMS:
+        _GLMS[_px + _nm] = (Glm(f"g_{_px}{_nm}", "task_cc", _y, _x, _fam, SHARE, _sc), _x)
+
+
+def _glm_coef_sql(ids):
+    ctes = TASK_CC + ",\n" + ",\n".join(c for i in ids for c in _GLMS[i][0].ctes)
+    return W(ctes, "\nUNION ALL\n".join(_GLMS[i][0].rows(i, _GLMS[i][1]) for i in ids))
+
+
+Q["glm_fractional_logit"] = _glm_coef_sql(["aug_frac_logit", "risk_frac_logit"])
+Q["glm_gamma_log"] = _glm_coef_sql(["aug_gamma_log", "risk_gamma_log"])
+Q["glm_poisson_log"] = _glm_coef_sql(["aug_poisson_log", "risk_poisson_log"])
+
+
+def _glm_fit_row(mid, g):
+    return (f"SELECT '{mid}' AS model_id, n AS n_used, round(dev, 6) AS deviance, round(dev0, 6) AS null_deviance, "
+            f"round(1 - dev / dev0, 8) AS pseudo_r2, round(chi, 6) AS pearson_chi2, round(llf, 4) AS llf, "
+            f"round(-2 * llf + 4, 4) AS aic, round(-2 * llf + 2 * ln(n), 4) AS bic, round(sqrt(mse), 8) AS rmse_raw "
+            f"FROM {g.final}")
+
+
+Q["glm_fit_stats"] = W(TASK_CC + ",\n" + ",\n".join(c for g, _ in _GLMS.values() for c in g.ctes),
+                       "\nUNION ALL\n".join(_glm_fit_row(m, g) for m, (g, _) in _GLMS.items()))
+
+_olr = Ols("olr", "task_cc", SHARE, ["augmentation_index"])
+_oll = Ols("oll", "task_cc", f"ln({SHARE})", ["augmentation_index"], keep=[SHARE])
+_cmp_glms = ["aug_frac_logit", "aug_gamma_log", "aug_poisson_log"]
+_LL = "(-0.5 * n * (ln(2 * pi()) + ln(sse / n) + 1))"
+Q["model_comparison"] = W(
+    TASK_CC + ",\n" + ",\n".join(_olr.ctes + _oll.ctes) + ",\n"
+    + ",\n".join(c for i in _cmp_glms for c in _GLMS[i][0].ctes) + f""",
+duan AS (SELECT avg(exp(e)) AS smear FROM oll_r),
+duan_rmse AS (SELECT sqrt(avg(({SHARE} - {SHARE} * exp(-e) * smear) * ({SHARE} - {SHARE} * exp(-e) * smear))) AS rmse
+              FROM oll_r CROSS JOIN duan)""",
+    f"""SELECT 'ols_raw' AS model_id, round(-2 * {_LL} + 4, 4) AS aic, round(-2 * {_LL} + 2 * ln(n), 4) AS bic,
+       round(1 - sse / syy, 8) AS r2, round(sqrt(sse / n), 8) AS rmse_raw FROM olr_f
+UNION ALL
+SELECT 'log_linear', round(-2 * {_LL} + 4, 4), round(-2 * {_LL} + 2 * ln(n), 4), round(1 - sse / syy, 8),
+       round((SELECT rmse FROM duan_rmse), 8) FROM oll_f
+UNION ALL
+""" + "\nUNION ALL\n".join(
+        f"SELECT '{i[4:]}', round(-2 * llf + 4, 4), round(-2 * llf + 2 * ln(n), 4), round(1 - dev / dev0, 8), "
+        f"round(sqrt(mse), 8) FROM {_GLMS[i][0].final}" for i in _cmp_glms))
+
+Q["duan_smearing"] = W(TASK_CC + ",\n" + ",\n".join(_oll.ctes) + f""",
+duan AS (SELECT avg(exp(e)) AS smear FROM oll_r)""",
+    f"""SELECT round(smear, 8) AS smear,
+       round(sqrt(avg(({SHARE} - {SHARE} * exp(-e) * smear) * ({SHARE} - {SHARE} * exp(-e) * smear))), 8) AS rmse_raw
+FROM oll_r CROSS JOIN duan GROUP BY smear""")
+
+_rl = Ols("rl", "task_cc", f"ln({SHARE})", ["risk_management_index"])
+_risk = ["risk_frac_logit", "risk_gamma_log", "risk_poisson_log"]
+Q["model_comparison_2"] = W(
+    TASK_CC + ",\n" + ",\n".join(_rl.ctes) + ",\n" + ",\n".join(c for i in _risk for c in _GLMS[i][0].ctes),
+    "\nUNION ALL\n".join(
+        f"SELECT '{i}' AS model_id, round(b1, 8) AS coef, round(sqrt(v11), 8) AS se, round(b1 / sqrt(v11), 6) AS z, "
+        f"round(exp(b1), 6) AS fold_change, round(1 - dev / dev0, 8) AS r2 FROM {_GLMS[i][0].final}" for i in _risk)
+    + "\nUNION ALL\nSELECT 'risk_log_linear', round(be0, 8), round(sqrt(v1_1), 8), round(be0 / sqrt(v1_1), 6), "
+      "round(exp(be0), 6), round(1 - sse / syy, 8) FROM rl_f")
+
+TRIM = (TASK_CC + ",\nthr AS (SELECT 1.5 * avg(task_conversation_share) AS thr FROM task_cc),\n"
+        "kept AS (SELECT task_cc.* FROM task_cc CROSS JOIN thr WHERE task_conversation_share <= thr),\n"
+        "nex AS (SELECT count(*) AS n_excluded FROM task_cc CROSS JOIN thr WHERE task_conversation_share > thr)")
+_tm = [("t_h1_log", Ols("t1", "kept", f"ln({SHARE})", ["augmentation_index"])),
+       ("t_h1_comp", Ols("t2", "kept", SHARE, ["task_iteration", "learning"])),
+       ("t_h2a", Ols("t3", "kept", SHARE, ["risk_management_index"])),
+       ("t_h2a_log", Ols("t4", "kept", f"ln({SHARE})", ["risk_management_index"]))]
+_tx = {"t_h1_log": ["augmentation_index"], "t_h1_comp": ["task_iteration", "learning"],
+       "t_h2a": ["risk_management_index"], "t_h2a_log": ["risk_management_index"]}
+_tg = Glm("tg", "kept", f"{SHARE} / 100e0", "augmentation_index", "binomial", SHARE, 0.01)
+_trows = []
+for _m, _o in _tm:
+    for _j, _t in enumerate(_tx[_m], start=1):
+        _trows.append(f"SELECT '{_m}' AS model_id, '{_t}' AS term, round({_o.coef(_j)}, 8) AS coef, "
+                      f"round({_o.se(_j)}, 8) AS se, round({_o.coef(_j)} / {_o.se(_j)}, 6) AS z, n_excluded "
+                      f"FROM {_o.final} CROSS JOIN nex")
+_trows.append("SELECT 't_h1_frac', 'augmentation_index', round(b1, 8), round(sqrt(v11), 8), "
+              "round(b1 / sqrt(v11), 6), n_excluded FROM tg_f CROSS JOIN nex")
+Q["trimmed_battery"] = W(TRIM + ",\n" + ",\n".join(c for _, o in _tm for c in o.ctes) + ",\n" + ",\n".join(_tg.ctes),
+                         "\nUNION ALL\n".join(_trows))
+
+_rb_ols = [Ols("rb1", "h3s", THINK, [CAUG, "percent_users"]), Ols("rb2", "h3s", THINK, [CAUG, "percent_records"])]
+Q["plan_robustness"] = W(
+    TASK_CC + ",\n" + H3S + ",\n" + H3A + ",\n" + ",\n".join(c for i in ["aug_frac_logit", "risk_frac_logit"]
+                                                             for c in _GLMS[i][0].ctes)
+    + ",\n" + ",\n".join(c for o in _rb_ols for c in o.ctes) + ",\n" + ",\n".join(_ck.ctes) + """,
+cd AS (SELECT r.cluster_name_0, r.e * r.e * r.h / (2 * (f.sse / (f.n - 2)) * (1 - r.h) * (1 - r.h)) AS d,
+              4.0 / f.n AS thr FROM ck_r r CROSS JOIN ck_f f),
+kept AS (SELECT h3a.* FROM h3a JOIN cd USING (cluster_name_0) WHERE cd.d <= cd.thr),
+""" + ",\n".join(_tr.ctes),
+    "\nUNION ALL\n".join([_GLMS["aug_frac_logit"][0].rows("aug_frac_logit", "augmentation_index"),
+                          _GLMS["risk_frac_logit"][0].rows("risk_frac_logit", "risk_management_index"),
+                          _rb_ols[0].rows("h3_ctrl_users", [CAUG, "percent_users"]),
+                          _rb_ols[1].rows("h3_ctrl_records", [CAUG, "percent_records"]),
+                          _tr.rows("trimmed", [CAUG])]))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

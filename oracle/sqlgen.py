@@ -154,3 +154,90 @@ def ols_query(base_with, models: list[tuple], extra_ctes: str = "", dc: int = 8,
 
 def _names(xs: list[str]) -> list[str]:
     return [x.split(" AS ")[-1] if " AS " in x else x for x in xs]
+
+
+# ---------------------------------------------------------------- GLM (k = 1)
+
+def _glm_mu(fam: str, eta: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({eta}))))" if fam == "binomial" else f"exp({eta})"
+
+
+def _glm_link(fam: str, mu: str) -> str:
+    return f"ln(({mu}) / (1.0 - ({mu})))" if fam == "binomial" else f"ln({mu})"
+
+
+def _glm_wz(fam: str) -> tuple[str, str]:
+    """(working weight, working response) in terms of y, mu, eta."""
+    if fam == "binomial":
+        return "mu * (1.0 - mu)", "eta + (y - mu) / (mu * (1.0 - mu))"
+    if fam == "poisson":
+        return "mu", "eta + (y - mu) / mu"
+    return "1.0", "eta + (y - mu) / mu"
+
+
+def _glm_dev(fam: str, mu: str) -> str:
+    if fam == "binomial":
+        return (f"2.0 * ((CASE WHEN y > 0 THEN y * ln(y / {mu}) ELSE 0 END) + "
+                f"(CASE WHEN y < 1 THEN (1.0 - y) * ln((1.0 - y) / (1.0 - {mu})) ELSE 0 END))")
+    if fam == "poisson":
+        return f"2.0 * ((CASE WHEN y > 0 THEN y * ln(y / {mu}) ELSE 0 END) - (y - {mu}))"
+    return f"2.0 * (-ln(y / {mu}) + (y - {mu}) / {mu})"
+
+
+class Glm:
+    """Unrolled Newton/IRLS for one GLM with one predictor."""
+
+    def __init__(self, p: str, src: str, y: str, x: str, fam: str, raw: str, y_scale: float = 1.0,
+                 steps: int = 25, where: str | None = None):
+        self.p = p
+        cond = f"({y}) IS NOT NULL AND ({x}) IS NOT NULL" + (f" AND ({where})" if where else "")
+        c = [f"{p}_d AS (SELECT ({y}) AS y, ({x}) AS x, ({raw}) AS yraw FROM {src} WHERE {cond})",
+             f"{p}_b0 AS (SELECT {_glm_link(fam, 'avg(y)')} AS b0, 0e0 AS b1, avg(y) AS ybar, count(*) AS n FROM {p}_d)"]
+        w, zz = _glm_wz(fam)
+        for k in range(1, steps + 1):
+            inner = (f"SELECT d.x, d.y, b.b0 + b.b1 * d.x AS eta, b.ybar, b.n FROM {p}_d d CROSS JOIN {p}_b{k - 1} b")
+            mu = f"SELECT x, y, eta, ybar, n, {_glm_mu(fam, 'eta')} AS mu FROM ({inner})"
+            wz = f"SELECT x, ybar, n, {w} AS w, {zz} AS zz FROM ({mu})"
+            s = (f"SELECT sum(w) AS s00, sum(w * x) AS s01, sum(w * x * x) AS s11, sum(w * zz) AS r0, "
+                 f"sum(w * x * zz) AS r1, any_value(ybar) AS ybar, any_value(n) AS n FROM ({wz})")
+            c.append(f"{p}_b{k} AS MATERIALIZED (SELECT (s11 * r0 - s01 * r1) / (s00 * s11 - s01 * s01) AS b0, "
+                     f"(s00 * r1 - s01 * r0) / (s00 * s11 - s01 * s01) AS b1, ybar, n FROM ({s}))")
+        last = f"{p}_b{steps}"
+        if fam == "binomial":
+            bw, sf = "mu * (1.0 - mu)", "(y - mu)"
+            ll = "(-lgamma(y + 1.0) - lgamma(2.0 - y) + y * ln(mu / (1.0 - mu)) + ln(1.0 - mu))"
+        elif fam == "poisson":
+            bw, sf = "mu", "(y - mu)"
+            ll = "(y * ln(mu) - mu - lgamma(y + 1.0))"
+        else:
+            bw, sf = "y / mu", "((y - mu) / mu)"
+            ll = "0.0"
+        var = {"binomial": "mu * (1.0 - mu)", "poisson": "mu", "gamma": "mu * mu"}[fam]
+        rows = (f"SELECT d.x, d.y, d.yraw, b.b0, b.b1, b.ybar, b.n, {_glm_mu(fam, 'b.b0 + b.b1 * d.x')} AS mu "
+                f"FROM {p}_d d CROSS JOIN {last} b")
+        c.append(f"{p}_fin AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(n) AS n, "
+                 f"sum({bw}) AS a00, sum({bw} * x) AS a01, sum({bw} * x * x) AS a11, "
+                 f"sum({sf} * {sf}) AS q00, sum({sf} * {sf} * x) AS q01, sum({sf} * {sf} * x * x) AS q11, "
+                 f"sum({_glm_dev(fam, 'mu')}) AS dev, sum({_glm_dev(fam, 'ybar')}) AS dev0, "
+                 f"sum((y - mu) * (y - mu) / ({var})) AS chi, sum({ll}) AS ll, "
+                 f"sum(ln(y / mu)) AS lym, sum(y / mu) AS ym, sum(ln(y)) AS ly, "
+                 f"avg((yraw - mu / {y_scale!r}) * (yraw - mu / {y_scale!r})) AS mse FROM ({rows}))")
+        det = "(a00 * a11 - a01 * a01)"
+        i00, i01, i11 = f"(a11 / {det})", f"(-a01 / {det})", f"(a00 / {det})"
+        v00 = f"({i00} * {i00} * q00 + 2 * {i00} * {i01} * q01 + {i01} * {i01} * q11)"
+        v11 = f"({i01} * {i01} * q00 + 2 * {i01} * {i11} * q01 + {i11} * {i11} * q11)"
+        if fam == "gamma":
+            sc = "(chi / (n - 2))"
+            llf = f"((1.0 / {sc}) * (ln(1.0 / {sc}) * n + lym) - (1.0 / {sc}) * ym - n * lgamma(1.0 / {sc}) - ly)"
+        else:
+            llf = "ll"
+        c.append(f"{p}_f AS (SELECT *, {v00} AS v00, {v11} AS v11, {llf} AS llf FROM {p}_fin)")
+        self.ctes = c
+        self.final = f"{p}_f"
+
+    def rows(self, model_id: str, term: str, dc: int = 8, dz: int = 6) -> str:
+        f = self.final
+        return (f"SELECT '{model_id}' AS model_id, 'const' AS term, round(b0, {dc}) AS coef, "
+                f"round(sqrt(v00), {dc}) AS se, round(b0 / sqrt(v00), {dz}) AS z FROM {f}\nUNION ALL\n"
+                f"SELECT '{model_id}', '{term}', round(b1, {dc}), round(sqrt(v11), {dc}), "
+                f"round(b1 / sqrt(v11), {dz}) FROM {f}")

@@ -175,3 +175,77 @@ def trimmed_ols(task_level: DataFrame, threshold: float) -> OLSFit:
                        ModelSpec("t_h2a", SHARE, ["risk_management_index"]),
                        ModelSpec("t_h2a_log", SHARE, ["risk_management_index"], log_y=True)])
     return r
+
+
+# ------------------------------------------------------------------ GLM suites
+
+def glm_suite_specs(x: str, prefix: str = "") -> list:
+    from ..operators.glm import GLMSpec
+    return [GLMSpec(f"{prefix}frac_logit", SHARE, [x], "binomial", y_scale=0.01),
+            GLMSpec(f"{prefix}gamma_log", SHARE, [x], "gamma"),
+            GLMSpec(f"{prefix}poisson_log", SHARE, [x], "poisson")]
+
+
+def glm_battery(task_level: DataFrame):
+    """G1-G3 for both predictors of the estimator comparison, fused (one
+    job per IRLS iteration for all six models)."""
+    from ..operators.glm import fit_glm
+    d = task_complete_case(task_level)
+    return fit_glm(d, glm_suite_specs("augmentation_index", "aug_") + glm_suite_specs("risk_management_index", "risk_"))
+
+
+def log_linear_rmse(df: DataFrame, fitres: OLSFit, mid: str) -> float:
+    """Raw-scale RMSE of a log-linear fit via Duan smearing
+    (``exp(fitted) * mean(exp(resid))``); two small aggregations."""
+    m = fitres[mid]
+    d = df.na.drop(subset=[m.spec.y, *m.spec.x])
+    smear = d.agg(F.avg(F.exp(m.resid())).alias("s")).first()["s"]
+    yhat = F.exp(m.fitted()) * F.lit(float(smear))
+    mse = d.agg(F.avg((F.col(m.spec.y) - yhat) * (F.col(m.spec.y) - yhat)).alias("m")).first()["m"]
+    return float(smear), float(mse) ** 0.5
+
+
+def model_comparison(task_level: DataFrame) -> DataFrame:
+    """OLS, log-linear OLS, fractional logit, Gamma and Poisson on
+    one complete-case sample: AIC, BIC, (pseudo-)R^2, raw-scale RMSE."""
+    import math
+    d = task_complete_case(task_level).persist()
+    try:
+        o = fit_ols(d, [ModelSpec("ols_raw", SHARE, ["augmentation_index"]),
+                        ModelSpec("log_linear", SHARE, ["augmentation_index"], log_y=True)])
+        _, rmse_log = log_linear_rmse(d, o, "log_linear")
+        from ..operators.glm import fit_glm
+        g = fit_glm(d, glm_suite_specs("augmentation_index"))
+    finally:
+        pass
+    rows = []
+    for mid in ("ols_raw", "log_linear"):
+        m = o[mid]
+        n, p = m.n, m.p
+        ll = -0.5 * n * (math.log(2 * math.pi) + math.log(m.ssr / n) + 1.0)
+        rmse = math.sqrt(m.ssr / n) if mid == "ols_raw" else rmse_log
+        rows.append((mid, -2 * ll + 2 * p, -2 * ll + p * math.log(n), 1.0 - m.ssr / m.syy, rmse))
+    for mid in ("frac_logit", "gamma_log", "poisson_log"):
+        s = g[mid].stats
+        rows.append((mid, s["aic"], s["bic"], s["pseudo_r2"], s["rmse_raw"]))
+    d.unpersist()
+    return task_level.sparkSession.createDataFrame(
+        [(a, float(b), float(c), float(e), float(f)) for a, b, c, e, f in rows],
+        "model_id string, aic double, bic double, r2 double, rmse_raw double")
+
+
+def trimmed_battery(task_level: DataFrame, threshold: float | None = None, factor: float = 1.5):
+    """Drop share > threshold (default ``factor`` x the sample mean),
+    re-estimate H1 log-linear, H1 components, H2a OLS and log-linear, and
+    the H1 fractional logit. Returns (OLSFit, GLMFit, threshold, n_excluded)."""
+    from ..operators.glm import GLMSpec, fit_glm
+    d = task_complete_case(task_level)
+    if threshold is None:
+        threshold = factor * d.agg(F.avg(SHARE).alias("m")).first()["m"]
+    flagged = d.withColumn("__hi", F.col(SHARE) > F.lit(float(threshold)))
+    cnt = flagged.agg(F.count_if("__hi").alias("x")).first()["x"]
+    kept = flagged.filter(~F.col("__hi")).drop("__hi").persist()
+    o = trimmed_ols(kept, float("inf"))
+    g = fit_glm(kept, [GLMSpec("t_h1_frac", SHARE, ["augmentation_index"], "binomial", y_scale=0.01)])
+    kept.unpersist()
+    return o, g, float(threshold), int(cnt)

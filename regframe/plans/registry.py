@@ -356,5 +356,83 @@ def q_refit_trimmed(spark, sf):
     return c.withColumn("n_excluded", F.lit(n_ex).cast("bigint"))
 
 
+# ------------------------------------------------------------------------ GLM
+
+def _glm_cached(spark, sf):
+    lv = levels(spark, sf)
+    if "_glm" not in lv:
+        lv["_glm"] = P.glm_battery(lv["task_level"])
+    return lv["_glm"]
+
+
+def _glm_coef(spark, sf, ids):
+    return coef_out(_glm_cached(spark, sf), ids)
+
+
+def q_glm_fractional_logit(spark, sf):
+    return _glm_coef(spark, sf, ["aug_frac_logit", "risk_frac_logit"])
+
+
+def q_glm_gamma_log(spark, sf):
+    return _glm_coef(spark, sf, ["aug_gamma_log", "risk_gamma_log"])
+
+
+def q_glm_poisson_log(spark, sf):
+    return _glm_coef(spark, sf, ["aug_poisson_log", "risk_poisson_log"])
+
+
+def q_glm_fit_stats(spark, sf):
+    f = _glm_cached(spark, sf).fit.select("model_id", "n_used", "deviance", "null_deviance", "pseudo_r2",
+                                          "pearson_chi2", "llf", "aic", "bic", "rmse_raw")
+    return rnd(f, {"deviance": 6, "null_deviance": 6, "pseudo_r2": 8, "pearson_chi2": 6, "llf": 4,
+                   "aic": 4, "bic": 4, "rmse_raw": 8})
+
+
+def q_model_comparison(spark, sf):
+    return rnd(P.model_comparison(levels(spark, sf)["task_level"]), {"aic": 4, "bic": 4, "r2": 8, "rmse_raw": 8})
+
+
+def q_model_comparison_2(spark, sf):
+    from ..operators.linear import ModelSpec, fit_ols
+    lv = levels(spark, sf)
+    g = _glm_cached(spark, sf)
+    o = fit_ols(P.task_complete_case(lv["task_level"]),
+                [ModelSpec("risk_log_linear", P.SHARE, ["risk_management_index"], log_y=True)])
+    gc = g.coef.filter(F.col("model_id").startswith("risk_")).join(
+        g.fit.select("model_id", F.col("pseudo_r2").alias("r2")), "model_id")
+    oc = o.coef.join(o.fit.select("model_id", "r2"), "model_id")
+    u = gc.unionByName(oc).filter(F.col("term") != "const")
+    return rnd(u.select("model_id", "coef", "se", "z", F.exp("coef").alias("fold_change"), "r2"),
+               {"coef": 8, "se": 8, "z": 6, "fold_change": 6, "r2": 8})
+
+
+def q_trimmed_battery(spark, sf):
+    o, g, thr, n_ex = P.trimmed_battery(levels(spark, sf)["task_level"])
+    u = o.coef.unionByName(g.coef).filter(F.col("term") != "const")
+    return rnd(u.select("model_id", "term", "coef", "se", "z", F.lit(n_ex).cast("bigint").alias("n_excluded")),
+               {"coef": 8, "se": 8, "z": 6})
+
+
+def q_duan_smearing(spark, sf):
+    from ..operators.linear import ModelSpec, fit_ols
+    d = P.task_complete_case(levels(spark, sf)["task_level"])
+    o = fit_ols(d, [ModelSpec("log_linear", P.SHARE, ["augmentation_index"], log_y=True)])
+    smear, rmse = P.log_linear_rmse(d, o, "log_linear")
+    return spark.createDataFrame([(round(smear, 8), round(rmse, 8))], "smear double, rmse_raw double")
+
+
+def q_plan_robustness(spark, sf):
+    lv = levels(spark, sf)
+    g = _glm_cached(spark, sf)
+    parts = [coef_out(g, ["aug_frac_logit", "risk_frac_logit"]),
+             coef_out(P.robustness_ols(lv["cluster_level"]))]
+    full, refit, n_ex, thr = P.cooks_trim(lv["cluster_level"])
+    parts.append(coef_out(refit))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
