@@ -419,5 +419,73 @@ kept AS (SELECT h3a.* FROM h3a JOIN cd USING (cluster_name_0) WHERE cd.d <= cd.t
                           _tr.rows("trimmed", [CAUG])]))
 
 
+# ----------------------------------------------------------------- bootstrap
+import math as _math  # noqa: E402
+import re as _re  # noqa: E402
+
+
+def _poisson_case(u: str) -> str:
+    th, acc, term = [], 0.0, _math.exp(-1.0)
+    for k in range(16):
+        if k > 0:
+            term /= k
+        acc += term
+        th.append(acc)
+    parts = " ".join(f"WHEN {u} < '{t!r}'::DOUBLE THEN {k}" for k, t in enumerate(th))
+    return f"(CASE {parts} ELSE 16 END)"
+
+
+def _boot_sql(scheme: str, B: int = 5000, seed: int = 42, px: str = "") -> tuple[str, str]:
+    if scheme == "iid":
+        base = ("bb AS (SELECT cluster_name_0 AS k, 1e0 AS w, augmentation_index - mx AS x, "
+                f"{THINK} - mm AS m, {SHARE} - my AS y FROM h5 CROSS JOIN mu)")
+    else:
+        base = ("bb AS (SELECT task_name AS k, sum(1e0) AS w, sum(augmentation_index - mx) AS x, "
+                f"sum({THINK} - mm) AS m, sum({SHARE} - my) AS y, "
+                f"sum((augmentation_index - mx) * (augmentation_index - mx)) AS xx, "
+                f"sum(({THINK} - mm) * ({THINK} - mm)) AS mmm, "
+                f"sum((augmentation_index - mx) * ({THINK} - mm)) AS xm, "
+                f"sum((augmentation_index - mx) * ({SHARE} - my)) AS xy, "
+                f"sum(({THINK} - mm) * ({SHARE} - my)) AS my2 FROM h5 CROSS JOIN mu GROUP BY task_name)")
+    if scheme == "iid":
+        mom = "w, x, m, y, x * x AS xx, m * m AS mmm, x * m AS xm, x * y AS xy, m * y AS my2"
+    else:
+        mom = "w, x, m, y, xx, mmm, xm, xy, my2"
+    mix = "((xor(v, v >> 16) * 73244475) % 4294967296)"
+    ctes = [f"mu AS (SELECT avg(augmentation_index) AS mx, avg({THINK}) AS mm, avg({SHARE}) AS my FROM h5)",
+            base,
+            f"kh AS (SELECT ('0x' || substr(md5('{seed}:' || k), 1, 8))::BIGINT AS kh, {mom} FROM bb)",
+            f"e0 AS (SELECT kh.*, (kh.kh + (r.rep + 1) * 2654435761) % 4294967296 AS v FROM kh "
+            f"CROSS JOIN range(0, {B}) r(rep))".replace("kh.*, ", "kh.*, r.rep, "),
+            f"e1 AS (SELECT * EXCLUDE (v), {mix} AS v FROM e0)",
+            f"e2 AS (SELECT * EXCLUDE (v), {mix} AS v FROM e1)",
+            f"e3 AS (SELECT *, {_poisson_case('(xor(v, v >> 16) / 4294967296e0)')} AS wt FROM e2)",
+            "s AS (SELECT rep, sum(wt * w) AS W, sum(wt * x) AS sx, sum(wt * m) AS sm, sum(wt * y) AS sy, "
+            "sum(wt * xx) AS sxx, sum(wt * mmm) AS smm, sum(wt * xm) AS sxm, sum(wt * xy) AS sxy, "
+            "sum(wt * my2) AS smy FROM e3 WHERE wt > 0 GROUP BY rep)",
+            "c AS (SELECT rep, sxx - sx * sx / W AS cxx, smm - sm * sm / W AS cmm, sxm - sx * sm / W AS cxm, "
+            "sxy - sx * sy / W AS cxy, smy - sm * sy / W AS cmy FROM s)",
+            "p AS (SELECT rep, (cxm / cxx) * ((cxx * cmy - cxm * cxy) / (cxx * cmm - cxm * cxm)) AS ind FROM c)"]
+    sel = ("SELECT count(*) AS n_reps, count(ind) AS n_valid, round(avg(ind), 8) AS boot_mean, "
+           "round(stddev_samp(ind), 8) AS boot_sd, round(quantile_cont(ind, 0.025), 8) AS ci_lo, "
+           "round(quantile_cont(ind, 0.975), 8) AS ci_hi, "
+           "CASE WHEN quantile_cont(ind, 0.025) * quantile_cont(ind, 0.975) > 0 THEN 'excludes 0' "
+           "ELSE 'includes 0' END AS verdict FROM p")
+    txt = ",\n".join(ctes)
+    for nm in ("e3", "e2", "e1", "e0", "kh", "bb", "mu", "s", "c", "p"):
+        txt = _re.sub(rf"\b{nm}\b(?=( AS \(|\.|\s|\)|,|$))", px + nm, txt)
+        sel = _re.sub(rf"\bFROM {nm}\b", f"FROM {px}{nm}", sel)
+    return txt, sel
+
+
+_bi, _bis = _boot_sql("iid", px="bi_")
+_bc, _bcs = _boot_sql("cluster", px="bc_")
+Q["boot_iid"] = W(H3S + ",\n" + H5S + ",\n" + _bi, _bis)
+Q["boot_cluster"] = W(H3S + ",\n" + H5S + ",\n" + _bc, _bcs)
+Q["plan_bootstrap"] = W(H3S + ",\n" + H5S + ",\n" + _bi + ",\n" + _bc,
+                        "SELECT 'iid' AS scheme, * FROM (" + _bis + ")\nUNION ALL\nSELECT 'cluster', * FROM ("
+                        + _bcs + ")")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

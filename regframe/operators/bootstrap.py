@@ -4,7 +4,8 @@ group codes (B22).
 Design
 ------
 * Replicate weights are a pure function of ``(seed, replicate, key)``:
-  the first 8 hex digits of ``md5('seed:rep:key')`` give a uniform on
+  ``md5('seed:key')`` gives a 32-bit row hash once per row (or group); per
+  replicate an integer avalanche of ``(row hash, rep)`` gives a uniform on
   [0, 1), turned into a Poisson(1) count by CDF thresholds. Recomputing a
   lost partition gives the same weights (``rand()`` would not), and any
   engine can reproduce them exactly.
@@ -45,10 +46,29 @@ def poisson1_thresholds(kmax: int = MAX_POISSON) -> list[float]:
     return out
 
 
-def uniform_hash(seed: int, rep: Column, key: Column) -> Column:
-    """Uniform [0,1) from md5('seed:rep:key') (first 32 bits)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), key.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
+M32 = 4294967296            # 2^32
+GOLDEN = 2654435761         # odd 32-bit multiplier (Knuth)
+MIX = 73244475              # 0x45d9f3b, 32-bit avalanche multiplier
+
+
+def key_hash(seed: int, key: Column) -> Column:
+    """32-bit integer from md5('seed:key') -- once per row (or group)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+
+
+def _mix(x: Column) -> Column:
+    return ((x.bitwiseXOR(F.shiftright(x, 16))) * F.lit(MIX)) % F.lit(M32)
+
+
+def uniform_hash(kh: Column, rep: Column) -> Column:
+    """Uniform [0,1) for (row hash, replicate): an integer avalanche of
+    ``kh + (rep+1)*GOLDEN`` modulo 2^32. All products stay below 2^63, so
+    the arithmetic is exact (and ANSI-safe) in any SQL engine."""
+    x = (kh + (rep.cast("bigint") + F.lit(1)) * F.lit(GOLDEN)) % F.lit(M32)
+    x = _mix(_mix(x))
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    return x.cast("double") / F.lit(float(M32))
 
 
 def poisson1_weight(u: Column) -> Column:
@@ -79,6 +99,10 @@ def _paths(s: dict[str, Column]) -> tuple[Column, Column]:
     return a, b
 
 
+def spark_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, seed: int = 42,
                     scheme: str = "iid", key: str | list[str] | None = None,
                     group: str | None = None) -> DataFrame:
@@ -101,18 +125,30 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
             raise ValueError("iid scheme needs a row key")
         keys = [key] if isinstance(key, str) else list(key)
         kcol = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        base = d.select(kcol.alias("__k"), *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
+        base = d.select(key_hash(seed, kcol).alias("__kh"),
+                        *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
     elif scheme == "cluster":
         if group is None:
             raise ValueError("cluster scheme needs a group column")
-        base = (d.select(F.col(group).cast("string").alias("__k"),
+        base = (d.select(F.col(group).cast("string").alias("__g"),
                          *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
-                .groupBy("__k").agg(*[F.sum(n).alias(n) for n in _STATS]))
+                .groupBy("__g").agg(*[F.sum(n).alias(n) for n in _STATS])
+                .select(key_hash(seed, F.col("__g")).alias("__kh"), *_STATS))
     else:
         raise ValueError("scheme must be 'iid' or 'cluster'")
-    ex = base.select("__k", *_STATS, reps)
-    w = poisson1_weight(uniform_hash(seed, F.col("rep"), F.col("__k")))
-    ex = ex.withColumn("__w", w).filter(F.col("__w") > 0)
+    # The replicate expansion multiplies work by B, which AQE cannot see when
+    # it sizes partitions by bytes (a small group table would be coalesced
+    # into one task). Spread the expansion over the cluster's cores first.
+    par = max(spark_parallelism(df), 1)
+    if scheme == "cluster" or base.rdd.getNumPartitions() < par:
+        base = base.repartition(par)
+    ex = base.select("__kh", *_STATS, reps)
+    # Drop zero weights by testing the uniform itself (u >= P(0)): a filter
+    # on the CASE result would be pushed below the projection and re-derive
+    # the hash in every CASE branch (measured 12x slower).
+    ex = ex.withColumn("__u", uniform_hash(F.col("__kh"), F.col("rep")))
+    ex = (ex.filter(F.col("__u") >= F.lit(poisson1_thresholds()[0]))
+          .withColumn("__w", poisson1_weight(F.col("__u"))))
     sums = ex.groupBy("rep").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in _STATS])
     a, b = _paths({n: F.col(n) for n in _STATS})
     return sums.select("rep", F.col("w").alias("n_w"), a.alias("a"), b.alias("b"), (a * b).alias("indirect"))

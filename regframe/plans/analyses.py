@@ -249,3 +249,27 @@ def trimmed_battery(task_level: DataFrame, threshold: float | None = None, facto
     g = fit_glm(kept, [GLMSpec("t_h1_frac", SHARE, ["augmentation_index"], "binomial", y_scale=0.01)])
     kept.unpersist()
     return o, g, float(threshold), int(cnt)
+
+
+# ------------------------------------------------------------------ bootstrap
+
+N_BOOT = 5000
+SEED = 42
+
+
+def h5_sample(cluster_level: DataFrame) -> DataFrame:
+    return h3_sample(cluster_level).na.drop(subset=["augmentation_index", SHARE])
+
+
+def plan_bootstrap(cluster_level: DataFrame, B: int = N_BOOT, seed: int = SEED,
+                   row_key: str = "cluster_name_0", group: str = "task_name") -> DataFrame:
+    """M15 part 2 / O4-O6: IID and task-cluster bootstrap intervals of the
+    H5 indirect effect, one row per scheme."""
+    from ..operators.bootstrap import boot_ci, boot_replicates
+    d = h5_sample(cluster_level)
+    out = None
+    for scheme, kw in (("iid", {"key": row_key}), ("cluster", {"group": group})):
+        reps = boot_replicates(d, "augmentation_index", THINK, SHARE, B, seed, scheme, **kw)
+        r = boot_ci(reps).select(F.lit(scheme).alias("scheme"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -434,5 +434,30 @@ def q_plan_robustness(spark, sf):
     return out
 
 
+# ------------------------------------------------------------------ bootstrap
+
+_BOOT = {"boot_mean": 8, "boot_sd": 8, "ci_lo": 8, "ci_hi": 8}
+
+
+def _boot(spark, sf, scheme):
+    from ..operators.bootstrap import boot_ci, boot_replicates
+    d = P.h5_sample(levels(spark, sf)["cluster_level"])
+    kw = {"key": "cluster_name_0"} if scheme == "iid" else {"group": "task_name"}
+    reps = boot_replicates(d, "augmentation_index", P.THINK, P.SHARE, P.N_BOOT, P.SEED, scheme, **kw)
+    return rnd(boot_ci(reps), _BOOT)
+
+
+def q_boot_iid(spark, sf):
+    return _boot(spark, sf, "iid")
+
+
+def q_boot_cluster(spark, sf):
+    return _boot(spark, sf, "cluster")
+
+
+def q_plan_bootstrap(spark, sf):
+    return rnd(P.plan_bootstrap(levels(spark, sf)["cluster_level"]), _BOOT)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
