@@ -36,3 +36,14 @@ def lgamma(x: Column) -> Column:
 def lgamma_py(x: float) -> float:
     """Driver-side scalar (for constants such as lgamma(1/scale))."""
     return math.lgamma(x)
+
+
+def lgamma_sql(x: str) -> str:
+    """SQL text of :func:`lgamma` for an argument given as SQL text."""
+    from .sqltext import lit
+    prod = "(" + " * ".join([x] + [f"({x} + {lit(float(k))})" for k in range(1, 8)]) + ")"
+    z = f"({x} + 8D)"
+    series = lit(_STIRLING[-1])
+    for c in reversed(_STIRLING[:-1]):
+        series = f"({lit(c)} + (1D / ({z} * {z})) * {series})"
+    return (f"(({z} - 0.5D) * ln({z}) - {z} + {lit(_HALF_LN_2PI)} + (1D / {z}) * {series} - ln({prod}))")

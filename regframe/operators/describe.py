@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as S
 from ..functions.columns import present
 
 
@@ -23,59 +24,61 @@ def descriptives(df: DataFrame, variables: list[str]) -> DataFrame:
     bias-corrected skewness G1 and excess kurtosis G2 (pandas' defaults).
 
     Spark's ``skewness``/``kurtosis`` are the population g1/g2;
-    G1 = g1*sqrt(n(n-1))/(n-2), G2 = (n-1)/((n-2)(n-3))*((n+1)g2 + 6)."""
+    G1 = g1*sqrt(n(n-1))/(n-2), G2 = (n-1)/((n-2)(n-3))*((n+1)g2 + 6).
+    One aggregation for all variables, unpivoted with ``stack``."""
     vs = present(df, variables)
     aggs = []
     for i, v in enumerate(vs):
-        x = _num(v)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"g1_{i}"),
-                 F.kurtosis(x).alias(f"g2_{i}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(i).alias("ord"), F.lit(v).alias("variable"),
-                     F.col(f"n{i}").alias("n"), F.col(f"mean{i}").alias("mean"),
-                     F.col(f"sd{i}").alias("sd"), F.col(f"min{i}").alias("min"),
-                     F.col(f"max{i}").alias("max"), F.col(f"g1_{i}").alias("g1"),
-                     F.col(f"g2_{i}").alias("g2")) for i, v in enumerate(vs)]
-    long = wide.select(F.inline(F.array(*rows)))
-    n = F.col("n").cast("double")
-    skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return long.select("ord", "variable", "n", "mean", "sd", "min", "max",
-                       skew.alias("skewness"), kurt.alias("kurtosis"))
+        x = _numsql(v)
+        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS mean{i}", f"stddev_samp({x}) AS sd{i}",
+                 f"min({x}) AS min{i}", f"max({x}) AS max{i}", f"skewness({x}) AS g1_{i}",
+                 f"kurtosis({x}) AS g2_{i}"]
+    wide = S.sql_df(df, ", ".join(aggs))
+    rows = ", ".join(f"{i}, '{v}', n{i}, mean{i}, sd{i}, min{i}, max{i}, g1_{i}, g2_{i}" for i, v in enumerate(vs))
+    n = "CAST(n AS DOUBLE)"
+    return wide.sparkSession.sql(
+        "SELECT ord, variable, n, mean, sd, min, max, "
+        f"CASE WHEN n > 2 THEN g1 * sqrt({n} * ({n} - 1)) / ({n} - 2) END AS skewness, "
+        f"CASE WHEN n > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * g2 + 6) END AS kurtosis "
+        f"FROM (SELECT stack({len(vs)}, {rows}) AS (ord, variable, n, mean, sd, min, max, g1, g2) FROM {{t}})",
+        t=wide)
+
+
+def _numsql(c: str) -> str:
+    """Value with NaN treated as missing."""
+    return f"CASE WHEN NOT isnan({S.q(c)}) THEN {S.q(c)} END"
 
 
 def coverage(df: DataFrame, variables: list[str]) -> DataFrame:
     """Non-null count and percentage with data, per variable."""
     vs = present(df, variables)
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(_num(v)).alias(f"c{i}") for i, v in enumerate(vs)])
-    rows = [F.struct(F.lit(v).alias("variable"), F.col(f"c{i}").alias("n_present"),
-                     F.col("n_rows").alias("n_rows")) for i, v in enumerate(vs)]
-    return wide.select(F.inline(F.array(*rows))).withColumn(
-        "pct_present", F.lit(100.0) * F.col("n_present") / F.col("n_rows"))
+    wide = S.sql_df(df, "count(1) AS n_rows, " + ", ".join(f"count({_numsql(v)}) AS c{i}" for i, v in enumerate(vs)))
+    rows = ", ".join(f"'{v}', c{i}" for i, v in enumerate(vs))
+    return wide.sparkSession.sql(
+        "SELECT variable, n_present, n_rows, 100D * n_present / n_rows AS pct_present FROM "
+        f"(SELECT n_rows, stack({len(vs)}, {rows}) AS (variable, n_present) FROM {{t}})", t=wide)
 
 
 def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False) -> DataFrame:
     """Pearson r for every pair on pairwise-complete rows, its n
     and t = r*sqrt((n-2)/(1-r^2)) (p from t with n-2 df is added by
-    :func:`with_corr_pvalues`). One aggregation for all pairs."""
+    :func:`with_corr_pvalues`). One aggregation for all pairs; Spark's
+    ``corr`` skips rows where either side is NULL and merges co-moments
+    stably across partitions."""
     vs = present(df, variables)
-    aggs = []
     pairs = [(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs))]
+    aggs = []
     for i, j in pairs:
-        a, b = _num(vs[i]), _num(vs[j])
-        both = a.isNotNull() & b.isNotNull()
-        aggs += [F.count_if(both).alias(f"n_{i}_{j}"), F.corr(a, b).alias(f"r_{i}_{j}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(vs[i]).alias("var_i"), F.lit(vs[j]).alias("var_j"),
-                     F.col(f"n_{i}_{j}").alias("n"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs]
-    long = wide.select(F.inline(F.array(*rows)))
+        a, b = _numsql(vs[i]), _numsql(vs[j])
+        aggs += [f"count_if(({a}) IS NOT NULL AND ({b}) IS NOT NULL) AS n_{i}_{j}", f"corr({a}, {b}) AS r_{i}_{j}"]
+    wide = S.sql_df(df, ", ".join(aggs))
+    rows = ", ".join(f"'{vs[i]}', '{vs[j]}', n_{i}_{j}, r_{i}_{j}" for i, j in pairs)
+    long = wide.sparkSession.sql(
+        f"SELECT stack({len(pairs)}, {rows}) AS (var_i, var_j, n, r) FROM {{t}}", t=wide)
     if both_orders:
         long = long.unionByName(long.select(F.col("var_j").alias("var_i"), F.col("var_i").alias("var_j"), "n", "r"))
-    n = F.col("n").cast("double")
-    t = F.when((n > 2) & (F.abs(F.col("r")) < 1), F.col("r") * F.sqrt((n - 2) / (1 - F.col("r") * F.col("r"))))
-    return long.withColumn("t", t)
+    return long.withColumn("t", F.expr(
+        "CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((CAST(n AS DOUBLE) - 2) / (1 - r * r)) END"))
 
 
 def with_corr_pvalues(corr_long: DataFrame) -> DataFrame:

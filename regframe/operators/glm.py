@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.special import lgamma
+from ..functions import sqltext as S
+from ..functions.special import lgamma_sql
 from ..functions.tails import Z975, norm_sf2
-from .linear import COEF_SCHEMA, _ok
+from .linear import COEF_SCHEMA
 
 FAMILIES = ("binomial", "poisson", "gamma")
 
@@ -64,77 +65,78 @@ class GLMResult:
     def terms(self) -> list[str]:
         return ["const", *self.spec.x]
 
-    def eta(self) -> Column:
-        out = F.lit(float(self.beta[0]))
-        for b, x in zip(self.beta[1:], self.spec.x):
-            out = out + F.lit(float(b)) * F.col(x)
-        return out
+    def eta_sql(self) -> str:
+        return S.linear(self.beta[0], self.beta[1:], [S.q(x) for x in self.spec.x])
+
+    def mean_sql(self) -> str:
+        return _linkinv(self.spec.family, self.eta_sql())
+
+    def mean_raw_sql(self) -> str:
+        return f"({self.mean_sql()} / {S.lit(self.spec.y_scale)})"
 
     def mean(self) -> Column:
         """Fitted mean on the model scale (inverse link)."""
-        return _linkinv(self.spec.family, self.eta())
+        return F.expr(self.mean_sql())
 
     def mean_raw(self) -> Column:
         """Fitted mean in the raw units of the y column."""
-        return self.mean() / F.lit(self.spec.y_scale)
+        return F.expr(self.mean_raw_sql())
 
 
-def _linkinv(family: str, eta: Column) -> Column:
+def _linkinv(family: str, eta: str) -> str:
     if family == "binomial":
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-    return F.exp(eta)
+        return f"(1D / (1D + exp(-{eta})))"
+    return f"exp({eta})"
 
 
 def _link(family: str, mu: float) -> float:
     return math.log(mu / (1.0 - mu)) if family == "binomial" else math.log(mu)
 
 
-def _ycol(s: GLMSpec) -> Column:
-    return F.col(s.y) * F.lit(float(s.y_scale)) if s.y_scale != 1.0 else F.col(s.y)
+def _ysql(s: GLMSpec) -> str:
+    return f"({S.q(s.y)} * {S.lit(s.y_scale)})" if s.y_scale != 1.0 else S.q(s.y)
 
 
-def _irls_terms(family: str, y: Column, mu: Column, eta: Column) -> tuple[Column, Column]:
-    """Working weight w and working response zz."""
+def _irls_terms(family: str, y: str, mu: str, eta: str) -> tuple[str, str]:
+    """Working weight w and working response zz (SQL text)."""
     if family == "binomial":
-        v = mu * (F.lit(1.0) - mu)
-        return v, eta + (y - mu) / v
+        v = f"({mu} * (1D - {mu}))"
+        return v, f"({eta} + ({y} - {mu}) / {v})"
     if family == "poisson":
-        return mu, eta + (y - mu) / mu
-    return F.lit(1.0), eta + (y - mu) / mu          # gamma, log link
+        return mu, f"({eta} + ({y} - {mu}) / {mu})"
+    return "1D", f"({eta} + ({y} - {mu}) / {mu})"          # gamma, log link
 
 
-def _unit_deviance(family: str, y: Column, mu: Column) -> Column:
+def _unit_deviance(family: str, y: str, mu: str) -> str:
     if family == "binomial":
-        t1 = F.when(y > 0, y * F.ln(y / mu)).otherwise(F.lit(0.0))
-        t2 = F.when(y < 1, (F.lit(1.0) - y) * F.ln((F.lit(1.0) - y) / (F.lit(1.0) - mu))).otherwise(F.lit(0.0))
-        return F.lit(2.0) * (t1 + t2)
+        return (f"(2D * ((CASE WHEN {y} > 0 THEN {y} * ln({y} / {mu}) ELSE 0D END) + "
+                f"(CASE WHEN {y} < 1 THEN (1D - {y}) * ln((1D - {y}) / (1D - {mu})) ELSE 0D END)))")
     if family == "poisson":
-        t1 = F.when(y > 0, y * F.ln(y / mu)).otherwise(F.lit(0.0))
-        return F.lit(2.0) * (t1 - (y - mu))
-    return F.lit(2.0) * (-F.ln(y / mu) + (y - mu) / mu)
+        return f"(2D * ((CASE WHEN {y} > 0 THEN {y} * ln({y} / {mu}) ELSE 0D END) - ({y} - {mu})))"
+    return f"(2D * (-ln({y} / {mu}) + ({y} - {mu}) / {mu}))"
 
 
-def _variance(family: str, mu: Column) -> Column:
+def _variance(family: str, mu: str) -> str:
     if family == "binomial":
-        return mu * (F.lit(1.0) - mu)
+        return f"({mu} * (1D - {mu}))"
     if family == "poisson":
         return mu
-    return mu * mu
+    return f"({mu} * {mu})"
 
 
-def _bread_weight(family: str, y: Column, mu: Column) -> Column:
+def _bread_weight(family: str, y: str, mu: str) -> str:
     """Observed information weight (canonical links: the IRLS weight)."""
     if family == "binomial":
-        return mu * (F.lit(1.0) - mu)
+        return f"({mu} * (1D - {mu}))"
     if family == "poisson":
         return mu
-    return y / mu
+    return f"({y} / {mu})"
 
 
-def _score_factor(family: str, y: Column, mu: Column) -> Column:
+def _score_factor(family: str, y: str, mu: str) -> str:
     if family == "gamma":
-        return (y - mu) / mu
-    return y - mu
+        return f"(({y} - {mu}) / {mu})"
+    return f"({y} - {mu})"
 
 
 GLM_FIT_SCHEMA = T.StructType([
@@ -202,19 +204,19 @@ def fit_glm(df: DataFrame, specs: list[GLMSpec], max_iter: int = 100, tol: float
 
 
 def _fit(data, specs, dtypes, max_iter, tol, check_domain):
-    oks = {s.model_id: _ok([s.y, *s.x], dtypes) for s in specs}
-    aggs = [F.count(F.lit(1)).alias("n_total")]
+    oks = {s.model_id: S.ok_cond([s.y, *s.x], dtypes) for s in specs}
+    aggs = ["count(1) AS n_total"]
     for i, s in enumerate(specs):
-        ok, y = oks[s.model_id], _ycol(s)
-        aggs += [F.count_if(ok).alias(f"n_{i}"), F.avg(F.when(ok, y)).alias(f"ybar_{i}")]
+        ok, y = oks[s.model_id], _ysql(s)
+        aggs += [f"count_if({ok}) AS n_{i}", f"avg({S.when(ok, y)}) AS ybar_{i}"]
         if s.family == "binomial":
-            bad = (y <= 0) | (y >= 1)
+            bad = f"({y} <= 0 OR {y} >= 1)"
         elif s.family == "gamma":
-            bad = y <= 0
+            bad = f"{y} <= 0"
         else:
-            bad = y < 0
-        aggs.append(F.count_if(ok & bad).alias(f"bad_{i}"))
-    r0 = data.agg(*aggs).first().asDict()
+            bad = f"{y} < 0"
+        aggs.append(f"count_if({ok} AND {bad}) AS bad_{i}")
+    r0 = S.select_agg(data, aggs)
     models = {}
     for i, s in enumerate(specs):
         m = GLMResult(spec=s, n=int(r0[f"n_{i}"]), n_total=int(r0["n_total"]))
@@ -239,16 +241,16 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         aggs = []
         for mid in sorted(active):
             i, m = live[mid], models[mid]
-            s, ok, y = m.spec, oks[mid], _ycol(m.spec)
-            eta = m.eta()
-            mu = _linkinv(s.family, eta)
+            s, ok, y = m.spec, oks[mid], _ysql(m.spec)
+            eta = m.eta_sql()
+            mu = m.mean_sql()
             w, zz = _irls_terms(s.family, y, mu, eta)
-            z = [F.lit(1.0)] + [F.col(x) for x in s.x]
+            z = ["1D"] + [S.q(x) for x in s.x]
             for a in range(len(z)):
-                aggs.append(F.sum(F.when(ok, w * z[a] * zz)).alias(f"r_{i}_{a}"))
+                aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {zz}')}) AS r_{i}_{a}")
                 for b in range(a, len(z)):
-                    aggs.append(F.sum(F.when(ok, w * z[a] * z[b])).alias(f"a_{i}_{a}_{b}"))
-        r = data.agg(*aggs).first().asDict()
+                    aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {z[b]}')}) AS a_{i}_{a}_{b}")
+        r = S.select_agg(data, aggs)
         for mid in sorted(active):
             i, m = live[mid], models[mid]
             p = len(m.spec.x) + 1
@@ -282,33 +284,34 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
     aggs = []
     for mid in done:
         i, m = live[mid], models[mid]
-        s, ok, y = m.spec, oks[mid], _ycol(m.spec)
+        s, ok, y = m.spec, oks[mid], _ysql(m.spec)
         fam = s.family
-        mu = m.mean()
-        mu0 = F.lit(m.ybar)
-        aggs += [F.sum(F.when(ok, _unit_deviance(fam, y, mu))).alias(f"dev_{i}"),
-                 F.sum(F.when(ok, _unit_deviance(fam, y, mu0))).alias(f"dev0_{i}"),
-                 F.sum(F.when(ok, (y - mu) * (y - mu) / _variance(fam, mu))).alias(f"chi_{i}"),
-                 F.avg(F.when(ok, (F.col(s.y) - m.mean_raw()) * (F.col(s.y) - m.mean_raw()))).alias(f"mse_{i}")]
+        mu = m.mean_sql()
+        mu0 = S.lit(m.ybar)
+        resid_raw = f"({S.q(s.y)} - {m.mean_raw_sql()})"
+        aggs += [f"sum({S.when(ok, _unit_deviance(fam, y, mu))}) AS dev_{i}",
+                 f"sum({S.when(ok, _unit_deviance(fam, y, mu0))}) AS dev0_{i}",
+                 f"sum({S.when(ok, f'({y} - {mu}) * ({y} - {mu}) / {_variance(fam, mu)}')}) AS chi_{i}",
+                 f"avg({S.when(ok, f'{resid_raw} * {resid_raw}')}) AS mse_{i}"]
         if fam == "binomial":
-            ll = -lgamma(y + F.lit(1.0)) - lgamma(F.lit(2.0) - y) + y * F.ln(mu / (F.lit(1.0) - mu)) \
-                + F.ln(F.lit(1.0) - mu)
-            aggs.append(F.sum(F.when(ok, ll)).alias(f"ll_{i}"))
+            ll = (f"(-{lgamma_sql(f'({y} + 1D)')} - {lgamma_sql(f'(2D - {y})')} "
+                  f"+ {y} * ln({mu} / (1D - {mu})) + ln(1D - {mu}))")
+            aggs.append(f"sum({S.when(ok, ll)}) AS ll_{i}")
         elif fam == "poisson":
-            ll = y * F.ln(mu) - mu - lgamma(y + F.lit(1.0))
-            aggs.append(F.sum(F.when(ok, ll)).alias(f"ll_{i}"))
+            ll = f"({y} * ln({mu}) - {mu} - {lgamma_sql(f'({y} + 1D)')})"
+            aggs.append(f"sum({S.when(ok, ll)}) AS ll_{i}")
         else:
-            aggs += [F.sum(F.when(ok, F.ln(y / mu))).alias(f"lym_{i}"),
-                     F.sum(F.when(ok, y / mu)).alias(f"ym_{i}"),
-                     F.sum(F.when(ok, F.ln(y))).alias(f"ly_{i}")]
+            aggs += [f"sum({S.when(ok, f'ln({y} / {mu})')}) AS lym_{i}",
+                     f"sum({S.when(ok, f'{y} / {mu}')}) AS ym_{i}",
+                     f"sum({S.when(ok, f'ln({y})')}) AS ly_{i}"]
         bw = _bread_weight(fam, y, mu)
         sf = _score_factor(fam, y, mu)
-        z = [F.lit(1.0)] + [F.col(x) for x in s.x]
+        z = ["1D"] + [S.q(x) for x in s.x]
         for a in range(len(z)):
             for b in range(a, len(z)):
-                aggs.append(F.sum(F.when(ok, bw * z[a] * z[b])).alias(f"A_{i}_{a}_{b}"))
-                aggs.append(F.sum(F.when(ok, sf * sf * z[a] * z[b])).alias(f"B_{i}_{a}_{b}"))
-    r = data.agg(*aggs).first().asDict()
+                aggs.append(f"sum({S.when(ok, f'{bw} * {z[a]} * {z[b]}')}) AS A_{i}_{a}_{b}")
+                aggs.append(f"sum({S.when(ok, f'{sf} * {sf} * {z[a]} * {z[b]}')}) AS B_{i}_{a}_{b}")
+    r = S.select_agg(data, aggs)
     for mid in done:
         i, m = live[mid], models[mid]
         p, n = len(m.spec.x) + 1, m.n

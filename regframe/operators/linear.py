@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import sqltext as S
 from ..functions.tails import Z975, f_sf, norm_sf2
 
 COND_LIMIT = 1e12
@@ -78,56 +79,41 @@ class ModelResult:
     def terms(self) -> list[str]:
         return ["const", *self.spec.x]
 
-    # ---- Column expressions built from the fitted numbers (L11, N1, N2) ----
-    def fitted(self) -> Column:
-        out = F.lit(float(self.beta[0]))
-        for b, x in zip(self.beta[1:], self.spec.x):
-            out = out + F.lit(float(b)) * F.col(x)
-        return out
+    # ---- expressions built from the fitted numbers (L11, N1, N2) ----
+    def fitted_sql(self) -> str:
+        return S.linear(self.beta[0], self.beta[1:], [S.q(x) for x in self.spec.x])
 
-    def resid(self) -> Column:
-        return _ycol(self.spec) - self.fitted()
+    def resid_sql(self) -> str:
+        return f"({_ysql(self.spec)} - {self.fitted_sql()})"
 
-    def leverage(self) -> Column:
-        xc = [F.col(x) - F.lit(float(m)) for x, m in zip(self.spec.x, self.means[1:])]
-        return F.lit(1.0 / self.n) + _quad(self.Sinv, xc)
+    def leverage_sql(self) -> str:
+        xc = [f"({S.q(x)} - {S.lit(m)})" for x, m in zip(self.spec.x, self.means[1:])]
+        return f"({S.lit(1.0 / self.n)} + {S.quad(self.Sinv, xc)})"
 
-    def cooks_distance(self) -> Column:
+    def cooks_sql(self) -> str:
         s2 = self.ssr / (self.n - self.p)
-        h = self.leverage()
-        e = self.resid()
-        return e * e * h / (F.lit(self.p * s2) * (F.lit(1.0) - h) * (F.lit(1.0) - h))
+        h, e = self.leverage_sql(), self.resid_sql()
+        return f"({e} * {e} * {h} / ({S.lit(self.p * s2)} * (1D - {h}) * (1D - {h})))"
 
+    def fitted(self) -> Column:
+        return F.expr(self.fitted_sql())
 
-def _ycol(spec: ModelSpec) -> Column:
-    return F.ln(F.col(spec.y)) if spec.log_y else F.col(spec.y)
+    def resid(self) -> Column:
+        return F.expr(self.resid_sql())
 
+    def leverage(self) -> Column:
+        return F.expr(self.leverage_sql())
 
-def _quad(M: np.ndarray, v: list[Column]) -> Column:
-    terms = []
-    k = len(v)
-    for i in range(k):
-        terms.append(F.lit(float(M[i, i])) * v[i] * v[i])
-        for j in range(i + 1, k):
-            terms.append(F.lit(float(2.0 * M[i, j])) * v[i] * v[j])
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    def cooks_distance(self) -> Column:
+        return F.expr(self.cooks_sql())
 
 
-def _ok(cols: list[str], dtypes: dict[str, str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cc = F.col(c).isNotNull()
-        if dtypes.get(c) in ("double", "float"):
-            cc = cc & ~F.isnan(F.col(c))
-        cond = cond & cc
-    return cond
+def _ysql(spec: ModelSpec) -> str:
+    return f"ln({S.q(spec.y)})" if spec.log_y else S.q(spec.y)
 
 
-def _sum(c: Column) -> Column:
-    return F.sum(c)
+def _ok(cols: list[str], dtypes: dict[str, str]) -> Column:
+    return F.expr(S.ok_cond(cols, dtypes))
 
 
 class OLSFit:
@@ -237,27 +223,27 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], sample: str = "per_model",
 
 
 def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str) -> dict:
-    oks = {}
+    oks, raw = {}, {}
     for s in specs:
-        ok = _ok(s.cols, dtypes)
+        ok = S.ok_cond(s.cols, dtypes)
         if s.log_y:
-            oks[s.model_id + "#raw"] = ok
-            ok = ok & (F.col(s.y) > 0)
+            raw[s.model_id] = ok
+            ok = f"({ok} AND {S.q(s.y)} > 0)"
         oks[s.model_id] = ok
 
     # ---- pass 1: n, means, centred cross-products for every model ----
-    aggs = [F.count(F.lit(1)).alias("n_total")]
+    aggs = ["count(1) AS n_total"]
     for i, s in enumerate(specs):
         ok = oks[s.model_id]
-        v = [_ycol(s)] + [F.col(x) for x in s.x]
-        aggs.append(F.count_if(ok).alias(f"n_{i}"))
+        v = [_ysql(s)] + [S.q(x) for x in s.x]
+        aggs.append(f"count_if({ok}) AS n_{i}")
         if s.log_y:
-            aggs.append(F.count_if(oks[s.model_id + "#raw"] & (F.col(s.y) <= 0)).alias(f"np_{i}"))
+            aggs.append(f"count_if({raw[s.model_id]} AND {S.q(s.y)} <= 0) AS np_{i}")
         for a in range(len(v)):
-            aggs.append(F.avg(F.when(ok, v[a])).alias(f"m_{i}_{a}"))
+            aggs.append(f"avg({S.when(ok, v[a])}) AS m_{i}_{a}")
             for b in range(a, len(v)):
-                aggs.append(F.covar_samp(F.when(ok, v[a]), F.when(ok, v[b])).alias(f"c_{i}_{a}_{b}"))
-    r1 = data.agg(*aggs).first().asDict()
+                aggs.append(f"covar_samp({S.when(ok, v[a])}, {S.when(ok, v[b])}) AS c_{i}_{a}_{b}")
+    r1 = S.select_agg(data, aggs)
 
     models: dict[str, ModelResult] = {}
     for i, s in enumerate(specs):
@@ -279,19 +265,19 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         m.means = np.array([r1[f"m_{i}_{a}"] for a in range(nv)], dtype=float)
         Cs = C * (m.n - 1)
         m.syy = Cs[0, 0]
-        S = Cs[1:, 1:]
-        m.S = S
-        d = np.diag(S)
-        if not np.all(np.isfinite(S)) or np.any(d <= 0):
+        Sm = Cs[1:, 1:]
+        m.S = Sm
+        d = np.diag(Sm)
+        if not np.all(np.isfinite(Sm)) or np.any(d <= 0):
             m.status = "singular"
             continue
         D = 1.0 / np.sqrt(d)
-        ev = np.linalg.eigvalsh(S * np.outer(D, D))
+        ev = np.linalg.eigvalsh(Sm * np.outer(D, D))
         m.cond = float(ev[-1] / ev[0]) if ev[0] > 0 else float("inf")
         if not (m.cond < COND_LIMIT):
             m.status = "singular"
             continue
-        m.Sinv = np.linalg.inv(S)
+        m.Sinv = np.linalg.inv(Sm)
         b = m.Sinv @ Cs[1:, 0]
         b0 = m.means[0] - m.means[1:] @ b
         m.beta = np.concatenate([[b0], b])
@@ -300,35 +286,37 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
     if not live:
         return models
 
+    def centred(s: ModelSpec, m: ModelResult) -> tuple[list[str], str, str]:
+        xc = [f"({S.q(x)} - {S.lit(mu)})" for x, mu in zip(s.x, m.means[1:])]
+        e = f"({_ysql(s)} - {S.lit(m.means[0])})"
+        for bj, c in zip(m.beta[1:], xc):
+            e += f" - {S.lit(bj)} * {c}"
+        h = f"({S.lit(1.0 / m.n)} + {S.quad(m.Sinv, xc)})"
+        return xc, f"({e})", h
+
     # ---- pass 2: SSR and sandwich meat (HC*), residual moments ----
     aggs = []
     for i, s in enumerate(live):
         m = models[s.model_id]
         ok = oks[s.model_id]
-        xc = [F.col(x) - F.lit(float(mu)) for x, mu in zip(s.x, m.means[1:])]
-        yc = _ycol(s) - F.lit(float(m.means[0]))
-        e = yc
-        for bj, c in zip(m.beta[1:], xc):
-            e = e - F.lit(float(bj)) * c
-        h = F.lit(1.0 / m.n) + _quad(m.Sinv, xc)
+        xc, e, h = centred(s, m)
         if s.cov == "HC3":
-            w = (e / (F.lit(1.0) - h)) * (e / (F.lit(1.0) - h))
+            w = f"power({e} / (1D - {h}), 2)"
         elif s.cov == "HC2":
-            w = e * e / (F.lit(1.0) - h)
+            w = f"({e} * {e} / (1D - {h}))"
         else:
-            w = e * e
-        aggs.append(F.sum(F.when(ok, e * e)).alias(f"sse_{i}"))
-        aggs.append(F.sum(F.when(ok, e * e * e)).alias(f"s3_{i}"))
-        aggs.append(F.sum(F.when(ok, e * e * e * e)).alias(f"s4_{i}"))
+            w = f"({e} * {e})"
+        aggs.append(f"sum({S.when(ok, f'{e} * {e}')}) AS sse_{i}")
+        aggs.append(f"sum({S.when(ok, f'power({e}, 3)')}) AS s3_{i}")
+        aggs.append(f"sum({S.when(ok, f'power({e}, 4)')}) AS s4_{i}")
         if s.cov not in ("classical", "cluster"):
-            z = [F.lit(1.0)] + xc
+            z = ["1D"] + xc
             for a in range(len(z)):
                 for b in range(a, len(z)):
-                    aggs.append(F.sum(F.when(ok, w * z[a] * z[b])).alias(f"w_{i}_{a}_{b}"))
-    r2 = data.agg(*aggs).first().asDict()
+                    aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {z[b]}')}) AS w_{i}_{a}_{b}")
+    r2 = S.select_agg(data, aggs)
 
     # ---- cluster-robust: per-group scores, one groupBy per group column ----
-    meats: dict[str, tuple[np.ndarray, int]] = {}
     by_group: dict[str, list[tuple[int, ModelSpec]]] = {}
     for i, s in enumerate(live):
         if s.cov == "cluster":
@@ -340,20 +328,18 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         for i, s in lst:
             m = models[s.model_id]
             ok = oks[s.model_id]
-            xc = [F.col(x) - F.lit(float(mu)) for x, mu in zip(s.x, m.means[1:])]
-            e = _ycol(s) - F.lit(float(m.means[0]))
-            for bj, c in zip(m.beta[1:], xc):
-                e = e - F.lit(float(bj)) * c
-            z = [F.lit(1.0)] + xc
-            gaggs.append(F.count_if(ok).alias(f"gn_{i}"))
+            xc, e, _ = centred(s, m)
+            z = ["1D"] + xc
+            gaggs.append(f"count_if({ok}) AS gn_{i}")
             for a in range(len(z)):
-                gaggs.append(F.sum(F.when(ok, e * z[a])).alias(f"u_{i}_{a}"))
-            oaggs.append(F.count_if(F.col(f"gn_{i}") > 0).alias(f"G_{i}"))
+                gaggs.append(f"sum({S.when(ok, f'{e} * {z[a]}')}) AS u_{i}_{a}")
+            oaggs.append(f"count_if(gn_{i} > 0) AS G_{i}")
             for a in range(len(z)):
                 for b in range(a, len(z)):
-                    oaggs.append(F.sum(F.col(f"u_{i}_{a}") * F.col(f"u_{i}_{b}")).alias(f"w_{i}_{a}_{b}"))
-        rg = data.groupBy(g).agg(*gaggs).agg(*oaggs).first().asDict()
-        r2.update(rg)
+                    oaggs.append(f"sum(u_{i}_{a} * u_{i}_{b}) AS w_{i}_{a}_{b}")
+        inner = data.sparkSession.sql(
+            "SELECT " + ", ".join(gaggs) + " FROM {t} GROUP BY " + S.q(g), t=data)
+        r2.update(S.select_agg(inner, oaggs))
 
     for i, s in enumerate(live):
         m = models[s.model_id]
