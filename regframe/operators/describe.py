@@ -25,23 +25,28 @@ def descriptives(df: DataFrame, variables: list[str]) -> DataFrame:
 
     Spark's ``skewness``/``kurtosis`` are the population g1/g2;
     G1 = g1*sqrt(n(n-1))/(n-2), G2 = (n-1)/((n-2)(n-3))*((n+1)g2 + 6).
-    One aggregation for all variables, unpivoted with ``stack``."""
+
+    Plan: unpivot to (variable, value) with ``stack`` inside the scan task,
+    drop missing values, ``groupBy(variable)`` with seven aggregates. The
+    partial aggregation leaves one row per variable per partition, so the
+    shuffle is tiny and the aggregate stays inside whole-stage codegen
+    (one wide 80-buffer aggregate would not)."""
+    spark = df.sparkSession
     vs = present(df, variables)
-    aggs = []
-    for i, v in enumerate(vs):
-        x = _numsql(v)
-        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS mean{i}", f"stddev_samp({x}) AS sd{i}",
-                 f"min({x}) AS min{i}", f"max({x}) AS max{i}", f"skewness({x}) AS g1_{i}",
-                 f"kurtosis({x}) AS g2_{i}"]
-    wide = S.sql_df(df, ", ".join(aggs))
-    rows = ", ".join(f"{i}, '{v}', n{i}, mean{i}, sd{i}, min{i}, max{i}, g1_{i}, g2_{i}" for i, v in enumerate(vs))
+    st = ", ".join(f"{i}, '{v}', CAST({_numsql(v)} AS DOUBLE)" for i, v in enumerate(vs))
+    long = spark.sql(f"SELECT stack({len(vs)}, {st}) AS (ord, variable, value) FROM {{t}}", t=df)
+    g = long.where("value IS NOT NULL").groupBy("ord", "variable").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("g1"),
+        F.kurtosis("value").alias("g2"))
+    allv = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "ord int, variable string")
+    j = allv.join(g.drop("variable"), "ord", "left")
     n = "CAST(n AS DOUBLE)"
-    return wide.sparkSession.sql(
-        "SELECT ord, variable, n, mean, sd, min, max, "
+    return spark.sql(
+        "SELECT ord, variable, coalesce(n, 0L) AS n, mean, sd, min, max, "
         f"CASE WHEN n > 2 THEN g1 * sqrt({n} * ({n} - 1)) / ({n} - 2) END AS skewness, "
         f"CASE WHEN n > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * g2 + 6) END AS kurtosis "
-        f"FROM (SELECT stack({len(vs)}, {rows}) AS (ord, variable, n, mean, sd, min, max, g1, g2) FROM {{t}})",
-        t=wide)
+        "FROM {t}", t=j)
 
 
 def _numsql(c: str) -> str:
@@ -62,22 +67,32 @@ def coverage(df: DataFrame, variables: list[str]) -> DataFrame:
 def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False) -> DataFrame:
     """Pearson r for every pair on pairwise-complete rows, its n
     and t = r*sqrt((n-2)/(1-r^2)) (p from t with n-2 df is added by
-    :func:`with_corr_pvalues`). One aggregation for all pairs; Spark's
-    ``corr`` skips rows where either side is NULL and merges co-moments
-    stably across partitions."""
+    :func:`with_corr_pvalues`).
+
+    Plan: (1) one aggregate for the means; (2) each row is unpivoted into
+    its (pair, a, b) values -- a and b shifted by the means, so the
+    co-moment formula has no cancellation -- rows with a missing side are
+    dropped (pairwise deletion), and ``groupBy(pair)`` sums n, a, b, a^2,
+    b^2, ab. Partial aggregation leaves one row per pair per partition."""
+    spark = df.sparkSession
     vs = present(df, variables)
     pairs = [(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs))]
-    aggs = []
-    for i, j in pairs:
-        a, b = _numsql(vs[i]), _numsql(vs[j])
-        aggs += [f"count_if(({a}) IS NOT NULL AND ({b}) IS NOT NULL) AS n_{i}_{j}", f"corr({a}, {b}) AS r_{i}_{j}"]
-    wide = S.sql_df(df, ", ".join(aggs))
-    rows = ", ".join(f"'{vs[i]}', '{vs[j]}', n_{i}_{j}, r_{i}_{j}" for i, j in pairs)
-    long = wide.sparkSession.sql(
-        f"SELECT stack({len(pairs)}, {rows}) AS (var_i, var_j, n, r) FROM {{t}}", t=wide)
+    means = S.select_agg(df, [f"avg({_numsql(v)}) AS m{i}" for i, v in enumerate(vs)])
+    sh = [f"CAST({_numsql(v)} - {S.lit(means[f'm{i}'] if means[f'm{i}'] is not None else 0.0)} AS DOUBLE)"
+          for i, v in enumerate(vs)]
+    st = ", ".join(f"{i}, {j}, {sh[i]}, {sh[j]}" for i, j in pairs)
+    long = spark.sql(f"SELECT stack({len(pairs)}, {st}) AS (i, j, a, b) FROM {{t}}", t=df)
+    g = (long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j")
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"),
+              F.expr("sum(a * a) AS aa"), F.expr("sum(b * b) AS bb"), F.expr("sum(a * b) AS ab")))
+    allp = spark.createDataFrame([(i, j, vs[i], vs[j]) for i, j in pairs],
+                                 "i int, j int, var_i string, var_j string")
+    r = "CASE WHEN n > 1 THEN (ab - a * b / n) / sqrt((aa - a * a / n) * (bb - b * b / n)) END"
+    res = spark.sql(f"SELECT var_i, var_j, coalesce(n, 0L) AS n, {r} AS r FROM {{t}}",
+                    t=allp.join(g, ["i", "j"], "left"))
     if both_orders:
-        long = long.unionByName(long.select(F.col("var_j").alias("var_i"), F.col("var_i").alias("var_j"), "n", "r"))
-    return long.withColumn("t", F.expr(
+        res = res.unionByName(res.select(F.col("var_j").alias("var_i"), F.col("var_i").alias("var_j"), "n", "r"))
+    return res.withColumn("t", F.expr(
         "CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((CAST(n AS DOUBLE) - 2) / (1 - r * r)) END"))
 
 

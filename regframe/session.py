@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # statistical batteries aggregate dozens of moment buffers in one pass;
+    # keep those operators inside whole-stage codegen (default cap: 100)
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
