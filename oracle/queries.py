@@ -487,5 +487,208 @@ Q["plan_bootstrap"] = W(H3S + ",\n" + H5S + ",\n" + _bi + ",\n" + _bc,
                         + _bcs + ")")
 
 
+# ------------------------------------------------------ further operator keys
+Q["ols_1x"] = ols_query(W, [("2b", "task_level", "directive", ["risk_management_index"], "HC3", None)])
+Q["ols_2x"] = ols_query(W, [("4", "h3s", THINK, [CAUTO, CAUG], "HC3", None)], extra_ctes=H3S)
+OLS4 = [CAUG, "cluster_feedback_loop", "percent_records", "percent_users"]
+Q["ols_4x"] = ols_query(W, [("h3_4x", "h3s", THINK, OLS4, "HC3", None)], extra_ctes=H3S)
+Q["model_battery"] = ols_query(W, _TASK_MODELS)
+
+_h1 = [("1a", Ols("c1", "task_level", SHARE, ["augmentation_index"])),
+       ("1b", Ols("c2", "task_level", SHARE, ["task_iteration", "learning"])),
+       ("1c", Ols("c3", "task_level", f"ln({SHARE})", ["augmentation_index"]))]
+_h1x = {"1a": ["augmentation_index"], "1b": ["task_iteration", "learning"], "1c": ["augmentation_index"]}
+_rows = []
+for _m, _o in _h1:
+    for _j, _t in enumerate(["const"] + _h1x[_m]):
+        _rows.append(f"SELECT '{_m}' AS model_id, '{_t}' AS term, round({_o.coef(_j)}, 8) AS coef, "
+                     f"round({_o.coef(_j)} - {Z} * {_o.se(_j)}, 8) AS ci_lo, "
+                     f"round({_o.coef(_j)} + {Z} * {_o.se(_j)}, 8) AS ci_hi FROM {_o.final}")
+Q["coef_ci"] = W(",\n".join(c for _, o in _h1 for c in o.ctes), "\nUNION ALL\n".join(_rows))
+
+_tm6 = [(m, Ols(f"jf{i}", src, y, xs, cov)) for i, (m, src, y, xs, cov, _) in enumerate(_TASK_MODELS)]
+_jf = []
+for _m, _o in _tm6:
+    if _o.k == 1:
+        f = "be0 * be0 / v1_1"
+    else:
+        f = "((be0 * be0 * v2_2 - 2 * be0 * be1 * v1_2 + be1 * be1 * v1_1) / (v1_1 * v2_2 - v1_2 * v1_2)) / 2"
+    _jf.append(f"SELECT '{_m}' AS model_id, {_o.k} AS k, round({f}, 6) AS f FROM {_o.final}")
+Q["joint_f"] = W(",\n".join(c for _, o in _tm6 for c in o.ctes), "\nUNION ALL\n".join(_jf))
+
+Q["info_criteria"] = ols_query(W, [("3", "h3s", THINK, [CAUG], "HC3", None),
+                                   ("4", "h3s", THINK, [CAUTO, CAUG], "HC3", None)], extra_ctes=H3S, kind="fit")
+
+_pr = Ols("pr", "h3a", THINK, [CAUG], keep=["cluster_name_0"])
+Q["predict_ols"] = W(H3S + ",\n" + H3A + ",\n" + ",\n".join(_pr.ctes), """
+SELECT r.cluster_name_0, round(r.yc - r.e + f.my, 8) AS fitted, round(r.e, 8) AS resid FROM pr_r r CROSS JOIN pr_f f""")
+Q["leverage"] = W(H3S + ",\n" + H3A + ",\n" + ",\n".join(_pr.ctes),
+                  "SELECT cluster_name_0, round(h, 8) AS leverage FROM pr_r")
+Q["trim_influential"] = W(H3S + ",\n" + H3A + ",\n" + ",\n".join(_ck.ctes) + """,
+cd AS (SELECT r.e * r.e * r.h / (2 * (f.sse / (f.n - 2)) * (1 - r.h) * (1 - r.h)) AS d, 4.0 / f.n AS thr, f.n
+       FROM ck_r r CROSS JOIN ck_f f)""",
+    "SELECT any_value(n) AS n, count(*) FILTER (WHERE d > thr) AS n_excluded, round(any_value(thr), 10) AS threshold FROM cd")
+
+_rd = []
+_rdc = []
+for _i, (_m, _src, _y, _xs, _cov, _g) in enumerate(_TASK_MODELS):
+    _o = Ols(f"rd{_i}", _src, _y, _xs, _cov)
+    _rdc += _o.ctes
+    _rdc.append(f"rdm{_i} AS (SELECT count(*) AS n, avg(e * e) AS m2, avg(e * e * e) AS m3, "
+                f"avg(e * e * e * e) AS m4 FROM rd{_i}_r)")
+    _rd.append(f"SELECT '{_m}' AS model_id, n, round(m3 / pow(m2, 1.5), 6) AS resid_skew, "
+               f"round(m4 / (m2 * m2), 6) AS resid_kurtosis, "
+               f"round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) AS jarque_bera "
+               f"FROM rdm{_i}")
+Q["resid_diagnostics"] = W(",\n".join(_rdc), "\nUNION ALL\n".join(_rd))
+
+_dw = []
+_dwc = []
+for _m, _o_ in (("1a", Ols("dw1", "task_level", SHARE, ["augmentation_index"], keep=["task_name"])),
+                ("1b", Ols("dw2", "task_level", SHARE, ["task_iteration", "learning"], keep=["task_name"]))):
+    _dwc += _o_.ctes
+    _dw.append(f"SELECT '{_m}' AS model_id, round(sum(d * d) / sum(e * e), 8) AS durbin_watson FROM "
+               f"(SELECT e, e - lag(e) OVER (ORDER BY task_name) AS d FROM {_o_.p}_r)")
+Q["durbin_watson"] = W(",\n".join(_dwc), "\nUNION ALL\n".join(_dw))
+
+_r1 = Ols("rm1", "task_level", SHARE, ["augmentation_index"])
+_r3 = Ols("rm3", "h3s", THINK, [CAUG])
+Q["rmse"] = W(H3S + ",\n" + ",\n".join(_r1.ctes + _r3.ctes),
+              "SELECT '1a' AS model_id, round(sqrt(sse / n), 8) AS rmse FROM rm1_f UNION ALL "
+              "SELECT '3', round(sqrt(sse / n), 8) FROM rm3_f")
+
+Q["log_transform"] = W("", f"SELECT task_name, round(ln({SHARE}), 8) AS ln_share FROM task_level")
+_fa = Ols("fa", "task_cc", f"ln({SHARE})", ["augmentation_index"])
+_fr = Ols("fr", "task_cc", f"ln({SHARE})", ["risk_management_index"])
+Q["fold_change"] = W(TASK_CC + ",\n" + ",\n".join(_fa.ctes + _fr.ctes),
+                     "SELECT 'aug_log' AS model_id, 'augmentation_index' AS term, round(exp(be0), 6) AS fold_change "
+                     "FROM fa_f UNION ALL SELECT 'risk_log', 'risk_management_index', round(exp(be0), 6) FROM fr_f")
+Q["mean_center"] = W(_h6_ctes("cluster_level"),
+                     "SELECT cluster_name_0, round(aug_c, 8) AS aug_c, round(thk_c, 8) AS thk_c FROM h6")
+Q["interaction_term"] = W(_h6_ctes("cluster_level"),
+                          "SELECT cluster_name_0, round(interaction, 8) AS interaction FROM h6")
+Q["concat_text"] = W("", """
+SELECT cluster_name_0, lower(coalesce(cluster_name_0, '') || ' ' || coalesce(cluster_name_1, '') || ' '
+                             || coalesce(cluster_name_2, '')) AS name_text FROM cluster_level""")
+Q["coerce_numeric"] = W("", """
+SELECT cluster_name_0,
+       round(TRY_CAST(coalesce(CAST(collab_directive_ratio AS VARCHAR), 'n/a') AS DOUBLE), 8) AS cluster_directive
+FROM fx_clusters""")
+Q["left_join_optional"] = W("", "SELECT task_name, round(thinking_fraction, 8) AS thinking_fraction FROM task_base")
+Q["listwise"] = W("", f"""
+SELECT 'h3' AS sample, count(*) AS n FROM cluster_level WHERE {THINK} IS NOT NULL AND {CAUG} IS NOT NULL
+UNION ALL SELECT 'h4', count(*) FROM cluster_level WHERE {THINK} IS NOT NULL AND {CAUTO} IS NOT NULL AND {CAUG} IS NOT NULL
+UNION ALL SELECT 'h5', count(*) FROM cluster_level WHERE {THINK} IS NOT NULL AND augmentation_index IS NOT NULL
+                                                   AND {SHARE} IS NOT NULL
+UNION ALL SELECT 'h6', count(*) FROM cluster_level WHERE percent_users IS NOT NULL AND {CAUG} IS NOT NULL
+                                                   AND {THINK} IS NOT NULL""")
+Q["shape_stats"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{v}' AS variable, count({v}) AS n, round(skewness({v}), 6) AS skewness, "
+    f"round(kurtosis({v}), 6) AS kurtosis FROM task_level" for v in TASK_VARS))
+Q["corr_pvalues"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS var_i, '{b}' AS var_j, n, "
+    f"round(CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END, 6) AS t FROM "
+    f"(SELECT count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM task_level)"
+    for i, a in enumerate(TASK_VARS) for b in TASK_VARS[i + 1:]))
+
+
+def _cm(a, b):
+    if a == b:
+        return "1.0"
+    return f"(SELECT round(corr({a}, {b}), 8) FROM cluster_level)"
+
+
+Q["corr_matrix_wide"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS var_i, " + ", ".join(f"{_cm(a, b)} AS {b}" for b in CLUSTER_CORR_VARS)
+    for a in CLUSTER_CORR_VARS))
+Q["percentile_ci"] = W("", f"""
+SELECT '{SHARE}' AS variable, round(quantile_cont({SHARE}, 0.025), 8) AS p025,
+       round(quantile_cont({SHARE}, 0.975), 8) AS p975 FROM task_level
+UNION ALL SELECT 'augmentation_index', round(quantile_cont(augmentation_index, 0.025), 8),
+       round(quantile_cont(augmentation_index, 0.975), 8) FROM task_level""")
+Q["fit_line_grid"] = W(",\n".join(_r1.ctes) + f""",
+rg AS (SELECT min(augmentation_index) AS lo, max(augmentation_index) AS hi FROM task_level
+       WHERE augmentation_index IS NOT NULL AND {SHARE} IS NOT NULL)""", """
+SELECT g.i, round(lo + g.i * ((hi - lo) / 99), 8) AS x, round(be_c + be0 * (lo + g.i * ((hi - lo) / 99)), 8) AS yhat
+FROM range(0, 100) g(i) CROSS JOIN rg CROSS JOIN rm1_f""")
+Q["scatter_points"] = W("", f"""
+SELECT task_name, round(augmentation_index, 8) AS augmentation_index, round({SHARE}, 8) AS {SHARE},
+       round(ln({SHARE}), 8) AS ln_share FROM task_level
+WHERE augmentation_index IS NOT NULL AND {SHARE} IS NOT NULL""")
+Q["scatter_binned"] = W(f"""
+sb AS (SELECT augmentation_index AS x, {SHARE} AS y FROM task_level
+       WHERE augmentation_index IS NOT NULL AND {SHARE} IS NOT NULL),
+sr AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM sb)""", """
+SELECT least(CAST(floor((x - x0) / (x1 - x0) * 20) AS INTEGER), 19) AS bx,
+       least(CAST(floor((y - y0) / (y1 - y0) * 20) AS INTEGER), 19) AS by, count(*) AS n
+FROM sb CROSS JOIN sr GROUP BY ALL""")
+Q["sobel"] = Q["plan_h5"].replace(
+    Q["plan_h5"][Q["plan_h5"].rindex("SELECT n, round(c, 8)"):],
+    "SELECT round(a * b, 8) AS indirect, round(sqrt(a * a * b_se * b_se + b * b * a_se * a_se), 8) AS sobel_se, "
+    "round(a * b / sqrt(a * a * b_se * b_se + b * b * a_se * a_se), 6) AS sobel_z FROM pv")
+_pd = Q["plan_h5"]
+Q["mediation_decision"] = _pd[:_pd.rindex("SELECT n, round(c, 8)")] + (
+    "SELECT " + _pd[_pd.index("CASE WHEN abs(cz)"):])
+_d6 = [(m, Ols(f"d6{i}", "h6", "percent_users", xs)) for i, (m, xs) in
+       enumerate([("6a", [CAUG]), ("6b", [CAUG, THINK]), ("6c", ["aug_c", "thk_c", "interaction"])])]
+Q["delta_r2"] = W(_h6_ctes("cluster_level") + ",\n" + ",\n".join(c for _, o in _d6 for c in o.ctes), """
+SELECT '6a' AS model_id, 0 AS step, round(1 - d60_f.sse / d60_f.syy, 8) AS r2, CAST(NULL AS DOUBLE) AS delta_r2 FROM d60_f
+UNION ALL SELECT '6b', 1, round(1 - d61_f.sse / d61_f.syy, 8),
+       round((1 - d61_f.sse / d61_f.syy) - (1 - d60_f.sse / d60_f.syy), 8) FROM d61_f CROSS JOIN d60_f
+UNION ALL SELECT '6c', 2, round(1 - d62_f.sse / d62_f.syy, 8),
+       round((1 - d62_f.sse / d62_f.syy) - (1 - d61_f.sse / d61_f.syy), 8) FROM d62_f CROSS JOIN d61_f""")
+
+_all_glm = list(_GLMS)
+_gct = TASK_CC + ",\n" + ",\n".join(c for g, _ in _GLMS.values() for c in g.ctes)
+Q["glm_robust_se"] = W(_gct, "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, 'const' AS term, round(sqrt(v00), 8) AS se FROM {g.final} UNION ALL "
+    f"SELECT '{m}', '{x}', round(sqrt(v11), 8) FROM {g.final}" for m, (g, x) in _GLMS.items()))
+Q["glm_pseudo_r2"] = W(_gct, "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, round(dev, 6) AS deviance, round(dev0, 6) AS null_deviance, "
+    f"round(1 - dev / dev0, 8) AS pseudo_r2 FROM {g.final}" for m, (g, _) in _GLMS.items()))
+Q["glm_info_criteria"] = W(_gct, "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, round(llf, 4) AS llf, round(-2 * llf + 4, 4) AS aic, "
+    f"round(-2 * llf + 2 * ln(n), 4) AS bic FROM {g.final}" for m, (g, _) in _GLMS.items()))
+_gf = _GLMS["aug_frac_logit"][0]
+Q["predict_glm"] = W(TASK_CC + ",\n" + ",\n".join(_gf.ctes), f"""
+SELECT t.task_name, round(100e0 / (1 + exp(-(f.b0 + f.b1 * t.augmentation_index))), 8) AS fitted_raw
+FROM task_cc t CROSS JOIN {_gf.final} f""")
+Q["plan_model_comparison"] = Q["model_comparison"]
+
+_pc = ols_query(W, [("h3_hc3", "h3a", THINK, [CAUG], "HC3", None),
+                    ("h3_cl_task", "h3a", THINK, [CAUG], "cluster", "task_name"),
+                    ("h3_cl_name1", "h3a", THINK, [CAUG], "cluster", "cluster_name_1"),
+                    ("h4_hc3", "h3a", THINK, [CAUTO, CAUG], "HC3", None),
+                    ("h4_cl_task", "h3a", THINK, [CAUTO, CAUG], "cluster", "task_name"),
+                    ("h6_6a", "h6", "percent_users", ["aug_c"], "cluster", "task_name"),
+                    ("h6_6b", "h6", "percent_users", ["aug_c", "thk_c"], "cluster", "task_name"),
+                    ("h6_6c", "h6", "percent_users", ["aug_c", "thk_c", "interaction"], "cluster", "task_name")],
+                extra_ctes=H3S + ",\n" + H3A + ",\n" + _h6_ctes("h3s"))
+Q["plan_clustered"] = _pc
+
+Q["qc_fingerprint"] = W("", f"""
+SELECT round(avg({SHARE}), 8) AS {SHARE}_mean, round(stddev_samp({SHARE}), 8) AS {SHARE}_sd,
+       round(min({SHARE}), 8) AS {SHARE}_min, round(max({SHARE}), 8) AS {SHARE}_max,
+       round(avg(augmentation_index), 8) AS augmentation_index_mean,
+       round(stddev_samp(augmentation_index), 8) AS augmentation_index_sd,
+       round(min(augmentation_index), 8) AS augmentation_index_min,
+       round(max(augmentation_index), 8) AS augmentation_index_max,
+       round(avg(automation_index), 8) AS automation_index_mean,
+       round(stddev_samp(automation_index), 8) AS automation_index_sd,
+       round(min(automation_index), 8) AS automation_index_min,
+       round(max(automation_index), 8) AS automation_index_max,
+       count(thinking_fraction) AS tasks_with_thinking, count(*) AS tasks FROM task_level""")
+
+_qa = Ols("qa", "task_level", SHARE, ["augmentation_index"])
+_qc = Ols("qc", "task_level", f"ln({SHARE})", ["augmentation_index"])
+_qr = Ols("qr", "task_level", SHARE, ["risk_management_index"])
+Q["qc_coefficients"] = W(",\n".join(_qa.ctes + _qc.ctes + _qr.ctes) + """,
+qx AS (SELECT '1a' AS model_id, 'augmentation_index' AS term, be0 AS coef, 0.0596 AS value, 0.003 AS tol FROM qa_f
+       UNION ALL SELECT '1c', 'augmentation_index', be0, 2.8144, 0.02 FROM qc_f
+       UNION ALL SELECT '2a', 'risk_management_index', be0, 0.6649, 0.01 FROM qr_f)""", """
+SELECT model_id, term, round(coef, 8) AS coef, CAST(value AS DOUBLE) AS value, CAST(tol AS DOUBLE) AS tol,
+       CASE WHEN abs(coef - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM qx""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

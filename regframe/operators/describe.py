@@ -145,3 +145,55 @@ def table_checksum(df: DataFrame, cols: list[str] | None = None, digits: int = 9
     h = F.xxhash64(*norm)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"),
                   F.sum(h.cast("decimal(38,0)")).alias("sum_hash"))
+
+
+def fit_line_grid(df: DataFrame, x: str, b0: float, b1: float, points: int = 100,
+                  y_log: bool = False) -> DataFrame:
+    """``points`` equally spaced x over [min, max] of ``x`` (complete
+    cases) with the fitted line ``b0 + b1 x`` (exp'd back when ``y_log``).
+    One aggregate for the range; the grid is ``spark.range(points)``."""
+    spark = df.sparkSession
+    rng = S.select_agg(df, [f"min({S.q(x)}) AS lo", f"max({S.q(x)}) AS hi"])
+    lo, hi = rng["lo"], rng["hi"]
+    step = (hi - lo) / (points - 1) if points > 1 else 0.0
+    xs = f"({S.lit(lo)} + CAST(id AS DOUBLE) * {S.lit(step)})"
+    yhat = f"({S.lit(b0)} + {S.lit(b1)} * {xs})"
+    return spark.range(points).selectExpr("id AS i", f"{xs} AS x", f"{yhat} AS yhat")
+
+
+def scatter_binned(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """B23 at scale: a 2-D histogram instead of millions of points. Bin
+    edges span [min, max] of each axis on complete cases; counts per
+    non-empty cell come from one groupBy (cells <= bins^2)."""
+    d = df.select(F.col(x).alias("x"), F.col(y).alias("y")).na.drop()
+    r = S.select_agg(d, ["min(x) AS x0", "max(x) AS x1", "min(y) AS y0", "max(y) AS y1"])
+
+    def b(c: str, lo: float, hi: float) -> str:
+        w = (hi - lo) if hi > lo else 1.0
+        return f"least(CAST(floor(({c} - {S.lit(lo)}) / {S.lit(w)} * {bins}) AS INT), {bins - 1})"
+    return d.selectExpr(f"{b('x', r['x0'], r['x1'])} AS bx", f"{b('y', r['y0'], r['y1'])} AS by") \
+        .groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
+
+
+def durbin_watson(df: DataFrame, resid: Column, order: str, n_ranges: int | None = None) -> float:
+    """sum((e_t - e_{t-1})^2) / sum(e_t^2) along an explicit order
+    column, without a single-partition window: range-partition by the order
+    key, take differences inside each range (window per range id), then add
+    the few boundary differences between consecutive ranges from a
+    first/last-per-range aggregate (one row per range)."""
+    from pyspark.sql import Window
+    from ..session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    d = df.select(F.col(order).alias("__o"), resid.alias("__e")).where("__e IS NOT NULL")
+    d = (d.repartitionByRange(n_ranges, "__o") if n_ranges else d.repartitionByRange("__o"))
+    d = d.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    w = Window.partitionBy("__pid").orderBy("__o")
+    inner = d.withColumn("__d", F.col("__e") - F.lag("__e").over(w)).agg(
+        F.sum(F.col("__d") * F.col("__d")).alias("num"), F.sum(F.col("__e") * F.col("__e")).alias("den")).first()
+    ends = (d.groupBy("__pid").agg(F.min_by("__e", "__o").alias("first"), F.max_by("__e", "__o").alias("last"))
+            .orderBy("__pid").collect())          # one row per range
+    num = inner["num"] or 0.0
+    for a, b_ in zip(ends, ends[1:]):
+        num += (b_["first"] - a["last"]) ** 2
+    return num / inner["den"]

@@ -374,3 +374,24 @@ def ols(df: DataFrame, y: str, x: list[str], cov: str = "HC3", groups: str | Non
         model_id: str = "m", log_y: bool = False) -> OLSFit:
     """One model; convenience wrapper of :func:`fit_ols`."""
     return fit_ols(df, [ModelSpec(model_id, y, list(x), cov, groups, log_y)])
+
+
+def resid_diagnostics(fitres: OLSFit) -> DataFrame:
+    """Residual skewness and kurtosis (population moments, as printed by
+    regression summaries), Jarque-Bera and its chi^2(2) tail, from the
+    residual moments the fit pass already summed. Residuals have mean 0
+    (intercept), so m_k = sum(e^k)/n."""
+    rows = []
+    for mid, m in fitres.models.items():
+        if m.status != "ok":
+            continue
+        n = m.n
+        m2, m3, m4 = m.ssr / n, m.extras["sum_e3"] / n, m.extras["sum_e4"] / n
+        skew = m3 / m2 ** 1.5
+        kurt = m4 / (m2 * m2)
+        jb = n / 6.0 * (skew * skew + (kurt - 3.0) ** 2 / 4.0)
+        rows.append((mid, int(n), float(skew), float(kurt), float(jb), float(math.exp(-jb / 2.0)),
+                     float(m.cond)))
+    return fitres.spark.createDataFrame(rows, "model_id string, n bigint, resid_skew double, "
+                                              "resid_kurtosis double, jarque_bera double, jb_p double, "
+                                              "cond double")

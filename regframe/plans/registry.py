@@ -459,5 +459,264 @@ def q_plan_bootstrap(spark, sf):
     return rnd(P.plan_bootstrap(levels(spark, sf)["cluster_level"]), _BOOT)
 
 
+# ----------------------------------------------------- further operator keys
+
+def _fit(df, specs):
+    from ..operators.linear import fit_ols
+    return fit_ols(df, specs)
+
+
+def _ms(*a, **k):
+    from ..operators.linear import ModelSpec
+    return ModelSpec(*a, **k)
+
+
+def q_ols_1x(spark, sf):
+    return coef_out(_fit(levels(spark, sf)["task_level"], [_ms("2b", "directive", ["risk_management_index"])]))
+
+
+def q_ols_2x(spark, sf):
+    return coef_out(P.plan_h4(levels(spark, sf)["cluster_level"]))
+
+
+OLS4 = [P.CAUG, "cluster_feedback_loop", "percent_records", "percent_users"]
+
+
+def q_ols_4x(spark, sf):
+    d = P.h3_sample(levels(spark, sf)["cluster_level"])
+    return coef_out(_fit(d, [_ms("h3_4x", P.THINK, OLS4)]))
+
+
+def q_model_battery(spark, sf):
+    return coef_out(P.plan_task_models(levels(spark, sf)["task_level"]))
+
+
+def q_coef_ci(spark, sf):
+    c = P.plan_h1(levels(spark, sf)["task_level"]).coef
+    return rnd(c.select("model_id", "term", "coef", "ci_lo", "ci_hi"), {"coef": 8, "ci_lo": 8, "ci_hi": 8})
+
+
+def q_joint_f(spark, sf):
+    f = P.plan_task_models(levels(spark, sf)["task_level"]).fit
+    return rnd(f.select("model_id", "k", "f"), {"f": 6})
+
+
+def q_info_criteria(spark, sf):
+    lv = levels(spark, sf)
+    r = _fit(P.h3_sample(lv["cluster_level"]), [_ms("3", P.THINK, [P.CAUG]), _ms("4", P.THINK, [P.CAUTO, P.CAUG])])
+    return fit_out(r)
+
+
+def q_predict_ols(spark, sf):
+    d = P.h3_sample(levels(spark, sf)["cluster_level"]).na.drop(subset=[P.CAUG])
+    m = _fit(d, [_ms("3", P.THINK, [P.CAUG])])["3"]
+    return rnd(d.select("cluster_name_0", m.fitted().alias("fitted"), m.resid().alias("resid")),
+               {"fitted": 8, "resid": 8})
+
+
+def q_leverage(spark, sf):
+    d = P.h3_sample(levels(spark, sf)["cluster_level"]).na.drop(subset=[P.CAUG])
+    m = _fit(d, [_ms("3", P.THINK, [P.CAUG])])["3"]
+    return rnd(d.select("cluster_name_0", m.leverage().alias("leverage")), {"leverage": 8})
+
+
+def q_trim_influential(spark, sf):
+    full, refit, n_ex, thr = P.cooks_trim(levels(spark, sf)["cluster_level"])
+    return rnd(spark.createDataFrame([(int(full["full"].n), int(n_ex), float(thr))],
+                                     "n bigint, n_excluded bigint, threshold double"), {"threshold": 10})
+
+
+def q_resid_diagnostics(spark, sf):
+    from ..operators.linear import resid_diagnostics
+    r = P.plan_task_models(levels(spark, sf)["task_level"])
+    return rnd(resid_diagnostics(r).drop("cond", "jb_p"), {"resid_skew": 6, "resid_kurtosis": 6, "jarque_bera": 4})
+
+
+def q_durbin_watson(spark, sf):
+    from ..operators.describe import durbin_watson
+    tl = levels(spark, sf)["task_level"]
+    r = P.plan_h1(tl)
+    out = []
+    for mid in ("1a", "1b"):
+        m = r[mid]
+        d = tl.na.drop(subset=[m.spec.y, *m.spec.x])
+        out.append((mid, float(round(durbin_watson(d, m.resid(), "task_name"), 8))))
+    return spark.createDataFrame(out, "model_id string, durbin_watson double")
+
+
+def q_rmse(spark, sf):
+    lv = levels(spark, sf)
+    r1 = P.plan_h1(lv["task_level"])
+    r3 = P.plan_h3(lv["cluster_level"])
+    f = r1.fit.filter("model_id = '1a'").unionByName(r3.fit)
+    return rnd(f.select("model_id", "rmse"), {"rmse": 8})
+
+
+def q_log_transform(spark, sf):
+    tl = levels(spark, sf)["task_level"]
+    return rnd(tl.select("task_name", F.ln(P.SHARE).alias("ln_share")), {"ln_share": 8})
+
+
+def q_fold_change(spark, sf):
+    r = _fit(P.task_complete_case(levels(spark, sf)["task_level"]),
+             [_ms("aug_log", P.SHARE, ["augmentation_index"], log_y=True),
+              _ms("risk_log", P.SHARE, ["risk_management_index"], log_y=True)])
+    c = r.coef.filter(F.col("term") != "const")
+    return rnd(c.select("model_id", "term", F.exp("coef").alias("fold_change")), {"fold_change": 6})
+
+
+def q_mean_center(spark, sf):
+    d = P.h6_frame(levels(spark, sf)["cluster_level"])
+    return rnd(d.select("cluster_name_0", "aug_c", "thk_c"), {}, 8)
+
+
+def q_interaction_term(spark, sf):
+    d = P.h6_frame(levels(spark, sf)["cluster_level"])
+    return rnd(d.select("cluster_name_0", "interaction"), {}, 8)
+
+
+def q_concat_text(spark, sf):
+    cl = P.with_technical_domain(levels(spark, sf)["cluster_level"], TEST_KEYWORDS)
+    return cl.select("cluster_name_0", "name_text")
+
+
+def q_coerce_numeric(spark, sf):
+    from ..functions.columns import coerce_numeric
+    c = levels(spark, sf)["clusters"]
+    txt = F.coalesce(F.col("collab_directive_ratio").cast("string"), F.lit("n/a"))
+    return rnd(c.select("cluster_name_0", coerce_numeric(txt).alias("cluster_directive")), {}, 8)
+
+
+def q_left_join_optional(spark, sf):
+    tb = levels(spark, sf)["task_base"]
+    return rnd(tb.select("task_name", "thinking_fraction"), {}, 8)
+
+
+def q_listwise(spark, sf):
+    cl = levels(spark, sf)["cluster_level"]
+    sets = {"h3": [P.THINK, P.CAUG], "h4": [P.THINK, P.CAUTO, P.CAUG],
+            "h5": [P.THINK, "augmentation_index", P.SHARE], "h6": ["percent_users", P.CAUG, P.THINK]}
+    out = None
+    for k, cols in sets.items():
+        r = cl.na.drop(subset=cols).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("sample"), "n")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def q_shape_stats(spark, sf):
+    d = D.descriptives(levels(spark, sf)["task_level"], P.TASK_VARS)
+    return rnd(d.select("variable", "n", "skewness", "kurtosis"), {"skewness": 6, "kurtosis": 6})
+
+
+def q_corr_pvalues(spark, sf):
+    c = D.corr_pairwise(levels(spark, sf)["task_level"], P.TASK_CORR_VARS)
+    return rnd(c.select("var_i", "var_j", "n", "t"), {"t": 6})
+
+
+def q_corr_matrix_wide(spark, sf):
+    c = D.corr_pairwise(levels(spark, sf)["cluster_level"], P.CLUSTER_CORR_VARS)
+    return rnd(D.corr_matrix_wide(c, P.CLUSTER_CORR_VARS), {}, 8)
+
+
+def q_percentile_ci(spark, sf):
+    tl = levels(spark, sf)["task_level"]
+    out = None
+    for v in (P.SHARE, "augmentation_index"):
+        r = D.percentiles(tl, v, [0.025, 0.975]).select(
+            F.lit(v).alias("variable"), F.col("q")[0].alias("p025"), F.col("q")[1].alias("p975"))
+        out = r if out is None else out.unionByName(r)
+    return rnd(out, {"p025": 8, "p975": 8})
+
+
+def q_fit_line_grid(spark, sf):
+    tl = levels(spark, sf)["task_level"]
+    d = tl.na.drop(subset=["augmentation_index", P.SHARE])
+    m = P.plan_h1(tl)["1a"]
+    g = D.fit_line_grid(d, "augmentation_index", m.beta[0], m.beta[1])
+    return rnd(g, {"x": 8, "yhat": 8})
+
+
+def q_scatter_points(spark, sf):
+    tl = levels(spark, sf)["task_level"]
+    d = tl.select("task_name", "augmentation_index", P.SHARE).na.drop()
+    return rnd(d.withColumn("ln_share", F.ln(P.SHARE)), {}, 8)
+
+
+def q_scatter_binned(spark, sf):
+    return D.scatter_binned(levels(spark, sf)["task_level"], "augmentation_index", P.SHARE)
+
+
+def q_sobel(spark, sf):
+    r = P.plan_h5(levels(spark, sf)["cluster_level"])
+    return rnd(r.select("indirect", "sobel_se", "sobel_z"), {"indirect": 8, "sobel_se": 8, "sobel_z": 6})
+
+
+def q_mediation_decision(spark, sf):
+    r = P.plan_h5(levels(spark, sf)["cluster_level"])
+    return r.select("crit_c", "crit_a", "crit_b", "crit_reduced", "conclusion")
+
+
+def q_delta_r2(spark, sf):
+    from ..operators.mediation import delta_r2
+    f = P.plan_h6(levels(spark, sf)["cluster_level"]).fit
+    return rnd(delta_r2(f, ["6a", "6b", "6c"]), {"r2": 8, "delta_r2": 8})
+
+
+def q_glm_robust_se(spark, sf):
+    c = _glm_cached(spark, sf).coef
+    return rnd(c.select("model_id", "term", "se"), {"se": 8})
+
+
+def q_glm_pseudo_r2(spark, sf):
+    f = _glm_cached(spark, sf).fit
+    return rnd(f.select("model_id", "deviance", "null_deviance", "pseudo_r2"),
+               {"deviance": 6, "null_deviance": 6, "pseudo_r2": 8})
+
+
+def q_glm_info_criteria(spark, sf):
+    f = _glm_cached(spark, sf).fit
+    return rnd(f.select("model_id", "llf", "aic", "bic"), {"llf": 4, "aic": 4, "bic": 4})
+
+
+def q_predict_glm(spark, sf):
+    d = P.task_complete_case(levels(spark, sf)["task_level"])
+    m = _glm_cached(spark, sf)["aug_frac_logit"]
+    return rnd(d.select("task_name", m.mean_raw().alias("fitted_raw")), {"fitted_raw": 8})
+
+
+def q_plan_model_comparison(spark, sf):
+    return q_model_comparison(spark, sf)
+
+
+def q_plan_clustered(spark, sf):
+    lv = levels(spark, sf)
+    a = coef_out(P.clustered_battery(lv["cluster_level"]))
+    return a.unionByName(coef_out(P.h6_clustered(lv["cluster_level"])).withColumn(
+        "model_id", F.concat(F.lit("h6_"), F.col("model_id"))))
+
+
+def q_qc_fingerprint(spark, sf):
+    from ..operators.quality import qc_fingerprint
+    return rnd(qc_fingerprint(levels(spark, sf)["task_level"]), {}, 8)
+
+
+# Coefficients the reference's figure script asserts, with
+# its tolerances (model, term, value, tolerance).
+PUBLISHED_COEFS = [("1a", "augmentation_index", 0.0596, 0.003),
+                   ("1c", "augmentation_index", 2.8144, 0.02),
+                   ("2a", "risk_management_index", 0.6649, 0.01)]
+
+
+def q_qc_coefficients(spark, sf):
+    from ..operators.quality import qc_coefficients
+    c = P.plan_task_models(levels(spark, sf)["task_level"]).coef
+    exp = spark.createDataFrame(PUBLISHED_COEFS, "model_id string, term string, value double, tol double")
+    return rnd(qc_coefficients(c, exp), {"coef": 8})
+
+
+def q_table_checksum(spark, sf):
+    return D.table_checksum(levels(spark, sf)["integrated"])
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
