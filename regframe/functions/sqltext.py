@@ -72,3 +72,20 @@ def select_agg(df: DataFrame, exprs: list[str]) -> dict:
 
 def sql_df(df: DataFrame, select: str, tail: str = "") -> DataFrame:
     return df.sparkSession.sql("SELECT " + select + " FROM {t} " + tail, t=df)
+
+
+def select_agg_staged(df: DataFrame, stages: list[list[str]], exprs: list[str]) -> dict:
+    """Like :func:`select_agg`, with per-row quantities computed once in
+    nested projections (``stages``: lists of ``expr AS name`` added on top
+    of all columns, innermost first). Catalyst does not inline a
+    non-trivial projection that a consumer uses more than once, so e.g. a
+    fitted mean feeding five sums is evaluated once per row."""
+    return df.sparkSession.sql("SELECT " + ",\n".join(exprs) + " FROM " + staged_from(stages), t=df).first().asDict()
+
+
+def staged_from(stages: list[list[str]]) -> str:
+    """FROM clause text: nested projections over the ``{t}`` placeholder."""
+    sql = "{t}"
+    for st in stages:
+        sql = f"(SELECT *, {', '.join(st)} FROM {sql})"
+    return sql

@@ -238,19 +238,20 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
     it = 0
     while active and it < max_iter:
         it += 1
-        aggs = []
+        aggs, st1, st2, st3 = [], [], [], []
         for mid in sorted(active):
             i, m = live[mid], models[mid]
             s, ok, y = m.spec, oks[mid], _ysql(m.spec)
-            eta = m.eta_sql()
-            mu = m.mean_sql()
-            w, zz = _irls_terms(s.family, y, mu, eta)
+            st1 += [f"{S.when(ok, y)} AS __y{i}", f"{S.when(ok, m.eta_sql())} AS __eta{i}"]
+            st2.append(f"{_linkinv(s.family, f'__eta{i}')} AS __mu{i}")
+            w, zz = _irls_terms(s.family, f"__y{i}", f"__mu{i}", f"__eta{i}")
+            st3 += [f"{w} AS __w{i}", f"{zz} AS __zz{i}"]
             z = ["1D"] + [S.q(x) for x in s.x]
             for a in range(len(z)):
-                aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {zz}')}) AS r_{i}_{a}")
+                aggs.append(f"sum(__w{i} * {z[a]} * __zz{i}) AS r_{i}_{a}")
                 for b in range(a, len(z)):
-                    aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {z[b]}')}) AS a_{i}_{a}_{b}")
-        r = S.select_agg(data, aggs)
+                    aggs.append(f"sum(__w{i} * {z[a]} * {z[b]}) AS a_{i}_{a}_{b}")
+        r = S.select_agg_staged(data, [st1, st2, st3], aggs)
         for mid in sorted(active):
             i, m = live[mid], models[mid]
             p = len(m.spec.x) + 1
@@ -281,37 +282,37 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
     if not done:
         return models
     # ---- final pass: deviances, Pearson, llf pieces, RMSE, sandwich ----
-    aggs = []
+    aggs, st1, st2 = [], [], []
     for mid in done:
         i, m = live[mid], models[mid]
-        s, ok, y = m.spec, oks[mid], _ysql(m.spec)
+        s, ok, y0 = m.spec, oks[mid], _ysql(m.spec)
         fam = s.family
-        mu = m.mean_sql()
+        st1 += [f"{S.when(ok, y0)} AS __y{i}", f"{S.when(ok, m.mean_sql())} AS __mu{i}",
+                f"{S.when(ok, S.q(s.y))} AS __yr{i}"]
+        y, mu = f"__y{i}", f"__mu{i}"
         mu0 = S.lit(m.ybar)
-        resid_raw = f"({S.q(s.y)} - {m.mean_raw_sql()})"
-        aggs += [f"sum({S.when(ok, _unit_deviance(fam, y, mu))}) AS dev_{i}",
-                 f"sum({S.when(ok, _unit_deviance(fam, y, mu0))}) AS dev0_{i}",
-                 f"sum({S.when(ok, f'({y} - {mu}) * ({y} - {mu}) / {_variance(fam, mu)}')}) AS chi_{i}",
-                 f"avg({S.when(ok, f'{resid_raw} * {resid_raw}')}) AS mse_{i}"]
+        st2.append(f"(__yr{i} - {mu} / {S.lit(s.y_scale)}) AS __er{i}")
+        aggs += [f"sum({_unit_deviance(fam, y, mu)}) AS dev_{i}",
+                 f"sum({_unit_deviance(fam, y, mu0)}) AS dev0_{i}",
+                 f"sum(({y} - {mu}) * ({y} - {mu}) / {_variance(fam, mu)}) AS chi_{i}",
+                 f"avg(__er{i} * __er{i}) AS mse_{i}"]
         if fam == "binomial":
             ll = (f"(-{lgamma_sql(f'({y} + 1D)')} - {lgamma_sql(f'(2D - {y})')} "
                   f"+ {y} * ln({mu} / (1D - {mu})) + ln(1D - {mu}))")
-            aggs.append(f"sum({S.when(ok, ll)}) AS ll_{i}")
+            aggs.append(f"sum({ll}) AS ll_{i}")
         elif fam == "poisson":
             ll = f"({y} * ln({mu}) - {mu} - {lgamma_sql(f'({y} + 1D)')})"
-            aggs.append(f"sum({S.when(ok, ll)}) AS ll_{i}")
+            aggs.append(f"sum({ll}) AS ll_{i}")
         else:
-            aggs += [f"sum({S.when(ok, f'ln({y} / {mu})')}) AS lym_{i}",
-                     f"sum({S.when(ok, f'{y} / {mu}')}) AS ym_{i}",
-                     f"sum({S.when(ok, f'ln({y})')}) AS ly_{i}"]
+            aggs += [f"sum(ln({y} / {mu})) AS lym_{i}", f"sum({y} / {mu}) AS ym_{i}", f"sum(ln({y})) AS ly_{i}"]
         bw = _bread_weight(fam, y, mu)
         sf = _score_factor(fam, y, mu)
         z = ["1D"] + [S.q(x) for x in s.x]
         for a in range(len(z)):
             for b in range(a, len(z)):
-                aggs.append(f"sum({S.when(ok, f'{bw} * {z[a]} * {z[b]}')}) AS A_{i}_{a}_{b}")
-                aggs.append(f"sum({S.when(ok, f'{sf} * {sf} * {z[a]} * {z[b]}')}) AS B_{i}_{a}_{b}")
-    r = S.select_agg(data, aggs)
+                aggs.append(f"sum({bw} * {z[a]} * {z[b]}) AS A_{i}_{a}_{b}")
+                aggs.append(f"sum({sf} * {sf} * {z[a]} * {z[b]}) AS B_{i}_{a}_{b}")
+    r = S.select_agg_staged(data, [st1, st2], aggs)
     for mid in done:
         i, m = live[mid], models[mid]
         p, n = len(m.spec.x) + 1, m.n

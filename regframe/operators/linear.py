@@ -295,26 +295,31 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         return xc, f"({e})", h
 
     # ---- pass 2: SSR and sandwich meat (HC*), residual moments ----
-    aggs = []
+    # residual e and leverage h are computed once per row and model in an
+    # inner projection (NULL outside the model's complete cases), then the
+    # aggregates only multiply and add.
+    aggs, st1, st2 = [], [], []
     for i, s in enumerate(live):
         m = models[s.model_id]
         ok = oks[s.model_id]
         xc, e, h = centred(s, m)
+        st1 += [f"{S.when(ok, e)} AS __e{i}", f"{S.when(ok, h)} AS __h{i}"]
+        st1 += [f"{S.when(ok, c)} AS __x{i}_{a}" for a, c in enumerate(xc, start=1)]
+        e, h = f"__e{i}", f"__h{i}"
         if s.cov == "HC3":
             w = f"power({e} / (1D - {h}), 2)"
         elif s.cov == "HC2":
             w = f"({e} * {e} / (1D - {h}))"
         else:
             w = f"({e} * {e})"
-        aggs.append(f"sum({S.when(ok, f'{e} * {e}')}) AS sse_{i}")
-        aggs.append(f"sum({S.when(ok, f'power({e}, 3)')}) AS s3_{i}")
-        aggs.append(f"sum({S.when(ok, f'power({e}, 4)')}) AS s4_{i}")
+        st2.append(f"{w} AS __w{i}")
+        aggs += [f"sum({e} * {e}) AS sse_{i}", f"sum(power({e}, 3)) AS s3_{i}", f"sum(power({e}, 4)) AS s4_{i}"]
         if s.cov not in ("classical", "cluster"):
-            z = ["1D"] + xc
+            z = ["1D"] + [f"__x{i}_{a}" for a in range(1, len(xc) + 1)]
             for a in range(len(z)):
                 for b in range(a, len(z)):
-                    aggs.append(f"sum({S.when(ok, f'{w} * {z[a]} * {z[b]}')}) AS w_{i}_{a}_{b}")
-    r2 = S.select_agg(data, aggs)
+                    aggs.append(f"sum(__w{i} * {z[a]} * {z[b]}) AS w_{i}_{a}_{b}")
+    r2 = S.select_agg_staged(data, [st1, st2], aggs)
 
     # ---- cluster-robust: per-group scores, one groupBy per group column ----
     by_group: dict[str, list[tuple[int, ModelSpec]]] = {}
@@ -324,21 +329,22 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
                 raise ValueError(f"{s.model_id}: cov='cluster' needs groups")
             by_group.setdefault(s.groups, []).append((i, s))
     for g, lst in by_group.items():
-        gaggs, oaggs = [], []
+        gaggs, oaggs, st = [], [], []
         for i, s in lst:
             m = models[s.model_id]
             ok = oks[s.model_id]
             xc, e, _ = centred(s, m)
-            z = ["1D"] + xc
-            gaggs.append(f"count_if({ok}) AS gn_{i}")
+            st += [f"{S.when(ok, e)} AS __e{i}"] + [f"{S.when(ok, c)} AS __x{i}_{a}" for a, c in enumerate(xc, 1)]
+            z = ["1D"] + [f"__x{i}_{a}" for a in range(1, len(xc) + 1)]
+            gaggs.append(f"count(__e{i}) AS gn_{i}")
             for a in range(len(z)):
-                gaggs.append(f"sum({S.when(ok, f'{e} * {z[a]}')}) AS u_{i}_{a}")
+                gaggs.append(f"sum(__e{i} * {z[a]}) AS u_{i}_{a}")
             oaggs.append(f"count_if(gn_{i} > 0) AS G_{i}")
             for a in range(len(z)):
                 for b in range(a, len(z)):
                     oaggs.append(f"sum(u_{i}_{a} * u_{i}_{b}) AS w_{i}_{a}_{b}")
         inner = data.sparkSession.sql(
-            "SELECT " + ", ".join(gaggs) + " FROM {t} GROUP BY " + S.q(g), t=data)
+            "SELECT " + ", ".join(gaggs) + " FROM " + S.staged_from([st]) + " GROUP BY " + S.q(g), t=data)
         r2.update(S.select_agg(inner, oaggs))
 
     for i, s in enumerate(live):

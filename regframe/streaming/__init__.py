@@ -1,0 +1,2 @@
+"""No streaming operators: the reference reads four static files and runs in
+batch (SURVEY §2.6, T1). Datasets are rebuilt with the batch operators."""
