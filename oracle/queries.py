@@ -690,5 +690,13 @@ SELECT model_id, term, round(coef, 8) AS coef, CAST(value AS DOUBLE) AS value, C
        CASE WHEN abs(coef - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM qx""")
 
 
+Q["coef_table"] = ols_query(W, [("3", "h3s", THINK, [CAUG], "HC3", None),
+                                ("3_classical", "h3s", THINK, [CAUG], "classical", None),
+                                ("4", "h3s", THINK, [CAUTO, CAUG], "HC3", None)], extra_ctes=H3S)
+Q["boot_ci"] = W(H3S + ",\n" + H5S + ",\n" + _bi + ",\n" + _bc,
+                 "SELECT 'iid' AS scheme, n_valid, ci_lo, ci_hi, verdict FROM (" + _bis + ")\nUNION ALL\n"
+                 "SELECT 'cluster', n_valid, ci_lo, ci_hi, verdict FROM (" + _bcs + ")")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

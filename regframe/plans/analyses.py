@@ -205,19 +205,20 @@ def log_linear_rmse(df: DataFrame, fitres: OLSFit, mid: str) -> float:
     return float(smear), float(mse) ** 0.5
 
 
-def model_comparison(task_level: DataFrame) -> DataFrame:
+def model_comparison(task_level: DataFrame, glm=None, glm_prefix: str = "") -> DataFrame:
     """OLS, log-linear OLS, fractional logit, Gamma and Poisson on
-    one complete-case sample: AIC, BIC, (pseudo-)R^2, raw-scale RMSE."""
+    one complete-case sample: AIC, BIC, (pseudo-)R^2, raw-scale RMSE.
+    ``glm``: an already fitted battery holding the three GLMs on the same
+    sample (ids ``<glm_prefix>frac_logit`` ...), to avoid refitting."""
     import math
     d = task_complete_case(task_level).persist()
-    try:
-        o = fit_ols(d, [ModelSpec("ols_raw", SHARE, ["augmentation_index"]),
-                        ModelSpec("log_linear", SHARE, ["augmentation_index"], log_y=True)])
-        _, rmse_log = log_linear_rmse(d, o, "log_linear")
+    o = fit_ols(d, [ModelSpec("ols_raw", SHARE, ["augmentation_index"]),
+                    ModelSpec("log_linear", SHARE, ["augmentation_index"], log_y=True)])
+    _, rmse_log = log_linear_rmse(d, o, "log_linear")
+    if glm is None:
         from ..operators.glm import fit_glm
-        g = fit_glm(d, glm_suite_specs("augmentation_index"))
-    finally:
-        pass
+        glm, glm_prefix = fit_glm(d, glm_suite_specs("augmentation_index")), ""
+    g = glm
     rows = []
     for mid in ("ols_raw", "log_linear"):
         m = o[mid]
@@ -226,7 +227,7 @@ def model_comparison(task_level: DataFrame) -> DataFrame:
         rmse = math.sqrt(m.ssr / n) if mid == "ols_raw" else rmse_log
         rows.append((mid, -2 * ll + 2 * p, -2 * ll + p * math.log(n), 1.0 - m.ssr / m.syy, rmse))
     for mid in ("frac_logit", "gamma_log", "poisson_log"):
-        s = g[mid].stats
+        s = g[glm_prefix + mid].stats
         rows.append((mid, s["aic"], s["bic"], s["pseudo_r2"], s["rmse_raw"]))
     d.unpersist()
     return task_level.sparkSession.createDataFrame(

@@ -389,7 +389,9 @@ def q_glm_fit_stats(spark, sf):
 
 
 def q_model_comparison(spark, sf):
-    return rnd(P.model_comparison(levels(spark, sf)["task_level"]), {"aic": 4, "bic": 4, "r2": 8, "rmse_raw": 8})
+    g = _glm_cached(spark, sf)     # the aug_* GLMs were fitted on the same sample
+    return rnd(P.model_comparison(levels(spark, sf)["task_level"], glm=g, glm_prefix="aug_"),
+               {"aic": 4, "bic": 4, "r2": 8, "rmse_raw": 8})
 
 
 def q_model_comparison_2(spark, sf):
@@ -718,5 +720,16 @@ def q_table_checksum(spark, sf):
     return D.table_checksum(levels(spark, sf)["integrated"])
 
 
+def q_coef_table(spark, sf):
+    d = P.h3_sample(levels(spark, sf)["cluster_level"])
+    return coef_out(_fit(d, [_ms("3", P.THINK, [P.CAUG]), _ms("3_classical", P.THINK, [P.CAUG], cov="classical"),
+                             _ms("4", P.THINK, [P.CAUTO, P.CAUG])]))
+
+
+def q_boot_ci(spark, sf):
+    b = P.plan_bootstrap(levels(spark, sf)["cluster_level"])
+    return rnd(b.select("scheme", "n_valid", "ci_lo", "ci_hi", "verdict"), {"ci_lo": 8, "ci_hi": 8})
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
