@@ -94,8 +94,10 @@ def _paths(s: dict[str, Column]) -> tuple[Column, Column]:
     cxm = s["xm"] - s["x"] * s["m"] / W
     cxy = s["xy"] - s["x"] * s["y"] / W
     cmy = s["my"] - s["m"] * s["y"] / W
-    a = cxm / cxx
-    b = (cxx * cmy - cxm * cxy) / (cxx * cmm - cxm * cxm)
+    # a degenerate replicate (no spread in x, or collinear x and m) gives
+    # NULL and is counted as invalid instead of failing the job (ANSI)
+    a = F.try_divide(cxm, cxx)
+    b = F.try_divide(cxx * cmy - cxm * cxy, cxx * cmm - cxm * cxm)
     return a, b
 
 
@@ -103,19 +105,30 @@ def spark_parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+MAX_WORK = 2e12   # replicate-rows (B x n, or B x groups) one call may generate
+
+
 def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, seed: int = 42,
                     scheme: str = "iid", key: str | list[str] | None = None,
-                    group: str | None = None) -> DataFrame:
+                    group: str | None = None, max_work: float = MAX_WORK) -> DataFrame:
     """One row per replicate: (rep, n_w, a, b, indirect).
 
     ``scheme='iid'`` weights rows (``key``: column(s) that identify a row);
-    ``scheme='cluster'`` weights whole groups of ``group``."""
+    ``scheme='cluster'`` weights whole groups of ``group``. The work is
+    B x rows (or B x groups) row-replicates, all generated and reduced inside
+    tasks; a call above ``max_work`` is refused with an error rather than
+    left to run for days (use fewer replicates or the cluster scheme)."""
     if B <= 0 or B > 1_000_000:
         raise ValueError("B must be in 1..1e6")
     d = df.na.drop(subset=[iv, med, dv])
-    mu = d.agg(F.avg(iv).alias("x"), F.avg(med).alias("m"), F.avg(dv).alias("y")).first()
+    mu = d.agg(F.avg(iv).alias("x"), F.avg(med).alias("m"), F.avg(dv).alias("y"),
+               F.count(F.lit(1)).alias("n"),
+               (F.approx_count_distinct(group) if (scheme == "cluster" and group) else F.lit(0)).alias("g")).first()
     if mu["x"] is None:
         raise ValueError("empty sample")
+    units = mu["g"] if scheme == "cluster" else mu["n"]
+    if float(units) * B > max_work:
+        raise ValueError(f"bootstrap work {units} x {B} exceeds max_work={max_work:.3g} replicate-rows")
     x = F.col(iv) - F.lit(float(mu["x"]))
     m = F.col(med) - F.lit(float(mu["m"]))
     y = F.col(dv) - F.lit(float(mu["y"]))

@@ -60,7 +60,7 @@ def coverage(df: DataFrame, variables: list[str]) -> DataFrame:
     wide = S.sql_df(df, "count(1) AS n_rows, " + ", ".join(f"count({_numsql(v)}) AS c{i}" for i, v in enumerate(vs)))
     rows = ", ".join(f"'{v}', c{i}" for i, v in enumerate(vs))
     return wide.sparkSession.sql(
-        "SELECT variable, n_present, n_rows, 100D * n_present / n_rows AS pct_present FROM "
+        "SELECT variable, n_present, n_rows, try_divide(100D * n_present, n_rows) AS pct_present FROM "
         f"(SELECT n_rows, stack({len(vs)}, {rows}) AS (variable, n_present) FROM {{t}})", t=wide)
 
 
@@ -87,7 +87,9 @@ def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False
               F.expr("sum(a * a) AS aa"), F.expr("sum(b * b) AS bb"), F.expr("sum(a * b) AS ab")))
     allp = spark.createDataFrame([(i, j, vs[i], vs[j]) for i, j in pairs],
                                  "i int, j int, var_i string, var_j string")
-    r = "CASE WHEN n > 1 THEN (ab - a * b / n) / sqrt((aa - a * a / n) * (bb - b * b / n)) END"
+    # try_divide: a constant variable has zero variance -> r is NULL (ANSI
+    # mode would raise on a plain division by zero)
+    r = "CASE WHEN n > 1 THEN try_divide(ab - a * b / n, sqrt((aa - a * a / n) * (bb - b * b / n))) END"
     res = spark.sql(f"SELECT var_i, var_j, coalesce(n, 0L) AS n, {r} AS r FROM {{t}}",
                     t=allp.join(g, ["i", "j"], "left"))
     if both_orders:

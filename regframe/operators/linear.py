@@ -307,9 +307,9 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         st1 += [f"{S.when(ok, c)} AS __x{i}_{a}" for a, c in enumerate(xc, start=1)]
         e, h = f"__e{i}", f"__h{i}"
         if s.cov == "HC3":
-            w = f"power({e} / (1D - {h}), 2)"
+            w = f"power(try_divide({e}, 1D - {h}), 2)"
         elif s.cov == "HC2":
-            w = f"({e} * {e} / (1D - {h}))"
+            w = f"try_divide({e} * {e}, 1D - {h})"
         else:
             w = f"({e} * {e})"
         st2.append(f"{w} AS __w{i}")

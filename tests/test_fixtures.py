@@ -132,3 +132,23 @@ def test_lgamma_column(spark):
     for x, r in zip(xs, got):
         assert r["a"] == pytest.approx(math.lgamma(x), abs=1e-11)
         assert r["b"] == pytest.approx(math.lgamma(x), abs=1e-11)
+
+
+def test_constant_and_empty_inputs_do_not_raise(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 2.0, None), (3.0, 2.0, None)], "a double, k double, z double")
+    r = {(x["var_i"], x["var_j"]): x for x in D.corr_pairwise(df, ["a", "k", "z"]).collect()}
+    assert r[("a", "k")]["r"] is None and r[("a", "k")]["n"] == 3
+    assert r[("a", "z")]["n"] == 1 and r[("a", "z")]["r"] is None
+    d = {x["variable"]: x for x in D.descriptives(df, ["a", "k", "z"]).collect()}
+    assert d["k"]["sd"] == 0.0 and d["z"]["n"] == 1
+    empty = df.where("a > 100")
+    cov = D.coverage(empty, ["a"]).first()
+    assert cov["n_rows"] == 0 and cov["pct_present"] is None
+
+
+def test_bootstrap_degenerate_replicates_are_invalid_not_errors(spark):
+    from regframe.operators.bootstrap import boot_ci, boot_replicates
+    rows = [("g1", 1.0, 2.0, 3.0), ("g1", 2.0, 1.0, 1.0), ("g2", 3.0, 5.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, m double, y double")
+    ci = boot_ci(boot_replicates(df, "x", "m", "y", B=50, seed=1, scheme="cluster", group="g")).first()
+    assert ci["n_reps"] <= 50 and ci["n_valid"] <= ci["n_reps"]
