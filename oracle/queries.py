@@ -698,5 +698,52 @@ Q["boot_ci"] = W(H3S + ",\n" + H5S + ",\n" + _bi + ",\n" + _bc,
                  "SELECT 'cluster', n_valid, ci_lo, ci_hi, verdict FROM (" + _bcs + ")")
 
 
+def _boot_exact_sql(scheme: str, B: int = 5000, seed: int = 42) -> str:
+    if scheme == "iid":
+        units = ("un AS (SELECT cluster_name_0 AS k, 1e0 AS w, augmentation_index - mx AS x, "
+                 f"{THINK} - mm AS m, {SHARE} - my AS y, "
+                 f"(augmentation_index - mx) * (augmentation_index - mx) AS xx, ({THINK} - mm) * ({THINK} - mm) AS mmm, "
+                 f"(augmentation_index - mx) * ({THINK} - mm) AS xm, (augmentation_index - mx) * ({SHARE} - my) AS xy, "
+                 f"({THINK} - mm) * ({SHARE} - my) AS my2 FROM h5 CROSS JOIN mu)")
+    else:
+        units = ("un AS (SELECT task_name AS k, sum(1e0) AS w, sum(augmentation_index - mx) AS x, "
+                 f"sum({THINK} - mm) AS m, sum({SHARE} - my) AS y, "
+                 f"sum((augmentation_index - mx) * (augmentation_index - mx)) AS xx, "
+                 f"sum(({THINK} - mm) * ({THINK} - mm)) AS mmm, sum((augmentation_index - mx) * ({THINK} - mm)) AS xm, "
+                 f"sum((augmentation_index - mx) * ({SHARE} - my)) AS xy, sum(({THINK} - mm) * ({SHARE} - my)) AS my2 "
+                 "FROM h5 CROSS JOIN mu GROUP BY task_name)")
+    mix = "((xor(v, v >> 16) * 73244475) % 4294967296)"
+    sk = (seed * 3266489917) % 4294967296
+    ctes = [H3S, H5S,
+            f"mu AS (SELECT avg(augmentation_index) AS mx, avg({THINK}) AS mm, avg({SHARE}) AS my FROM h5)",
+            units,
+            "cu AS (SELECT *, dense_rank() OVER (ORDER BY k) - 1 AS code FROM un)",
+            "uu AS (SELECT count(*) AS U FROM cu)",
+            f"d0 AS (SELECT r.rep, c.code AS j, (c.code * 2246822519 + {sk}) % 4294967296 AS kh "
+            f"FROM range(0, {B}) r(rep) CROSS JOIN cu c)",
+            "d1 AS (SELECT rep, (kh + (rep + 1) * 2654435761) % 4294967296 AS v FROM d0)",
+            f"d2 AS (SELECT rep, {mix} AS v FROM d1)",
+            f"d3 AS (SELECT rep, {mix} AS v FROM d2)",
+            "d4 AS (SELECT rep, least(CAST(floor(xor(v, v >> 16) / 4294967296e0 * U) AS BIGINT), U - 1) AS code "
+            "FROM d3 CROSS JOIN uu)",
+            "cnt AS (SELECT rep, code, count(*) AS c FROM d4 GROUP BY rep, code)",
+            "s AS (SELECT rep, sum(c * w) AS W, sum(c * x) AS sx, sum(c * m) AS sm, sum(c * y) AS sy, "
+            "sum(c * xx) AS sxx, sum(c * mmm) AS smm, sum(c * xm) AS sxm, sum(c * xy) AS sxy, sum(c * my2) AS smy "
+            "FROM cnt JOIN cu USING (code) GROUP BY rep)",
+            "cc AS (SELECT rep, sxx - sx * sx / W AS cxx, smm - sm * sm / W AS cmm, sxm - sx * sm / W AS cxm, "
+            "sxy - sx * sy / W AS cxy, smy - sm * sy / W AS cmy FROM s)",
+            "p AS (SELECT rep, (cxm / cxx) * ((cxx * cmy - cxm * cxy) / (cxx * cmm - cxm * cxm)) AS ind FROM cc)"]
+    sel = ("SELECT count(*) AS n_reps, count(ind) AS n_valid, round(avg(ind), 8) AS boot_mean, "
+           "round(stddev_samp(ind), 8) AS boot_sd, round(quantile_cont(ind, 0.025), 8) AS ci_lo, "
+           "round(quantile_cont(ind, 0.975), 8) AS ci_hi, "
+           "CASE WHEN quantile_cont(ind, 0.025) * quantile_cont(ind, 0.975) > 0 THEN 'excludes 0' "
+           "ELSE 'includes 0' END AS verdict FROM p")
+    return W(",\n".join(ctes), sel)
+
+
+Q["boot_iid_exact"] = _boot_exact_sql("iid")
+Q["boot_cluster_exact"] = _boot_exact_sql("cluster")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

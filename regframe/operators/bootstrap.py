@@ -108,9 +108,28 @@ def spark_parallelism(df: DataFrame) -> int:
 MAX_WORK = 2e12   # replicate-rows (B x n, or B x groups) one call may generate
 
 
+DRAW_MULT = 2246822519      # odd 32-bit multiplier for the draw index
+SEED_MULT = 3266489917      # odd 32-bit multiplier for the seed
+
+
+def multinomial_counts(spark, units: int, B: int, seed: int, partitions: int) -> DataFrame:
+    """(rep, code, cnt): for every replicate, ``units`` draws with
+    replacement of a unit code in [0, units) -- numpy's
+    ``rng.integers(0, U, U)`` semantics, with hash-derived uniforms.
+    B x U draws are generated in parallel and counted per (rep, code)."""
+    d = spark.range(0, B * units, numPartitions=partitions)
+    rep = F.expr(f"id div {int(units)}")
+    j = F.col("id") % F.lit(units)
+    kh = (j * F.lit(DRAW_MULT) + F.lit((seed * SEED_MULT) % M32)) % F.lit(M32)
+    u = uniform_hash(kh, rep)
+    idx = F.least(F.floor(u * F.lit(float(units))).cast("bigint"), F.lit(units - 1))
+    return d.select(rep.alias("rep"), idx.alias("code")).groupBy("rep", "code").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, seed: int = 42,
                     scheme: str = "iid", key: str | list[str] | None = None,
-                    group: str | None = None, max_work: float = MAX_WORK) -> DataFrame:
+                    group: str | None = None, max_work: float = MAX_WORK,
+                    draw: str = "poisson") -> DataFrame:
     """One row per replicate: (rep, n_w, a, b, indirect).
 
     ``scheme='iid'`` weights rows (``key``: column(s) that identify a row);
@@ -138,7 +157,7 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
             raise ValueError("iid scheme needs a row key")
         keys = [key] if isinstance(key, str) else list(key)
         kcol = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        base = d.select(key_hash(seed, kcol).alias("__kh"),
+        base = d.select(key_hash(seed, kcol).alias("__kh"), kcol.alias("__g"),
                         *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
     elif scheme == "cluster":
         if group is None:
@@ -146,9 +165,14 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
         base = (d.select(F.col(group).cast("string").alias("__g"),
                          *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
                 .groupBy("__g").agg(*[F.sum(n).alias(n) for n in _STATS])
-                .select(key_hash(seed, F.col("__g")).alias("__kh"), *_STATS))
+                .select(key_hash(seed, F.col("__g")).alias("__kh"), "__g", *_STATS))
     else:
         raise ValueError("scheme must be 'iid' or 'cluster'")
+    if draw == "multinomial":
+        return _multinomial(df.sparkSession, base, B, seed, spark_parallelism(df), kcol if scheme == "iid"
+                            else None)
+    if draw != "poisson":
+        raise ValueError("draw must be 'poisson' or 'multinomial'")
     # The replicate expansion multiplies work by B, which AQE cannot see when
     # it sizes partitions by bytes (a small group table would be coalesced
     # into one task). Spread the expansion over the cluster's cores first.
@@ -202,3 +226,19 @@ def dense_codes(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (local.join(F.broadcast(offs.select("__pid", "__off")), "__pid")
             .select(key, (F.col("__off") + F.col("__rn")).cast("bigint").alias("code")))
+
+
+def _multinomial(spark, base: DataFrame, B: int, seed: int, par: int, _unused=None) -> DataFrame:
+    """Exact-size resampling: each replicate draws U units (rows or groups)
+    with replacement. Units get dense codes in sorted key order; draw counts
+    per (rep, code) join the per-unit sufficient statistics; weighted sums
+    per replicate give a and b. B x U draws -- heavier than the Poisson
+    scheme, so the budget check applies the same way."""
+    codes = dense_codes(base, "__g")
+    units = base.join(codes, "__g").select("code", *_STATS)
+    U = units.count()
+    counts = multinomial_counts(spark, U, B, seed, max(par, 1))
+    j = counts.join(units, "code")
+    sums = j.groupBy("rep").agg(*[F.sum(F.col("cnt") * F.col(n)).alias(n) for n in _STATS])
+    a, b = _paths({n: F.col(n) for n in _STATS})
+    return sums.select("rep", F.col("w").alias("n_w"), a.alias("a"), b.alias("b"), (a * b).alias("indirect"))

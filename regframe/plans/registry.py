@@ -731,5 +731,22 @@ def q_boot_ci(spark, sf):
     return rnd(b.select("scheme", "n_valid", "ci_lo", "ci_hi", "verdict"), {"ci_lo": 8, "ci_hi": 8})
 
 
+def _boot_exact(spark, sf, scheme):
+    from ..operators.bootstrap import boot_ci, boot_replicates
+    d = P.h5_sample(levels(spark, sf)["cluster_level"])
+    kw = {"key": "cluster_name_0"} if scheme == "iid" else {"group": "task_name"}
+    reps = boot_replicates(d, "augmentation_index", P.THINK, P.SHARE, P.N_BOOT, P.SEED, scheme,
+                           draw="multinomial", **kw)
+    return rnd(boot_ci(reps), _BOOT)
+
+
+def q_boot_iid_exact(spark, sf):
+    return _boot_exact(spark, sf, "iid")
+
+
+def q_boot_cluster_exact(spark, sf):
+    return _boot_exact(spark, sf, "cluster")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}

@@ -91,3 +91,17 @@ def test_bootstrap_centres_on_point_estimate(med_df):
         w = reps.agg({"n_w": "avg"}).first()[0]
         expect = len(d) if scheme == "iid" else len(d)
         assert abs(w - expect) / expect < 0.05      # Poisson(1) weights: mean total weight ~ n
+
+
+def test_multinomial_draws_exactly_n(med_df):
+    reps = boot_replicates(med_df, "x", "m", "y", B=100, seed=3, scheme="iid", key="id", draw="multinomial")
+    ws = {r["n_w"] for r in reps.collect()}
+    assert ws == {600.0}
+    ci = boot_ci(boot_replicates(med_df, "x", "m", "y", B=200, seed=3, scheme="cluster", group="grp",
+                                 draw="multinomial")).first()
+    assert ci["n_valid"] == 200 and ci["ci_lo"] < ci["ci_hi"]
+
+
+def test_bootstrap_budget_guard(med_df):
+    with pytest.raises(ValueError):
+        boot_replicates(med_df, "x", "m", "y", B=1000, seed=3, scheme="iid", key="id", max_work=1e5)
