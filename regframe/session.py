@@ -23,16 +23,22 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def get_session(master: str | None = "local[*]", shuffle_partitions: int | None = 8,
                 app_name: str = "regframe", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session. On a cluster pass ``master=None`` and let
-    spark-submit decide; ``shuffle_partitions`` should then be sized so a
-    shuffle partition holds ~128-256 MB."""
+    """Build (or reuse) a session. Under spark-submit pass ``master=None``
+    (the cluster decides; without any master configured, local mode is
+    used) and ``shuffle_partitions=None`` to keep the cluster's setting --
+    size it so a shuffle partition holds ~128-256 MB; AQE coalesces small
+    ones."""
+    from pyspark import SparkConf
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+    elif not SparkConf().contains("spark.master"):
+        b = b.master("local[*]")
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
