@@ -11,16 +11,17 @@ third name level.
 Scale notes
 -----------
 * ``lineitem`` is the only large input. It is joined to ``orders`` on the
-  order key (sort-merge at scale; AQE broadcasts the two-column orders
-  projection when it is small) and aggregated ONCE, at (customer, part)
-  grain -- the grain the "top part per customer" needs anyway. Per-part and
-  per-customer statistics are re-aggregations of that table (integer
-  counts, so ratios are exact), so lineitem is shuffled once.
-* Orders with lines per customer come from a semi-join on the order-key
-  column alone (column-pruned scan), not a distinct over lineitem rows.
-* The customer's top part is an arg-max aggregate (``max(struct(spend,
-  -partkey))``), not a window: a customer holding a third of all lines still
-  combines map-side instead of landing in one window partition.
+  order key once (sort-merge at scale; AQE broadcasts the two-column orders
+  projection when it is small); the narrow joined lines are persisted.
+* Per-part statistics: one partial/final aggregation on the part key.
+* Per-customer statistics: a per-(order, customer) pre-aggregate -- which
+  the join's order-key partitioning already satisfies, so it adds no
+  shuffle -- then a partial/final aggregation on the customer. Counting the
+  per-order rows gives "orders with lines" without a DISTINCT.
+* The customer's top part needs the (customer, part) grain: that is the one
+  wide shuffle, three columns wide, followed by an arg-max aggregate
+  (``max(struct(spend, -partkey))``), not a window -- a customer holding a
+  third of all lines still combines map-side.
 * Grand totals (for percentage shares) are one-row aggregates attached with
   a broadcast cross join -- the broadcast side has exactly one row.
 """
@@ -80,34 +81,30 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).drop("o_orderkey")
 
 
-def cust_part_stats(lines: DataFrame) -> DataFrame:
-    """The one full-size aggregation of lineitem: per (customer, part)
-    spend, line count, per-pattern counts and thinking-line count. Every
-    per-part and per-customer statistic below is a further (small)
-    aggregation of this table, so lineitem is shuffled once."""
-    aggs = [F.sum("l_extendedprice").alias("spend"), F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(F.col("pattern") == code).alias(f"c_{name}") for code, name in PATTERNS]
-    aggs += [F.count_if(F.col("l_discount") >= THINK_DISCOUNT).alias("c_think")]
-    return lines.groupBy("o_custkey", "l_partkey").agg(*aggs)
+_COUNTS = [f"c_{name}" for _, name in PATTERNS] + ["c_think"]
 
 
-_COUNTS = [f"c_{name}" for _, name in PATTERNS] + ["c_think"]
+def _line_counts() -> list[Column]:
+    aggs = [F.count_if(F.col("pattern") == code).alias(f"c_{name}") for code, name in PATTERNS]
+    return aggs + [F.count_if(F.col("l_discount") >= THINK_DISCOUNT).alias("c_think")]
 
 
-def _per_part(cp: DataFrame) -> DataFrame:
-    """Task-level statistics: ratios are summed counts over summed lines
-    (integer sums, so identical to averaging the 0/1 flags per line)."""
-    g = cp.groupBy("l_partkey").agg(F.sum("spend").alias("spend"), F.sum("n").alias("n"),
-                                    *[F.sum(c).alias(c) for c in _COUNTS])
+def _per_part(lines: DataFrame) -> DataFrame:
+    """Task-level statistics: one partial/final aggregation of the lines on
+    the part key (map-side combine leaves one row per part per partition).
+    Ratios are counts over lines -- integer sums, so identical to averaging
+    the 0/1 flags."""
+    g = lines.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("spend"),
+                                       F.count(F.lit(1)).alias("n"), *_line_counts())
     return g.select("l_partkey", "spend",
                     *[(F.col(f"c_{name}") / F.col("n")).alias(name) for _, name in PATTERNS],
                     (F.col("c_think") / F.col("n")).alias("thinking_fraction"))
 
 
-def task_sources(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None) -> dict[str, DataFrame]:
-    cp = cp if cp is not None else cust_part_stats(_lines(spark, sf_dir))
+def task_sources(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    lines = lines if lines is not None else _lines(spark, sf_dir)
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    pp = _per_part(cp)
+    pp = _per_part(lines)
     total = pp.agg(F.sum("spend").alias("total_spend"))   # over all lines, as the share base
     pp = pp.join(part, pp["l_partkey"] == part["p_partkey"]).drop("l_partkey")
     task_pct = (pp.filter(F.col("p_partkey") % TASK_PCT_GAP_MOD != 0)
@@ -121,25 +118,28 @@ def task_sources(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None)
     return {"task_pct": task_pct, "interaction": interaction, "thinking": thinking}
 
 
-def cluster_source(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None) -> DataFrame:
-    cp = cp if cp is not None else cust_part_stats(_lines(spark, sf_dir))
-    # per customer: sums of the (customer, part) counts, and the top part as
-    # an arg-max aggregate (ties to the smaller part key) -- no window
-    cust = cp.groupBy("o_custkey").agg(
-        F.sum("n").alias("n_lines"), *[F.sum(c).alias(c) for c in _COUNTS],
-        F.max(F.struct(F.col("spend"), (-F.col("l_partkey")).alias("neg_key"))).alias("best"))
-    cust = cust.select("o_custkey", "n_lines", (-F.col("best.neg_key")).alias("top_partkey"),
+def cluster_source(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = lines if lines is not None else _lines(spark, sf_dir)
+    # per customer, through a per-order pre-aggregate: grouping by
+    # (order, customer) is satisfied by the join's order-key partitioning
+    # (no shuffle), and counting the order rows gives "orders with lines"
+    # without a DISTINCT
+    per_order = lines.groupBy("l_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("n"), *_line_counts())
+    cust = per_order.groupBy("o_custkey").agg(
+        F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_orders"), *[F.sum(c).alias(c) for c in _COUNTS])
+    cust = cust.select("o_custkey", "n_lines", "n_orders",
                        *[(F.col(f"c_{name}") / F.col("n_lines")).alias(f"r{i}")
                          for i, (_, name) in enumerate(PATTERNS, 1)],
                        (F.col("c_think") / F.col("n_lines")).alias("rt"))
-    # orders with at least one line, per customer: semi-join on the order key
-    # column alone (no distinct over lineitem rows)
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li_keys = read_table(spark, sf_dir, "lineitem").select("l_orderkey")
-    n_orders = (orders.join(li_keys, orders["o_orderkey"] == li_keys["l_orderkey"], "left_semi")
-                .groupBy(F.col("o_custkey").alias("u_custkey")).agg(F.count(F.lit(1)).alias("n_orders")))
-
-    totals = cp.agg(F.sum("n").alias("all_lines")).crossJoin(
+    # top part per customer: the one wide shuffle ((customer, part, spend)),
+    # then an arg-max aggregate (ties to the smaller part key) -- no window
+    top = (lines.groupBy("o_custkey", "l_partkey").agg(F.sum("l_extendedprice").alias("spend"))
+           .groupBy(F.col("o_custkey").alias("t_custkey"))
+           .agg(F.max(F.struct(F.col("spend"), (-F.col("l_partkey")).alias("neg_key"))).alias("best"))
+           .select("t_custkey", (-F.col("best.neg_key")).alias("top_partkey")))
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    totals = cust.agg(F.sum("n_lines").alias("all_lines")).crossJoin(
         orders.agg(F.count(F.lit(1)).alias("all_orders")))
 
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -147,7 +147,7 @@ def cluster_source(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
-    j = (cust.join(n_orders, cust["o_custkey"] == n_orders["u_custkey"])
+    j = (cust.join(top, cust["o_custkey"] == top["t_custkey"])
          .join(c, F.col("o_custkey") == c["c_custkey"])
          .join(n, c["c_nationkey"] == n["n_nationkey"])
          .join(r, n["n_regionkey"] == r["r_regionkey"])
@@ -176,12 +176,13 @@ def cluster_source(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None
 def testdata_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict[str, DataFrame]:
     """``{task_pct, interaction, thinking, clusters}`` over the test tables.
 
-    The (customer, part) aggregate feeds all four; it is persisted
-    (recomputable from lineage if an executor is lost) so lineitem is read
-    and shuffled once however many sources are materialised."""
-    cp = cust_part_stats(_lines(spark, sf_dir))
+    The joined, column-pruned lines feed all four sources; they are
+    persisted (recomputable from lineage if an executor is lost), so
+    lineitem is read and joined to orders once however many sources are
+    materialised; each source then aggregates them once."""
+    lines = _lines(spark, sf_dir)
     if persist:
-        cp = cp.persist()
-    out = task_sources(spark, sf_dir, cp)
-    out["clusters"] = cluster_source(spark, sf_dir, cp)
+        lines = lines.persist()
+    out = task_sources(spark, sf_dir, lines)
+    out["clusters"] = cluster_source(spark, sf_dir, lines)
     return out
