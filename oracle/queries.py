@@ -169,7 +169,7 @@ _FIG = [("fig1_linear", "task_level", "augmentation_index", SHARE),
         ("fig3_h3", "cluster_level", CAUG, THINK)]
 Q["simple_linreg"] = W("", "\nUNION ALL\n".join(
     f"SELECT '{m}' AS model_id, round(regr_intercept({y}, {x}), 8) AS b0, round(regr_slope({y}, {x}), 8) AS b1, "
-    f"round(regr_r2({y}, {x}), 8) AS r2, round(corr({x}, {y}), 8) AS r, regr_count({y}, {x}) AS n FROM {t}"
+    f"round(regr_r2({y}, {x}), 8) AS r2, round(corr({x}, {y}), 8) AS r, CAST(regr_count({y}, {x}) AS BIGINT) AS n FROM {t}"
     for m, t, x, y in _FIG))
 
 TASK_CC = ("task_cc AS (SELECT * FROM task_level WHERE task_conversation_share IS NOT NULL AND "

@@ -112,18 +112,18 @@ DRAW_MULT = 2246822519      # odd 32-bit multiplier for the draw index
 SEED_MULT = 3266489917      # odd 32-bit multiplier for the seed
 
 
-def multinomial_counts(spark, units: int, B: int, seed: int, partitions: int) -> DataFrame:
-    """(rep, code, cnt): for every replicate, ``units`` draws with
-    replacement of a unit code in [0, units) -- numpy's
-    ``rng.integers(0, U, U)`` semantics, with hash-derived uniforms.
-    B x U draws are generated in parallel and counted per (rep, code)."""
+def multinomial_draws(spark, units: int, B: int, seed: int, partitions: int) -> DataFrame:
+    """(rep, code): for every replicate, ``units`` draws with replacement of
+    a unit code in [0, units) -- numpy's ``rng.integers(0, U, U)``
+    semantics, with hash-derived uniforms. B x U draws are generated in
+    parallel, one row each (no per-(rep, code) hash map)."""
     d = spark.range(0, B * units, numPartitions=partitions)
     rep = F.expr(f"id div {int(units)}")
     j = F.col("id") % F.lit(units)
     kh = (j * F.lit(DRAW_MULT) + F.lit((seed * SEED_MULT) % M32)) % F.lit(M32)
     u = uniform_hash(kh, rep)
     idx = F.least(F.floor(u * F.lit(float(units))).cast("bigint"), F.lit(units - 1))
-    return d.select(rep.alias("rep"), idx.alias("code")).groupBy("rep", "code").agg(F.count(F.lit(1)).alias("cnt"))
+    return d.select(rep.alias("rep"), idx.alias("code"))
 
 
 def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, seed: int = 42,
@@ -230,15 +230,16 @@ def dense_codes(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
 
 def _multinomial(spark, base: DataFrame, B: int, seed: int, par: int, _unused=None) -> DataFrame:
     """Exact-size resampling: each replicate draws U units (rows or groups)
-    with replacement. Units get dense codes in sorted key order; draw counts
-    per (rep, code) join the per-unit sufficient statistics; weighted sums
-    per replicate give a and b. B x U draws -- heavier than the Poisson
-    scheme, so the budget check applies the same way."""
+    with replacement. Units get dense codes in sorted key order; every draw
+    joins its unit's sufficient statistics (the unit table is broadcast when
+    AQE measures it small, shuffled otherwise) and the sums aggregate by
+    replicate only -- B groups, combined map-side. B x U draws: heavier than
+    the Poisson scheme, so the same budget check applies."""
     codes = dense_codes(base, "__g")
     units = base.join(codes, "__g").select("code", *_STATS)
     U = units.count()
-    counts = multinomial_counts(spark, U, B, seed, max(par, 1))
-    j = counts.join(units, "code")
-    sums = j.groupBy("rep").agg(*[F.sum(F.col("cnt") * F.col(n)).alias(n) for n in _STATS])
+    draws = multinomial_draws(spark, U, B, seed, max(par, 1))
+    j = draws.join(units, "code")
+    sums = j.groupBy("rep").agg(*[F.sum(n).alias(n) for n in _STATS])
     a, b = _paths({n: F.col(n) for n in _STATS})
     return sums.select("rep", F.col("w").alias("n_w"), a.alias("a"), b.alias("b"), (a * b).alias("indirect"))
