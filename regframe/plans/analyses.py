@@ -166,15 +166,11 @@ def task_complete_case(task_level: DataFrame) -> DataFrame:
                                       "task_iteration", "learning"])
 
 
-def trimmed_ols(task_level: DataFrame, threshold: float) -> OLSFit:
-    """N6 (OLS part): exclude share > threshold, re-estimate H1/H2a models."""
-    d = task_complete_case(task_level)
-    kept = d.filter(F.col(SHARE) <= F.lit(threshold))
-    r = fit_ols(kept, [ModelSpec("t_h1_log", SHARE, ["augmentation_index"], log_y=True),
-                       ModelSpec("t_h1_comp", SHARE, ["task_iteration", "learning"]),
-                       ModelSpec("t_h2a", SHARE, ["risk_management_index"]),
-                       ModelSpec("t_h2a_log", SHARE, ["risk_management_index"], log_y=True)])
-    return r
+# N6 (OLS part): H1 log-linear, H1 components, H2a OLS and log-linear
+TRIMMED_SPECS = [ModelSpec("t_h1_log", SHARE, ["augmentation_index"], log_y=True),
+                 ModelSpec("t_h1_comp", SHARE, ["task_iteration", "learning"]),
+                 ModelSpec("t_h2a", SHARE, ["risk_management_index"]),
+                 ModelSpec("t_h2a_log", SHARE, ["risk_management_index"], log_y=True)]
 
 
 # ------------------------------------------------------------------ GLM suites
@@ -246,7 +242,7 @@ def trimmed_battery(task_level: DataFrame, threshold: float | None = None, facto
     flagged = d.withColumn("__hi", F.col(SHARE) > F.lit(float(threshold)))
     cnt = flagged.agg(F.count_if("__hi").alias("x")).first()["x"]
     kept = flagged.filter(~F.col("__hi")).drop("__hi").persist()
-    o = trimmed_ols(kept, float("inf"))
+    o = fit_ols(kept, TRIMMED_SPECS)
     g = fit_glm(kept, [GLMSpec("t_h1_frac", SHARE, ["augmentation_index"], "binomial", y_scale=0.01)])
     kept.unpersist()
     return o, g, float(threshold), int(cnt)
