@@ -11,8 +11,10 @@ Families: binomial/logit (fractional logit, Papke-Wooldridge QMLE, 0<y<1),
 Poisson/log (QMLE for non-negative y), Gamma/log (y > 0).
 
 Robust errors (G4): the White sandwich "HC0" with the observed information
-as bread; no published GLM standard error pins down what the reference's
-library did for ``cov_type='HC3'`` on a GLM, so the label says HC0.
+as bread (default); no published GLM standard error pins down what the
+reference's library did for ``cov_type='HC3'`` on a GLM, so the label says
+HC0. Options: ``cov='HC1'`` (n/(n-p)) and ``cov='HC3'`` (GLM leverage from
+the IRLS weights, one extra pass).
 Log-likelihoods follow the usual library conventions: binomial with one
 trial and continuous y (``lgamma`` terms), Poisson with ``lgamma(y+1)``,
 Gamma at the Pearson scale estimate; AIC = -2 ll + 2p, BIC = -2 ll + p ln n.
@@ -43,10 +45,13 @@ class GLMSpec:
     x: list[str]
     family: str                   # binomial (logit) | poisson (log) | gamma (log)
     y_scale: float = 1.0          # model y = column * y_scale (e.g. 0.01: percent -> proportion)
+    cov: str = "HC0"              # HC0 (default) | HC1 (n/(n-p)) | HC3 (GLM leverage)
 
     def __post_init__(self):
         if self.family not in FAMILIES:
             raise ValueError(f"family must be one of {FAMILIES}")
+        if self.cov not in ("HC0", "HC1", "HC3"):
+            raise ValueError("cov must be HC0, HC1 or HC3")
 
 
 @dataclass
@@ -60,6 +65,7 @@ class GLMResult:
     cov: np.ndarray | None = None
     iterations: int = 0
     stats: dict = field(default_factory=dict)
+    stats_bread: np.ndarray | None = None     # A^-1 of the sandwich
 
     @property
     def terms(self) -> list[str]:
@@ -168,7 +174,7 @@ class GLMFit:
             for t, b, s in zip(m.terms, m.beta, se):
                 z = float(b / s) if s > 0 else float("nan")
                 rows.append((mid, t, float(b), float(s), z, float(norm_sf2(z)), float(b - Z975 * s),
-                             float(b + Z975 * s), "HC0"))
+                             float(b + Z975 * s), m.spec.cov))
         return self.spark.createDataFrame(rows, COEF_SCHEMA)
 
     @property
@@ -307,12 +313,16 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
             aggs += [f"sum(ln({y} / {mu})) AS lym_{i}", f"sum({y} / {mu}) AS ym_{i}", f"sum(ln({y})) AS ly_{i}"]
         bw = _bread_weight(fam, y, mu)
         sf = _score_factor(fam, y, mu)
+        ww = _irls_terms(fam, y, mu, "0D")[0]
         z = ["1D"] + [S.q(x) for x in s.x]
         for a in range(len(z)):
             for b in range(a, len(z)):
                 aggs.append(f"sum({bw} * {z[a]} * {z[b]}) AS A_{i}_{a}_{b}")
                 aggs.append(f"sum({sf} * {sf} * {z[a]} * {z[b]}) AS B_{i}_{a}_{b}")
+                if s.cov == "HC3":
+                    aggs.append(f"sum({ww} * {z[a]} * {z[b]}) AS Q_{i}_{a}_{b}")
     r = S.select_agg_staged(data, [st1, st2], aggs)
+    hc3: list = []
     for mid in done:
         i, m = live[mid], models[mid]
         p, n = len(m.spec.x) + 1, m.n
@@ -322,7 +332,16 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
                 A[a, b] = A[b, a] = r[f"A_{i}_{a}_{b}"]
                 B[a, b] = B[b, a] = r[f"B_{i}_{a}_{b}"]
         Ai = np.linalg.inv(A)
+        if m.spec.cov == "HC1":
+            B = B * (n / (n - p))
         m.cov = Ai @ B @ Ai
+        m.stats_bread = Ai
+        if m.spec.cov == "HC3":
+            Q = np.empty((p, p))
+            for a in range(p):
+                for b in range(a, p):
+                    Q[a, b] = Q[b, a] = r[f"Q_{i}_{a}_{b}"]
+            hc3.append((mid, i, np.linalg.inv(Q)))
         dev, dev0, chi = r[f"dev_{i}"], r[f"dev0_{i}"], r[f"chi_{i}"]
         fam = m.spec.family
         scale = chi / (n - p) if fam == "gamma" else 1.0
@@ -335,4 +354,35 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         m.stats = {"deviance": dev, "null_deviance": dev0, "pseudo_r2": 1.0 - dev / dev0 if dev0 else None,
                    "pearson_chi2": chi, "scale": scale, "llf": llf, "aic": -2.0 * llf + 2.0 * p,
                    "bic": -2.0 * llf + p * math.log(n), "rmse_raw": math.sqrt(r[f"mse_{i}"])}
+    if hc3:
+        _hc3_pass(data, models, oks, hc3)
     return models
+
+
+def _hc3_pass(data, models, oks, hc3) -> None:
+    """G4 option: HC3 with GLM leverage h_i = w_i x_i' (X'WX)^-1 x_i (IRLS
+    weights at the final fit); meat sum(s_i^2 / (1 - h_i)^2 x x'). One more
+    aggregation for all HC3 models."""
+    aggs, st1, st2 = [], [], []
+    for mid, i, Qi in hc3:
+        m = models[mid]
+        s, ok = m.spec, oks[mid]
+        y, mu = f"__y{i}", f"__mu{i}"
+        st1 += [f"{S.when(ok, _ysql(s))} AS {y}", f"{S.when(ok, m.mean_sql())} AS {mu}"]
+        z = ["1D"] + [S.q(x) for x in s.x]
+        w = _irls_terms(s.family, y, mu, "0D")[0]
+        sf = _score_factor(s.family, y, mu)
+        st2.append(f"power(try_divide({sf}, 1D - {w} * {S.quad(Qi, z)}), 2) AS __s{i}")
+        for a in range(len(z)):
+            for b in range(a, len(z)):
+                aggs.append(f"sum(__s{i} * {z[a]} * {z[b]}) AS H_{i}_{a}_{b}")
+    r = S.select_agg_staged(data, [st1, st2], aggs)
+    for mid, i, _ in hc3:
+        m = models[mid]
+        p = len(m.spec.x) + 1
+        Bm = np.empty((p, p))
+        for a in range(p):
+            for b in range(a, p):
+                Bm[a, b] = Bm[b, a] = r[f"H_{i}_{a}_{b}"]
+        m.cov = m.stats_bread @ Bm @ m.stats_bread
+

@@ -105,3 +105,26 @@ def test_multinomial_draws_exactly_n(med_df):
 def test_bootstrap_budget_guard(med_df):
     with pytest.raises(ValueError):
         boot_replicates(med_df, "x", "m", "y", B=1000, seed=3, scheme="iid", key="id", max_work=1e5)
+
+
+@pytest.mark.parametrize("fam", ["binomial", "gamma"])
+def test_glm_hc3_option_matches_numpy(spark, fam):
+    rng = np.random.default_rng(12)
+    n = 300
+    x = rng.uniform(0, 1, n)
+    y = (1 / (1 + np.exp(-(-2 + x + rng.normal(0, 0.4, n))))) if fam == "binomial" else \
+        np.exp(0.2 + x) * rng.gamma(3.0, 1 / 3.0, n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    r = fit_glm(df, [GLMSpec("m", "y", ["x"], fam, cov="HC3"), GLMSpec("h1", "y", ["x"], fam, cov="HC1")])
+    b, V0 = _irls(x, y, fam)
+    Xc = np.column_stack([np.ones(n), x])
+    eta = Xc @ b
+    mu = 1 / (1 + np.exp(-eta)) if fam == "binomial" else np.exp(eta)
+    w = mu * (1 - mu) if fam == "binomial" else np.ones(n)
+    bw = w if fam == "binomial" else y / mu
+    sf = (y - mu) if fam == "binomial" else (y - mu) / mu
+    h = w * np.einsum("ij,jk,ik->i", Xc, np.linalg.inv(Xc.T @ (w[:, None] * Xc)), Xc)
+    Ai = np.linalg.inv(Xc.T @ (bw[:, None] * Xc))
+    V3 = Ai @ (Xc.T @ (((sf / (1 - h)) ** 2)[:, None] * Xc)) @ Ai
+    np.testing.assert_allclose(r["m"].cov, V3, rtol=1e-8)
+    np.testing.assert_allclose(r["h1"].cov, V0 * n / (n - 2), rtol=1e-8)
