@@ -7,6 +7,8 @@ table. Nothing is collected.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,9 +125,50 @@ def simple_linreg(df: DataFrame, x: str, y: str, y_log: bool = False) -> DataFra
                  F.regr_count("y", "x").alias("n"))
 
 
-def percentiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation (numpy default)."""
-    return df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias("q"))
+def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (numpy's default),
+    without funnelling the column through one task (Spark's ``percentile``
+    merges every distinct value in a single final buffer).
+
+    Range-partition the non-missing values, count each range (one row per
+    range to the driver), locate the ranges holding order statistics
+    floor(p(n-1)) and ceil(p(n-1)), and number rows inside those ranges
+    only. The range assignment is checkpointed so a recomputed partition
+    cannot move a boundary. Returns one row with array column ``q``."""
+    from pyspark.sql import Window
+    from ..session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    v = v.repartitionByRange(n_ranges, "v") if n_ranges else v.repartitionByRange("v")
+    v = v.withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
+    counts = sorted((r["pid"], r["n"]) for r in v.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    if n == 0:
+        return spark.createDataFrame([([None] * len(probs),)], "q array<double>")
+    starts, acc = {}, 0
+    for pid, c in counts:
+        starts[pid] = acc
+        acc += c
+    ranks = {}
+    for p in probs:
+        r = p * (n - 1)
+        for k in (math.floor(r), math.ceil(r)):
+            pid = max(q for q, s0 in starts.items() if s0 <= k)
+            ranks[k] = (pid, k - starts[pid])
+    want = {(pid, i) for pid, i in ranks.values()}
+    w = Window.partitionBy("pid").orderBy("v")
+    got = (v.where(F.col("pid").isin(sorted({p for p, _ in want})))
+           .withColumn("i", F.row_number().over(w) - 1)
+           .where(F.struct("pid", "i").isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(want)]))
+           .select("pid", "i", "v").collect())          # at most 2 rows per probability
+    val = {(r["pid"], r["i"]): r["v"] for r in got}
+    out = []
+    for p in probs:
+        r = p * (n - 1)
+        lo, hi = val[ranks[math.floor(r)]], val[ranks[math.ceil(r)]]
+        out.append(lo + (r - math.floor(r)) * (hi - lo))
+    return spark.createDataFrame([(out,)], "q array<double>")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

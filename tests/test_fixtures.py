@@ -152,3 +152,12 @@ def test_bootstrap_degenerate_replicates_are_invalid_not_errors(spark):
     df = spark.createDataFrame(rows, "g string, x double, m double, y double")
     ci = boot_ci(boot_replicates(df, "x", "m", "y", B=50, seed=1, scheme="cluster", group="g")).first()
     assert ci["n_reps"] <= 50 and ci["n_valid"] <= ci["n_reps"]
+
+
+def test_distributed_percentiles_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    vals = np.round(rng.normal(size=3001), 1)          # many ties
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(5)
+    probs = [0.0, 0.025, 0.5, 0.975, 1.0]
+    got = D.percentiles(df, "v", probs, n_ranges=7).first()["q"]
+    assert got == pytest.approx(list(np.percentile(vals, [100 * p for p in probs])), abs=1e-12)
