@@ -1,6 +1,6 @@
 """Generalised linear models by IRLS over Spark aggregates.
 
-One Spark job per IRLS iteration for a whole battery of models: each model
+One Spark job per Newton/IRLS iteration for a whole battery of models: each model
 still iterating contributes ``sum(w*z_a*z_b)`` and ``sum(w*z_a*zz)`` to one
 ``agg`` over the persisted, column-pruned input; the p x p solves happen on
 the driver. After convergence one more job gives deviance, null deviance,
@@ -110,7 +110,17 @@ def _irls_terms(family: str, y: str, mu: str, eta: str) -> tuple[str, str]:
         return v, f"({eta} + ({y} - {mu}) / {v})"
     if family == "poisson":
         return mu, f"({eta} + ({y} - {mu}) / {mu})"
-    return "1D", f"({eta} + ({y} - {mu}) / {mu})"          # gamma, log link
+    return "1D", f"({eta} + ({y} - {mu}) / {mu})"          # gamma, log link (Fisher scoring)
+
+
+def _newton_terms(family: str, y: str, mu: str, eta: str) -> tuple[str, str]:
+    """Newton step in IRLS form (observed information). Same as Fisher
+    scoring for the canonical links; for Gamma/log the weight is y/mu
+    (always > 0, and the objective is convex in eta), which converges
+    quadratically where scoring converges linearly. Same fixed point."""
+    if family == "gamma":
+        return f"({y} / {mu})", f"({eta} + ({y} - {mu}) / {y})"
+    return _irls_terms(family, y, mu, eta)
 
 
 def _unit_deviance(family: str, y: str, mu: str) -> str:
@@ -222,6 +232,14 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         else:
             bad = f"{y} < 0"
         aggs.append(f"count_if({ok} AND {bad}) AS bad_{i}")
+        if s.family == "gamma":
+            # moments of (ln y, x) for a log-linear least-squares start
+            v = [f"ln({y})"] + [S.q(x) for x in s.x]
+            okp = f"({ok} AND {y} > 0)"
+            for a in range(len(v)):
+                aggs.append(f"avg({S.when(okp, v[a])}) AS gm_{i}_{a}")
+                for b in range(a, len(v)):
+                    aggs.append(f"covar_samp({S.when(okp, v[a])}, {S.when(okp, v[b])}) AS gc_{i}_{a}_{b}")
     r0 = S.select_agg(data, aggs)
     models = {}
     for i, s in enumerate(specs):
@@ -238,6 +256,8 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         m.ybar = float(r0[f"ybar_{i}"])
         m.beta = np.zeros(len(s.x) + 1)
         m.beta[0] = _link(s.family, m.ybar)
+        if s.family == "gamma":
+            m.beta = _loglinear_start(r0, i, len(s.x), m.beta)
 
     live = {s.model_id: i for i, s in enumerate(specs) if models[s.model_id].status == "ok"}
     active = set(live)
@@ -250,7 +270,7 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
             s, ok, y = m.spec, oks[mid], _ysql(m.spec)
             st1 += [f"{S.when(ok, y)} AS __y{i}", f"{S.when(ok, m.eta_sql())} AS __eta{i}"]
             st2.append(f"{_linkinv(s.family, f'__eta{i}')} AS __mu{i}")
-            w, zz = _irls_terms(s.family, f"__y{i}", f"__mu{i}", f"__eta{i}")
+            w, zz = _newton_terms(s.family, f"__y{i}", f"__mu{i}", f"__eta{i}")
             st3 += [f"{w} AS __w{i}", f"{zz} AS __zz{i}"]
             z = ["1D"] + [S.q(x) for x in s.x]
             for a in range(len(z)):
@@ -359,6 +379,24 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
     return models
 
 
+def _loglinear_start(r0: dict, i: int, k: int, default: np.ndarray) -> np.ndarray:
+    """Least squares of ln(y) on x from first-pass moments: a start close to
+    the Gamma/log optimum (IRLS from the null model needs more steps).
+    Falls back to the null start when the moments are unusable."""
+    try:
+        nv = k + 1
+        C = np.empty((nv, nv))
+        for a in range(nv):
+            for b in range(a, nv):
+                C[a, b] = C[b, a] = r0[f"gc_{i}_{a}_{b}"]
+        mu = np.array([r0[f"gm_{i}_{a}"] for a in range(nv)], dtype=float)
+        b = np.linalg.solve(C[1:, 1:], C[1:, 0])
+        out = np.concatenate([[mu[0] - mu[1:] @ b], b])
+        return out if np.all(np.isfinite(out)) else default
+    except (TypeError, np.linalg.LinAlgError):
+        return default
+
+
 def _hc3_pass(data, models, oks, hc3) -> None:
     """G4 option: HC3 with GLM leverage h_i = w_i x_i' (X'WX)^-1 x_i (IRLS
     weights at the final fit); meat sum(s_i^2 / (1 - h_i)^2 x x'). One more
