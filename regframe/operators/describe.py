@@ -71,28 +71,27 @@ def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False
     and t = r*sqrt((n-2)/(1-r^2)) (p from t with n-2 df is added by
     :func:`with_corr_pvalues`).
 
-    Plan: (1) one aggregate for the means; (2) each row is unpivoted into
-    its (pair, a, b) values -- a and b shifted by the means, so the
-    co-moment formula has no cancellation -- rows with a missing side are
-    dropped (pairwise deletion), and ``groupBy(pair)`` sums n, a, b, a^2,
-    b^2, ab. Partial aggregation leaves one row per pair per partition."""
+    One pass: each row is unpivoted into its (pair, a, b) values inside the
+    scan task (``stack``), rows with a missing side are dropped (pairwise
+    deletion), and ``groupBy(pair)`` computes the count and the population
+    co-moments. These merge stably across partitions, partial aggregation
+    leaves one row per pair per partition, and with three small aggregates
+    per group the operator stays inside whole-stage codegen."""
     spark = df.sparkSession
     vs = present(df, variables)
     pairs = [(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs))]
-    means = S.select_agg(df, [f"avg({_numsql(v)}) AS m{i}" for i, v in enumerate(vs)])
-    sh = [f"CAST({_numsql(v)} - {S.lit(means[f'm{i}'] if means[f'm{i}'] is not None else 0.0)} AS DOUBLE)"
-          for i, v in enumerate(vs)]
-    st = ", ".join(f"{i}, {j}, {sh[i]}, {sh[j]}" for i, j in pairs)
+    cast = [f"CAST({_numsql(v)} AS DOUBLE)" for v in vs]
+    st = ", ".join(f"{i}, {j}, {cast[i]}, {cast[j]}" for i, j in pairs)
     long = spark.sql(f"SELECT stack({len(pairs)}, {st}) AS (i, j, a, b) FROM {{t}}", t=df)
+    # covar_pop / var_pop merge co-moments stably; r = cov / sqrt(va vb)
+    # with try_divide, because Spark's own corr raises on a constant column
+    # under ANSI arithmetic
     g = (long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j")
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"),
-              F.expr("sum(a * a) AS aa"), F.expr("sum(b * b) AS bb"), F.expr("sum(a * b) AS ab")))
+         .agg(F.count(F.lit(1)).alias("n"),
+              F.expr("try_divide(covar_pop(a, b), sqrt(var_pop(a) * var_pop(b)))").alias("r")))
     allp = spark.createDataFrame([(i, j, vs[i], vs[j]) for i, j in pairs],
                                  "i int, j int, var_i string, var_j string")
-    # try_divide: a constant variable has zero variance -> r is NULL (ANSI
-    # mode would raise on a plain division by zero)
-    r = "CASE WHEN n > 1 THEN try_divide(ab - a * b / n, sqrt((aa - a * a / n) * (bb - b * b / n))) END"
-    res = spark.sql(f"SELECT var_i, var_j, coalesce(n, 0L) AS n, {r} AS r FROM {{t}}",
+    res = spark.sql("SELECT var_i, var_j, coalesce(n, 0L) AS n, CASE WHEN NOT isnan(r) THEN r END AS r FROM {t}",
                     t=allp.join(g, ["i", "j"], "left"))
     if both_orders:
         res = res.unionByName(res.select(F.col("var_j").alias("var_i"), F.col("var_i").alias("var_j"), "n", "r"))
@@ -117,12 +116,18 @@ def corr_matrix_wide(corr_long: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def simple_linreg(df: DataFrame, x: str, y: str, y_log: bool = False) -> DataFrame:
-    """Closed-form simple regression b0, b1, R^2, r, n on complete cases."""
-    yy = F.ln(F.col(y)) if y_log else F.col(y)
-    d = df.select(_num(x).alias("x"), yy.alias("y")).na.drop()
-    return d.agg(F.regr_intercept("y", "x").alias("b0"), F.regr_slope("y", "x").alias("b1"),
-                 F.regr_r2("y", "x").alias("r2"), F.corr("x", "y").alias("r"),
-                 F.regr_count("y", "x").alias("n"))
+    """Closed-form simple regression b0, b1, R^2, r, n on complete
+    cases, from population co-moments (one aggregation). Divisions are
+    ``try_divide``: a constant x gives NULL slope instead of an ANSI error;
+    R^2 is NULL when var(x) = 0 and 1 when var(y) = 0."""
+    yy = f"ln({S.q(y)})" if y_log else S.q(y)
+    d = S.sql_df(df, f"{_numsql(x)} AS x, {yy} AS y").where("x IS NOT NULL AND y IS NOT NULL")
+    m = S.sql_df(d, "avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx, var_pop(y) AS vy, "
+                    "count(1) AS n")
+    return S.sql_df(m, (
+        "my - try_divide(cxy, vx) * mx AS b0, try_divide(cxy, vx) AS b1, "
+        "CASE WHEN vx = 0 THEN NULL WHEN vy = 0 THEN 1D ELSE power(try_divide(cxy, sqrt(vx * vy)), 2) END AS r2, "
+        "try_divide(cxy, sqrt(vx * vy)) AS r, n"))
 
 
 def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | None = None) -> DataFrame:
