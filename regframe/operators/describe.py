@@ -16,11 +16,6 @@ from ..functions import sqltext as S
 from ..functions.columns import present
 
 
-def _num(c: str) -> Column:
-    """Value with NaN treated as missing."""
-    return F.when(~F.isnan(F.col(c)), F.col(c))
-
-
 def descriptives(df: DataFrame, variables: list[str]) -> DataFrame:
     """Per variable n, mean, sd (n-1), min, max and the
     bias-corrected skewness G1 and excess kurtosis G2 (pandas' defaults).
