@@ -35,12 +35,15 @@ COLLAB_RENAMES = {
 TECH_KEYWORDS = ("software", "code", "coding", "debug", "program", "script",
                  "data", "technical", "computer", "algorithm", "web", "app")
 
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Python's str.isspace() set (what pandas' str.strip removes) = Unicode
+# White_Space plus the four ASCII separators \x1c-\x1f.
+_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def normalize_key(c: Column | str) -> Column:
-    """B1: lower-case and strip leading/trailing whitespace (tabs and
-    Unicode blanks included; Spark's ``trim`` only strips spaces)."""
+    """B1: lower-case and strip leading/trailing whitespace exactly as
+    Python's ``str.strip()`` does (tabs, Unicode blanks and the ASCII
+    separators included; Spark's ``trim`` only strips spaces)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.regexp_replace(F.lower(c), _EDGE_WS, "")
 
