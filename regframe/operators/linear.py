@@ -10,9 +10,11 @@ How a fit runs
 * pass 2 -- ONE ``agg`` with the coefficients and the inverse moment matrix
   as literals: residual ``e``, leverage ``h`` (a quadratic form in literals),
   SSR and the sandwich "meat" for HC0/HC1/HC2/HC3;
-* cluster-robust errors -- one ``groupBy(group)`` of per-group scores
-  (``sum(e*x)``, combined map-side, so a hot group costs nothing extra) and
-  one ``agg`` of their outer products.
+* cluster-robust errors -- per-group scores (``sum(e*x)``, combined
+  map-side, so a hot group costs nothing extra) and one ``agg`` of their
+  outer products; the first group column shares pass 2's scan (pass-2 sums
+  are summed per group, then over groups), so a clustered battery reads its
+  sample twice, not three times.
 
 Only O(p^2) numbers per model ever reach the driver. Listwise deletion is
 per model (``sample="per_model"``, the default, as statsmodels'
@@ -297,8 +299,8 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
     # ---- pass 2: SSR and sandwich meat (HC*), residual moments ----
     # residual e and leverage h are computed once per row and model in an
     # inner projection (NULL outside the model's complete cases), then the
-    # aggregates only multiply and add.
-    aggs, st1, st2 = [], [], []
+    # aggregates only multiply and add. All pass-2 quantities are sums.
+    p2, st1, st2 = [], [], []            # p2: (expression, name) of each sum
     for i, s in enumerate(live):
         m = models[s.model_id]
         ok = oks[s.model_id]
@@ -313,38 +315,48 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         else:
             w = f"({e} * {e})"
         st2.append(f"{w} AS __w{i}")
-        aggs += [f"sum({e} * {e}) AS sse_{i}", f"sum(power({e}, 3)) AS s3_{i}", f"sum(power({e}, 4)) AS s4_{i}"]
+        p2 += [(f"{e} * {e}", f"sse_{i}"), (f"power({e}, 3)", f"s3_{i}"), (f"power({e}, 4)", f"s4_{i}")]
         if s.cov not in ("classical", "cluster"):
             z = ["1D"] + [f"__x{i}_{a}" for a in range(1, len(xc) + 1)]
             for a in range(len(z)):
                 for b in range(a, len(z)):
-                    aggs.append(f"sum(__w{i} * {z[a]} * {z[b]}) AS w_{i}_{a}_{b}")
-    r2 = S.select_agg_staged(data, [st1, st2], aggs)
+                    p2.append((f"__w{i} * {z[a]} * {z[b]}", f"w_{i}_{a}_{b}"))
 
-    # ---- cluster-robust: per-group scores, one groupBy per group column ----
+    # ---- cluster-robust: per-group scores ----
     by_group: dict[str, list[tuple[int, ModelSpec]]] = {}
     for i, s in enumerate(live):
         if s.cov == "cluster":
             if not s.groups:
                 raise ValueError(f"{s.model_id}: cov='cluster' needs groups")
             by_group.setdefault(s.groups, []).append((i, s))
-    for g, lst in by_group.items():
-        gaggs, oaggs, st = [], [], []
+
+    def group_scores(lst):
+        gaggs, oaggs = [], []
         for i, s in lst:
-            m = models[s.model_id]
-            ok = oks[s.model_id]
-            xc, e, _ = centred(s, m)
-            st += [f"{S.when(ok, e)} AS __e{i}"] + [f"{S.when(ok, c)} AS __x{i}_{a}" for a, c in enumerate(xc, 1)]
-            z = ["1D"] + [f"__x{i}_{a}" for a in range(1, len(xc) + 1)]
+            k = len(s.x)
+            z = ["1D"] + [f"__x{i}_{a}" for a in range(1, k + 1)]
             gaggs.append(f"count(__e{i}) AS gn_{i}")
-            for a in range(len(z)):
-                gaggs.append(f"sum(__e{i} * {z[a]}) AS u_{i}_{a}")
+            gaggs += [f"sum(__e{i} * {z[a]}) AS u_{i}_{a}" for a in range(len(z))]
             oaggs.append(f"count_if(gn_{i} > 0) AS G_{i}")
-            for a in range(len(z)):
-                for b in range(a, len(z)):
-                    oaggs.append(f"sum(u_{i}_{a} * u_{i}_{b}) AS w_{i}_{a}_{b}")
-        inner = data.sparkSession.sql(
-            "SELECT " + ", ".join(gaggs) + " FROM " + S.staged_from([st]) + " GROUP BY " + S.q(g), t=data)
+            oaggs += [f"sum(u_{i}_{a} * u_{i}_{b}) AS w_{i}_{a}_{b}"
+                      for a in range(len(z)) for b in range(a, len(z))]
+        return gaggs, oaggs
+
+    spark = data.sparkSession
+    groups = list(by_group)
+    if not groups:
+        r2 = S.select_agg_staged(data, [st1, st2], [f"sum({x}) AS {n}" for x, n in p2])
+    else:
+        # the first group column shares the pass-2 scan: per-group partial
+        # sums of every pass-2 quantity, added up in the outer aggregate
+        gaggs, oaggs = group_scores(by_group[groups[0]])
+        inner = spark.sql("SELECT " + ", ".join([f"sum({x}) AS {n}" for x, n in p2] + gaggs) + " FROM "
+                          + S.staged_from([st1, st2]) + " GROUP BY " + S.q(groups[0]), t=data)
+        r2 = S.select_agg(inner, [f"sum({n}) AS {n}" for _, n in p2] + oaggs)
+    for g in groups[1:]:
+        gaggs, oaggs = group_scores(by_group[g])
+        inner = spark.sql("SELECT " + ", ".join(gaggs) + " FROM " + S.staged_from([st1]) + " GROUP BY " + S.q(g),
+                          t=data)
         r2.update(S.select_agg(inner, oaggs))
 
     for i, s in enumerate(live):
