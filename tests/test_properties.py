@@ -59,3 +59,17 @@ def test_hc3_invariant_to_row_order(planted):
     a = fit_ols(planted, [ModelSpec("m", "y", ["a", "b"])])["m"].cov
     b = fit_ols(planted.orderBy(F.rand(9)).repartition(3), [ModelSpec("m", "y", ["a", "b"])])["m"].cov
     np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_moderation_model_a_raw_vs_centred(planted):
+    from regframe.operators.mediation import moderation
+    d = planted.withColumn("w", F.col("b") * 0.5 + F.sin(F.col("id")))
+    raw = moderation(d, "a", "w", "y")
+    cen = moderation(d, "a", "w", "y", centered_a=True)
+    # same slopes and R^2, other intercept
+    np.testing.assert_allclose(raw["a"].beta[1:], cen["a"].beta[1:], rtol=1e-10)
+    np.testing.assert_allclose(raw["b"].beta[1:], cen["b"].beta[1:], rtol=1e-10)
+    fr = {x["model_id"]: x["r2"] for x in raw.fit.collect()}
+    fc = {x["model_id"]: x["r2"] for x in cen.fit.collect()}
+    assert fr["a"] == pytest.approx(fc["a"], rel=1e-10) and fr["b"] == pytest.approx(fc["b"], rel=1e-10)
+    assert fr["a"] <= fr["b"] <= fr["c"] + 1e-12
