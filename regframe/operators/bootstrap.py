@@ -17,12 +17,16 @@ Design
   are weighted per replicate -- B x G work, never a list of group rows.
 * Each replicate's a and b come from closed forms of its weighted,
   pre-centred moments; the percentile interval is an exact
-  ``percentile`` over the B replicate values.
-
-The Poisson bootstrap draws a random total sample size per replicate (mean
-n, or mean G groups); numpy's ``rng.integers`` multinomial draw cannot be
-replayed in Spark anyway, so intervals agree with the reference's in
-distribution, not digit for digit.
+  ``percentile`` over the B replicate values (B <= 1e6 is enforced, so that
+  buffer is bounded whatever the data size).
+
+Two draw schemes. ``poisson`` (the scale default): each row or group gets
+an independent Poisson(1) weight, so a replicate's total size is random
+around n (or G), and all work combines map-side. ``multinomial``: exactly U
+draws with replacement per replicate (numpy's ``rng.integers(0, U, U)``
+semantics) from hash-derived uniforms over dense unit codes. numpy's own
+generator cannot be replayed in Spark, so intervals agree with the
+reference's in distribution, not digit for digit.
 """
 
 from __future__ import annotations
