@@ -125,7 +125,8 @@ def simple_linreg(df: DataFrame, x: str, y: str, y_log: bool = False) -> DataFra
         "try_divide(cxy, sqrt(vx * vy)) AS r, n"))
 
 
-def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | None = None) -> DataFrame:
+def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | None = None,
+                method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy's default),
     without funnelling the column through one task (Spark's ``percentile``
     merges every distinct value in a single final buffer).
@@ -134,7 +135,15 @@ def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | Non
     range to the driver), locate the ranges holding order statistics
     floor(p(n-1)) and ceil(p(n-1)), and number rows inside those ranges
     only. The range assignment is checkpointed so a recomputed partition
-    cannot move a boundary. Returns one row with array column ``q``."""
+    cannot move a boundary. Returns one row with array column ``q``.
+
+    ``method="approx"``: Spark's ``percentile_approx`` (mergeable sketches,
+    one aggregation, rank error about 1/accuracy) for when exact order
+    statistics are not needed."""
+    if method == "approx":
+        return df.agg(F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("q"))
+    if method != "exact":
+        raise ValueError("method must be 'exact' or 'approx'")
     from pyspark.sql import Window
     from ..session import checkpoint_dir
     spark = df.sparkSession

@@ -161,3 +161,9 @@ def test_distributed_percentiles_match_numpy(spark):
     probs = [0.0, 0.025, 0.5, 0.975, 1.0]
     got = D.percentiles(df, "v", probs, n_ranges=7).first()["q"]
     assert got == pytest.approx(list(np.percentile(vals, [100 * p for p in probs])), abs=1e-12)
+
+
+def test_approx_percentiles_close(spark):
+    df = spark.range(10001).selectExpr("CAST(id AS DOUBLE) AS v")
+    q = D.percentiles(df, "v", [0.025, 0.5, 0.975], method="approx").first()["q"]
+    assert q == pytest.approx([250.0, 5000.0, 9750.0], abs=5.0)
