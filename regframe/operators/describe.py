@@ -251,3 +251,12 @@ def durbin_watson(df: DataFrame, resid: Column, order: str, n_ranges: int | None
     for a, b_ in zip(ends, ends[1:]):
         num += (b_["first"] - a["last"]) ** 2
     return num / inner["den"]
+
+
+def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct values per column in one aggregation -- exact
+    ``count(DISTINCT)`` (Spark plans it as a two-level aggregate, partial
+    per key first) or HyperLogLog++ sketches (``approx=True``, relative
+    standard deviation ``rsd``) when exact counts are not needed."""
+    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
+    return df.agg(*[f(c).alias(f"n_{c}") for c in cols])

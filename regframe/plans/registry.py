@@ -134,12 +134,12 @@ def q_row_counts(spark, sf):
 
 def q_distinct_counts(spark, sf):
     integ = levels(spark, sf)["integrated"]
-    has = F.col("cluster_name_0").isNotNull()
-    return integ.agg(F.count_distinct("task_name").alias("unique_tasks"),
-                     F.count_distinct(F.when(has, F.col("task_name"))).alias("tasks_with_clusters"),
-                     F.count_distinct("cluster_name_0").alias("n_cluster_name_0"),
-                     F.count_distinct("cluster_name_1").alias("n_cluster_name_1"),
-                     F.count_distinct("cluster_name_2").alias("n_cluster_name_2"))
+    with_cl = integ.withColumn("task_with_cluster", F.when(F.col("cluster_name_0").isNotNull(), F.col("task_name")))
+    d = D.distinct_counts(with_cl, ["task_name", "task_with_cluster", "cluster_name_0", "cluster_name_1",
+                                    "cluster_name_2"])
+    return d.select(F.col("n_task_name").alias("unique_tasks"),
+                    F.col("n_task_with_cluster").alias("tasks_with_clusters"),
+                    *[F.col(f"n_cluster_name_{i}").alias(f"n_cluster_name_{i}") for i in range(3)])
 
 
 def q_multi_map_keys(spark, sf):
