@@ -167,3 +167,22 @@ def test_approx_percentiles_close(spark):
     df = spark.range(10001).selectExpr("CAST(id AS DOUBLE) AS v")
     q = D.percentiles(df, "v", [0.025, 0.5, 0.975], method="approx").first()["q"]
     assert q == pytest.approx([250.0, 5000.0, 9750.0], abs=5.0)
+
+
+def test_distinct_counts_exact_and_sketch(spark):
+    df = spark.range(20000).selectExpr("id % 1000 AS k", "CAST(id % 7 AS STRING) AS s")
+    ex = D.distinct_counts(df, ["k", "s"]).first()
+    assert (ex["n_k"], ex["n_s"]) == (1000, 7)
+    ap = D.distinct_counts(df, ["k"], approx=True).first()
+    assert abs(ap["n_k"] - 1000) < 50
+
+
+def test_qc_columns_and_coefficients(spark):
+    from regframe.operators.quality import qc_coefficients, qc_columns
+    a = spark.createDataFrame([(1, 2.0)], "x int, y double")
+    assert {r["table_name"]: r["n_cols"] for r in qc_columns({"a": a}).collect()} == {"a": 2}
+    coef = spark.createDataFrame([("1a", "x", 0.0597), ("1c", "x", 2.9)], "model_id string, term string, coef double")
+    exp = spark.createDataFrame([("1a", "x", 0.0596, 0.003), ("1c", "x", 2.8144, 0.02)],
+                                "model_id string, term string, value double, tol double")
+    st = {r["model_id"]: r["status"] for r in qc_coefficients(coef, exp).collect()}
+    assert st == {"1a": "PASS", "1c": "CHECK"}
