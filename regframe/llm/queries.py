@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import ship
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .packing import packed_pieces
+from .toxicity import fit_lexicon, score_toxicity
 from .token_counts import token_counts
 from .tokens import vocabulary
 
@@ -19,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = fit_lexicon(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return score_toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "chunks_removed", "words_removed")
@@ -38,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
