@@ -1,16 +1,77 @@
-"""The corpus pipeline (stages are added as their operators are built)."""
+"""A corpus pipeline: raw documents to packed training sequences.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
+the last return the columns of ``documents``. SQL can express neither the
+learned lexicon, the sampled signatures nor the rounding, so ``ORACLE_SQL`` is
+None and the stages are tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regframe.llm.common import ship, shared_folder
+from regframe.llm.line_dedup import dedup_lines
+from regframe.llm.minhash import one_of_each
+from regframe.llm.mixing import mixed_documents
+from regframe.llm.packing import packed_pieces
+from regframe.llm.tokens import vocabulary
+from regframe.llm.toxicity import fit_lexicon, score_toxicity
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, after a change of the texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the lexicon is learned from ``labels``."""
+    ship(spark)
+    lexicon = fit_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, lexicon).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines leave the texts; no document goes."""
+    ship(spark)
+    return _recounted(dedup_lines(docs).select(*docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    ship(spark)
+    return one_of_each(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ship(spark)
+    return mixed_documents(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    ship(spark)
+    return packed_pieces(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` through every stage in order."""
+    """``documents`` through every stage, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = shared_folder(spark, name.replace(" ", "_"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,9 +31,9 @@ CAP = 3.0
 BLOCK = 4096
 
 
-def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = SEED) -> DataFrame:
     return docs.select(
-        F.col(quoted(id_col)).alias("id"),
+        F.col(quoted(id_col)).alias("id"), _tie(id_col, text_col, seed).alias("tie"),
         F.col(quoted(source_col)).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(quoted(text_col)).cast("string"), F.lit(WORD)), F.lit(0))
         .cast("long").alias("size"))
@@ -162,22 +162,21 @@ def _round_blocks(rows: DataFrame, level: int, last: bool, seed: int, id_type: s
     return rows.groupBy("rank", "class", "salt").applyInPandas(fold, kept)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        shares: tuple = SHARES, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``id, size, source_size, target, taken`` of every row; ``taken`` is size times copies.
+def _tie(id_col: str, text_col: str, seed: int):
+    return F.xxhash64(quoted(id_col), F.xxhash64(F.col(quoted(text_col)).cast("string")), F.lit(seed))
 
-    A missing text has size 0 and is taken as 0 words. Missing sources form one
-    source, ranked last. Repeated rows are rounded one by one; equal rows are
-    interchangeable. Ids may be missing.
-    """
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, shares: tuple, cap: float,
+            block: int, seed: int) -> DataFrame:
+    """``id, tie, size, source_size, target, copies`` of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    sized = cut(sized_documents(docs, id_col, text_col, source_col))
+    sized = cut(sized_documents(docs, id_col, text_col, source_col, seed))
     sources = cut(source_targets(sized, shares, cap))
     joined = (sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
-              .select("id", "rank", "size",
+              .select("id", "rank", "size", "tie",
                       F.when(F.col("size") > 0, F.col("target") / F.col("source_size"))
                       .otherwise(0.0).alias("copies")))
-    rows = joined.select("id", "rank", "size", F.xxhash64("id", F.lit(seed)).alias("tie"),
+    rows = joined.select("id", "rank", "size", "tie",
                          (F.col("copies") - F.floor("copies")).alias("p"),
                          # eight classes to a doubling of the size
                          F.floor(8 * F.log2(F.greatest("size", F.lit(1)))).cast("int").alias("class"))
@@ -200,10 +199,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         # residuals of every size class of a source meet at the next level
         rows = rounded.filter(is_open).withColumn("class", F.lit(0)).drop("salt")
         level += 1
-    out = done[0].select("id", "rank", "size", "p")
+    out = done[0].select("id", "tie", "rank", "size", "p")
     for more in done[1:]:
-        out = out.unionByName(more.select("id", "rank", "size", "p"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        out = out.unionByName(more.select("id", "tie", "rank", "size", "p"))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("source_size")) + F.round("p")).otherwise(0)
     return (out.join(sources, "rank")
-            .select(F.col("id").alias(id_col), "size", "source_size", "target",
-                    (F.col("size") * (whole + F.round("p")).cast("long")).alias("taken")))
+            .select("id", "tie", "size", "source_size", "target", copies.cast("long").alias("copies")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        shares: tuple = SHARES, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """``id, size, source_size, target, copies, taken`` of every row; ``taken`` is size times copies.
+
+    A text without words, or a missing one, has size 0 and no copy. Missing
+    sources form one source, ranked last. Repeated rows are rounded one by one;
+    equal rows are interchangeable. Ids may be missing.
+    """
+    return (_copies(docs, id_col, text_col, source_col, shares, cap, block, seed)
+            .withColumn("taken", F.col("size") * F.col("copies"))
+            .withColumnRenamed("id", id_col).drop("tie"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    shares: tuple = SHARES, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    taken = (_copies(docs, id_col, text_col, source_col, shares, cap, block, seed)
+             .groupBy(F.col("id").alias("taken_id"), F.col("tie").alias("taken_tie"))
+             .agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(quoted(id_col)).alias("row_id"),
+                         _tie(id_col, text_col, seed).alias("row_tie"))
+    # rows that repeat an id and a text were counted together, so one stands for all
+    joined = packed.join(taken, F.col("row_id").eqNullSafe(F.col("taken_id")) &
+                         (F.col("row_tie") == F.col("taken_tie"))).dropDuplicates(["row_id", "row_tie"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import packed_pieces
 from .toxicity import fit_lexicon, score_toxicity
@@ -34,13 +35,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"),
                          length=2048, end_id=1)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
 }
 
