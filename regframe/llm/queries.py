@@ -12,6 +12,7 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import packed_pieces
+from .pii import found_spans, span_digest
 from .toxicity import fit_lexicon, score_toxicity
 from .token_counts import token_counts
 from .tokens import vocabulary
@@ -29,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(found_spans(table(spark, sf_dir, "documents")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "chunks_removed", "words_removed")
@@ -54,6 +59,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
