@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .packing import packed_pieces
 from .pii import found_spans, span_digest
+from .topk import top_inner_products
 from .toxicity import fit_lexicon, score_toxicity
 from .token_counts import token_counts
 from .tokens import vocabulary
@@ -57,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          length=2048, end_id=1)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {}
