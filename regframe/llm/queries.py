@@ -18,6 +18,8 @@ from .toxicity import fit_lexicon, score_toxicity
 from .token_counts import token_counts
 from .tokens import vocabulary
 
+from .vector_dedup import near_duplicate_vectors
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -40,6 +42,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "chunks_removed", "words_removed")
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_minhash": op8_minhash,
