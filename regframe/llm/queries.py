@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 from .line_dedup import dedup_lines
+from .materialise import materialise, scratch_path
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import packed_pieces
@@ -26,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), scratch_path(spark))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = fit_lexicon(docs, table(spark, sf_dir, "labels"))
@@ -69,6 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_materialise": op1_materialise,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
