@@ -113,39 +113,29 @@ def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[
 def pivotal_with_rest(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """All fractions rounded, large ones first; the other side of a pair is the rest.
 
-    A unit trades words with all smaller ones at once, which share gains and
-    losses alike, so a large one can settle without moving the total. Only the
-    last fraction is drawn on its own.
+    A unit trades words with all smaller ones at once, each by its variance
+    p(1 - p), until it or one of them is integral. A large unit can so settle
+    without moving the total, and every expectation stays. Only the last
+    fraction is drawn on its own.
     """
     order = np.argsort(-size, kind="stable")
-    q, s = p[order].astype(float), size[order].astype(float)
-    is_open = (q > 1e-9) & (q < 1 - 1e-9)
-    out = np.round(q)
-    q, s, at = q[is_open], s[is_open], np.flatnonzero(is_open)
-    draws = rng.random(len(q))
-    weight = np.append(np.cumsum(s[::-1])[::-1], 0.0)         # words of i and all after it
-    held = np.append(np.cumsum((s * q)[::-1])[::-1], 0.0)     # of these, expected to be taken
-    scale, shift = 1.0, 0.0                                   # fractions are now scale * q + shift
+    q, s, eps = p[order].astype(float), size[order].astype(float), 1e-9
     for i in range(len(q)):
-        own = min(1.0, max(0.0, scale * q[i] + shift))
-        have = max(0.0, scale * held[i + 1] + shift * weight[i + 1])
-        room = max(0.0, weight[i + 1] - have)
-        up, down = min((1 - own) * s[i], have), min(own * s[i], room)
-        if up + down <= 1e-9:                                 # nothing left to trade with
-            out[at[i]] = float(draws[i] < own)
-            continue
-        if draws[i] * (up + down) < down:
-            own += up / s[i]
-            keep = 1 - up / have
-            scale, shift = scale * keep, shift * keep
-        else:
-            own -= down / s[i]
-            keep = 1 - down / room
-            scale, shift = scale * keep, 1 - (1 - shift) * keep
-        out[at[i]] = round(own) if own < 1e-9 or own > 1 - 1e-9 else float(rng.random() < own)
-    result = np.empty(len(p))
-    result[order] = out
-    return result
+        while eps < q[i] < 1 - eps:
+            rest = np.flatnonzero((q[i + 1:] > eps) & (q[i + 1:] < 1 - eps)) + i + 1
+            if not len(rest):
+                q[i] = float(rng.random() < q[i])
+                break
+            v = q[rest] * (1 - q[rest])
+            words = float((v * s[rest]).sum())
+            up = min((1 - q[i]) * s[i], words / float((1 - q[rest]).max()))
+            down = min(q[i] * s[i], words / float(q[rest].max()))
+            moved = up if rng.random() * (up + down) < down else -down
+            q[i] += moved / s[i]
+            q[rest] -= v * (moved / words)
+    out = np.empty(len(p))
+    out[order] = np.round(q)
+    return out
 
 
 def _round_blocks(rows: DataFrame, level: int, last: bool, seed: int, id_type: str) -> DataFrame:
