@@ -425,14 +425,26 @@ import re as _re  # noqa: E402
 
 
 def _poisson_case(u: str) -> str:
-    th, acc, term = [], 0.0, _math.exp(-1.0)
-    for k in range(16):
+    th, acc, term, k = [], 0.0, _math.exp(-1.0), 0
+    while acc < 1 - 2.0 ** -52:
         if k > 0:
             term /= k
         acc += term
         th.append(acc)
+        k += 1
     parts = " ".join(f"WHEN {u} < '{t!r}'::DOUBLE THEN {k}" for k, t in enumerate(th))
-    return f"(CASE {parts} ELSE 16 END)"
+    return f"(CASE {parts} ELSE {len(th)} END)"
+
+
+def _md5_word(text: str, at: int) -> str:
+    return f"('0x' || substr(md5({text}), {at}, 8))::BIGINT"
+
+
+def _mix32(v: str) -> str:
+    return f"((xor({v}, ({v}) >> 16) * 73244475) % 4294967296)"
+
+
+_U52 = "((xor(a, a >> 16) * 1048576 + (xor(b, b >> 16) >> 12)) / 4503599627370496e0)"
 
 
 def _boot_sql(scheme: str, B: int = 5000, seed: int = 42, px: str = "") -> tuple[str, str]:
@@ -451,15 +463,17 @@ def _boot_sql(scheme: str, B: int = 5000, seed: int = 42, px: str = "") -> tuple
         mom = "w, x, m, y, x * x AS xx, m * m AS mmm, x * m AS xm, x * y AS xy, m * y AS my2"
     else:
         mom = "w, x, m, y, xx, mmm, xm, xy, my2"
-    mix = "((xor(v, v >> 16) * 73244475) % 4294967296)"
+    rep = f"'{seed}:rep:' || rep"
     ctes = [f"mu AS (SELECT avg(augmentation_index) AS mx, avg({THINK}) AS mm, avg({SHARE}) AS my FROM h5)",
             base,
-            f"kh AS (SELECT ('0x' || substr(md5('{seed}:' || k), 1, 8))::BIGINT AS kh, {mom} FROM bb)",
-            f"e0 AS (SELECT kh.*, (kh.kh + (r.rep + 1) * 2654435761) % 4294967296 AS v FROM kh "
-            f"CROSS JOIN range(0, {B}) r(rep))".replace("kh.*, ", "kh.*, r.rep, "),
-            f"e1 AS (SELECT * EXCLUDE (v), {mix} AS v FROM e0)",
-            f"e2 AS (SELECT * EXCLUDE (v), {mix} AS v FROM e1)",
-            f"e3 AS (SELECT *, {_poisson_case('(xor(v, v >> 16) / 4294967296e0)')} AS wt FROM e2)",
+            f"kh AS (SELECT {_md5_word(f"'{seed}:' || k", 1)} AS k1, {_md5_word(f"'{seed}:' || k", 9)} AS k2, {mom} FROM bb)",
+            f"rp AS (SELECT rep, {_md5_word(rep, 1)} AS r1, {_md5_word(rep, 9)} AS r2 FROM range(0, {B}) r(rep))",
+            "e0 AS (SELECT * EXCLUDE (k1, k2, r1, r2), xor(k1, r1) AS a, xor(k2, r2) AS b FROM kh CROSS JOIN rp)",
+            f"e1 AS (SELECT * EXCLUDE (a), {_mix32('a')} AS a FROM e0)",
+            f"e2 AS (SELECT * EXCLUDE (b), {_mix32('xor(b, a)')} AS b FROM e1)",
+            f"e4 AS (SELECT * EXCLUDE (a), {_mix32('xor(a, b)')} AS a FROM e2)",
+            f"e5 AS (SELECT * EXCLUDE (b), {_mix32('xor(b, a)')} AS b FROM e4)",
+            f"e3 AS (SELECT * EXCLUDE (a, b), {_poisson_case(_U52)} AS wt FROM e5)",
             "s AS (SELECT rep, sum(wt * w) AS W, sum(wt * x) AS sx, sum(wt * m) AS sm, sum(wt * y) AS sy, "
             "sum(wt * xx) AS sxx, sum(wt * mmm) AS smm, sum(wt * xm) AS sxm, sum(wt * xy) AS sxy, "
             "sum(wt * my2) AS smy FROM e3 WHERE wt > 0 GROUP BY rep)",
@@ -472,7 +486,7 @@ def _boot_sql(scheme: str, B: int = 5000, seed: int = 42, px: str = "") -> tuple
            "CASE WHEN quantile_cont(ind, 0.025) * quantile_cont(ind, 0.975) > 0 THEN 'excludes 0' "
            "ELSE 'includes 0' END AS verdict FROM p")
     txt = ",\n".join(ctes)
-    for nm in ("e3", "e2", "e1", "e0", "kh", "bb", "mu", "s", "c", "p"):
+    for nm in ("e5", "e4", "e3", "e2", "e1", "e0", "rp", "kh", "bb", "mu", "s", "c", "p"):
         txt = _re.sub(rf"\b{nm}\b(?=( AS \(|\.|\s|\)|,|$))", px + nm, txt)
         sel = _re.sub(rf"\bFROM {nm}\b", f"FROM {px}{nm}", sel)
     return txt, sel
@@ -712,20 +726,23 @@ def _boot_exact_sql(scheme: str, B: int = 5000, seed: int = 42) -> str:
                  f"sum(({THINK} - mm) * ({THINK} - mm)) AS mmm, sum((augmentation_index - mx) * ({THINK} - mm)) AS xm, "
                  f"sum((augmentation_index - mx) * ({SHARE} - my)) AS xy, sum(({THINK} - mm) * ({SHARE} - my)) AS my2 "
                  "FROM h5 CROSS JOIN mu GROUP BY task_name)")
-    mix = "((xor(v, v >> 16) * 73244475) % 4294967296)"
     sk = (seed * 3266489917) % 4294967296
+    rep = f"'{seed}:rep:' || rep"
+    # all units lie in block 0 here (fewer than 65,536 of them)
     ctes = [H3S, H5S,
             f"mu AS (SELECT avg(augmentation_index) AS mx, avg({THINK}) AS mm, avg({SHARE}) AS my FROM h5)",
             units,
             "cu AS (SELECT *, dense_rank() OVER (ORDER BY k) - 1 AS code FROM un)",
             "uu AS (SELECT count(*) AS U FROM cu)",
-            f"d0 AS (SELECT r.rep, c.code AS j, (c.code * 2246822519 + {sk}) % 4294967296 AS kh "
-            f"FROM range(0, {B}) r(rep) CROSS JOIN cu c)",
-            "d1 AS (SELECT rep, (kh + (rep + 1) * 2654435761) % 4294967296 AS v FROM d0)",
-            f"d2 AS (SELECT rep, {mix} AS v FROM d1)",
-            f"d3 AS (SELECT rep, {mix} AS v FROM d2)",
-            "d4 AS (SELECT rep, least(CAST(floor(xor(v, v >> 16) / 4294967296e0 * U) AS BIGINT), U - 1) AS code "
-            "FROM d3 CROSS JOIN uu)",
+            f"rp AS (SELECT rep, {_md5_word(rep, 1)} AS r1, {_md5_word(rep, 9)} AS r2 FROM range(0, {B}) r(rep))",
+            f"w1 AS (SELECT {_mix32(f'((code + {sk}) % 4294967296)')} AS k1 FROM cu)",
+            f"w2 AS (SELECT k1, {_mix32('k1')} AS k2 FROM w1)",
+            "d0 AS (SELECT rep, xor(k1, r1) AS a, xor(k2, r2) AS b FROM w2 CROSS JOIN rp)",
+            f"d1 AS (SELECT rep, {_mix32('a')} AS a, b FROM d0)",
+            f"d2 AS (SELECT rep, a, {_mix32('xor(b, a)')} AS b FROM d1)",
+            f"d3 AS (SELECT rep, {_mix32('xor(a, b)')} AS a, b FROM d2)",
+            f"d5 AS (SELECT rep, a, {_mix32('xor(b, a)')} AS b FROM d3)",
+            f"d4 AS (SELECT rep, least(CAST(floor({_U52} * U) AS BIGINT), U - 1) AS code FROM d5 CROSS JOIN uu)",
             "cnt AS (SELECT rep, code, count(*) AS c FROM d4 GROUP BY rep, code)",
             "s AS (SELECT rep, sum(c * w) AS W, sum(c * x) AS sx, sum(c * m) AS sm, sum(c * y) AS sy, "
             "sum(c * xx) AS sxx, sum(c * mmm) AS smm, sum(c * xm) AS sxm, sum(c * xy) AS sxy, sum(c * my2) AS smy "

@@ -3,12 +3,12 @@ group codes (B22).
 
 Design
 ------
-* Replicate weights are a pure function of ``(seed, replicate, key)``:
-  ``md5('seed:key')`` gives a 32-bit row hash once per row (or group); per
-  replicate an integer avalanche of ``(row hash, rep)`` gives a uniform on
-  [0, 1), turned into a Poisson(1) count by CDF thresholds. Recomputing a
-  lost partition gives the same weights (``rand()`` would not), and any
-  engine can reproduce them exactly.
+* Replicate weights are a pure function of ``(seed, replicate, key)``. A key
+  and a replicate each get two 32-bit words from md5; the words are combined
+  by exclusive or and mixed into each other four times, which gives a 52-bit
+  uniform. Replicates are hashed before they are combined, so one is no
+  shifted copy of another. Recomputing a lost partition gives the same
+  weights (``rand()`` would not), and any engine can reproduce them.
 * IID scheme: every row is exploded into its B replicate weights inside the
   task and immediately aggregated by replicate (partial aggregation), so the
   shuffle carries B rows per partition, not B x n.
@@ -16,63 +16,92 @@ Design
   (one groupBy on the group key; a hot group is just one row), then groups
   are weighted per replicate -- B x G work, never a list of group rows.
 * Each replicate's a and b come from closed forms of its weighted,
-  pre-centred moments; the percentile interval is an exact
-  ``percentile`` over the B replicate values (B <= 1e6 is enforced, so that
-  buffer is bounded whatever the data size).
+  pre-centred moments; the interval is read off range-partitioned order
+  statistics, so neither B nor the number of rows has a limit.
 
 Two draw schemes. ``poisson`` (the scale default): each row or group gets
 an independent Poisson(1) weight, so a replicate's total size is random
 around n (or G), and all work combines map-side. ``multinomial``: exactly U
 draws with replacement per replicate (numpy's ``rng.integers(0, U, U)``
-semantics) from hash-derived uniforms over dense unit codes. numpy's own
-generator cannot be replayed in Spark, so intervals agree with the
-reference's in distribution, not digit for digit.
+semantics). Units lie in blocks of dense codes; a replicate's U draws are
+first split over the blocks by one multinomial draw, then each block's task
+makes its own draws beside its units and returns one row per replicate, so
+no draw is ever shuffled. numpy's own generator cannot be replayed in Spark,
+so intervals agree with the reference's in distribution, not digit for digit.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_POISSON = 16
+from ..session import checkpoint_dir
+from .describe import percentiles
 
+M32 = 4294967296            # 2^32
+MIX = 73244475              # 0x45d9f3b, 32-bit avalanche multiplier
+DRAW_MULT = 2246822519      # odd 32-bit multiplier for the block of a draw
+SEED_MULT = 3266489917      # odd 32-bit multiplier for the seed
+BLOCK = 65536               # units whose draws one task makes
+MIN_TASKS = 64
 
-def poisson1_thresholds(kmax: int = MAX_POISSON) -> list[float]:
-    """CDF of Poisson(1) at 0..kmax-1 (computed, not tabulated)."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax):
+
+def poisson1_thresholds() -> list[float]:
+    """CDF of Poisson(1) at 0, 1, ... up to the resolution of the uniform."""
+    out, acc, term, k = [], 0.0, math.exp(-1.0), 0
+    while acc < 1 - 2.0 ** -52:
         if k > 0:
             term /= k
         acc += term
         out.append(acc)
+        k += 1
     return out
 
 
-M32 = 4294967296            # 2^32
-GOLDEN = 2654435761         # odd 32-bit multiplier (Knuth)
-MIX = 73244475              # 0x45d9f3b, 32-bit avalanche multiplier
+def _words(text: Column) -> tuple[Column, Column]:
+    """Two 32-bit words of a text's md5."""
+    h = F.md5(text)
+    return tuple(F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") for k in (1, 9))
 
 
-def key_hash(seed: int, key: Column) -> Column:
-    """32-bit integer from md5('seed:key') -- once per row (or group)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
-
-
-def _mix(x: Column) -> Column:
+def _mix(x):
+    """32-bit avalanche; products stay below 2^59, exact in any SQL engine."""
     return ((x.bitwiseXOR(F.shiftright(x, 16))) * F.lit(MIX)) % F.lit(M32)
 
 
-def uniform_hash(kh: Column, rep: Column) -> Column:
-    """Uniform [0,1) for (row hash, replicate): an integer avalanche of
-    ``kh + (rep+1)*GOLDEN`` modulo 2^32. All products stay below 2^63, so
-    the arithmetic is exact (and ANSI-safe) in any SQL engine."""
-    x = (kh + (rep.cast("bigint") + F.lit(1)) * F.lit(GOLDEN)) % F.lit(M32)
-    x = _mix(_mix(x))
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    return x.cast("double") / F.lit(float(M32))
+def with_uniform(df: DataFrame, name: str = "__u") -> DataFrame:
+    """``df`` with a 52-bit uniform on [0, 1) made of words ``__k1, __k2`` (key) and ``__r1, __r2`` (replicate)."""
+    a, b = F.col("__a"), F.col("__b")
+    d = (df.withColumn("__a", F.col("__k1").bitwiseXOR(F.col("__r1")))
+         .withColumn("__b", F.col("__k2").bitwiseXOR(F.col("__r2")))
+         .withColumn("__a", _mix(a)).withColumn("__b", _mix(b.bitwiseXOR(a)))
+         .withColumn("__a", _mix(a.bitwiseXOR(b))).withColumn("__b", _mix(b.bitwiseXOR(a))))
+    hi, lo = (x.bitwiseXOR(F.shiftright(x, 16)) for x in (a, b))
+    u = (hi * F.lit(1 << 20) + F.shiftright(lo, 12)).cast("double") / F.lit(float(1 << 52))
+    return d.withColumn(name, u).drop("__a", "__b", "__k1", "__k2", "__r1", "__r2")
+
+
+def draw_uniforms(n: int, rep: int, block: int, seed: int, start: int = 0) -> np.ndarray:
+    """Uniforms of draws ``start .. start+n`` of a replicate in a block: the same mixing, in numpy."""
+    def mix(x):
+        return ((x ^ (x >> np.uint64(16))) * np.uint64(MIX)) % np.uint64(M32)
+
+    digest = hashlib.md5(f"{seed}:rep:{rep}".encode()).hexdigest()
+    r1, r2 = np.uint64(int(digest[:8], 16)), np.uint64(int(digest[8:16], 16))
+    j = np.arange(start, start + n, dtype=np.uint64)
+    k1 = mix((j + np.uint64(seed * SEED_MULT % M32)) % np.uint64(M32))
+    k2 = mix((k1 + np.uint64(block * DRAW_MULT % M32)) % np.uint64(M32))
+    a, b = mix(k1 ^ r1), k2 ^ r2
+    b = mix(b ^ a)
+    a = mix(a ^ b)
+    b = mix(b ^ a)
+    hi, lo = a ^ (a >> np.uint64(16)), b ^ (b >> np.uint64(16))
+    return (hi * np.uint64(1 << 20) + (lo >> np.uint64(12))) / float(1 << 52)
 
 
 def poisson1_weight(u: Column) -> Column:
@@ -109,100 +138,72 @@ def spark_parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
-MAX_WORK = 2e12   # replicate-rows (B x n, or B x groups) one call may generate
-
-
-DRAW_MULT = 2246822519      # odd 32-bit multiplier for the draw index
-SEED_MULT = 3266489917      # odd 32-bit multiplier for the seed
-
-
-def multinomial_draws(spark, units: int, B: int, seed: int, partitions: int) -> DataFrame:
-    """(rep, code): for every replicate, ``units`` draws with replacement of
-    a unit code in [0, units) -- numpy's ``rng.integers(0, U, U)``
-    semantics, with hash-derived uniforms. B x U draws are generated in
-    parallel, one row each (no per-(rep, code) hash map)."""
-    d = spark.range(0, B * units, numPartitions=partitions)
-    rep = F.expr(f"id div {int(units)}")
-    j = F.col("id") % F.lit(units)
-    kh = (j * F.lit(DRAW_MULT) + F.lit((seed * SEED_MULT) % M32)) % F.lit(M32)
-    u = uniform_hash(kh, rep)
-    idx = F.least(F.floor(u * F.lit(float(units))).cast("bigint"), F.lit(units - 1))
-    return d.select(rep.alias("rep"), idx.alias("code"))
-
-
 def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, seed: int = 42,
                     scheme: str = "iid", key: str | list[str] | None = None,
-                    group: str | None = None, max_work: float = MAX_WORK,
-                    draw: str = "poisson") -> DataFrame:
+                    group: str | None = None, draw: str = "poisson") -> DataFrame:
     """One row per replicate: (rep, n_w, a, b, indirect).
 
-    ``scheme='iid'`` weights rows (``key``: column(s) that identify a row);
-    ``scheme='cluster'`` weights whole groups of ``group``. The work is
-    B x rows (or B x groups) row-replicates, all generated and reduced inside
-    tasks; a call above ``max_work`` is refused with an error rather than
-    left to run for days (use fewer replicates or the cluster scheme)."""
-    if B <= 0 or B > 1_000_000:
-        raise ValueError("B must be in 1..1e6")
+    ``scheme='iid'`` weights rows; ``key`` names column(s) that identify a
+    row, and a key that repeats is an error, because equal keys would share
+    their draws. ``scheme='cluster'`` weights whole groups of ``group``. The
+    work is B x rows (or B x groups), generated and reduced inside tasks."""
+    if B <= 0:
+        raise ValueError("B must be positive")
     d = df.na.drop(subset=[iv, med, dv])
-    mu = d.agg(F.avg(iv).alias("x"), F.avg(med).alias("m"), F.avg(dv).alias("y"),
-               F.count(F.lit(1)).alias("n"),
-               (F.approx_count_distinct(group) if (scheme == "cluster" and group) else F.lit(0)).alias("g")).first()
+    mu = d.agg(F.avg(iv).alias("x"), F.avg(med).alias("m"), F.avg(dv).alias("y")).first()
     if mu["x"] is None:
         raise ValueError("empty sample")
-    units = mu["g"] if scheme == "cluster" else mu["n"]
-    if float(units) * B > max_work:
-        raise ValueError(f"bootstrap work {units} x {B} exceeds max_work={max_work:.3g} replicate-rows")
     x = F.col(iv) - F.lit(float(mu["x"]))
     m = F.col(med) - F.lit(float(mu["m"]))
     y = F.col(dv) - F.lit(float(mu["y"]))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rep")
+    moments = [c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)]
     if scheme == "iid":
         if key is None:
             raise ValueError("iid scheme needs a row key")
         keys = [key] if isinstance(key, str) else list(key)
-        kcol = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        base = d.select(key_hash(seed, kcol).alias("__kh"), kcol.alias("__g"),
-                        *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
+        base = d.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("__g"), *moments)
+        if not base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise ValueError(f"key {keys} does not identify a row")
     elif scheme == "cluster":
         if group is None:
             raise ValueError("cluster scheme needs a group column")
-        base = (d.select(F.col(group).cast("string").alias("__g"),
-                         *[c.alias(n) for c, n in zip(_moment_cols(x, m, y), _STATS)])
-                .groupBy("__g").agg(*[F.sum(n).alias(n) for n in _STATS])
-                .select(key_hash(seed, F.col("__g")).alias("__kh"), "__g", *_STATS))
+        base = (d.select(F.col(group).cast("string").alias("__g"), *moments)
+                .groupBy("__g").agg(*[F.sum(n).alias(n) for n in _STATS]))
     else:
         raise ValueError("scheme must be 'iid' or 'cluster'")
     if draw == "multinomial":
-        return _multinomial(df.sparkSession, base, B, seed, spark_parallelism(df), kcol if scheme == "iid"
-                            else None)
-    if draw != "poisson":
+        sums = _multinomial(base, B, seed)
+    elif draw == "poisson":
+        k1, k2 = _words(F.concat_ws(":", F.lit(str(seed)), F.col("__g")))
+        r1, r2 = _words(F.concat(F.lit(f"{seed}:rep:"), F.col("rep").cast("string")))
+        # The expansion multiplies the work by B, which AQE cannot see when it
+        # sizes partitions by bytes: deal the rows over all cores first.
+        par = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+        words = (base.select(k1.alias("__k1"), k2.alias("__k2"), *_STATS).repartition(par)
+                 .crossJoin(F.broadcast(_replicates(df.sparkSession, B).select("rep", r1.alias("__r1"),
+                                                                             r2.alias("__r2")))))
+        weighted = with_uniform(words).withColumn("__w", poisson1_weight(F.col("__u")))
+        sums = weighted.groupBy("rep").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in _STATS])
+    else:
         raise ValueError("draw must be 'poisson' or 'multinomial'")
-    # The replicate expansion multiplies work by B, which AQE cannot see when
-    # it sizes partitions by bytes (a small group table would be coalesced
-    # into one task). Spread the expansion over the cluster's cores first.
-    par = max(spark_parallelism(df), 1)
-    if scheme == "cluster" or base.rdd.getNumPartitions() < par:
-        base = base.repartition(par)
-    ex = base.select("__kh", *_STATS, reps)
-    # Drop zero weights by testing the uniform itself (u >= P(0)): a filter
-    # on the CASE result would be pushed below the projection and re-derive
-    # the hash in every CASE branch (measured 12x slower).
-    ex = ex.withColumn("__u", uniform_hash(F.col("__kh"), F.col("rep")))
-    ex = (ex.filter(F.col("__u") >= F.lit(poisson1_thresholds()[0]))
-          .withColumn("__w", poisson1_weight(F.col("__u"))))
-    sums = ex.groupBy("rep").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in _STATS])
     a, b = _paths({n: F.col(n) for n in _STATS})
     return sums.select("rep", F.col("w").alias("n_w"), a.alias("a"), b.alias("b"), (a * b).alias("indirect"))
 
 
+def _replicates(spark, B: int) -> DataFrame:
+    return spark.range(B).select(F.col("id").alias("rep"))
+
+
 def boot_ci(reps: DataFrame, col: str = "indirect", level: float = 0.95) -> DataFrame:
     """Exact percentile interval (linear interpolation) and whether
     it excludes zero; invalid replicates (NULL / NaN) are skipped."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    checkpoint_dir(reps.sparkSession)
     v = F.when(~F.isnan(F.col(col)), F.col(col))
-    s = reps.agg(F.count(F.lit(1)).alias("n_reps"), F.count(v).alias("n_valid"),
-                 F.avg(v).alias("boot_mean"), F.stddev_samp(v).alias("boot_sd"),
-                 F.percentile(v, F.array(F.lit(lo), F.lit(hi))).alias("q"))
+    values = reps.select(v.alias("v")).checkpoint(eager=True)     # one value per replicate
+    q = percentiles(values, "v", [lo, hi])
+    s = values.agg(F.count(F.lit(1)).alias("n_reps"), F.count("v").alias("n_valid"),
+                   F.avg("v").alias("boot_mean"), F.stddev_samp("v").alias("boot_sd")).crossJoin(q)  # one row each
     return s.select("n_reps", "n_valid", "boot_mean", "boot_sd", F.col("q")[0].alias("ci_lo"),
                     F.col("q")[1].alias("ci_hi"),
                     F.when(F.col("q")[0] * F.col("q")[1] > 0, F.lit("excludes 0"))
@@ -221,7 +222,6 @@ def dense_codes(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
         d = d.repartitionByRange(key)
     # freeze the range assignment (a recomputed sample could move the
     # boundaries): reliable checkpoint into the shared checkpoint folder
-    from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     d = d.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
     local = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(key)) - 1)
@@ -232,18 +232,45 @@ def dense_codes(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
             .select(key, (F.col("__off") + F.col("__rn")).cast("bigint").alias("code")))
 
 
-def _multinomial(spark, base: DataFrame, B: int, seed: int, par: int, _unused=None) -> DataFrame:
-    """Exact-size resampling: each replicate draws U units (rows or groups)
-    with replacement. Units get dense codes in sorted key order; every draw
-    joins its unit's sufficient statistics (the unit table is broadcast when
-    AQE measures it small, shuffled otherwise) and the sums aggregate by
-    replicate only -- B groups, combined map-side. B x U draws: heavier than
-    the Poisson scheme, so the same budget check applies."""
+def _multinomial(base: DataFrame, B: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """Exact-size resampling: weighted sums per replicate of U draws with
+    replacement from the U units, in dense codes of sorted key order.
+
+    Blocks of ``block`` codes meet their share of each replicate's draws in
+    one task. Few blocks are repeated for groups of replicates, so that at
+    least ``MIN_TASKS`` tasks share the B x U draws."""
+    spark = base.sparkSession
     codes = dense_codes(base, "__g")
-    units = base.join(codes, "__g").select("code", *_STATS)
+    checkpoint_dir(spark)
+    units = base.join(codes, "__g").select("code", *_STATS).checkpoint(eager=True)
     U = units.count()
-    draws = multinomial_draws(spark, U, B, seed, max(par, 1))
-    j = draws.join(units, "code")
-    sums = j.groupBy("rep").agg(*[F.sum(n).alias(n) for n in _STATS])
-    a, b = _paths({n: F.col(n) for n in _STATS})
-    return sums.select("rep", F.col("w").alias("n_w"), a.alias("a"), b.alias("b"), (a * b).alias("indirect"))
+    n_blocks = max(1, -(-U // block))
+    groups = max(1, -(-MIN_TASKS // n_blocks))
+
+    def split(batches):
+        share = np.full(n_blocks, block, float)
+        share[-1] = U - (n_blocks - 1) * block
+        for pdf in batches:
+            for rep in pdf["rep"]:
+                n = np.random.default_rng([seed, int(rep)]).multinomial(U, share / U)
+                yield pd.DataFrame({"rep": rep, "block": np.arange(n_blocks), "n": n})
+
+    shares = (_replicates(spark, B).mapInPandas(split, "rep long, block long, n long")
+              .withColumn("part", F.col("rep") % groups))
+    blocks = (units.withColumn("block", F.floor(F.col("code") / block))
+              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
+
+    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("code")
+        x, rows = left[_STATS].to_numpy(float), []
+        for rep, k, n in zip(right["rep"], right["block"], right["n"]):
+            times = np.zeros(len(x), np.int64)
+            for lo in range(0, int(n), 1 << 20):
+                u = draw_uniforms(min(1 << 20, int(n) - lo), int(rep), int(k), seed, lo)
+                times += np.bincount(np.minimum((u * len(x)).astype(np.int64), len(x) - 1), minlength=len(x))
+            rows.append([rep, *(times @ x)])
+        return pd.DataFrame(rows, columns=["rep", *_STATS]).astype({"rep": "int64"})
+
+    sums = (blocks.groupBy("block", "part").cogroup(shares.groupBy("block", "part"))
+            .applyInPandas(draw, "rep long, " + ", ".join(f"{n} double" for n in _STATS)))
+    return sums.groupBy("rep").agg(*[F.sum(n).alias(n) for n in _STATS])

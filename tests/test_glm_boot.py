@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from regframe.operators.bootstrap import boot_ci, boot_replicates
+from regframe.operators.bootstrap import boot_ci, boot_replicates, draw_uniforms, with_uniform
 from regframe.operators.glm import GLMSpec, fit_glm
 
 
@@ -102,9 +102,49 @@ def test_multinomial_draws_exactly_n(med_df):
     assert ci["n_valid"] == 200 and ci["ci_lo"] < ci["ci_hi"]
 
 
-def test_bootstrap_budget_guard(med_df):
-    with pytest.raises(ValueError):
-        boot_replicates(med_df, "x", "m", "y", B=1000, seed=3, scheme="iid", key="id", max_work=1e5)
+def test_bootstrap_refuses_no_size_and_needs_a_row_key(med_df):
+    reps = boot_replicates(med_df.limit(3), "x", "m", "y", B=1_000_001, seed=3, scheme="iid", key="id")
+    assert reps.columns == ["rep", "n_w", "a", "b", "indirect"]
+    with pytest.raises(ValueError, match="identify"):
+        boot_replicates(med_df, "x", "m", "y", B=10, scheme="iid", key="grp")
+
+
+def test_draws_of_replicates_are_uncorrelated():
+    u_n, picked = 1_000_000, [0, 1, 2, 3, 50, 777, 1510, 1511, 1512, 1999]
+    counts = [np.bincount((draw_uniforms(u_n, r, 0, 42) * u_n).astype(int), minlength=u_n) for r in picked]
+    c = np.corrcoef(counts) - np.eye(len(picked))
+    assert np.abs(c).max() < 6 / np.sqrt(u_n)
+    assert abs(np.var(counts[0]) - 1) < 0.01                      # Poisson-like counts
+    few = 2_000
+    small = np.array([np.bincount((draw_uniforms(few, r, 0, 42) * few).astype(int), minlength=few)
+                      for r in range(2_000)], float)
+    c = np.corrcoef(small) - np.eye(len(small))
+    assert np.abs(c).max() < 7 / np.sqrt(few) and abs(c.mean()) < 1e-3
+
+
+def test_numpy_and_column_uniforms_agree(spark):
+    rows = [(int(a), int(b)) for a, b in np.random.default_rng(0).integers(0, 2**32, (50, 2))]
+    d = spark.createDataFrame([(a, b, 5, 9) for a, b in rows], "__k1 long, __k2 long, __r1 long, __r2 long")
+    got = sorted(r["__u"] for r in with_uniform(d).collect())
+
+    def mix(v):
+        return ((v ^ (v >> 16)) * 73244475) % 2**32
+
+    want = []
+    for k1, k2 in rows:
+        a, b = mix(k1 ^ 5), k2 ^ 9
+        b = mix(b ^ a)
+        a = mix(a ^ b)
+        b = mix(b ^ a)
+        want.append(((a ^ (a >> 16)) * 2**20 + ((b ^ (b >> 16)) >> 12)) / 2**52)
+    assert got == sorted(want)
+
+
+def test_multinomial_over_many_blocks(med_df):
+    from regframe.operators import bootstrap as T
+    base = med_df.selectExpr("id AS __g", *[f"1.0D AS {n}" for n in T._STATS])
+    sums = T._multinomial(base, 40, 5, block=64).collect()
+    assert len(sums) == 40 and {r["w"] for r in sums} == {600.0}
 
 
 @pytest.mark.parametrize("fam", ["binomial", "gamma"])
