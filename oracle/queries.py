@@ -67,6 +67,20 @@ Q["assemble_task_base"] = W("", f"SELECT {_sel_round(TASK_BASE_COLS)} FROM task_
 Q["task_sample"] = W("", f"SELECT {_sel_round(TASK_BASE_COLS)} FROM task_level")
 Q["prepare_clusters"] = W("", f"SELECT {_sel_round(CLUSTER_COLS)} FROM clusters_prep")
 Q["integrate_levels"] = W("", f"SELECT {_sel_round(TASK_BASE_COLS + CLUSTER_COLS[1:])} FROM integrated")
+
+
+def _framed(col: str, text: bool) -> str:
+    v = col if text else f"CAST(CAST(round({col} * 1e6) AS DECIMAL(38,0)) AS VARCHAR)"
+    return f"coalesce('V' || length({v}) || ':' || {v}, 'N;')"
+
+
+_TEXT_COLS = {"task_name", "cluster_name_0", "cluster_name_1", "cluster_name_2", "merge_status"}
+Q["table_checksum"] = W(
+    "hs AS (SELECT md5(" + " || ".join(_framed(c, c in _TEXT_COLS) for c in TASK_BASE_COLS + CLUSTER_COLS[1:])
+    + ") AS h FROM integrated)",
+    "SELECT count(*) AS n_rows, " + ", ".join(
+        f"CAST(sum(('0x' || substr(h, {at}, 15))::BIGINT::HUGEINT) AS VARCHAR) AS sum_{n}" for n, at in (("a", 1), ("b", 16)))
+    + " FROM hs")
 Q["cluster_sample"] = W("", f"SELECT {_sel_round(TASK_BASE_COLS + CLUSTER_COLS[1:])} FROM cluster_level")
 
 Q["integration_diagnostics"] = W("""

@@ -5,16 +5,17 @@ not reference.
 """
 
 FX = """
+fx_item AS (
+  SELECT l_partkey, l_extendedprice, l_discount, l_returnflag || l_linestatus AS pattern FROM lineitem),
 fx_line AS (
   SELECT l.l_orderkey, l.l_partkey, o.o_custkey, l.l_extendedprice, l.l_discount,
          l.l_returnflag || l.l_linestatus AS pattern
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 fx_task_pct AS (
   SELECT lower(p.p_name) || ' #' || CAST(p.p_partkey AS VARCHAR) AS task_name,
-         100e0 * sum(f.l_extendedprice) / (SELECT sum(l_extendedprice) FROM fx_line) AS pct
-  FROM fx_line f JOIN part p ON p.p_partkey = f.l_partkey
-  WHERE p.p_partkey % 101 <> 0
-  GROUP BY p.p_partkey, p.p_name),
+         100e0 * sum(f.l_extendedprice) / (SELECT sum(l_extendedprice) FROM fx_item) AS pct
+  FROM fx_item f JOIN part p ON p.p_partkey = f.l_partkey
+  GROUP BY p.p_partkey, p.p_name HAVING count(*) FILTER (WHERE pattern = 'AF') > 0),
 fx_interaction AS (
   SELECT lower(p.p_name) || ' #' || CAST(p.p_partkey AS VARCHAR) AS task_name,
          avg(CASE WHEN pattern = 'AF' THEN 1e0 ELSE 0e0 END) AS directive,
@@ -23,15 +24,13 @@ fx_interaction AS (
          avg(CASE WHEN pattern = 'NO' THEN 1e0 ELSE 0e0 END) AS learning,
          avg(CASE WHEN pattern = 'RF' THEN 1e0 ELSE 0e0 END) AS validation,
          avg(CASE WHEN pattern = 'RO' THEN 1e0 ELSE 0e0 END) AS filtered
-  FROM fx_line f JOIN part p ON p.p_partkey = f.l_partkey
-  WHERE p.p_partkey % 97 <> 0
-  GROUP BY p.p_partkey, p.p_name),
+  FROM fx_item f JOIN part p ON p.p_partkey = f.l_partkey
+  GROUP BY p.p_partkey, p.p_name HAVING count(*) FILTER (WHERE pattern = 'RO') > 0),
 fx_thinking AS (
   SELECT lower(p.p_name) || ' #' || CAST(p.p_partkey AS VARCHAR) AS task_name,
          avg(CASE WHEN f.l_discount >= 5e-2 THEN 1e0 ELSE 0e0 END) AS thinking_fraction
-  FROM fx_line f JOIN part p ON p.p_partkey = f.l_partkey
-  WHERE p.p_size <= 9
-  GROUP BY p.p_partkey, p.p_name),
+  FROM fx_item f JOIN part p ON p.p_partkey = f.l_partkey
+  GROUP BY p.p_partkey, p.p_name HAVING count(*) FILTER (WHERE pattern = 'RO' AND l_discount >= 5e-2) > 0),
 fx_cust_part AS (
   SELECT o_custkey, l_partkey,
          row_number() OVER (PARTITION BY o_custkey ORDER BY sum(l_extendedprice) DESC, l_partkey) AS rn
@@ -51,7 +50,7 @@ fx_clusters AS (
               || ' #' || CAST(p.p_partkey AS VARCHAR) || ' ' AS onet_task,
          c.c_name AS cluster_name_0,
          n.n_name || ' ' || c.c_mktsegment AS cluster_name_1,
-         CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE r.r_name END AS cluster_name_2,
+         CASE WHEN s.r6 < 8e-2 THEN NULL ELSE r.r_name END AS cluster_name_2,
          CASE WHEN s.r1 < 8e-2 THEN NULL ELSE s.r1 END AS collab_directive_ratio,
          CASE WHEN s.r2 < 8e-2 THEN NULL ELSE s.r2 END AS collab_feedback_loop_ratio,
          CASE WHEN s.r3 < 8e-2 THEN NULL ELSE s.r3 END AS collab_task_iteration_ratio,

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 
 def q(name: str) -> str:
-    """Quoted identifier."""
-    return "`" + name.replace("`", "``") + "`"
+    """Quoted identifier for the SQL texts here, whose braces ``format`` reads."""
+    return "`" + name.replace("`", "``").replace("{", "{{").replace("}", "}}") + "`"
 
 
 def lit(x: float) -> str:

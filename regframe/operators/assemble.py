@@ -103,8 +103,14 @@ def prepare_clusters(clusters: DataFrame) -> DataFrame:
 
 def integrate_levels(task_base: DataFrame, clusters_prepared: DataFrame) -> DataFrame:
     """M3/D3: left join with 1:N fan-out. Row-count law:
-    ``n = n_task - matched_tasks + cluster_rows_of_matched_tasks``."""
-    return task_base.join(clusters_prepared, KEY, "left")
+    ``n = n_task - matched_tasks + cluster_rows_of_matched_tasks``.
+
+    Matched tasks are an inner join, whose two sides Spark can both split, so
+    a task that holds very many clusters is no single task; the others, which
+    an anti-join finds, get NULL cluster columns."""
+    matched = task_base.join(clusters_prepared, KEY)
+    other = task_base.join(clusters_prepared.select(KEY).distinct(), KEY, "left_anti")
+    return matched.unionByName(other, allowMissingColumns=True)
 
 
 def integration_diagnostics(integrated: DataFrame, level0: str = "cluster_name_0") -> DataFrame:

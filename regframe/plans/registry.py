@@ -35,6 +35,9 @@ def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _CACHE:
+            for old in [k for k in _CACHE if k[0] == key[0]]:   # one folder's levels at a time
+                for frame in _CACHE.pop(old).values():
+                    frame.unpersist()
             fr = {k: v.persist() for k, v in testdata_sources(spark, sf_dir).items()}
             lv = A.build_levels(fr)
             lv["integrated"] = lv["integrated"].persist()
@@ -717,7 +720,7 @@ def q_qc_coefficients(spark, sf):
 
 
 def q_table_checksum(spark, sf):
-    return D.table_checksum(levels(spark, sf)["integrated"])
+    return D.table_checksum(levels(spark, sf)["integrated"], digits=6)
 
 
 def q_coef_table(spark, sf):

@@ -23,7 +23,7 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = "local[*]", shuffle_partitions: int | None = 8,
+def get_session(master: str | None = "local[*]", shuffle_partitions: int | None = None,
                 app_name: str = "regframe", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session. Under spark-submit pass ``master=None``
     (the cluster decides; without any master configured, local mode is
@@ -51,12 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / intermediate tables.
 
     Uses ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset -- local tests -- a fresh temporary
-    folder is created and registered.
+    folder there). Only when it is unset under a ``local`` master -- tests -- a
+    fresh temporary folder is created and registered; on a cluster executors
+    would not share it, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="regframe-ckpt-")
     spark.sparkContext.setCheckpointDir(d)

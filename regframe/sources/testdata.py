@@ -4,20 +4,23 @@ Mapping (documented in FIXTURES.md §3): part = task, customer = cluster, the
 customer's top part by spend = the cluster's task, nation+segment / region =
 the coarser cluster levels, the six ``returnflag||linestatus`` values = five
 interaction patterns plus ``none``, high-discount lines = thinking rate.
-Planted on purpose: parts missing from one task file or the other (key
-gaps), suppressed (NULL) cluster ratios, mixed-case padded keys and a NULL
-third name level.
+Key gaps come from the lines themselves: a part without any line of one
+pattern is absent from a task file. Ratios below a floor are suppressed
+(NULL), keys are padded and of mixed case, and a customer whose last ratio is
+suppressed has no third name level. No part, line or customer is left out by
+its key.
 
 Scale notes
 -----------
-* ``lineitem`` is the only large input. It is joined to ``orders`` on the
-  order key once (sort-merge at scale; AQE broadcasts the two-column orders
-  projection when it is small); the narrow joined lines are persisted.
-* Per-part statistics: one partial/final aggregation on the part key.
-* Per-customer statistics: a per-(order, customer) pre-aggregate -- which
-  the join's order-key partitioning already satisfies, so it adds no
-  shuffle -- then a partial/final aggregation on the customer. Counting the
-  per-order rows gives "orders with lines" without a DISTINCT.
+* ``lineitem`` is the only large input. Per-part statistics are one
+  partial/final aggregation of it on the part key; that part-sized table is
+  persisted and feeds the three task sources and the grand total.
+* Per-customer statistics read the lines joined to ``orders`` on the order
+  key, through a per-(order, customer) pre-aggregate -- which the join's
+  order-key partitioning already satisfies, so it adds no shuffle -- then a
+  partial/final aggregation on the customer. Counting the per-order rows
+  gives "orders with lines" without a DISTINCT. No line-sized copy is kept:
+  the two customer aggregates share the join's exchange within their query.
 * The customer's top part needs the (customer, part) grain: that is the one
   wide shuffle, three columns wide, followed by an arg-max aggregate
   (``max(struct(spend, -partkey))``), not a window -- a customer holding a
@@ -55,10 +58,6 @@ CLUSTER_PATTERN_COLS = [
 THINK_DISCOUNT = 0.05        # a line "uses thinking" when discount >= 5 %
 RATIO_SUPPRESS = 0.08        # cluster ratios below this are withheld (NULL)
 THINK_SUPPRESS = 0.30        # cluster thinking ratio below this is withheld
-TASK_PCT_GAP_MOD = 101       # parts with key % 101 == 0 are absent from task_pct
-INTERACTION_GAP_MOD = 97     # ... key % 97 == 0 absent from interaction
-THINKING_MAX_SIZE = 9        # thinking data only for parts with p_size <= 9
-NULL_LEVEL2_MOD = 11         # customers with key % 11 == 0 have no level-2 name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,14 +68,14 @@ def _task_name(p: DataFrame) -> Column:
     return F.concat(F.lower(p["p_name"]), F.lit(" #"), p["p_partkey"].cast("string"))
 
 
-def _flag(cond: Column) -> Column:
-    return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount",
+        F.concat("l_returnflag", "l_linestatus").alias("pattern"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount",
-        F.concat("l_returnflag", "l_linestatus").alias("pattern"))
+    li = _lineitem(spark, sf_dir)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).drop("o_orderkey")
 
@@ -94,32 +93,34 @@ def _per_part(lines: DataFrame) -> DataFrame:
     the part key (map-side combine leaves one row per part per partition).
     Ratios are counts over lines -- integer sums, so identical to averaging
     the 0/1 flags."""
-    g = lines.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("spend"),
-                                       F.count(F.lit(1)).alias("n"), *_line_counts())
-    return g.select("l_partkey", "spend",
+    g = lines.groupBy("l_partkey").agg(
+        F.sum("l_extendedprice").alias("spend"), F.count(F.lit(1)).alias("n"), *_line_counts(),
+        F.count_if((F.col("pattern") == PATTERNS[-1][0]) & (F.col("l_discount") >= THINK_DISCOUNT)).alias("c_last"))
+    return g.select("l_partkey", "spend", "c_last",
                     *[(F.col(f"c_{name}") / F.col("n")).alias(name) for _, name in PATTERNS],
                     (F.col("c_think") / F.col("n")).alias("thinking_fraction"))
 
 
-def task_sources(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> dict[str, DataFrame]:
-    lines = lines if lines is not None else _lines(spark, sf_dir)
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    pp = _per_part(lines)
+def task_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict[str, DataFrame]:
+    """``task_pct`` lacks parts without a line of the first pattern,
+    ``interaction`` those without one of the last, ``thinking`` those without
+    a discounted line of the last."""
+    pp = _per_part(_lineitem(spark, sf_dir))
+    if persist:
+        pp = pp.persist()                                 # one row per part
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     total = pp.agg(F.sum("spend").alias("total_spend"))   # over all lines, as the share base
-    pp = pp.join(part, pp["l_partkey"] == part["p_partkey"]).drop("l_partkey")
-    task_pct = (pp.filter(F.col("p_partkey") % TASK_PCT_GAP_MOD != 0)
-                .crossJoin(F.broadcast(total))
-                .select(_task_name(pp).alias("task_name"),
-                        (F.lit(100.0) * F.col("spend") / F.col("total_spend")).alias("pct")))
-    interaction = (pp.filter(F.col("p_partkey") % INTERACTION_GAP_MOD != 0)
-                   .select(_task_name(pp).alias("task_name"), *[n for _, n in PATTERNS]))
-    thinking = (pp.filter(F.col("p_size") <= THINKING_MAX_SIZE)
-                .select(_task_name(pp).alias("task_name"), "thinking_fraction"))
+    named = pp.join(part, pp["l_partkey"] == part["p_partkey"]).drop("l_partkey")
+    name = _task_name(named).alias("task_name")
+    task_pct = (named.filter(F.col(PATTERNS[0][1]) > 0).crossJoin(F.broadcast(total))
+                .select(name, (F.lit(100.0) * F.col("spend") / F.col("total_spend")).alias("pct")))
+    interaction = named.filter(F.col(PATTERNS[-1][1]) > 0).select(name, *[n for _, n in PATTERNS])
+    thinking = named.filter("c_last > 0").select(name, "thinking_fraction")
     return {"task_pct": task_pct, "interaction": interaction, "thinking": thinking}
 
 
-def cluster_source(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    lines = lines if lines is not None else _lines(spark, sf_dir)
+def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
     # per customer, through a per-order pre-aggregate: grouping by
     # (order, customer) is satisfied by the join's order-key partitioning
     # (no shuffle), and counting the order rows gives "orders with lines"
@@ -164,8 +165,7 @@ def cluster_source(spark: SparkSession, sf_dir: str, lines: DataFrame | None = N
         onet.alias("onet_task"),
         F.col("c_name").alias("cluster_name_0"),
         F.concat(F.col("n_name"), F.lit(" "), F.col("c_mktsegment")).alias("cluster_name_1"),
-        F.when(F.col("c_custkey") % NULL_LEVEL2_MOD == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("r_name")).alias("cluster_name_2"),
+        F.when(F.col(f"r{len(PATTERNS)}") >= RATIO_SUPPRESS, F.col("r_name")).alias("cluster_name_2"),
         *[suppress(f"r{i}", RATIO_SUPPRESS).alias(name) for i, name in enumerate(CLUSTER_PATTERN_COLS, 1)],
         suppress("rt", THINK_SUPPRESS).alias("has_thinking_ratio"),
         (F.lit(100.0) * F.col("n_lines") / F.col("all_lines")).alias("percent_records"),
@@ -176,13 +176,6 @@ def cluster_source(spark: SparkSession, sf_dir: str, lines: DataFrame | None = N
 def testdata_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict[str, DataFrame]:
     """``{task_pct, interaction, thinking, clusters}`` over the test tables.
 
-    The joined, column-pruned lines feed all four sources; they are
-    persisted (recomputable from lineage if an executor is lost), so
-    lineitem is read and joined to orders once however many sources are
-    materialised; each source then aggregates them once."""
-    lines = _lines(spark, sf_dir)
-    if persist:
-        lines = lines.persist()
-    out = task_sources(spark, sf_dir, lines)
-    out["clusters"] = cluster_source(spark, sf_dir, lines)
-    return out
+    ``persist`` keeps the per-part aggregate (recomputable from lineage if an
+    executor is lost), so the task files share one aggregation of the lines."""
+    return {**task_sources(spark, sf_dir, persist), "clusters": cluster_source(spark, sf_dir)}
