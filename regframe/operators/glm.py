@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..functions import sqltext as S
 from ..functions.special import lgamma_sql
 from ..functions.tails import Z975, norm_sf2
-from .linear import COEF_SCHEMA
+from .linear import COEF_SCHEMA, COND_LIMIT
 
 FAMILIES = ("binomial", "poisson", "gamma")
 
@@ -61,6 +61,8 @@ class GLMResult:
     n: int = 0
     n_total: int = 0
     ybar: float = float("nan")
+    x_at: np.ndarray | None = None            # means and deviations that standardise x
+    x_sd: np.ndarray | None = None
     beta: np.ndarray | None = None
     cov: np.ndarray | None = None
     iterations: int = 0
@@ -71,6 +73,17 @@ class GLMResult:
     def terms(self) -> list[str]:
         return ["const", *self.spec.x]
 
+    @property
+    def back(self) -> np.ndarray:
+        """Matrix from coefficients of standardised predictors to those of the columns."""
+        t = np.diag(np.concatenate([[1.0], 1.0 / self.x_sd]))
+        t[0, 1:] = -self.x_at / self.x_sd
+        return t
+
+    def z_sql(self) -> list[str]:
+        return ["1D"] + [f"(({S.q(x)} - {S.lit(a)}) / {S.lit(d)})"
+                         for x, a, d in zip(self.spec.x, self.x_at, self.x_sd)]
+
     def eta_sql(self) -> str:
         return S.linear(self.beta[0], self.beta[1:], [S.q(x) for x in self.spec.x])
 
@@ -90,9 +103,14 @@ class GLMResult:
 
 
 def _linkinv(family: str, eta: str) -> str:
+    """Inverse link, kept inside its open range, so that a step too far gives
+    a huge deviance (and is halved) instead of a division by zero."""
+    # greatest / least skip NULL and NaN, which have to stay what they are
     if family == "binomial":
-        return f"(1D / (1D + exp(-{eta})))"
-    return f"exp({eta})"
+        inside = f"least(greatest(1D / (1D + exp(-greatest({eta}, -700D))), 1e-15D), 1D - 1e-15D)"
+    else:
+        inside = f"exp(least(greatest({eta}, -300D), 300D))"
+    return f"(CASE WHEN {eta} IS NULL OR isnan({eta}) THEN {eta} ELSE {inside} END)"
 
 
 def _link(family: str, mu: float) -> float:
@@ -199,9 +217,16 @@ class GLMFit:
         return self.spark.createDataFrame(rows, GLM_FIT_SCHEMA)
 
 
-def fit_glm(df: DataFrame, specs: list[GLMSpec], max_iter: int = 100, tol: float = 1e-10,
-            persist: bool = True, check_domain: bool = True) -> GLMFit:
-    """Fit a battery of GLMs over one table."""
+def fit_glm(df: DataFrame, specs: list[GLMSpec], max_iter: int = 100, tol: float = 1e-12,
+            persist: bool = True, check_domain: bool = False) -> GLMFit:
+    """Fit a battery of GLMs over one table.
+
+    A model that cannot be fitted keeps its place with a status (``domain``,
+    ``insufficient``, ``singular``, ``diverged``, ``not converged``) and never
+    stops the others; ``check_domain`` raises on the first one outside its
+    domain instead. Newton steps run on standardised predictors; a step that
+    raises the deviance is halved, and a model is done when a step changes the
+    deviance by less than ``tol`` of itself."""
     spark = df.sparkSession
     need = []
     for s in specs:
@@ -232,6 +257,8 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         else:
             bad = f"{y} < 0"
         aggs.append(f"count_if({ok} AND {bad}) AS bad_{i}")
+        for a, x in enumerate(s.x):
+            aggs += [f"avg({S.when(ok, S.q(x))}) AS xm_{i}_{a}", f"stddev_samp({S.when(ok, S.q(x))}) AS xs_{i}_{a}"]
         if s.family == "gamma":
             # moments of (ln y, x) for a log-linear least-squares start
             v = [f"ln({y})"] + [S.q(x) for x in s.x]
@@ -253,7 +280,16 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         if m.n <= len(s.x) + 1:
             m.status = "insufficient"
             continue
+        at = [r0[f"xm_{i}_{a}"] for a in range(len(s.x))]
+        sd = [r0[f"xs_{i}_{a}"] for a in range(len(s.x))]
+        if any(v is None or not (v > 0) or not math.isfinite(v) for v in sd):
+            m.status = "singular"
+            continue
+        m.x_at, m.x_sd = np.array(at, float), np.array(sd, float)
         m.ybar = float(r0[f"ybar_{i}"])
+        if not 0 < m.ybar < (1 if s.family == "binomial" else math.inf):
+            m.status = "domain"
+            continue
         m.beta = np.zeros(len(s.x) + 1)
         m.beta[0] = _link(s.family, m.ybar)
         if s.family == "gamma":
@@ -261,6 +297,8 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
 
     live = {s.model_id: i for i, s in enumerate(specs) if models[s.model_id].status == "ok"}
     active = set(live)
+    at = {mid: np.linalg.solve(models[mid].back, models[mid].beta) for mid in live}   # standardised coefficients
+    kept: dict[str, tuple[np.ndarray, float]] = {}                                    # last accepted, its deviance
     it = 0
     while active and it < max_iter:
         it += 1
@@ -268,41 +306,54 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         for mid in sorted(active):
             i, m = live[mid], models[mid]
             s, ok, y = m.spec, oks[mid], _ysql(m.spec)
-            st1 += [f"{S.when(ok, y)} AS __y{i}", f"{S.when(ok, m.eta_sql())} AS __eta{i}"]
+            z = m.z_sql()
+            eta = " + ".join(f"{S.lit(b)} * {x}" for b, x in zip(at[mid], z))
+            st1 += [f"{S.when(ok, y)} AS __y{i}", f"{S.when(ok, f'({eta})')} AS __eta{i}"]
+            st1 += [f"{x} AS __z{i}_{a}" for a, x in enumerate(z)]
             st2.append(f"{_linkinv(s.family, f'__eta{i}')} AS __mu{i}")
             w, zz = _newton_terms(s.family, f"__y{i}", f"__mu{i}", f"__eta{i}")
             st3 += [f"{w} AS __w{i}", f"{zz} AS __zz{i}"]
-            z = ["1D"] + [S.q(x) for x in s.x]
+            aggs.append(f"sum({_unit_deviance(s.family, f'__y{i}', f'__mu{i}')}) AS dev_{i}")
             for a in range(len(z)):
-                aggs.append(f"sum(__w{i} * {z[a]} * __zz{i}) AS r_{i}_{a}")
+                aggs.append(f"sum(__w{i} * __z{i}_{a} * __zz{i}) AS r_{i}_{a}")
                 for b in range(a, len(z)):
-                    aggs.append(f"sum(__w{i} * {z[a]} * {z[b]}) AS a_{i}_{a}_{b}")
+                    aggs.append(f"sum(__w{i} * __z{i}_{a} * __z{i}_{b}) AS a_{i}_{a}_{b}")
         r = S.select_agg_staged(data, [st1, st2, st3], aggs)
         for mid in sorted(active):
             i, m = live[mid], models[mid]
+            dev = r[f"dev_{i}"]
+            m.iterations = it
+            if mid in kept and not (dev <= kept[mid][1] * (1 + 1e-10) + 1e-12):
+                if np.max(np.abs(at[mid] - kept[mid][0])) < 1e-12 * (1 + np.max(np.abs(at[mid]))):
+                    m.status = "diverged"
+                    active.discard(mid)
+                at[mid] = (at[mid] + kept[mid][0]) / 2        # halve the step
+                continue
             p = len(m.spec.x) + 1
             A = np.empty((p, p))
             for a in range(p):
                 for b in range(a, p):
                     A[a, b] = A[b, a] = r[f"a_{i}_{a}_{b}"]
-            rhs = np.array([r[f"r_{i}_{a}"] for a in range(p)])
-            try:
-                new = np.linalg.solve(A, rhs)
-            except np.linalg.LinAlgError:
-                m.status = "singular"
+            rhs = np.array([r[f"r_{i}_{a}"] for a in range(p)], float)
+            if not (np.all(np.isfinite(A)) and np.all(np.isfinite(rhs)) and dev is not None and math.isfinite(dev)):
+                m.status = "diverged"
                 active.discard(mid)
                 continue
-            if not np.all(np.isfinite(new)):
-                m.status = "diverged"
+            d = np.sqrt(np.maximum(np.diag(A), 1e-300))
+            if not (np.linalg.cond(A / np.outer(d, d)) < COND_LIMIT):
+                m.status = "singular"
                 active.discard(mid)
                 continue
-            step = np.max(np.abs(new - m.beta) / (1.0 + np.abs(new)))
-            m.beta = new
-            m.iterations = it
-            if step < tol:
+            before = kept.get(mid, (None, math.inf))[1]
+            kept[mid] = (at[mid], dev)
+            at[mid] = np.linalg.solve(A, rhs)
+            # the step from a point this close squares its error once more
+            if before - dev <= tol * (abs(dev) + tol):
                 active.discard(mid)
     for mid in active:
         models[mid].status = "not converged"
+    for mid in live:
+        models[mid].beta = models[mid].back @ at[mid]
 
     done = [mid for mid in live if models[mid].status == "ok"]
     if not done:
@@ -334,7 +385,7 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         bw = _bread_weight(fam, y, mu)
         sf = _score_factor(fam, y, mu)
         ww = _irls_terms(fam, y, mu, "0D")[0]
-        z = ["1D"] + [S.q(x) for x in s.x]
+        z = m.z_sql()
         for a in range(len(z)):
             for b in range(a, len(z)):
                 aggs.append(f"sum({bw} * {z[a]} * {z[b]}) AS A_{i}_{a}_{b}")
@@ -354,7 +405,7 @@ def _fit(data, specs, dtypes, max_iter, tol, check_domain):
         Ai = np.linalg.inv(A)
         if m.spec.cov == "HC1":
             B = B * (n / (n - p))
-        m.cov = Ai @ B @ Ai
+        m.cov = m.back @ Ai @ B @ Ai @ m.back.T
         m.stats_bread = Ai
         if m.spec.cov == "HC3":
             Q = np.empty((p, p))
@@ -407,20 +458,25 @@ def _hc3_pass(data, models, oks, hc3) -> None:
         s, ok = m.spec, oks[mid]
         y, mu = f"__y{i}", f"__mu{i}"
         st1 += [f"{S.when(ok, _ysql(s))} AS {y}", f"{S.when(ok, m.mean_sql())} AS {mu}"]
-        z = ["1D"] + [S.q(x) for x in s.x]
+        z = m.z_sql()
         w = _irls_terms(s.family, y, mu, "0D")[0]
         sf = _score_factor(s.family, y, mu)
-        st2.append(f"power(try_divide({sf}, 1D - {w} * {S.quad(Qi, z)}), 2) AS __s{i}")
+        left = f"(1D - {w} * {S.quad(Qi, z)})"
+        st2.append(f"power({sf} / CASE WHEN {left} > 1e-10D THEN {left} END, 2) AS __s{i}")
+        aggs.append(f"count_if({y} IS NOT NULL AND __s{i} IS NULL) AS full_{i}")
         for a in range(len(z)):
             for b in range(a, len(z)):
                 aggs.append(f"sum(__s{i} * {z[a]} * {z[b]}) AS H_{i}_{a}_{b}")
     r = S.select_agg_staged(data, [st1, st2], aggs)
     for mid, i, _ in hc3:
         m = models[mid]
+        if r[f"full_{i}"]:
+            m.status = "leverage one"
+            continue
         p = len(m.spec.x) + 1
         Bm = np.empty((p, p))
         for a in range(p):
             for b in range(a, p):
                 Bm[a, b] = Bm[b, a] = r[f"H_{i}_{a}_{b}"]
-        m.cov = m.stats_bread @ Bm @ m.stats_bread
+        m.cov = m.back @ m.stats_bread @ Bm @ m.stats_bread @ m.back.T
 

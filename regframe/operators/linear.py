@@ -36,6 +36,7 @@ from ..functions import sqltext as S
 from ..functions.tails import Z975, f_sf, norm_sf2
 
 COND_LIMIT = 1e12
+FULL_LEVERAGE = 1e-10         # 1 - h at or below this: the row fits itself exactly
 
 
 @dataclass
@@ -45,7 +46,7 @@ class ModelSpec:
     x: list[str]
     cov: str = "HC3"              # HC0 | HC1 | HC2 | HC3 | classical | cluster
     groups: str | None = None     # group column for cov="cluster"
-    log_y: bool = False           # regress ln(y) (rows with y <= 0 -> error)
+    log_y: bool = False           # regress ln(y) (rows with y <= 0 -> status "domain")
 
     @property
     def cols(self) -> list[str]:
@@ -93,9 +94,11 @@ class ModelResult:
         return f"({S.lit(1.0 / self.n)} + {S.quad(self.Sinv, xc)})"
 
     def cooks_sql(self) -> str:
+        """Cook's distance; a row of leverage 1 is infinitely influential."""
         s2 = self.ssr / (self.n - self.p)
         h, e = self.leverage_sql(), self.resid_sql()
-        return f"({e} * {e} * {h} / ({S.lit(self.p * s2)} * (1D - {h}) * (1D - {h})))"
+        return (f"(CASE WHEN 1D - {h} <= {S.lit(FULL_LEVERAGE)} THEN double('Infinity') ELSE "
+                f"try_divide({e} * {e} * {h}, {S.lit(self.p * s2)} * (1D - {h}) * (1D - {h})) END)")
 
     def fitted(self) -> Column:
         return F.expr(self.fitted_sql())
@@ -195,8 +198,14 @@ def fit_row(mid: str, m: ModelResult) -> tuple:
 
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], sample: str = "per_model",
-            persist: bool = True, nonpositive: str = "error") -> OLSFit:
-    """Fit a battery of OLS models over one table."""
+            persist: bool = True, nonpositive: str = "status") -> OLSFit:
+    """Fit a battery of OLS models over one table.
+
+    A model that cannot be fitted keeps its place with a status and never
+    stops the others: ``insufficient`` (too few rows), ``singular``,
+    ``domain`` (ln(y) of y <= 0; ``nonpositive="drop"`` leaves those rows
+    out), ``null group`` (a complete row without its group) and ``leverage
+    one`` (HC2 / HC3 undefined, because a row fits itself exactly)."""
     if not specs:
         raise ValueError("no model specs")
     spark = df.sparkSession
@@ -239,6 +248,9 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         ok = oks[s.model_id]
         v = [_ysql(s)] + [S.q(x) for x in s.x]
         aggs.append(f"count_if({ok}) AS n_{i}")
+        if s.groups:
+            complete = S.ok_cond([s.y, *s.x], dtypes)
+            aggs.append(f"count_if({complete} AND {S.q(s.groups)} IS NULL) AS ng_{i}")
         if s.log_y:
             aggs.append(f"count_if({raw[s.model_id]} AND {S.q(s.y)} <= 0) AS np_{i}")
         for a in range(len(v)):
@@ -251,9 +263,12 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
     for i, s in enumerate(specs):
         m = ModelResult(spec=s, n=int(r1[f"n_{i}"]), n_total=int(r1["n_total"]))
         models[s.model_id] = m
-        if s.log_y and r1.get(f"np_{i}") and nonpositive == "error":
-            raise ValueError(f"{s.model_id}: ln({s.y}) undefined for {r1[f'np_{i}']} rows with y <= 0 "
-                             "(pass nonpositive='drop' to exclude them)")
+        if s.log_y and r1.get(f"np_{i}") and nonpositive != "drop":
+            m.status = "domain"
+            continue
+        if r1.get(f"ng_{i}"):
+            m.status = "null group"
+            continue
         k = len(s.x)
         if m.n <= k + 1:
             m.status = "insufficient"
@@ -309,12 +324,14 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         st1 += [f"{S.when(ok, c)} AS __x{i}_{a}" for a, c in enumerate(xc, start=1)]
         e, h = f"__e{i}", f"__h{i}"
         if s.cov == "HC3":
-            w = f"power(try_divide({e}, 1D - {h}), 2)"
+            w = f"power({e} / CASE WHEN 1D - {h} > {S.lit(FULL_LEVERAGE)} THEN 1D - {h} END, 2)"
         elif s.cov == "HC2":
-            w = f"try_divide({e} * {e}, 1D - {h})"
+            w = f"({e} * {e} / CASE WHEN 1D - {h} > {S.lit(FULL_LEVERAGE)} THEN 1D - {h} END)"
         else:
             w = f"({e} * {e})"
         st2.append(f"{w} AS __w{i}")
+        if s.cov in ("HC2", "HC3"):
+            p2.append((f"CASE WHEN {e} IS NOT NULL AND __w{i} IS NULL THEN 1D ELSE 0D END", f"full_{i}"))
         p2 += [(f"{e} * {e}", f"sse_{i}"), (f"power({e}, 3)", f"s3_{i}"), (f"power({e}, 4)", f"s4_{i}")]
         if s.cov not in ("classical", "cluster"):
             z = ["1D"] + [f"__x{i}_{a}" for a in range(1, len(xc) + 1)]
@@ -363,6 +380,9 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
         m = models[s.model_id]
         p = m.p
         m.ssr = float(r2[f"sse_{i}"])
+        if r2.get(f"full_{i}"):
+            m.status = "leverage one"
+            continue
         m.extras["sum_e3"] = r2[f"s3_{i}"]
         m.extras["sum_e4"] = r2[f"s4_{i}"]
         Ainv = np.zeros((p, p))
@@ -394,6 +414,25 @@ def ols(df: DataFrame, y: str, x: list[str], cov: str = "HC3", groups: str | Non
     return fit_ols(df, [ModelSpec(model_id, y, list(x), cov, groups, log_y)])
 
 
+def omnibus_k2(skew: float, kurt: float, n: int) -> float | None:
+    """D'Agostino and Pearson's K^2 of a sample's skewness and kurtosis; none below 8 rows."""
+    if n < 8:
+        return None
+    y = skew * math.sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2)))
+    b2 = 3.0 * (n * n + 27.0 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (b2 - 1)) - 1
+    z1 = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    e = 3.0 * (n - 1) / (n + 1)
+    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) ** 2 * (n + 3) * (n + 5))
+    x = (kurt - e) / math.sqrt(var)
+    sb = 6.0 * (n * n - 5 * n + 2) / ((n + 7.0) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
+    a = 6.0 + 8.0 / sb * (2.0 / sb + math.sqrt(1 + 4.0 / (sb * sb)))
+    d = 1 + x * math.sqrt(2 / (a - 4))
+    t = math.copysign((abs(1 - 2.0 / a) / abs(d)) ** (1 / 3), d) if d else 0.0
+    z2 = (1 - 2 / (9.0 * a) - t) / math.sqrt(2 / (9.0 * a))
+    return z1 * z1 + z2 * z2
+
+
 def resid_diagnostics(fitres: OLSFit) -> DataFrame:
     """Residual skewness and kurtosis (population moments, as printed by
     regression summaries), Jarque-Bera and its chi^2(2) tail, from the
@@ -408,8 +447,9 @@ def resid_diagnostics(fitres: OLSFit) -> DataFrame:
         skew = m3 / m2 ** 1.5
         kurt = m4 / (m2 * m2)
         jb = n / 6.0 * (skew * skew + (kurt - 3.0) ** 2 / 4.0)
+        omnibus = omnibus_k2(skew, kurt, n)
         rows.append((mid, int(n), float(skew), float(kurt), float(jb), float(math.exp(-jb / 2.0)),
-                     float(m.cond)))
+                     float(m.cond), omnibus, None if omnibus is None else math.exp(-omnibus / 2.0)))
     return fitres.spark.createDataFrame(rows, "model_id string, n bigint, resid_skew double, "
                                               "resid_kurtosis double, jarque_bera double, jb_p double, "
-                                              "cond double")
+                                              "cond double, omnibus double, omnibus_p double")

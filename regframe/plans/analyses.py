@@ -182,12 +182,13 @@ def glm_suite_specs(x: str, prefix: str = "") -> list:
             GLMSpec(f"{prefix}poisson_log", SHARE, [x], "poisson")]
 
 
-def glm_battery(task_level: DataFrame):
-    """G1-G3 for both predictors of the estimator comparison, fused (one
-    job per IRLS iteration for all six models)."""
+def glm_battery(task_level: DataFrame, ids: list[str] | None = None):
+    """G1-G3 for both predictors of the estimator comparison (or the listed
+    models), fused: one job per Newton step for all of them."""
     from ..operators.glm import fit_glm
     d = task_complete_case(task_level)
-    return fit_glm(d, glm_suite_specs("augmentation_index", "aug_") + glm_suite_specs("risk_management_index", "risk_"))
+    specs = glm_suite_specs("augmentation_index", "aug_") + glm_suite_specs("risk_management_index", "risk_")
+    return fit_glm(d, [s for s in specs if ids is None or s.model_id in ids])
 
 
 def log_linear_rmse(df: DataFrame, fitres: OLSFit, mid: str) -> float:

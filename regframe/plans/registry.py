@@ -361,15 +361,12 @@ def q_refit_trimmed(spark, sf):
 
 # ------------------------------------------------------------------------ GLM
 
-def _glm_cached(spark, sf):
-    lv = levels(spark, sf)
-    if "_glm" not in lv:
-        lv["_glm"] = P.glm_battery(lv["task_level"])
-    return lv["_glm"]
+def _glm(spark, sf, ids=None):
+    return P.glm_battery(levels(spark, sf)["task_level"], ids)
 
 
 def _glm_coef(spark, sf, ids):
-    return coef_out(_glm_cached(spark, sf), ids)
+    return coef_out(_glm(spark, sf, ids), ids)
 
 
 def q_glm_fractional_logit(spark, sf):
@@ -385,22 +382,21 @@ def q_glm_poisson_log(spark, sf):
 
 
 def q_glm_fit_stats(spark, sf):
-    f = _glm_cached(spark, sf).fit.select("model_id", "n_used", "deviance", "null_deviance", "pseudo_r2",
+    f = _glm(spark, sf).fit.select("model_id", "n_used", "deviance", "null_deviance", "pseudo_r2",
                                           "pearson_chi2", "llf", "aic", "bic", "rmse_raw")
     return rnd(f, {"deviance": 6, "null_deviance": 6, "pseudo_r2": 8, "pearson_chi2": 6, "llf": 4,
                    "aic": 4, "bic": 4, "rmse_raw": 8})
 
 
 def q_model_comparison(spark, sf):
-    g = _glm_cached(spark, sf)     # the aug_* GLMs were fitted on the same sample
-    return rnd(P.model_comparison(levels(spark, sf)["task_level"], glm=g, glm_prefix="aug_"),
+    return rnd(P.model_comparison(levels(spark, sf)["task_level"]),
                {"aic": 4, "bic": 4, "r2": 8, "rmse_raw": 8})
 
 
 def q_model_comparison_2(spark, sf):
     from ..operators.linear import ModelSpec, fit_ols
     lv = levels(spark, sf)
-    g = _glm_cached(spark, sf)
+    g = _glm(spark, sf)
     o = fit_ols(P.task_complete_case(lv["task_level"]),
                 [ModelSpec("risk_log_linear", P.SHARE, ["risk_management_index"], log_y=True)])
     gc = g.coef.filter(F.col("model_id").startswith("risk_")).join(
@@ -428,7 +424,7 @@ def q_duan_smearing(spark, sf):
 
 def q_plan_robustness(spark, sf):
     lv = levels(spark, sf)
-    g = _glm_cached(spark, sf)
+    g = _glm(spark, sf)
     parts = [coef_out(g, ["aug_frac_logit", "risk_frac_logit"]),
              coef_out(P.robustness_ols(lv["cluster_level"]))]
     full, refit, n_ex, thr = P.cooks_trim(lv["cluster_level"])
@@ -668,24 +664,24 @@ def q_delta_r2(spark, sf):
 
 
 def q_glm_robust_se(spark, sf):
-    c = _glm_cached(spark, sf).coef
+    c = _glm(spark, sf).coef
     return rnd(c.select("model_id", "term", "se"), {"se": 8})
 
 
 def q_glm_pseudo_r2(spark, sf):
-    f = _glm_cached(spark, sf).fit
+    f = _glm(spark, sf).fit
     return rnd(f.select("model_id", "deviance", "null_deviance", "pseudo_r2"),
                {"deviance": 6, "null_deviance": 6, "pseudo_r2": 8})
 
 
 def q_glm_info_criteria(spark, sf):
-    f = _glm_cached(spark, sf).fit
+    f = _glm(spark, sf).fit
     return rnd(f.select("model_id", "llf", "aic", "bic"), {"llf": 4, "aic": 4, "bic": 4})
 
 
 def q_predict_glm(spark, sf):
     d = P.task_complete_case(levels(spark, sf)["task_level"])
-    m = _glm_cached(spark, sf)["aug_frac_logit"]
+    m = _glm(spark, sf)["aug_frac_logit"]
     return rnd(d.select("task_name", m.mean_raw().alias("fitted_raw")), {"fitted_raw": 8})
 
 

@@ -53,7 +53,24 @@ def test_glm_matches_numpy(spark, fam):
 def test_glm_domain_check(spark):
     df = spark.createDataFrame([(0.0, 1.5), (1.0, 0.5), (2.0, 0.2)], "x double, y double")
     with pytest.raises(ValueError):
-        fit_glm(df, [GLMSpec("m", "y", ["x"], "binomial")])
+        fit_glm(df, [GLMSpec("m", "y", ["x"], "binomial")], check_domain=True)
+    r = fit_glm(df, [GLMSpec("m", "y", ["x"], "binomial"), GLMSpec("g", "y", ["x"], "gamma")])
+    assert (r["m"].status, r["g"].status) == ("domain", "ok")
+
+
+def test_glm_survives_overshooting_steps_and_large_predictors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_cauchy(500) * 30
+    y = np.clip(1 / (1 + np.exp(-(0.3 * np.clip(x, -40, 40) + rng.normal(size=500)))), 1e-6, 1 - 1e-6)
+    big = 5e6 + 1e5 * rng.normal(size=500)
+    c = rng.poisson(np.exp(1 + 2e-6 * (big - 5e6))).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, big, c)],
+                               "x double, y double, big double, c double")
+    r = fit_glm(df, [GLMSpec("wild", "y", ["x"], "binomial"), GLMSpec("big", "c", ["big"], "poisson")])
+    assert r["wild"].status == "ok" and r["big"].status == "ok"
+    mu = np.exp(r["big"].beta[0] + r["big"].beta[1] * big)
+    assert abs(((c - mu) * (big - big.mean())).sum()) < 1e-3 * (np.abs(c - mu) * np.abs(big - big.mean())).sum() / 1e3
+    assert abs((c - mu).sum()) < 1e-6
 
 
 @pytest.fixture(scope="module")
