@@ -566,7 +566,8 @@ for _i, (_m, _src, _y, _xs, _cov, _g) in enumerate(_TASK_MODELS):
                 f"avg(e * e * e * e) AS m4 FROM rd{_i}_r)")
     _rd.append(f"SELECT '{_m}' AS model_id, n, round(m3 / pow(m2, 1.5), 6) AS resid_skew, "
                f"round(m4 / (m2 * m2), 6) AS resid_kurtosis, "
-               f"round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) AS jarque_bera "
+               f"round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) AS jarque_bera, "
+               f"round(exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)), 6) AS jb_p "
                f"FROM rdm{_i}")
 Q["resid_diagnostics"] = W(",\n".join(_rdc), "\nUNION ALL\n".join(_rd))
 
@@ -776,5 +777,34 @@ Q["boot_iid_exact"] = _boot_exact_sql("iid")
 Q["boot_cluster_exact"] = _boot_exact_sql("cluster")
 
 
+def _long(key: str, part: str, values: list[str], term: bool = False) -> str:
+    t = "term" if term else "''"
+    return "\nUNION ALL\n".join(
+        f"SELECT '{part}' AS part, model_id, {t} AS term, '{v}' AS metric, CAST({v} AS DOUBLE) AS value "
+        f"FROM ({Q[key]})" for v in values)
+
+
+Q["plan_model_comparison"] = "\nUNION ALL\n".join([
+    _long("model_comparison", "comparison", ["aic", "bic", "r2", "rmse_raw"]),
+    _long("model_comparison_2", "second_predictor", ["coef", "se", "z", "fold_change", "r2"]),
+    _long("trimmed_battery", "trimmed", ["coef", "se", "z", "n_excluded"], term=True)])
+
+Q["glm_status"] = W(TASK_CC, f"""
+SELECT 'share' AS model_id, count(*) AS n_used, 'ok' AS status FROM task_cc
+UNION ALL SELECT 'beyond_one', count(*), CASE WHEN count(*) FILTER (WHERE {SHARE} * 100 >= 1) > 0 THEN 'domain' ELSE 'ok' END FROM task_cc
+UNION ALL SELECT 'log_link', count(*), 'ok' FROM task_cc""")
+
+Q["scan_csv"] = W("", "SELECT task_name, round(pct, 8) AS pct FROM fx_task_pct")
+Q["scan_tsv"] = Q["prepare_clusters"]
+Q["rename_map"] = W("", f"SELECT {_sel_round(['cluster_name_0', *[c for c in CLUSTER_COLS if c in ('cluster_directive', 'cluster_feedback_loop', 'cluster_task_iteration', 'cluster_learning', 'cluster_validation', 'cluster_none')]])} FROM clusters_prep")
+Q["load_sources"] = Q["source_profile"].replace("13::BIGINT", "16::BIGINT")
+Q["sink_csv"] = W("", f"SELECT {_sel_round(['task_name', SHARE, 'augmentation_index', 'thinking_fraction'])} FROM task_level")
+Q["file_checksum"] = """
+WITH hs AS (SELECT md5('V' || length(l) || ':' || l) AS h
+            FROM (SELECT CAST(c_custkey AS VARCHAR) || ',' || c_name AS l FROM customer))
+SELECT count(*) AS n_rows, CAST(sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS sum_a,
+       CAST(sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT) AS VARCHAR) AS sum_b FROM hs"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

@@ -8,8 +8,8 @@
 ``build`` writes the integrated dataset, both analytical samples (and the
 compatibility alias) plus the QC table; the other commands read the built
 samples back and write result tables -- ``coef``, ``fit``, ``glm_fit``,
-``descriptives``, ``correlations``, ``mediation``, ``bootstrap``,
-``comparison`` -- as parquet partitioned by ``analysis_id``, each row stamped
+``descriptives``, ``correlations``, ``correlation_matrix_*``, ``delta_r2``,
+``resid_diagnostics``, ``mediation``, ``bootstrap``, ``comparison`` -- as parquet partitioned by ``analysis_id``, each row stamped
 with the run time. Everything stays in Spark; the driver only handles the
 p x p numbers of each fit.
 """
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble as A
 from ..operators import describe as D
-from ..operators.quality import REFERENCE_EXPECTATIONS, qc_expectations
-from ..sources.files import append_run_log, default_manifest, load_sources, write_outputs
+from ..operators.linear import ModelSpec, fit_ols, resid_diagnostics
+from ..operators.mediation import delta_r2
+from ..operators.quality import REFERENCE_EXPECTATIONS, qc_columns, qc_expectations, qc_fingerprint
+from ..sources.files import append_run_log, default_manifest, line_checksum, load_sources, write_outputs
 from . import analyses as P
 
 
@@ -43,14 +45,26 @@ def _append(spark: SparkSession, out: str, name: str, parts: list[DataFrame]) ->
 
 
 def build(spark: SparkSession, frames: dict[str, DataFrame], out: str,
-          expected: dict[str, int] = REFERENCE_EXPECTATIONS) -> dict[str, DataFrame]:
-    """01: sources -> integrated dataset and samples, written with a QC log."""
+          expected: dict[str, int] = REFERENCE_EXPECTATIONS,
+          manifest: dict | None = None) -> dict[str, DataFrame]:
+    """01: sources -> integrated dataset and samples, written with a QC log:
+    expectations, column counts, table checksums, fingerprint and, with a
+    ``manifest`` of source files, their checksums."""
     lv = A.build_levels(frames)
     lv["integrated"] = lv["integrated"].persist()
     lv["cluster_level"] = A.cluster_sample(lv["integrated"])
     write_outputs(lv, f"{out.rstrip('/')}/data")
-    qc = qc_expectations(lv["integrated"], lv["task_level"], lv["cluster_level"], expected)
-    append_run_log(spark, qc, f"{out.rstrip('/')}/results/qc")
+    tables = {k: lv[k] for k in ("integrated", "task_level", "cluster_level")}
+    log = f"{out.rstrip('/')}/results"
+    append_run_log(spark, qc_expectations(*tables.values(), expected), f"{log}/qc")
+    append_run_log(spark, qc_columns(tables), f"{log}/qc_columns")
+    sums = [D.table_checksum(t).withColumn("table_name", F.lit(k)) for k, t in tables.items()]
+    append_run_log(spark, sums[0].unionByName(sums[1]).unionByName(sums[2]), f"{log}/qc_checksums")
+    append_run_log(spark, qc_fingerprint(lv["task_level"]), f"{log}/qc_fingerprint")
+    if manifest:
+        digests = [line_checksum(spark, [m.path]).withColumn("source", F.lit(k)) for k, m in manifest.items()]
+        for d in digests:
+            append_run_log(spark, d, f"{log}/qc_sources")
     return lv
 
 
@@ -68,11 +82,17 @@ def analyze(spark: SparkSession, lv: dict[str, DataFrame], out: str) -> None:
     _append(spark, out, "correlations", [
         _tag(D.with_corr_pvalues(D.corr_pairwise(tl, P.TASK_CORR_VARS)), "task"),
         _tag(D.with_corr_pvalues(D.corr_pairwise(cl, P.CLUSTER_CORR_VARS)), "cluster")])
-    coef, fit = [], []
+    for name, df, names in (("task", tl, P.TASK_CORR_VARS), ("cluster", cl, P.CLUSTER_CORR_VARS)):
+        _append(spark, out, f"correlation_matrix_{name}", [_tag(D.corr_matrix_wide(D.corr_pairwise(df, names), names), name)])
+    coef, fit, steps = [], [], []
     for aid, r in (("H1_H2", P.plan_task_models(tl)), ("H3", P.plan_h3(cl)), ("H4", P.plan_h4(cl)),
                    ("H6", P.plan_h6(cl)), ("robustness", P.robustness_ols(cl))):
         coef.append(_tag(r.coef, aid))
         fit.append(_tag(r.fit, aid))
+        steps.append(_tag(resid_diagnostics(r), aid))
+        if aid == "H6":
+            _append(spark, out, "delta_r2", [_tag(delta_r2(r.fit, list(r.models)), aid)])
+    _append(spark, out, "resid_diagnostics", steps)
     full, refit, n_ex, thr = P.cooks_trim(cl)
     if refit is not None:
         coef.append(_tag(refit.coef, "robustness_cooks"))
@@ -90,11 +110,12 @@ def reviewer(spark: SparkSession, lv: dict[str, DataFrame], out: str, trim_thres
     tl = lv["task_level"]
     g = P.glm_battery(tl)
     _append(spark, out, "comparison", [_tag(P.model_comparison(tl, glm=g, glm_prefix="aug_"), "batch_a")])
+    risk = fit_ols(P.task_complete_case(tl), [ModelSpec("risk_log_linear", P.SHARE, ["risk_management_index"], log_y=True)])
     _append(spark, out, "glm_fit", [_tag(g.fit, "batch_a")])
     o, tg, thr, n_ex = P.trimmed_battery(tl, threshold=trim_threshold)
-    _append(spark, out, "coef", [_tag(g.coef, "batch_a_glm"), _tag(o.coef, "batch_a_trimmed"),
+    _append(spark, out, "coef", [_tag(g.coef, "batch_a_glm"), _tag(risk.coef, "batch_a_risk"), _tag(o.coef, "batch_a_trimmed"),
                                  _tag(tg.coef, "batch_a_trimmed")])
-    _append(spark, out, "fit", [_tag(o.fit.withColumn("n_excluded", F.lit(n_ex)), "batch_a_trimmed")])
+    _append(spark, out, "fit", [_tag(risk.fit, "batch_a_risk"), _tag(o.fit.withColumn("n_excluded", F.lit(n_ex)), "batch_a_trimmed")])
 
 
 def batch_b(spark: SparkSession, lv: dict[str, DataFrame], out: str, B: int = P.N_BOOT, seed: int = P.SEED,
@@ -107,6 +128,7 @@ def batch_b(spark: SparkSession, lv: dict[str, DataFrame], out: str, B: int = P.
     _append(spark, out, "fit", [_tag(r.fit, a) for a, r in rs])
     from ..operators.bootstrap import boot_ci, boot_replicates
     d = P.h5_sample(cl)
+    _append(spark, out, "mediation", [_tag(P.plan_h5(cl), "batch_b_h5")])     # the point estimates
     parts = []
     for scheme, kw in (("iid", {"key": "cluster_name_0"}), ("cluster", {"group": "task_name"})):
         reps = boot_replicates(d, "augmentation_index", P.THINK, P.SHARE, B, seed, scheme, draw=draw, **kw)
@@ -127,12 +149,14 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import checkpoint_dir
     checkpoint_dir(spark)
     if a.command in ("build", "all"):
+        manifest = None
         if a.testdata:
             from ..sources.testdata import testdata_sources
             frames = testdata_sources(spark, a.testdata)
         else:
-            frames = load_sources(spark, default_manifest(a.sources))
-        lv = build(spark, frames, a.out)
+            manifest = default_manifest(a.sources)
+            frames = load_sources(spark, manifest)
+        lv = build(spark, frames, a.out, manifest=manifest)
         if a.command == "build":
             return
     lv = load_built(spark, a.out)

@@ -530,7 +530,8 @@ def q_trim_influential(spark, sf):
 def q_resid_diagnostics(spark, sf):
     from ..operators.linear import resid_diagnostics
     r = P.plan_task_models(levels(spark, sf)["task_level"])
-    return rnd(resid_diagnostics(r).drop("cond", "jb_p"), {"resid_skew": 6, "resid_kurtosis": 6, "jarque_bera": 4})
+    return rnd(resid_diagnostics(r).drop("cond", "omnibus", "omnibus_p"),
+               {"resid_skew": 6, "resid_kurtosis": 6, "jarque_bera": 4, "jb_p": 6})
 
 
 def q_durbin_watson(spark, sf):
@@ -685,8 +686,108 @@ def q_predict_glm(spark, sf):
     return rnd(d.select("task_name", m.mean_raw().alias("fitted_raw")), {"fitted_raw": 8})
 
 
+def _long(df: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """``part, model_id, term, metric, value``: every number of a result table as a row."""
+    values = [c for c in df.columns if c not in keys]
+    term = F.col("term") if "term" in keys else F.lit("")
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values])
+    return df.select(F.lit(part).alias("part"), "model_id", term.alias("term"), F.inline(pairs))
+
+
 def q_plan_model_comparison(spark, sf):
-    return q_model_comparison(spark, sf)
+    """M14 in full: estimator comparison, second-predictor suite, trimmed battery."""
+    return (_long(q_model_comparison(spark, sf), "comparison", ["model_id"])
+            .unionByName(_long(q_model_comparison_2(spark, sf), "second_predictor", ["model_id"]))
+            .unionByName(_long(q_trimmed_battery(spark, sf), "trimmed", ["model_id", "term"])))
+
+
+def q_glm_status(spark, sf):
+    """A model outside its domain keeps a status beside the good ones."""
+    from ..operators.glm import GLMSpec, fit_glm
+    d = P.task_complete_case(levels(spark, sf)["task_level"])
+    x = ["augmentation_index"]
+    f = fit_glm(d, [GLMSpec("share", P.SHARE, x, "binomial", y_scale=0.01),
+                    GLMSpec("beyond_one", P.SHARE, x, "binomial", y_scale=100.0),
+                    GLMSpec("log_link", P.SHARE, x, "gamma")]).fit
+    return f.select("model_id", "n_used", "status")
+
+
+# ------------------------------------------------- file sources and sinks
+# Release names of the cluster ratios (fixed values of the released file).
+RELEASE_NAMES = {
+    "collab_directive_ratio": "collaboration:directive_ratio",
+    "collab_feedback_loop_ratio": "collaboration:feedback loop_ratio",
+    "collab_task_iteration_ratio": "collaboration:task iteration_ratio",
+    "collab_learning_ratio": "collaboration:learning_ratio",
+    "collab_validation_ratio": "collaboration:validation_ratio",
+    "collab_none_ratio": "collaboration:none_ratio",
+}
+
+
+def _release(spark, sf) -> str:
+    """The four sources written as a release folder in the shared scratch folder."""
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sources.files import CLUSTERS_SCHEMA, default_manifest
+    lv = levels(spark, sf)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/release-{uuid.uuid4().hex}"
+    specs = default_manifest(root)
+    clusters = lv["clusters"].withColumnsRenamed(RELEASE_NAMES)
+    clusters = clusters.select(*[F.col(f"`{f.name}`") if f.name in clusters.columns
+                                 else F.lit(None).cast("string").alias(f.name) for f in CLUSTERS_SCHEMA.fields])
+    for name, spec in specs.items():
+        w = (clusters if name == "clusters" else lv[name]).write.option("header", True).option("escape", '"')
+        w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        (w.option("sep", "\t") if spec.format == "tsv" else w).csv(spec.path)
+    return root
+
+
+def q_scan_csv(spark, sf):
+    from ..sources.files import default_manifest, scan
+    return rnd(scan(spark, default_manifest(_release(spark, sf))["task_pct"]), {"pct": 8})
+
+
+def _scanned_clusters(spark, sf):
+    from ..sources.files import default_manifest, scan
+    return scan(spark, default_manifest(_release(spark, sf))["clusters"])
+
+
+def q_scan_tsv(spark, sf):
+    out = A.prepare_clusters(_scanned_clusters(spark, sf))
+    return rnd(out.select(*[c for c in A.prepare_clusters(levels(spark, sf)["clusters"]).columns]), {}, 8)
+
+
+def q_rename_map(spark, sf):
+    from ..functions.columns import COLLAB_RENAMES, rename_present
+    c = rename_present(_scanned_clusters(spark, sf), COLLAB_RENAMES)
+    ratios = [n for n in c.columns if n in ("cluster_directive", "cluster_feedback_loop", "cluster_task_iteration",
+                                            "cluster_learning", "cluster_validation", "cluster_none")]
+    return rnd(c.select("cluster_name_0", *[F.col(n).try_cast("double").alias(n) for n in ratios]), {}, 8)
+
+
+def q_load_sources(spark, sf):
+    from ..sources.files import default_manifest, load_sources, source_profile
+    return source_profile(load_sources(spark, default_manifest(_release(spark, sf))))
+
+
+def q_sink_csv(spark, sf):
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sources.files import write_table
+    d = levels(spark, sf)["task_level"].select("task_name", P.SHARE, "augmentation_index", "thinking_fraction")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    write_table(d, path, "csv")
+    return rnd(spark.read.option("header", True).schema(d.schema).csv(path), {}, 8)
+
+
+def q_file_checksum(spark, sf):
+    """A6 for files of any size: an order-free checksum of a written file's lines."""
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sources.files import line_checksum
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf.rstrip('/')}/customer.parquet").select("c_custkey", "c_name").write.csv(path)
+    return line_checksum(spark, [path])
 
 
 def q_plan_clustered(spark, sf):

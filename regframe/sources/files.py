@@ -107,11 +107,20 @@ def source_profile(frames: dict[str, DataFrame]) -> DataFrame:
 
 def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
     """SHA-256 of each file's bytes, computed in the executors
-    (``binaryFile`` source + ``sha2``); only (path, length, digest) return."""
+    (``binaryFile`` source + ``sha2``); only (path, length, digest) return.
+    A file is one row, so it must be below 2 GiB; :func:`line_checksum` has no
+    such limit."""
     df = spark.read.format("binaryFile").load(paths)
     return df.select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
 
 
+def line_checksum(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A6 for delimited files of any size: the order-free checksum of their
+    lines. Files are read in splits, so one large file uses many tasks."""
+    from ..operators.describe import table_checksum
+    return table_checksum(spark.read.text(paths))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
     """Write a result or dataset. Parquet by default; ``csv``

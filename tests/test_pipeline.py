@@ -39,7 +39,8 @@ def test_release_files_through_cli(spark):
     cl[cols].to_csv(os.path.join(root, "cluster_level_data", "cluster_level_dataset.tsv"), sep="\t", index=False)
 
     out = tempfile.mkdtemp(prefix="regframe-out-")
-    build(spark, load_sources(spark, default_manifest(root)), out)
+    manifest = default_manifest(root)
+    build(spark, load_sources(spark, manifest), out, manifest=manifest)
     lv = load_built(spark, out)
     analyze(spark, lv, out)
 
@@ -51,3 +52,14 @@ def test_release_files_through_cli(spark):
     assert coef.where("analysis_id = 'H1_H2'").count() == 13
     qc = spark.read.parquet(os.path.join(out, "results", "qc")).collect()
     assert len(qc) == 6
+
+    def rows(name):
+        return spark.read.parquet(os.path.join(out, "results", name)).collect()
+
+    assert {r["table_name"] for r in rows("qc_columns")} == {"integrated", "task_level", "cluster_level"}
+    assert {r["table_name"] for r in rows("qc_checksums")} == {"integrated", "task_level", "cluster_level"}
+    assert {r["source"] for r in rows("qc_sources")} == set(manifest)
+    assert rows("qc_fingerprint")[0]["tasks"] == lv["task_level"].count()
+    assert len(rows("correlation_matrix_task")) == len(P.TASK_CORR_VARS)
+    assert len(rows("correlation_matrix_cluster")) == len(P.CLUSTER_CORR_VARS)
+    assert len(rows("delta_r2")) == 3 and len(rows("resid_diagnostics")) > 8
