@@ -131,11 +131,13 @@ def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | Non
     without funnelling the column through one task (Spark's ``percentile``
     merges every distinct value in a single final buffer).
 
-    Range-partition the non-missing values, count each range (one row per
-    range to the driver), locate the ranges holding order statistics
-    floor(p(n-1)) and ceil(p(n-1)), and number rows inside those ranges
-    only. The range assignment is checkpointed so a recomputed partition
-    cannot move a boundary. Returns one row with array column ``q``.
+    Equal values are counted first (combining map-side), so a column that is
+    mostly one value is one row of that value. The distinct values are
+    range-partitioned, each range is counted (one row per range to the driver),
+    and running counts inside the ranges that hold order statistics
+    floor(p(n-1)) and ceil(p(n-1)) give them. The range assignment is
+    checkpointed so a recomputed partition cannot move a boundary. Returns one
+    row with array column ``q``.
 
     ``method="approx"``: Spark's ``percentile_approx`` (mergeable sketches,
     one aggregation, rank error about 1/accuracy) for when exact order
@@ -149,9 +151,10 @@ def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | Non
     spark = df.sparkSession
     checkpoint_dir(spark)
     v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    v = v.groupBy("v").agg(F.count(F.lit(1)).alias("times"))
     v = v.repartitionByRange(n_ranges, "v") if n_ranges else v.repartitionByRange("v")
     v = v.withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
-    counts = sorted((r["pid"], r["n"]) for r in v.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r["pid"], r["n"]) for r in v.groupBy("pid").agg(F.sum("times").alias("n")).collect())
     n = sum(c for _, c in counts)
     if n == 0:
         return spark.createDataFrame([([None] * len(probs),)], "q array<double>")
@@ -165,13 +168,16 @@ def percentiles(df: DataFrame, col: str, probs: list[float], n_ranges: int | Non
         for k in (math.floor(r), math.ceil(r)):
             pid = max(q for q, s0 in starts.items() if s0 <= k)
             ranks[k] = (pid, k - starts[pid])
-    want = {(pid, i) for pid, i in ranks.values()}
-    w = Window.partitionBy("pid").orderBy("v")
-    got = (v.where(F.col("pid").isin(sorted({p for p, _ in want})))
-           .withColumn("i", F.row_number().over(w) - 1)
-           .where(F.struct("pid", "i").isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(want)]))
-           .select("pid", "i", "v").collect())          # at most 2 rows per probability
-    val = {(r["pid"], r["i"]): r["v"] for r in got}
+    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = (v.where(F.col("pid").isin(sorted({p for p, _ in ranks.values()})))
+            .withColumn("upto", F.sum("times").over(w)))
+    val = {}
+    for pid, i in set(ranks.values()):                    # two ranks per probability
+        hit = (F.col("pid") == pid) & (F.col("upto") > i) & (F.col("upto") - F.col("times") <= i)
+        val[(pid, i)] = hit
+    hits = upto.select("v", *[h.alias(f"h{j}") for j, h in enumerate(val.values())])
+    got = hits.agg(*[F.max(F.when(F.col(f"h{j}"), F.col("v"))).alias(f"v{j}") for j in range(len(val))]).first()
+    val = {k: got[f"v{j}"] for j, k in enumerate(val)}
     out = []
     for p in probs:
         r = p * (n - 1)
@@ -257,12 +263,16 @@ def durbin_watson(df: DataFrame, resid: Column, order: str, n_ranges: int | None
     spark = df.sparkSession
     checkpoint_dir(spark)
     d = df.select(F.col(order).alias("__o"), resid.alias("__e")).where("__e IS NOT NULL")
-    d = (d.repartitionByRange(n_ranges, "__o") if n_ranges else d.repartitionByRange("__o"))
+    # rows that share an order value follow each other by a hash, so a hot
+    # value spreads over ranges too
+    d = d.withColumn("__t", F.xxhash64("__o", "__e"))
+    d = (d.repartitionByRange(n_ranges, "__o", "__t") if n_ranges else d.repartitionByRange("__o", "__t"))
     d = d.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
-    w = Window.partitionBy("__pid").orderBy("__o")
+    w = Window.partitionBy("__pid").orderBy("__o", "__t")
     inner = d.withColumn("__d", F.col("__e") - F.lag("__e").over(w)).agg(
         F.sum(F.col("__d") * F.col("__d")).alias("num"), F.sum(F.col("__e") * F.col("__e")).alias("den")).first()
-    ends = (d.groupBy("__pid").agg(F.min_by("__e", "__o").alias("first"), F.max_by("__e", "__o").alias("last"))
+    ends = (d.groupBy("__pid").agg(F.min_by("__e", F.struct("__o", "__t")).alias("first"),
+                                 F.max_by("__e", F.struct("__o", "__t")).alias("last"))
             .orderBy("__pid").collect())          # one row per range
     num = inner["num"] or 0.0
     for a, b_ in zip(ends, ends[1:]):

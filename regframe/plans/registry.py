@@ -35,9 +35,7 @@ def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _CACHE:
-            for old in [k for k in _CACHE if k[0] == key[0]]:   # one folder's levels at a time
-                for frame in _CACHE.pop(old).values():
-                    frame.unpersist()
+            release_levels()                              # one folder's levels at a time
             fr = {k: v.persist() for k, v in testdata_sources(spark, sf_dir).items()}
             lv = A.build_levels(fr)
             lv["integrated"] = lv["integrated"].persist()
@@ -47,6 +45,13 @@ def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return _CACHE[key]
 
 
+def release_levels() -> None:
+    """Drop the persisted levels of the folder used last."""
+    while _CACHE:
+        for frame in _CACHE.popitem()[1].values():
+            frame.unpersist()
+
+
 def rnd(df: DataFrame, digits: dict[str, int], default: int | None = None) -> DataFrame:
     """Round the listed (or all double) columns."""
     dt = dict(df.dtypes)

@@ -45,6 +45,23 @@ def test_checksum_sees_moved_nulls(spark):
     assert table_checksum(one.limit(0)).first()["n_rows"] == 0
 
 
+def test_percentiles_of_a_column_that_is_mostly_one_value(spark):
+    from regframe.operators.describe import percentiles
+    x = np.concatenate([np.full(9_900, 5.0), np.arange(100) / 10.0])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(8)
+    probs = [0.0, 0.001, 0.004, 0.0049, 0.5, 0.9951, 0.999, 1.0]
+    assert percentiles(df, "v", probs, n_ranges=6).first()["q"] == pytest.approx(np.quantile(x, probs).tolist())
+
+
+def test_durbin_watson_splits_a_hot_order_value(spark):
+    from pyspark.sql import functions as F
+    from regframe.operators.describe import durbin_watson
+    rows = [(0 if i % 100 else i, math.sin(i)) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "o long, e double").repartition(5)
+    a = durbin_watson(df, F.col("e"), "o", n_ranges=7)
+    assert a == pytest.approx(durbin_watson(df.repartition(3), F.col("e"), "o", n_ranges=2), rel=1e-9)
+
+
 def test_omnibus_of_known_samples():
     # symmetric, mesokurtic: near 0; strongly skewed: far from it
     assert omnibus_k2(0.0, 3.0, 10_000) < 0.05 and omnibus_k2(1.0, 5.0, 500) > 40 and omnibus_k2(0.1, 3.0, 5) is None
