@@ -25,20 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     missing nodes are ignored.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _fingerprint(edges)
-    while before[0]:
+    before = None
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (both.filter("b > a").join(low, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        large = cut(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
-        small = (linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         edges = cut(small)
         after = _fingerprint(edges)
-        if after == before:
+        if not after[0] or after == before:
             break
         before = after
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

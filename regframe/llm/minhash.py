@@ -31,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 RARE = 1e-3
-LEADERS = 16          # members of a mixed bucket that all others meet in a round
+LEADERS = 16          # members of a mixed bucket that all others meet in the first round; then four times as many
 _BLOCK = 4096
 _DRAWS = 1 << 16
 _WORDS = Generations(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 1 << 18)
@@ -75,7 +75,9 @@ class Sampler:
 
     def band_keys(self, text: str) -> list[int] | None:
         """One signed 64-bit key a band; none for a text without words."""
-        code, weight = self.shingles(text)
+        return self.keys_of(*self.shingles(text))
+
+    def keys_of(self, code: np.ndarray, weight: np.ndarray) -> list[int] | None:
         if not len(code):
             return None
         n = BANDS * ROWS
@@ -147,18 +149,23 @@ def common_words(texts: DataFrame, rare: float = RARE) -> tuple[bytes, bytes, fl
 
 
 def _signatures(rows: DataFrame, weights: tuple) -> DataFrame:
-    """``keys`` beside ``id, node`` of rows with a text."""
+    """``keys`` and the total ``weight`` beside ``id, node`` of rows with a text."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         sampler = Sampler(*weights)
         for batch in batches:
-            keys = [sampler.band_keys(t) for t in batch.column(2).to_pylist()]
+            keys, total = [], []
+            for text in batch.column(2).to_pylist():
+                code, weight = sampler.shingles(text)
+                keys.append(sampler.keys_of(code, weight))
+                total.append(float(weight.sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "node", "keys"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64())],
+                names=["id", "node", "keys", "weight"])
 
-    return rows.select("id", "node", "text").mapInArrow(run, f"id {id_type}, node binary, keys array<long>")
+    return rows.select("id", "node", "text").mapInArrow(
+        run, f"id {id_type}, node binary, keys array<long>, weight double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: tuple, threshold: float) -> DataFrame:
@@ -182,6 +189,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: tuple, threshold: flo
     return (with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean"))
 
 
+def _may_link(a, b, threshold: float):
+    """Whether two total weights allow the similarity, which is at most their ratio."""
+    return F.least(a, b) >= (threshold - 1e-9) * F.greatest(a, b)
+
+
 def _text_node(text):
     return F.unhex(F.md5(text))
 
@@ -193,41 +205,43 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     there = rows.filter("text is not null")
     weights = common_words(there)
     signed = cut(_signatures(there, weights))
-    member = signed.filter("keys is not null").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    member = (signed.filter("keys is not null").dropDuplicates(["node"])
+              .select("node", "weight", F.explode("keys").alias("key")))
     member = cut(member.join(member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"),
                              "key"))
     # first round: each node and the leader it shares most buckets with
-    leader = member.groupBy("key").agg(F.min("node").alias("b"))
-    shared = (member.join(leader, "key").filter("node <> b").groupBy("node", "b").count())
+    leader = member.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("head"))
+    shared = (member.join(leader, "key").filter(F.col("node") != F.col("head.node"))
+              .filter(_may_link(F.col("weight"), F.col("head.weight"), threshold))
+              .groupBy("node", F.col("head.node").alias("b")).count())
     pairs = (shared.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
              .select(F.col("node").alias("a"), "b"))
     texts = cut(there.select("node", "text").join(member.select("node").distinct(), "node").dropDuplicates(["node"]))
-    tested = cut(_verified(pairs, texts, weights, threshold))
-    found = tested
-    turn = 0
+    found = cut(_verified(pairs, texts, weights, threshold))
+    leaders = LEADERS
     while True:
         part = components(found.filter("linked").select("a", "b"))
-        part = cut(part)
         labelled = (member.join(part, "node", "left")
-                    .select("key", "node", F.coalesce("component", "node").alias("component")))
+                    .select("key", "node", "weight", F.coalesce("component", "node").alias("component")))
         mixed = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .filter("lo <> hi").select("key"))
         open_rows = cut(labelled.join(mixed, "key"))
         if open_rows.isEmpty():
             break
-        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(LEADERS))
-        heads = (open_rows.groupBy("key", seat.alias("seat")).agg(F.min_by("component", "node").alias("of"),
-                                                                  F.min("node").alias("b")))
-        heads = cut(heads)
+        seat = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
+        heads = (open_rows.groupBy("key", seat.alias("seat"))
+                 .agg(F.min(F.struct("node", "component", "weight")).alias("head"))
+                 .select("key", F.col("head.node").alias("b"), F.col("head.component").alias("of"),
+                         F.col("head.weight").alias("head_weight")))
         pairs = (open_rows.join(heads, "key").filter("component <> of")
+                 .filter(_may_link(F.col("weight"), F.col("head_weight"), threshold))
                  .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
         done = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        tested = cut(_verified(pairs.join(done, ["a", "b"], "left_anti"), texts, weights, threshold))
-        found = cut(found.unionByName(tested))
+        found = found.unionByName(cut(_verified(pairs.join(done, ["a", "b"], "left_anti"), texts, weights, threshold)))
         # leaders have now met every member of another class in their bucket
-        member = cut(open_rows.select("key", "node")
+        member = cut(open_rows.select("key", "node", "weight")
                      .join(heads.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti"))
-        turn += 1
+        leaders *= 4
     named = signed.select("id", "node").join(part, "node", "left").select(
         "id", "node", F.coalesce("component", "node").alias("component"))
     classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
