@@ -33,6 +33,7 @@ from .vectors import is_valid, matrix
 
 THRESHOLD = 0.95
 SAMPLE = 20_000       # vectors that the centroids are fitted on, at most
+MAX_CENTRES = 1024    # centroids, at most; beyond it clusters are dealt to several shards
 SHARD = 4096          # home vectors of a shard, about
 OVERLAP = 3           # nearest clusters that a vector is dealt to at first
 DEGREE = 24           # neighbours of a node in a shard's graph, at most
@@ -257,7 +258,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
         sample = np.zeros((len(rows), width))
         for i, row in enumerate(rows):
             sample[i, :len(row["vec"])] = row["vec"]
-        centres = fit_centroids(_unit(sample), max(1, min(1024, math.ceil(n / shard))))
+        centres = fit_centroids(_unit(sample), max(1, min(MAX_CENTRES, math.ceil(n / shard))))
         overlap = min(OVERLAP, len(centres))
         while True:
             links = _linked(nodes, centres, width, overlap, shard, threshold)
