@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def first_by_hash(df: DataFrame, k: int, total: int, seed: int, *cols: str) -> DataFrame:
+    """The ``k`` rows whose columns hash lowest, of a table of ``total`` rows.
+
+    Only rows below a hash that about ``2 k`` of them stay under are sorted, so
+    each task hands on its part of those and not ``k`` rows of its own.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    share = min(1.0, (2 * k + 100) / max(1, total))
+    return df.filter(h < share).orderBy(h, *cols).limit(k)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED, cut
+from .common import SEED, cut, first_by_hash
 from .vectors import matrix, pack, valid_vectors
 
 SCALE = 1024
@@ -175,7 +175,7 @@ def top_inner_products(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     if not stats["n"] or not stats["q"]:
         return spark.createDataFrame([], schema)
     width, longest = stats["width"], float(stats["longest"])
-    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).collect()  # a documented bound
+    sample = first_by_hash(rows, SAMPLE, stats["n"], SEED, "id").collect()  # a documented bound
     picked = np.zeros((len(sample), width))
     for i, row in enumerate(sample):
         picked[i, :len(row["vec"])] = row["vec"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED, cut, quoted
+from .common import SEED, cut, first_by_hash, quoted
 
 MAX_FIT = 20_000      # labelled rows that the lexicon and the curve are fitted on, at most
 MAX_TERMS = 5_000     # entries of the lexicon, at most
@@ -137,8 +137,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
                     max_fit: int = MAX_FIT, seed: int = SEED) -> DataFrame:
     """At most ``max_fit`` labelled training rows, the first by a hash of their id."""
     train = (labels.filter((F.crc32(F.col(id_col).cast("string")) % 4 != 2) & F.col("toxic").isNotNull())
-             .groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-             .orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max_fit))  # a documented bound
+             .groupBy(id_col).agg(F.max("toxic").alias("toxic")))
+    train = first_by_hash(train, max_fit, labels.count(), seed, id_col)  # a documented bound
     found = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).cast("string").alias("text"))
     return found.join(F.broadcast(train), id_col).filter("text is not null").select("text", "toxic")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED, cut, quoted
+from .common import SEED, cut, first_by_hash, quoted
 from .components import components
 from .vectors import is_valid, matrix
 
@@ -218,9 +218,10 @@ def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, sha
     return cut(united.groupBy("shard").applyInArrow(search, "node long, n long, other long"))
 
 
-def audit_recall(nodes: DataFrame, counted: DataFrame, width: int, threshold: float, n_queries: int = AUDIT) -> float:
+def audit_recall(nodes: DataFrame, n: int, counted: DataFrame, width: int, threshold: float,
+                 n_queries: int = AUDIT) -> float:
     """Links found over links there are, of a bounded sample of queries against all vectors."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(SEED + 1))).limit(n_queries).collect()
+    sample = first_by_hash(nodes, n_queries, n, SEED + 1, "node").collect()
     q = np.zeros((len(sample), width))
     for i, row in enumerate(sample):
         q[i, :len(row["vec"])] = row["vec"]
@@ -254,7 +255,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     recall = 1.0
     if stats["n"]:
         n, width = stats["n"], stats["width"]
-        rows = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).collect()  # a documented bound
+        rows = first_by_hash(nodes, SAMPLE, n, SEED, "node").collect()  # a documented bound
         sample = np.zeros((len(rows), width))
         for i, row in enumerate(rows):
             sample[i, :len(row["vec"])] = row["vec"]
@@ -263,7 +264,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
         while True:
             links = _linked(nodes, centres, width, overlap, shard, threshold)
             counted = links.groupBy("node").agg(F.sum("n").alias("n"))
-            recall = audit_recall(nodes, counted, width, threshold)
+            recall = audit_recall(nodes, n, counted, width, threshold)
             if recall >= RECALL or overlap >= len(centres):
                 break
             overlap = min(2 * overlap, len(centres))
