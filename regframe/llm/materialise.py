@@ -64,7 +64,10 @@ def slots_of(ordinals: np.ndarray, n: int, key: int, back: bool = False) -> np.n
 
 def token_sequences(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, length: int,
                     end_id: int) -> DataFrame:
-    """``part, at, n_tokens, doc_ids, ids``: the cut token stream of each partition; ids as 16-bit words."""
+    """``part, at, n_tokens, doc_ids, ids``: the cut token stream of each partition.
+
+    The ids are 16-bit words, deflated until the shard's task writes them.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -79,7 +82,7 @@ def token_sequences(docs: DataFrame, vocab_path: str, id_col: str, text_col: str
             return pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(kind)),
-                 pa.array([r[3] for r in rows], pa.binary())], names=["part", "at", "n_tokens", "doc_ids", "ids"])
+                 pa.array([zlib.compress(r[3], 1) for r in rows], pa.binary())], names=["part", "at", "n_tokens", "doc_ids", "ids"])
 
         rows = []
         for batch in batches:
@@ -143,7 +146,7 @@ def materialise(docs: DataFrame, vocab_path: str, path: str, id_col: str = "doc_
     spark = docs.sparkSession
     held = f"{path}/_sequences"
     (token_sequences(docs, vocab_path, id_col, text_col, length, end_id)
-     .write.option("compression", "zstd").parquet(held))
+     .write.option("compression", "uncompressed").parquet(held))
     sequences = spark.read.parquet(held)
     counts = sequences.groupBy("part").count().orderBy("part").collect()  # a row per partition
     offsets, n = {}, 0
@@ -170,7 +173,7 @@ def materialise(docs: DataFrame, vocab_path: str, path: str, id_col: str = "doc_
     def write(t: pa.Table) -> pa.Table:
         t = t.sort_by("slot")
         shard = t.column("shard")[0].as_py()
-        bodies = t.column("ids").to_pylist()
+        bodies = [zlib.decompress(b) for b in t.column("ids").to_pylist()]
         _write_whole(path, shard_name(shard), b"".join(bodies))
         used = t.column("n_tokens").to_pylist()
         return pa.table({
