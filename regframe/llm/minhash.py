@@ -31,10 +31,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 RARE = 1e-3
-LEADERS = 16          # members of a mixed bucket that all others meet in the first round; then four times as many
+LEADERS = 4           # members of a mixed bucket that all others meet in the first round; twice as many in the next
 _BLOCK = 4096
 _DRAWS = 1 << 16
-_WORDS = Generations(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 1 << 18)
+_WORDS = Generations(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 1 << 17)
 
 
 class Sampler:
@@ -45,11 +45,9 @@ class Sampler:
         self.most = most
         rng = np.random.default_rng(7)
         n = BANDS * ROWS
-        self.r = rng.gamma(2.0, 1.0, _DRAWS).astype(np.float32)
-        self.inv_r = (1 / self.r).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
-        self.beta = rng.random(_DRAWS).astype(np.float32)
-        self.odd = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        r, c, beta = rng.gamma(2.0, 1.0, _DRAWS), rng.gamma(2.0, 1.0, _DRAWS), rng.random(_DRAWS)
+        self.draws = np.stack([r, 1 / r, np.log(c), beta], axis=1).astype(np.float32)
+        self.odd = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.mix = rng.integers(0, 1 << 63, (4, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +82,18 @@ class Sampler:
         best = np.full(n, np.inf, np.float32)
         at, step = np.zeros(n, np.int64), np.zeros(n, np.float32)
         log_w = np.log(weight).astype(np.float32)
-        cols = np.arange(n)
+        short = (code ^ (code >> np.uint64(32))).astype(np.uint32)
+        rows = np.arange(n)
         for lo in range(0, len(code), _BLOCK):
-            part, x = code[lo:lo + _BLOCK, None], log_w[lo:lo + _BLOCK, None]
-            draw = ((part * self.odd[None, :]) >> np.uint64(48)).astype(np.intp)
-            r, beta = self.r[draw], self.beta[draw]
-            t = np.floor(x * self.inv_r[draw] + beta)
-            log_a = self.log_c[draw] - r * (t - beta + 1)
-            i = log_a.argmin(axis=0)
-            low = log_a[i, cols]
+            # a sample a row, a shingle a column; one gather brings all four draws
+            draw = self.draws.take(((self.odd[:, None] * short[None, lo:lo + _BLOCK]) >> np.uint32(16)).astype(np.intp), axis=0)
+            beta = draw[..., 3]
+            t = np.floor(log_w[lo:lo + _BLOCK] * draw[..., 1] + beta)
+            log_a = draw[..., 2] - draw[..., 0] * (t - beta + 1)
+            i = log_a.argmin(axis=1)
+            low = log_a[rows, i]
             better = low < best
-            best[better], at[better], step[better] = low[better], i[better] + lo, t[i, cols][better]
+            best[better], at[better], step[better] = low[better], i[better] + lo, t[rows, i][better]
         picked = code[at] * self.mix[0] ^ (step.astype(np.int64).astype(np.uint64) * self.mix[1])
         picked ^= picked >> np.uint64(31)
         picked = (picked * self.mix[2]).reshape(BANDS, ROWS)
@@ -132,7 +131,7 @@ def common_words(texts: DataFrame, rare: float = RARE) -> tuple[bytes, bytes, fl
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(set(text.lower().split()))
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield out()
                 seen.clear()
         yield out()
@@ -241,7 +240,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         # leaders have now met every member of another class in their bucket
         member = cut(open_rows.select("key", "node", "weight")
                      .join(heads.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti"))
-        leaders *= 4
+        leaders *= 2
     named = signed.select("id", "node").join(part, "node", "left").select(
         "id", "node", F.coalesce("component", "node").alias("component"))
     classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))

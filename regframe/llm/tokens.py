@@ -16,7 +16,7 @@ from array import array
 
 import regex
 
-CACHE_UNITS = 1 << 18  # units held per cache generation and worker
+CACHE_UNITS = 1 << 17  # units held per cache generation and worker
 
 _RUNS = re.compile(r"\s*\S+|\s+")
 _UNSAFE = re.compile("[\x1c-\x1f]")
