@@ -125,6 +125,55 @@ def test_repeated_passages_go_once_kept(spark, odd_docs, no_docs):
     assert dedup_lines(no_docs).collect() == []
 
 
+def test_whole_passages_of_short_lines_go(spark):
+    rng = random.Random(12)
+    shapes = [(3, 18), (4, 14), (5, 11), (6, 9), (8, 7)]
+    rows, want = [], {}
+    for k, (lines, words) in enumerate(shapes):
+        for trial in range(6):
+            passage = text(rng, lines, words).split("\n")
+            for copy in range(3):
+                i = len(rows)
+                before, after = ([text(rng, 1, rng.randint(4, 9)) for _ in range(4)] for _ in "ab")
+                own = passage if copy < 2 else [x for line in passage for x in (line, "  ")][:-1]  # blank lines between
+                rows.append((i, "\n".join([*before, *own, *after])))
+                want[i] = (rows[-1][1], 0, 0) if copy == 0 else ("\n".join(before + after), lines, lines * words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.text, r.chunks_removed, r.words_removed) for r in dedup_lines(docs).collect()} == want
+
+
+def _plain_line_dedup(bodies, least=20):
+    """Lines left of each text: those in no run of ``least`` words that stands before, compared run by run."""
+    texts = [[x for x in (b or "").split("\n") if x.strip()] for b in bodies]
+    n, runs, out = [[len(x.split()) for x in t] for t in texts], {}, []
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a, len(t)):
+                if sum(n[i][a:b + 1]) >= least:
+                    runs.setdefault(tuple(t[a:b + 1]), (i, a, b))
+    for i, t in enumerate(texts):
+        gone = set()
+        for a in range(len(t)):
+            for b in range(a, len(t)):
+                first = runs.get(tuple(t[a:b + 1]))
+                if first and (first[0] != i or a > first[2]):
+                    gone.update(range(a, b + 1))
+        out.append([x for a, x in enumerate(t) if a not in gone])
+    return out
+
+
+def test_line_dedup_equals_all_runs_compared(spark):
+    rng = random.Random(13)
+    pool = [text(rng, 1, rng.choice([1, 3, 6, 9, 15, 25])) for _ in range(14)] + ["", " "]
+    bodies = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    bodies += ["\n".join([pool[2]] * 3 + [text(rng, 1, 12)] * 9), "\n".join([text(rng, 1, 12), text(rng, 1, 11)] * 5)]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    want = _plain_line_dedup(bodies)
+    for i in range(len(bodies)):
+        assert [x for x in got[i].split("\n") if x.strip()] == want[i]
+
+
 # --- mixing ---------------------------------------------------------------
 
 def test_pivotal_keeps_words_and_expectations():
