@@ -1,8 +1,10 @@
 """Near-duplicate vectors by range search on robust-pruned flat graphs.
 
 Equal vectors are one node. Nodes are dealt to the shards of their ``overlap``
-nearest centroids; crowded clusters are dealt to several shards. Each shard
-builds a graph: the nearest nodes of a node, pruned so that a neighbour stays
+nearest centroids. A cluster of more than ``4 * shard`` nodes is cut into blocks
+of about ``2 * shard``, home nodes apart from visitors, and each pair of blocks
+that holds home nodes is a shard, so no task holds more than about ``4 * shard``
+vectors. Each shard builds a graph: the nearest nodes of a node, pruned so that a neighbour stays
 only if no kept one is much nearer to it. The adjacency lists that a node got
 in its shards are united. Then each node searches the united graph of every
 shard that it belongs to: a greedy search from the shard's medoid, then a range
@@ -33,8 +35,8 @@ from .vectors import is_valid, matrix
 
 THRESHOLD = 0.95
 SAMPLE = 20_000       # vectors that the centroids are fitted on, at most
-MAX_CENTRES = 1024    # centroids, at most; beyond it clusters are dealt to several shards
-SHARD = 4096          # home vectors of a shard, about
+MAX_CENTRES = 1024    # centroids, at most; beyond it clusters are cut into blocks
+SHARD = 4096          # home vectors of a cluster, about
 OVERLAP = 3           # nearest clusters that a vector is dealt to at first
 DEGREE = 24           # neighbours of a node in a shard's graph, at most
 ALPHA = 1.2           # how much nearer a kept neighbour must be to replace one
@@ -146,7 +148,11 @@ def _nodes(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Data
 
 
 def _dealt(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, shard: int) -> DataFrame:
-    """``shard, node, vec, copies, home``: every node in the shards of its nearest clusters."""
+    """``shard, node, vec, copies, home, block, own``: every node in the shards of its nearest clusters.
+
+    ``own`` marks shards of a single block; in the others only links between
+    the two blocks count, so that each pair counts once.
+    """
     take = min(overlap, len(centres))
 
     def near(batches):
@@ -160,18 +166,29 @@ def _dealt(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, shar
     placed = nodes.select("node", "vec", "copies").mapInArrow(
         near, "node long, vec array<double>, copies long, near array<int>")
     rows = placed.select("node", "vec", "copies", F.posexplode("near").alias("place", "cluster"))
-    parts = (rows.filter("place = 0").groupBy("cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")))
-    rows = rows.join(parts, "cluster")
-    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("parts")).cast("int")
-    # a node is at home in one part of its nearest cluster and visits all others
-    return (rows.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select(F.concat_ws("-", "cluster", "part").alias("shard"), "node", "vec", "copies",
-                    ((F.col("place") == 0) & (F.col("part") == F.col("own"))).alias("home")))
+    rows = rows.withColumn("home", F.col("place") == 0)
+    blocks = (rows.groupBy("cluster").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+              .filter("h > 0")  # without home nodes nothing counts there
+              .select("cluster", (F.col("h") + F.col("v") <= 4 * shard).alias("small"),
+                      F.ceil(F.col("h") / (2 * shard)).cast("int").alias("h"),
+                      F.ceil(F.col("v") / (2 * shard)).cast("int").alias("v"))
+              .select("cluster", "small", F.when(F.col("small"), 1).otherwise(F.col("h")).alias("h"),
+                      F.when(F.col("small"), 0).otherwise(F.col("v")).alias("v")))
+    rows = rows.join(F.broadcast(blocks), "cluster")  # one row a cluster
+    hashed = F.xxhash64("node", F.lit(SEED))
+    # blocks of home nodes are 0, 1, ..., and those of visitors -1, -2, ...
+    rows = rows.withColumn("block", F.when(F.col("home") | F.col("small"), F.pmod(hashed, F.col("h")))
+                           .otherwise(-1 - F.pmod(hashed, F.greatest("v", F.lit(1)))).cast("int"))
+    homes, visitors = F.sequence(F.lit(0), F.col("h") - 1), F.col("v") > 0
+    others = F.when((F.col("block") >= 0) & visitors, F.concat(homes, F.sequence(-F.col("v"), F.lit(-1)))).otherwise(homes)
+    return (rows.withColumn("other", F.explode(others))
+            .select(F.concat_ws(":", "cluster", F.greatest("block", "other"), F.least("block", "other")).alias("shard"),
+                    "node", "vec", "copies", "home", "block", (F.col("block") == F.col("other")).alias("own")))
 
 
 def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, shard: int,
             threshold: float) -> DataFrame:
-    """``node, n, other``: links counted in each shard, and a node of the same component there."""
+    """``node, n, m, other``: links and linked nodes of each shard, and a node of the same component there."""
     dealt = cut(_dealt(nodes, centres, width, overlap, shard))
 
     def build(t: pa.Table) -> pa.Table:
@@ -179,7 +196,7 @@ def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, sha
         graph = pruned_graph(_unit(matrix(t.column("vec"), width)))
         return pa.table({"node": t.column("node"), "edges": pa.array([ids[g] for g in graph], pa.list_(pa.int64()))})
 
-    edges = (dealt.groupBy("shard").applyInArrow(build, "node long, edges array<long>")
+    edges = (dealt.filter("own").groupBy("shard").applyInArrow(build, "node long, edges array<long>")
              .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
     united = dealt.join(edges, "node")
 
@@ -194,6 +211,10 @@ def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, sha
             at = np.minimum(np.searchsorted(ids[order], there), len(ids) - 1)
             at = order[at]
             graph.append(at[ids[at] == there])
+        block = t.column("block").to_numpy()
+        own = t.column("own")[0].as_py()
+        if not own:  # the united edges lie within blocks; those between two come from a graph of both
+            graph = [np.union1d(a, b) for a, b in zip(graph, pruned_graph(x))]
         medoid = int((x @ x.mean(0)).argmax())
         root = list(range(len(ids)))
 
@@ -203,19 +224,20 @@ def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, sha
                 i = root[i]
             return i
 
-        n = np.zeros(len(ids), np.int64)
+        n, m = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for i in range(len(ids)):
             found = range_search(x, graph, medoid, i, threshold)
-            n[i] = int(copies[found[home[found]]].sum())
+            counts = found[home[found] & (own | (block[found] != block[i]))]
+            n[i], m[i] = int(copies[counts].sum()), len(counts)
             for j in found.tolist():
                 a, b = top(i), top(j)
                 if a != b:
                     low, high = (a, b) if ids[a] < ids[b] else (b, a)
                     root[high] = low
-        return pa.table({"node": t.column("node"), "n": pa.array(n),
+        return pa.table({"node": t.column("node"), "n": pa.array(n), "m": pa.array(m),
                          "other": pa.array([int(ids[top(i)]) for i in range(len(ids))], pa.int64())})
 
-    return cut(united.groupBy("shard").applyInArrow(search, "node long, n long, other long"))
+    return cut(united.groupBy("shard").applyInArrow(search, "node long, n long, m long, other long"))
 
 
 def audit_recall(nodes: DataFrame, n: int, counted: DataFrame, width: int, threshold: float,

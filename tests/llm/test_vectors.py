@@ -4,7 +4,7 @@ import numpy as np
 from helpers import vector_classes
 
 from regframe.llm.topk import top_inner_products
-from regframe.llm.vector_dedup import near_duplicate_vectors
+from regframe.llm.vector_dedup import _dealt, _nodes, near_duplicate_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, score double"
 
@@ -34,6 +34,22 @@ def test_links_and_components_equal_brute_force(spark):
     assert all(got[i].n_links <= want[i][0] for i in want)
 
 
+def test_no_task_holds_a_whole_crowded_cluster(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=16) * 3 + rng.normal(size=(400, 16)) * 0.2, rng.normal(size=(200, 16))])
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    _, nodes = _nodes(_frame(spark, rows), "vec_id", "embedding")
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0][:4]
+    for overlap in (1, 3):
+        held = _dealt(nodes, centres, 16, overlap, 20).groupBy("shard").count().collect()
+        assert max(r["count"] for r in held) <= 4 * 20 * 1.5  # the blocks are dealt by a hash
+    want = vector_classes([i for i, _ in rows], np.array([v for _, v in rows]))
+    got = {r.vec_id: r for r in near_duplicate_vectors(_frame(spark, rows), shard=20).collect()}
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[i].component_id != want[i][1] for i in want) <= 2
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
