@@ -16,8 +16,12 @@ home, so counts add up over shards and no pair is ever emitted. Links join
 components inside the task; one row a node leaves it.
 
 The centroids are fitted on a bounded sample; all vectors are indexed. The
-recall is audited against brute force over ``AUDIT`` queries and all vectors,
-and the overlap grows until the audit finds ``RECALL`` of the links.
+recall is audited against brute force over all vectors: ``AUDIT`` queries of the
+nodes with few, with many and with no found links each, and more of the last
+until ``AUDIT`` audited nodes have links or ``AUDIT_MOST`` are drawn. It is the
+mean over nodes with links of the share found, copies once, and no higher than
+the mean among those with few or with many. The overlap grows until it reaches
+``RECALL``. It is NULL if no audited node has links and not all were drawn.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ DEGREE = 24           # neighbours of a node in a shard's graph, at most
 ALPHA = 1.2           # how much nearer a kept neighbour must be to replace one
 BEAM = 16
 MARGIN = 0.05         # the range expansion passes through nodes this far below the threshold
-AUDIT = 256           # queries of the recall audit, at most
+AUDIT = 256           # queries of the recall audit from each stratum of nodes, at first
+AUDIT_MOST = 4096     # queries among the nodes without found links, at most
+MANY = 8              # found links from which a node counts as one with many
 RECALL = 0.99
 
 
@@ -240,10 +246,8 @@ def _linked(nodes: DataFrame, centres: np.ndarray, width: int, overlap: int, sha
     return cut(united.groupBy("shard").applyInArrow(search, "node long, n long, m long, other long"))
 
 
-def audit_recall(nodes: DataFrame, n: int, counted: DataFrame, width: int, threshold: float,
-                 n_queries: int = AUDIT) -> float:
-    """Links found over links there are, of a bounded sample of queries against all vectors."""
-    sample = first_by_hash(nodes, n_queries, n, SEED + 1, "node").collect()
+def _there(nodes: DataFrame, sample: list, width: int, threshold: float) -> dict[int, int]:
+    """Distinct nodes linked to each sampled one, by brute force over all vectors."""
     q = np.zeros((len(sample), width))
     for i, row in enumerate(sample):
         q[i, :len(row["vec"])] = row["vec"]
@@ -252,15 +256,56 @@ def audit_recall(nodes: DataFrame, n: int, counted: DataFrame, width: int, thres
     def brute(batches):
         total = np.zeros(len(ids), np.int64)
         for b in batches:
-            x = _unit(matrix(b.column(1), width))
-            hit = (q @ x.T >= threshold) & (ids[:, None] != b.column(0).to_numpy()[None, :])
-            total += hit @ b.column(2).to_numpy().astype(np.int64)
+            x, own = _unit(matrix(b.column(1), width)), b.column(0).to_numpy()
+            for lo in range(0, len(ids), 256):
+                hit = (q[lo:lo + 256] @ x.T >= threshold) & (ids[lo:lo + 256, None] != own[None, :])
+                total[lo:lo + 256] += hit.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "there"])
 
-    truth = (nodes.select("node", "vec", "copies").mapInArrow(brute, "node long, there long")
-             .groupBy("node").agg(F.sum("there").alias("there")))
-    row = truth.join(counted, "node").agg(F.sum("there").alias("there"), F.sum("n").alias("found")).first()
-    return 1.0 if not row["there"] else row["found"] / row["there"]
+    rows = (nodes.select("node", "vec").mapInArrow(brute, "node long, there long")
+            .groupBy("node").agg(F.sum("there").alias("there")).collect())
+    return {r["node"]: r["there"] for r in rows}
+
+
+def recall_of(strata: list[tuple[int, list[tuple[int, int]]]]) -> float | None:
+    """Mean share of found links from the size of each stratum and ``found, there`` of its audited nodes.
+
+    A stratum counts by the nodes with links that its sample stands for. The
+    first holds the nodes without found links; no other's mean may be lower
+    than the result. None if no audited node has links and some were not audited.
+    """
+    shares, weights, means = [], [], [1.0]
+    for k, (size, audited) in enumerate(strata):
+        linked = [min(1.0, found / there) for found, there in audited if there]
+        if linked:
+            shares.append(sum(linked) / len(linked))
+            weights.append(size * len(linked) / len(audited))
+            means += shares[-1:] if k else []
+    if not shares:
+        return 1.0 if all(len(audited) >= size for size, audited in strata) else None
+    return min(sum(s * w for s, w in zip(shares, weights)) / sum(weights), *means)
+
+
+def audit_recall(nodes: DataFrame, counted: DataFrame, width: int, threshold: float,
+                 n_queries: int = AUDIT, most: int = AUDIT_MOST) -> float | None:
+    """The recall of the module's text, of links found in ``counted``, whose ``m`` is without copies."""
+    known = cut(nodes.select("node", "vec").join(counted.select("node", "m"), "node", "left")
+                .select("node", "vec", F.coalesce("m", F.lit(0)).alias("m")))
+    strata, linked = [], 0
+    for k, part in reversed(list(enumerate(("m = 0", f"m between 1 and {MANY - 1}", f"m >= {MANY}")))):
+        own = known.filter(part)
+        size, take = own.count(), n_queries
+        while True:
+            sample = first_by_hash(own, take, size, SEED + 1, "node").collect()  # bounded by most
+            there = _there(nodes, sample, width, threshold) if sample else {}
+            audited = [(r["m"], there.get(r["node"], 0)) for r in sample]
+            enough = linked + sum(t > 0 for _, t in audited) >= n_queries
+            if k or enough or take >= min(most, size):
+                break
+            take = min(4 * take, most)
+        linked += sum(t > 0 for _, t in audited)
+        strata.append((size, audited))
+    return recall_of(strata[::-1])
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -285,9 +330,9 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
         overlap = min(OVERLAP, len(centres))
         while True:
             links = _linked(nodes, centres, width, overlap, shard, threshold)
-            counted = links.groupBy("node").agg(F.sum("n").alias("n"))
-            recall = audit_recall(nodes, n, counted, width, threshold)
-            if recall >= RECALL or overlap >= len(centres):
+            counted = links.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+            recall = audit_recall(nodes, counted, width, threshold)
+            if (recall is not None and recall >= RECALL) or overlap >= len(centres):
                 break
             overlap = min(2 * overlap, len(centres))
         part = components(links.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -300,4 +345,4 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     component = F.coalesce("component_id", "id")
     return named.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                         component.alias("component_id"), (F.col("id") == component).alias("kept"),
-                        F.lit(float(recall)).alias("recall"))
+                        F.lit(recall).cast("double").alias("recall"))

@@ -4,7 +4,7 @@ import numpy as np
 from helpers import vector_classes
 
 from regframe.llm.topk import top_inner_products
-from regframe.llm.vector_dedup import _dealt, _nodes, near_duplicate_vectors
+from regframe.llm.vector_dedup import _dealt, _nodes, audit_recall, near_duplicate_vectors, recall_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, score double"
 
@@ -50,6 +50,32 @@ def test_no_task_holds_a_whole_crowded_cluster(spark):
     assert sum(got[i].component_id != want[i][1] for i in want) <= 2
 
 
+def test_audit_sees_lost_links_of_small_groups(spark):
+    assert recall_of([(900, [(0, 0)] * 9), (100, [(1, 2)] * 5), (800, [(500, 500)] * 5)]) == 0.5
+    assert recall_of([(900, [(0, 0)] * 9)]) is None and recall_of([(9, [(0, 0)] * 9)]) == 1.0
+    assert recall_of([(10, [(0, 3)] * 10)]) == 0.0
+    rng = np.random.default_rng(6)
+    hub = rng.normal(size=16) * 3 + rng.normal(size=(150, 16)) * 0.1
+    pairs = np.repeat(rng.normal(size=(120, 16)), 2, axis=0) + rng.normal(size=(240, 16)) * 0.01
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(np.vstack([hub, pairs]))]
+    _, nodes = _nodes(_frame(spark, rows), "vec_id", "embedding")
+    want = vector_classes([i for i, _ in rows], np.array([v for _, v in rows]))
+    whole = spark.createDataFrame([(i, n) for i, (n, _) in want.items()], "node long, m long")
+    lost = spark.createDataFrame([(i, n if i < 150 else 0) for i, (n, _) in want.items()], "node long, m long")
+    assert audit_recall(nodes, whole, 16, 0.95) == 1.0 and audit_recall(nodes, lost, 16, 0.95) < 0.5
+
+
+def test_recall_with_over_a_hundred_clusters(spark):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(700, 16)), 3, axis=0) + rng.normal(size=(2100, 16)) * 0.12
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    want = vector_classes([i for i, _ in rows], x)
+    got = {r.vec_id: r for r in near_duplicate_vectors(_frame(spark, rows), shard=20).collect()}  # 105 clusters
+    shares = [got[i].n_links / n for i, (n, _) in want.items() if n]
+    assert len(shares) > 1000 and sum(shares) / len(shares) >= 0.98
+    assert abs(got[0].recall - sum(shares) / len(shares)) < 0.02
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
