@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation of personal data, in SQL functions only.
 
 Patterns find the protected entities: email and IP addresses, card and phone
-numbers. Terms near the mentions of an entity are weighed by how much they
-reveal of it over the whole corpus:
+numbers. The terms of documents that hold an entity, wherever they stand, are
+weighed by how much they reveal of it over the whole corpus:
 
     PMI(e; t) = log2( c(e, t) N / (c(e) c(t)) ),   IC(e) = log2( N / c(e) )
 
 with documents as the unit of every count. A term whose PMI reaches ``alpha``
 of the entity's information content in at least ``min_docs`` documents
-discloses the entity; its occurrences beside the entity's mentions become spans
-of kind ``term``. ``sanitise`` generalises entity spans to their kind and
+discloses the entity; all its occurrences in documents with the entity become
+spans of kind ``term``. Words inside entity spans are no terms of a document. ``sanitise`` generalises entity spans to their kind and
 removes disclosing terms.
 
 Every pattern is possessive and starts only where a match may start, so the
@@ -26,7 +26,6 @@ from .common import cut, quoted
 
 ALPHA = 0.8
 MIN_DOCS = 3
-NEAR = 64             # characters on each side of a mention in which terms are looked for
 TERM = r"\p{L}{4,}+"
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -108,11 +107,7 @@ _EMPTY = "array<struct<value:string,start:long,end:long>>"
 
 
 def entity_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id``, an array of spans a kind, and ``mentions`` with the text around each.
-
-    The texts themselves are left behind: what is written is as small as the
-    personal data in them.
-    """
+    """``row, id``, an array of spans a kind, and ``entities`` and ``text`` of rows that hold any."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
     for kind in KINDS:
@@ -124,42 +119,35 @@ def entity_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         kept = F.filter(_spans(F.col(f"m_{kind}"), F.col(f"g_{kind}")), _check(kind))
         rows = rows.withColumn(kind, F.when(F.size(f"m_{kind}") > 0, kept).otherwise(F.array().cast(_EMPTY)))
         rows = rows.drop(f"m_{kind}", f"g_{kind}")
-    mentions = F.concat(*[F.transform(kind, _mention(kind)) for kind in KINDS])
-    return rows.select(F.monotonically_increasing_id().alias("row"), "id", *KINDS, mentions.alias("mentions"))
-
-
-def _mention(kind: str):
-    """A span's entity and the text on both sides of it."""
-    def around(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - NEAR, F.lit(0))
-        return F.struct(
-            F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), left_at.alias("left_at"),
-            F.substring(F.col("text"), (left_at + 1).cast("int"),
-                        F.least(s["start"], F.lit(NEAR)).cast("int")).alias("left"),
-            s["end"].alias("right_at"),
-            F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(NEAR)).alias("right"))
-    return around
-
-
-def _nearby(mentions: DataFrame) -> DataFrame:
-    """``row, entity, term, start, end`` of every term beside a mention."""
-    side = mentions.select("row", "entity", F.explode(F.array(
-        F.struct(F.col("left_at").alias("at"), F.col("left").alias("part")),
-        F.struct(F.col("right_at").alias("at"), F.col("right").alias("part")))).alias("side"))
-    part = side.select("row", "entity", "side.at", "side.part")
-    found, gaps = _matches(F.col("part"), TERM)
-    part = part.withColumn("m", found).filter(F.size("m") > 0).withColumn("g", gaps)
-    return (part.select("row", "entity", "at", F.explode(_spans(F.col("m"), F.col("g"))).alias("s"))
-            .select("row", "entity", F.lower("s.value").alias("term"),
-                    (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end")))
-
-
-def disclosing_terms(docs: DataFrame, nearby: DataFrame, text_col: str, alpha: float = ALPHA,
+    entities = F.array_distinct(F.concat(*[F.transform(kind, _entity(kind)) for kind in KINDS]))
+    return (rows.withColumn("entities", entities)
+            .select(F.monotonically_increasing_id().alias("row"), "id", *KINDS, "entities",
+                    F.when(F.size("entities") > 0, F.col("text")).alias("text")))
+
+
+def _entity(kind: str):
+    return lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))
+
+
+def _terms(base: DataFrame, entities: DataFrame) -> DataFrame:
+    """``row, entities, terms``: the listed entities of a row and all its terms outside entity spans."""
+    listed = (base.select("row", F.explode("entities").alias("entity")).join(entities, "entity")
+              .groupBy("row").agg(F.collect_list("entity").alias("entities")))
+    rows = base.filter("text is not null").select("row", "text", F.concat(*KINDS).alias("own")).join(listed, "row")
+    found, gaps = _matches(F.col("text"), TERM)
+    rows = rows.withColumn("m", found).filter(F.size("m") > 0).withColumn("g", gaps)
+    rows = rows.select("row", "entities", "own", _spans(F.col("m"), F.col("g")).alias("spans"))
+    free = F.filter("spans", lambda s: ~F.exists("own", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    return rows.select("row", "entities", F.transform(free, lambda s: F.struct(
+        F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end"))).alias("terms"))
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, entities: DataFrame, text_col: str, alpha: float = ALPHA,
                      min_docs: int = MIN_DOCS) -> DataFrame:
     """``entity, term, pmi, information`` of pairs in which the term reveals the entity."""
-    pairs = (nearby.select("row", "entity", "term").distinct().groupBy("entity", "term")
+    pairs = (held.select(F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("own"))
+             .select("entity", F.explode("own").alias("term")).groupBy("entity", "term")
              .agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= min_docs))
-    entities = nearby.groupBy("entity").agg(F.count_distinct("row").alias("c_e"))
     # one row a distinct word of a text; the counts combine on the map side
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(F.col(quoted(text_col)).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -188,12 +176,15 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read.
     """
     base = cut(entity_spans(docs, id_col, text_col))
-    mentions = base.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    nearby = cut(_nearby(mentions))
-    telling = cut(disclosing_terms(docs, nearby, text_col, alpha, min_docs))
-    terms = (nearby.join(telling, ["entity", "term"]).groupBy("row")
+    entities = cut(base.select(F.explode("entities").alias("entity")).groupBy("entity")
+                   .agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= min_docs))
+    held = cut(_terms(base, entities.select("entity")))
+    telling = cut(disclosing_terms(docs, held, entities, text_col, alpha, min_docs))
+    each = (held.select("row", F.explode("entities").alias("entity"), "terms")
+            .select("row", "entity", F.inline("terms")))
+    terms = (each.join(telling, ["entity", "term"]).groupBy("row")
              .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("term")))
-    return base.drop("mentions").join(terms, "row", "left").select(
+    return base.drop("entities", "text").join(terms, "row", "left").select(
         F.col("id").alias(id_col), *KINDS,
         F.coalesce("term", F.array().cast("array<struct<start:long,end:long>>")).alias("term"))
 

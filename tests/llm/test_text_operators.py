@@ -85,6 +85,18 @@ def test_disclosing_terms_are_removed_and_common_ones_stay(spark, odd_docs, no_d
     assert found_spans(no_docs).collect() == [] and sanitise(no_docs).collect() == []
 
 
+def test_disclosing_terms_far_from_the_mention_are_marked_whole(spark):
+    rng = random.Random(14)
+    rows = [(i, f"{'Quellmaster' if i < 5 else 'Anyone'} says: {text(rng, 3)} write to "
+                f"{'q@farm.example.com' if i < 5 else f'u{i}@x.example.com'} {text(rng, 3)} "
+                f"{'signed quellmaster of Switzerland' if i < 5 else 'unsigned'}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in found_spans(docs).collect():
+        terms = [rows[r.doc_id][1][s.start:s.end] for s in r.term]
+        assert terms == (["Quellmaster", "signed", "quellmaster", "Switzerland"] if r.doc_id < 5 else [])
+    assert not any("quellmaster" in r.text.lower() for r in sanitise(docs).collect())
+
+
 # --- line dedup -----------------------------------------------------------
 
 def test_chunks_give_the_text_back_and_resist_shifts():
