@@ -18,6 +18,11 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``").replace("{", "{{").replace("}", "}}") + "`"
 
 
+def plain(name: str) -> str:
+    """Quoted identifier for the DataFrame API."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def lit(x: float) -> str:
     """Exact DOUBLE literal (``repr`` round-trips; the D suffix keeps Spark
     from reading it as a DECIMAL)."""

@@ -121,14 +121,13 @@ def _moment_cols(x: Column, m: Column, y: Column) -> list[Column]:
 
 def _paths(s: dict[str, Column]) -> tuple[Column, Column]:
     """a (m ~ x) and b (y ~ x + m, coefficient of m) from weighted sums."""
-    W = s["w"]
-    cxx = s["xx"] - s["x"] * s["x"] / W
-    cmm = s["mm"] - s["m"] * s["m"] / W
-    cxm = s["xm"] - s["x"] * s["m"] / W
-    cxy = s["xy"] - s["x"] * s["y"] / W
-    cmy = s["my"] - s["m"] * s["y"] / W
-    # a degenerate replicate (no spread in x, or collinear x and m) gives
-    # NULL and is counted as invalid instead of failing the job (ANSI)
+    def centred(product: str, p: str, q: str) -> Column:
+        return s[product] - F.try_divide(s[p] * s[q], s["w"])
+
+    cxx, cmm = centred("xx", "x", "x"), centred("mm", "m", "m")
+    cxm, cxy, cmy = centred("xm", "x", "m"), centred("xy", "x", "y"), centred("my", "m", "y")
+    # a degenerate replicate (no unit drawn, no spread in x, or collinear x
+    # and m) gives NULL and is counted as invalid instead of failing the job
     a = F.try_divide(cxm, cxx)
     b = F.try_divide(cxx * cmy - cxm * cxy, cxx * cmm - cxm * cxm)
     return a, b

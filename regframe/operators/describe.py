@@ -16,6 +16,9 @@ from ..functions import sqltext as S
 from ..functions.columns import present
 
 
+WIDE = 24                     # variables up to which correlation unpivots rows into pairs
+
+
 def descriptives(df: DataFrame, variables: list[str]) -> DataFrame:
     """Per variable n, mean, sd (n-1), min, max and the
     bias-corrected skewness G1 and excess kurtosis G2 (pandas' defaults).
@@ -71,9 +74,17 @@ def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False
     deletion), and ``groupBy(pair)`` computes the count and the population
     co-moments. These merge stably across partitions, partial aggregation
     leaves one row per pair per partition, and with three small aggregates
-    per group the operator stays inside whole-stage codegen."""
+    per group the operator stays inside whole-stage codegen. That makes k^2/2
+    rows of each input row, so tables of more than ``WIDE`` variables take
+    products of value and presence blocks instead
+    (:func:`moments.pairwise_moments`)."""
     spark = df.sparkSession
     vs = present(df, variables)
+    if len(vs) > WIDE:
+        from .moments import pairwise_moments
+        names = F.lit(vs)
+        res = pairwise_moments(df, vs).select(names[F.col("i")].alias("var_i"), names[F.col("j")].alias("var_j"), "n", "r")
+        return _with_t(res, both_orders)
     pairs = [(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs))]
     cast = [f"CAST({_numsql(v)} AS DOUBLE)" for v in vs]
     st = ", ".join(f"{i}, {j}, {cast[i]}, {cast[j]}" for i, j in pairs)
@@ -88,6 +99,10 @@ def corr_pairwise(df: DataFrame, variables: list[str], both_orders: bool = False
                                  "i int, j int, var_i string, var_j string")
     res = spark.sql("SELECT var_i, var_j, coalesce(n, 0L) AS n, CASE WHEN NOT isnan(r) THEN r END AS r FROM {t}",
                     t=allp.join(g, ["i", "j"], "left"))
+    return _with_t(res, both_orders)
+
+
+def _with_t(res: DataFrame, both_orders: bool) -> DataFrame:
     if both_orders:
         res = res.unionByName(res.select(F.col("var_j").alias("var_i"), F.col("var_i").alias("var_j"), "n", "r"))
     return res.withColumn("t", F.expr(

@@ -16,6 +16,10 @@ How a fit runs
   are summed per group, then over groups), so a clustered battery reads its
   sample twice, not three times.
 
+Models of more than ``SQL_WIDTH`` predictors take the same steps on numpy
+blocks inside the tasks (:mod:`wide`), because SQL text per pair of predictors
+does not scale to hundreds.
+
 Only O(p^2) numbers per model ever reach the driver. Listwise deletion is
 per model (``sample="per_model"``, the default, as statsmodels'
 ``missing="drop"``) or one common complete-case sample for the whole battery
@@ -36,6 +40,7 @@ from ..functions import sqltext as S
 from ..functions.tails import Z975, f_sf, norm_sf2
 
 COND_LIMIT = 1e12
+SQL_WIDTH = 8                 # predictors up to which a model is one of the fused SQL passes
 FULL_LEVERAGE = 1e-10         # 1 - h at or below this: the row fits itself exactly
 
 
@@ -90,15 +95,10 @@ class ModelResult:
         return f"({_ysql(self.spec)} - {self.fitted_sql()})"
 
     def leverage_sql(self) -> str:
+        """SQL text of k^2 terms, for models of few predictors."""
         xc = [f"({S.q(x)} - {S.lit(m)})" for x, m in zip(self.spec.x, self.means[1:])]
         return f"({S.lit(1.0 / self.n)} + {S.quad(self.Sinv, xc)})"
 
-    def cooks_sql(self) -> str:
-        """Cook's distance; a row of leverage 1 is infinitely influential."""
-        s2 = self.ssr / (self.n - self.p)
-        h, e = self.leverage_sql(), self.resid_sql()
-        return (f"(CASE WHEN 1D - {h} <= {S.lit(FULL_LEVERAGE)} THEN double('Infinity') ELSE "
-                f"try_divide({e} * {e} * {h}, {S.lit(self.p * s2)} * (1D - {h}) * (1D - {h})) END)")
 
     def fitted(self) -> Column:
         return F.expr(self.fitted_sql())
@@ -107,10 +107,17 @@ class ModelResult:
         return F.expr(self.resid_sql())
 
     def leverage(self) -> Column:
-        return F.expr(self.leverage_sql())
+        if self.k <= SQL_WIDTH:
+            return F.expr(self.leverage_sql())
+        from .wide import leverage_column
+        return leverage_column(self.means[1:], self.Sinv, self.n, self.spec.x)
 
     def cooks_distance(self) -> Column:
-        return F.expr(self.cooks_sql())
+        """Cook's distance; a row of leverage 1 is infinitely influential."""
+        h, e = self.leverage(), self.resid()
+        free, s2 = F.lit(1.0) - h, self.ssr / (self.n - self.p)
+        return (F.when(free <= F.lit(FULL_LEVERAGE), F.lit(float("inf")))
+                .otherwise(F.try_divide(e * e * h, F.lit(self.p * s2) * free * free)))
 
 
 def _ysql(spec: ModelSpec) -> str:
@@ -233,7 +240,58 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], sample: str = "per_model",
     return OLSFit(spark, models)
 
 
+def solve(m: ModelResult, means: np.ndarray, cross: np.ndarray) -> None:
+    """Means and centred cross-products of ``[y, x...]`` -> coefficients, or the status ``singular``."""
+    m.means, m.syy, m.S = means, cross[0, 0], cross[1:, 1:]
+    d = np.diag(m.S)
+    spread = m.n * (1e-13 * np.abs(means[1:])) ** 2      # of a constant, by rounding
+    if not np.all(np.isfinite(m.S)) or np.any(d <= spread):
+        m.status = "singular"
+        return
+    D = 1.0 / np.sqrt(d)
+    ev = np.linalg.eigvalsh(m.S * np.outer(D, D))
+    m.cond = float(ev[-1] / ev[0]) if ev[0] > 0 else float("inf")
+    if not (m.cond < COND_LIMIT):
+        m.status = "singular"
+        return
+    m.Sinv = np.linalg.inv(m.S)
+    b = m.Sinv @ cross[1:, 0]
+    m.beta = np.concatenate([[means[0] - means[1:] @ b], b])
+
+
+def covariance(m: ModelResult, meat: np.ndarray | None) -> None:
+    """The covariance of the coefficients from the sandwich meat (none for classical errors)."""
+    p = m.p
+    Ainv = np.zeros((p, p))
+    Ainv[0, 0] = 1.0 / m.n
+    Ainv[1:, 1:] = m.Sinv
+    if m.spec.cov == "classical":
+        Vt = Ainv * (m.ssr / (m.n - p))
+    else:
+        if m.spec.cov == "HC1":
+            meat = meat * (m.n / (m.n - p))
+        if m.spec.cov == "cluster":
+            G = m.n_groups
+            meat = meat * ((G / (G - 1.0)) * ((m.n - 1.0) / (m.n - p)) if G > 1 else float("nan"))
+        Vt = Ainv @ meat @ Ainv
+    Tm = np.eye(p)
+    Tm[0, 1:] = -m.means[1:]
+    m.cov = Tm @ Vt @ Tm.T
+
+
 def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str) -> dict:
+    for s in specs:
+        if s.cov == "cluster" and not s.groups:
+            raise ValueError(f"{s.model_id}: cov='cluster' needs groups")
+    narrow, wide = ([s for s in specs if (len(s.x) > SQL_WIDTH) == w] for w in (False, True))
+    models = _fit_sql(data, narrow, dtypes, nonpositive) if narrow else {}
+    if wide:
+        from .wide import fit_wide
+        models |= fit_wide(data, wide, nonpositive)
+    return {s.model_id: models[s.model_id] for s in specs}
+
+
+def _fit_sql(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str) -> dict:
     oks, raw = {}, {}
     for s in specs:
         ok = S.ok_cond(s.cols, dtypes)
@@ -279,25 +337,7 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
             for b in range(a, nv):
                 val = r1[f"c_{i}_{a}_{b}"]
                 C[a, b] = C[b, a] = float("nan") if val is None else val
-        m.means = np.array([r1[f"m_{i}_{a}"] for a in range(nv)], dtype=float)
-        Cs = C * (m.n - 1)
-        m.syy = Cs[0, 0]
-        Sm = Cs[1:, 1:]
-        m.S = Sm
-        d = np.diag(Sm)
-        if not np.all(np.isfinite(Sm)) or np.any(d <= 0):
-            m.status = "singular"
-            continue
-        D = 1.0 / np.sqrt(d)
-        ev = np.linalg.eigvalsh(Sm * np.outer(D, D))
-        m.cond = float(ev[-1] / ev[0]) if ev[0] > 0 else float("inf")
-        if not (m.cond < COND_LIMIT):
-            m.status = "singular"
-            continue
-        m.Sinv = np.linalg.inv(Sm)
-        b = m.Sinv @ Cs[1:, 0]
-        b0 = m.means[0] - m.means[1:] @ b
-        m.beta = np.concatenate([[b0], b])
+        solve(m, np.array([r1[f"m_{i}_{a}"] for a in range(nv)], dtype=float), C * (m.n - 1))
 
     live = [s for s in specs if models[s.model_id].status == "ok"]
     if not live:
@@ -343,8 +383,6 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
     by_group: dict[str, list[tuple[int, ModelSpec]]] = {}
     for i, s in enumerate(live):
         if s.cov == "cluster":
-            if not s.groups:
-                raise ValueError(f"{s.model_id}: cov='cluster' needs groups")
             by_group.setdefault(s.groups, []).append((i, s))
 
     def group_scores(lst):
@@ -385,26 +423,14 @@ def _fit(data: DataFrame, specs: list[ModelSpec], dtypes: dict, nonpositive: str
             continue
         m.extras["sum_e3"] = r2[f"s3_{i}"]
         m.extras["sum_e4"] = r2[f"s4_{i}"]
-        Ainv = np.zeros((p, p))
-        Ainv[0, 0] = 1.0 / m.n
-        Ainv[1:, 1:] = m.Sinv
-        if s.cov == "classical":
-            Vt = Ainv * (m.ssr / (m.n - p))
-        else:
-            M = np.empty((p, p))
+        M = np.empty((p, p))
+        if s.cov != "classical":
             for a in range(p):
                 for b in range(a, p):
                     M[a, b] = M[b, a] = r2[f"w_{i}_{a}_{b}"]
-            if s.cov == "HC1":
-                M *= m.n / (m.n - p)
-            if s.cov == "cluster":
-                G = int(r2[f"G_{i}"])
-                m.n_groups = G
-                M *= (G / (G - 1.0)) * ((m.n - 1.0) / (m.n - p)) if G > 1 else float("nan")
-            Vt = Ainv @ M @ Ainv
-        Tm = np.eye(p)
-        Tm[0, 1:] = -m.means[1:]
-        m.cov = Tm @ Vt @ Tm.T
+        if s.cov == "cluster":
+            m.n_groups = int(r2[f"G_{i}"])
+        covariance(m, M)
     return models
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +67,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="regframe-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per
+    application: functions that run there are looked up by module name."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):                       # else it runs from a zip that was shipped already
+        path = os.path.join(tempfile.mkdtemp(prefix="regframe-"), "regframe_library.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(here):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
