@@ -6,9 +6,10 @@ through the generators in ``sqlgen.py``. Rounding matches the Spark side.
 
 from __future__ import annotations
 
-from .sqlgen import Ols, ols_query
+from .sqlgen import Ols, f_p, ols_query
 from .views import with_base as W
 
+# The variable lists of the reference's named analyses.
 SHARE = "task_conversation_share"
 TASK_VARS = [SHARE, "directive", "feedback_loop", "task_iteration", "learning", "validation",
              "automation_index", "augmentation_index", "risk_management_index", "thinking_fraction"]
@@ -541,7 +542,8 @@ for _m, _o in _tm6:
         f = "be0 * be0 / v1_1"
     else:
         f = "((be0 * be0 * v2_2 - 2 * be0 * be1 * v1_2 + be1 * be1 * v1_1) / (v1_1 * v2_2 - v1_2 * v1_2)) / 2"
-    _jf.append(f"SELECT '{_m}' AS model_id, {_o.k} AS k, round({f}, 6) AS f FROM {_o.final}")
+    _jf.append(f"SELECT model_id, k, round(f, 6) AS f, round({f_p('(k * f / (n - k - 1))', 'k', '(n - k - 1)')}, 8) AS f_p "
+               f"FROM (SELECT '{_m}' AS model_id, {_o.k} AS k, {f} AS f, n FROM {_o.final})")
 Q["joint_f"] = W(",\n".join(c for _, o in _tm6 for c in o.ctes), "\nUNION ALL\n".join(_jf))
 
 Q["info_criteria"] = ols_query(W, [("3", "h3s", THINK, [CAUG], "HC3", None),
@@ -563,12 +565,23 @@ for _i, (_m, _src, _y, _xs, _cov, _g) in enumerate(_TASK_MODELS):
     _o = Ols(f"rd{_i}", _src, _y, _xs, _cov)
     _rdc += _o.ctes
     _rdc.append(f"rdm{_i} AS (SELECT count(*) AS n, avg(e * e) AS m2, avg(e * e * e) AS m3, "
-                f"avg(e * e * e * e) AS m4 FROM rd{_i}_r)")
+                f"avg(e * e * e * e) AS m4, {'abs(corr(c0, c1))' if _o.k == 2 else '0.0'} AS rho FROM rd{_i}_r)")
+    # D'Agostino's z of the skewness and Anscombe's z of the kurtosis
+    _rdc.append(f"rdo{_i} AS (SELECT *, pow(z_skew, 2) + pow((1 - 2 / (9 * aa) - cbrt((1 - 2 / aa) / "
+                "(1 + (m4 / (m2 * m2) - 3e0 * (n - 1) / (n + 1)) / sqrt(24e0 * n * (n - 2) * (n - 3) / "
+                "(pow(n + 1, 2) * (n + 3) * (n + 5))) * sqrt(2 / (aa - 4))))) / sqrt(2 / (9 * aa)), 2) AS k2 FROM ("
+                "SELECT *, asinh(ys / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z_skew, "
+                "6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS aa FROM ("
+                "SELECT *, sqrt(2 * (bb - 1)) - 1 AS w2 FROM (SELECT *, m3 / pow(m2, 1.5) * sqrt((n + 1e0) * (n + 3) / (6e0 * (n - 2))) AS ys, "
+                "3e0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2e0) * (n + 5) * (n + 7) * (n + 9)) AS bb, "
+                "6e0 * (n * n - 5 * n + 2) / ((n + 7e0) * (n + 9)) * sqrt(6e0 * (n + 3) * (n + 5) / (n * (n - 2e0) * (n - 3))) AS sb "
+                f"FROM rdm{_i}))))")
     _rd.append(f"SELECT '{_m}' AS model_id, n, round(m3 / pow(m2, 1.5), 6) AS resid_skew, "
                f"round(m4 / (m2 * m2), 6) AS resid_kurtosis, "
                f"round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) AS jarque_bera, "
-               f"round(exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)), 6) AS jb_p "
-               f"FROM rdm{_i}")
+               f"round(exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)), 6) AS jb_p, "
+               f"round((1 + rho) / (1 - rho), 6) AS cond, round(k2, 4) AS omnibus, round(exp(-k2 / 2), 6) AS omnibus_p "
+               f"FROM rdo{_i}")
 Q["resid_diagnostics"] = W(",\n".join(_rdc), "\nUNION ALL\n".join(_rd))
 
 _dw = []
@@ -615,9 +628,9 @@ Q["shape_stats"] = W("", "\nUNION ALL\n".join(
     f"SELECT '{v}' AS variable, count({v}) AS n, round(skewness({v}), 6) AS skewness, "
     f"round(kurtosis({v}), 6) AS kurtosis FROM task_level" for v in TASK_VARS))
 Q["corr_pvalues"] = W("", "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS var_i, '{b}' AS var_j, n, "
-    f"round(CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END, 6) AS t FROM "
-    f"(SELECT count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM task_level)"
+    f"SELECT '{a}' AS var_i, '{b}' AS var_j, n, round(t, 6) AS t, round({f_p('(t * t / (n - 2))', '1', '(n - 2)')}, 8) AS p FROM "
+    f"(SELECT n, CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t FROM "
+    f"(SELECT count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM task_level))"
     for i, a in enumerate(TASK_VARS) for b in TASK_VARS[i + 1:]))
 
 
@@ -719,9 +732,28 @@ SELECT model_id, term, round(coef, 8) AS coef, CAST(value AS DOUBLE) AS value, C
        CASE WHEN abs(coef - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM qx""")
 
 
+Q["qc_statistics"] = W("", """
+SELECT model_id, statistic, round(actual, 8) AS actual, value::DOUBLE AS value, tol::DOUBLE AS tol,
+       CASE WHEN abs(actual - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM (
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, '{st}' AS statistic, {dict(b1='regr_slope(y, x)', r2='regr_r2(y, x)', r='corr(y, x)', n='regr_count(y, x)')[st]}"
+    f"::DOUBLE AS actual, {v} AS value, {t} AS tol FROM (SELECT {y} AS y, {x} AS x FROM {src})"
+    for m, src, y, x, checks in (
+        ("fig1_linear", "task_level", SHARE, "augmentation_index", (("b1", 0.0596, 0.003), ("r2", 0.011, 0.004))),
+        ("fig1_log", "task_level", f"ln({SHARE})", "augmentation_index", (("b1", 2.8144, 0.02), ("r2", 0.399, 0.01))),
+        ("fig2_h2a", "task_level", SHARE, "risk_management_index", (("b1", 0.6649, 0.01), ("n", 3364.0, 0.5))),
+        ("fig3_h3", "cluster_level", THINK, CAUG, (("b1", -0.0611, 0.003), ("n", 508.0, 0.5), ("r", -0.327, 0.01))))
+    for st, v, t in checks) + ")")
+
+Q["key_constancy"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{part}' AS part, task_name, count(*) AS n_rows FROM {src} GROUP BY task_name "
+    f"HAVING count(DISTINCT ({', '.join(f'coalesce({c}::VARCHAR, chr(1))' for c in cols)})) > 1"
+    for part, src, cols in (("task_columns", "integrated", [c for c in TASK_BASE_COLS if c != "task_name"]),
+                            ("cluster_columns", "cluster_level", ["cluster_name_1", "percent_users"]))))
+
 Q["coef_table"] = ols_query(W, [("3", "h3s", THINK, [CAUG], "HC3", None),
                                 ("3_classical", "h3s", THINK, [CAUG], "classical", None),
-                                ("4", "h3s", THINK, [CAUTO, CAUG], "HC3", None)], extra_ctes=H3S)
+                                ("4", "h3s", THINK, [CAUTO, CAUG], "HC3", None)], extra_ctes=H3S, with_p=True)
 Q["boot_ci"] = W(H3S + ",\n" + H5S + ",\n" + _bi + ",\n" + _bc,
                  "SELECT 'iid' AS scheme, n_valid, ci_lo, ci_hi, verdict FROM (" + _bis + ")\nUNION ALL\n"
                  "SELECT 'cluster', n_valid, ci_lo, ci_hi, verdict FROM (" + _bcs + ")")

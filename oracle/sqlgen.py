@@ -14,6 +14,28 @@ def _r(v: str, d: int) -> str:
     return f"round({v}, {d})"
 
 
+def _simpson(i: str, n: int) -> str:
+    return f"(CASE WHEN {i} = 0 OR {i} = {n} THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+
+
+def normal_p(z: str, n: int = 2000, upto: float = 12.0) -> str:
+    """Two-sided normal tail by Simpson's rule: exp(-z^2/2) times the integral of exp(-z s - s^2/2)."""
+    h = upto / n
+    return (f"(2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {h / 3!r} * list_sum([{_simpson('i', n)} * "
+            f"exp(-abs({z}) * i * {h!r} - i * i * {h * h / 2!r}) for i in range({n + 1})]))")
+
+
+def f_p(u: str, d1: str, d2: str, n: int = 20000) -> str:
+    """Upper tail of F(d1, d2) at u = d1 F / d2 (for t: u = t^2 / df, d1 = 1): the integral of
+    sin^(d1-1) cos^(d2-1) from atan(sqrt(u)) to pi/2 over the one from 0, by Simpson's rule."""
+    def integral(lo: str) -> str:
+        at = f"({lo} + (pi() / 2 - {lo}) * i / {n})"
+        return (f"((pi() / 2 - {lo}) * list_sum([{_simpson('i', n)} * pow(sin({at}), {d1} - 1) * "
+                f"pow(greatest(cos({at}), 0), {d2} - 1) for i in range({n + 1})]))")
+
+    return f"({integral(f'atan(sqrt({u}))')} / {integral('0.0')})"
+
+
 class Ols:
     """CTEs for one OLS model; ``self.ctes`` (list) and expressions over the
     final CTE ``self.final`` for ``coef(i)``, ``se(i)`` (i = 0 const)."""
@@ -119,12 +141,14 @@ class Ols:
     def se(self, i: int) -> str:
         return "sqrt(var_c)" if i == 0 else f"sqrt(v{i}_{i})"
 
-    def rows(self, model_id: str, terms: list[str], dc: int = 8, dz: int = 6) -> str:
-        """UNION ALL of (model_id, term, coef, se, z) rows, rounded."""
+    def rows(self, model_id: str, terms: list[str], dc: int = 8, dz: int = 6, with_p: bool = False) -> str:
+        """UNION ALL of (model_id, term, coef, se, z[, p]) rows, rounded."""
         out = []
         for i, t in enumerate(["const", *terms]):
             out.append(f"SELECT '{model_id}' AS model_id, '{t}' AS term, {_r(self.coef(i), dc)} AS coef, "
-                       f"{_r(self.se(i), dc)} AS se, {_r(self.coef(i) + '/' + self.se(i), dz)} AS z FROM {self.final}")
+                       f"{_r(self.se(i), dc)} AS se, {_r(self.coef(i) + '/' + self.se(i), dz)} AS z"
+                       + (f", {_r(normal_p(self.coef(i) + '/' + self.se(i)), dc)} AS p" if with_p else "")
+                       + f" FROM {self.final}")
         return "\nUNION ALL\n".join(out)
 
     def fit_row(self, model_id: str, d: int = 8) -> str:
@@ -138,7 +162,7 @@ class Ols:
 
 
 def ols_query(base_with, models: list[tuple], extra_ctes: str = "", dc: int = 8, dz: int = 6,
-              kind: str = "coef") -> str:
+              kind: str = "coef", with_p: bool = False) -> str:
     """``models``: (model_id, src, y, xs, cov, groups[, where]) tuples."""
     ctes, rows = [], []
     for j, m in enumerate(models):
@@ -146,7 +170,7 @@ def ols_query(base_with, models: list[tuple], extra_ctes: str = "", dc: int = 8,
         where = m[6] if len(m) > 6 else None
         o = Ols(f"q{j}", src, y, xs, cov, groups, where)
         ctes += o.ctes
-        rows.append(o.rows(mid, [t if isinstance(t, str) else t for t in _names(xs)], dc, dz)
+        rows.append(o.rows(mid, [t if isinstance(t, str) else t for t in _names(xs)], dc, dz, with_p)
                     if kind == "coef" else o.fit_row(mid))
     allc = (extra_ctes + ",\n" if extra_ctes.strip() else "") + ",\n".join(ctes)
     return base_with(allc, "\nUNION ALL\n".join(rows))

@@ -8,7 +8,7 @@ per task, and every diagnostic is an aggregate with a map-side partial phase.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (COLLAB_RENAMES, coerce_numeric, composite, drop_present,
@@ -49,13 +49,25 @@ def key_gaps(left: DataFrame, right: DataFrame, key: str = KEY, sample: int = 5)
 def outer_join_indicator(left: DataFrame, right: DataFrame, key: str = KEY,
                          indicator: str = "_merge") -> DataFrame:
     """Full outer equi-join with a provenance column
-    ``both | left_only | right_only`` (pandas' ``indicator=True``)."""
-    l = left.withColumn("__in_left", F.lit(True))
-    r = right.withColumn("__in_right", F.lit(True))
-    j = l.join(r, key, "full_outer")
-    ind = (F.when(F.col("__in_left") & F.col("__in_right"), F.lit("both"))
-           .when(F.col("__in_left"), F.lit("left_only")).otherwise(F.lit("right_only")))
-    return j.withColumn(indicator, ind).drop("__in_left", "__in_right")
+    ``both | left_only | right_only`` (pandas' ``indicator=True``).
+
+    Written as an inner join and two anti-joins. Spark cannot split a full
+    outer join, so a key that holds a third of one side would be one task; of
+    an inner join it splits both sides, of an anti-join the rows that are kept
+    (the other side is keys alone). Rows without a key match nothing and
+    skip the joins, so they stay where they were read."""
+    other = {"left": [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields if f.name != key],
+             "right": [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]}
+    keyed_left, keyed_right = (d.filter(F.col(key).isNotNull()) for d in (left, right))
+
+    def alone(d: DataFrame, keyed: DataFrame, against: DataFrame) -> DataFrame:
+        return (keyed.join(against.select(key), key, "left_anti")
+                .unionByName(d.filter(F.col(key).isNull())))
+
+    both = keyed_left.join(keyed_right, key).withColumn(indicator, F.lit("both"))
+    left_only = alone(left, keyed_left, keyed_right).select("*", *other["right"], F.lit("left_only").alias(indicator))
+    right_only = alone(right, keyed_right, keyed_left).select("*", *other["left"], F.lit("right_only").alias(indicator))
+    return both.unionByName(left_only).unionByName(right_only)
 
 
 def merge_breakdown(joined: DataFrame, indicator: str = "_merge") -> DataFrame:
@@ -135,9 +147,35 @@ def cluster_columns(df: DataFrame) -> list[str]:
 
 def task_sample(integrated: DataFrame) -> DataFrame:
     """One row per task, cluster columns dropped. Task columns are
-    constant within a task, so the kept row is immaterial; ``dropDuplicates``
-    is a first-per-key aggregate with a map-side partial phase."""
-    return drop_present(integrated, cluster_columns(integrated)).dropDuplicates([KEY])
+    constant within a task, so the kept row is immaterial;
+    :func:`one_row_per_key` checks that and keeps a reproducible row."""
+    return one_row_per_key(drop_present(integrated, cluster_columns(integrated)), KEY)[0]
+
+
+def one_row_per_key(df: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """``(rows, violations)``: one row per key, and the keys whose rows differ.
+
+    A single aggregate with a map-side phase keeps the row of smallest
+    fingerprint (a hash of all columns, with NULL marked) and that of the
+    largest; where they differ, the key is not constant. ``violations`` holds
+    ``key, n_rows`` and ``columns``: the names in which those two rows differ.
+    NULL is a key like any other, as in a plain dedup."""
+    others = [c for c in df.columns if c != key]
+
+    def there(c: str) -> Column:
+        return F.col("`" + c.replace("`", "``") + "`")
+
+    marked = [x for c in others for x in (there(c), there(c).isNull())]
+    print_ = F.xxhash64(*marked) if others else F.lit(0).cast("long")
+    row = F.struct(*[there(c).alias(c) for c in others]) if others else F.struct(F.lit(0).alias("__none"))
+    per_key = (df.select(key, print_.alias("__h"), row.alias("__row")).groupBy(key)
+               .agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("__row", "__h").alias("__lo"),
+                    F.max_by("__row", "__h").alias("__hi"), F.min("__h").alias("__a"), F.max("__h").alias("__b")))
+    rows = per_key.select(*[F.col(key) if c == key else F.col("__lo")[c].alias(c) for c in df.columns])
+    differ = [F.when(~F.col("__lo")[c].eqNullSafe(F.col("__hi")[c]), F.lit(c)) for c in others]
+    violations = per_key.filter("__a <> __b").select(
+        key, "n_rows", F.array_compact(F.array(*(differ or [F.lit(None).cast("string")]))).alias("columns"))
+    return rows, violations
 
 
 def task_sample_from_base(task_base: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
 from ..functions.columns import present
+from ..functions.tail_columns import t_p
 
 
 WIDE = 24                     # variables up to which correlation unpivots rows into pairs
@@ -110,11 +111,8 @@ def _with_t(res: DataFrame, both_orders: bool) -> DataFrame:
 
 
 def with_corr_pvalues(corr_long: DataFrame) -> DataFrame:
-    """Two-sided t p-values for a (small) correlation result table."""
-    from ..functions.tails import t_sf2
-    rows = corr_long.collect()   # result table: one row per variable pair
-    out = [(*r, t_sf2(r["t"], r["n"] - 2) if r["t"] is not None else None) for r in rows]
-    return corr_long.sparkSession.createDataFrame(out, corr_long.schema.add("p", "double"))
+    """Two-sided t p-values with n - 2 degrees of freedom, beside every pair."""
+    return corr_long.withColumn("p", t_p(F.col("t"), F.col("n") - 2))
 
 
 def corr_matrix_wide(corr_long: DataFrame, variables: list[str]) -> DataFrame:
@@ -272,27 +270,30 @@ def durbin_watson(df: DataFrame, resid: Column, order: str, n_ranges: int | None
     column, without a single-partition window: range-partition by the order
     key, take differences inside each range (window per range id), then add
     the few boundary differences between consecutive ranges from a
-    first/last-per-range aggregate (one row per range)."""
+    first/last-per-range aggregate (one row per range).
+
+    The order must be an order: rows that share an order value, or lack one,
+    have no place among each other, and raise a ``ValueError``."""
     from pyspark.sql import Window
     from ..session import checkpoint_dir
     spark = df.sparkSession
     checkpoint_dir(spark)
     d = df.select(F.col(order).alias("__o"), resid.alias("__e")).where("__e IS NOT NULL")
-    # rows that share an order value follow each other by a hash, so a hot
-    # value spreads over ranges too
-    d = d.withColumn("__t", F.xxhash64("__o", "__e"))
-    d = (d.repartitionByRange(n_ranges, "__o", "__t") if n_ranges else d.repartitionByRange("__o", "__t"))
+    d = d.repartitionByRange(n_ranges, "__o") if n_ranges else d.repartitionByRange("__o")
     d = d.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
-    w = Window.partitionBy("__pid").orderBy("__o", "__t")
-    inner = d.withColumn("__d", F.col("__e") - F.lag("__e").over(w)).agg(
-        F.sum(F.col("__d") * F.col("__d")).alias("num"), F.sum(F.col("__e") * F.col("__e")).alias("den")).first()
-    ends = (d.groupBy("__pid").agg(F.min_by("__e", F.struct("__o", "__t")).alias("first"),
-                                 F.max_by("__e", F.struct("__o", "__t")).alias("last"))
+    w = Window.partitionBy("__pid").orderBy("__o")
+    inner = d.withColumns({"__d": F.col("__e") - F.lag("__e").over(w), "__p": F.lag("__o").over(w)}).agg(
+        F.sum(F.col("__d") * F.col("__d")).alias("num"), F.sum(F.col("__e") * F.col("__e")).alias("den"),
+        F.count_if(F.col("__o").isNull()).alias("without"),
+        F.count_if(F.col("__o") == F.col("__p")).alias("repeated")).first()
+    if inner["repeated"] or inner["without"]:          # equal values share a range
+        raise ValueError(f"{order} orders no rows: {inner['repeated']} repeat a value, {inner['without']} have none")
+    ends = (d.groupBy("__pid").agg(F.min_by("__e", "__o").alias("first"), F.max_by("__e", "__o").alias("last"))
             .orderBy("__pid").collect())          # one row per range
     num = inner["num"] or 0.0
     for a, b_ in zip(ends, ends[1:]):
         num += (b_["first"] - a["last"]) ** 2
-    return num / inner["den"]
+    return num / inner["den"] if inner["den"] else float("nan")
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:

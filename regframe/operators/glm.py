@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from ..functions import sqltext as S
 from ..functions.special import lgamma_sql
-from ..functions.tails import Z975, norm_sf2
-from .linear import COEF_SCHEMA, COND_LIMIT
+from ..functions.tails import Z975
+from .linear import COND_LIMIT, coef_frame
 
 FAMILIES = ("binomial", "poisson", "gamma")
 
@@ -201,9 +201,8 @@ class GLMFit:
             se = np.sqrt(np.diag(m.cov))
             for t, b, s in zip(m.terms, m.beta, se):
                 z = float(b / s) if s > 0 else float("nan")
-                rows.append((mid, t, float(b), float(s), z, float(norm_sf2(z)), float(b - Z975 * s),
-                             float(b + Z975 * s), m.spec.cov))
-        return self.spark.createDataFrame(rows, COEF_SCHEMA)
+                rows.append((mid, t, float(b), float(s), z, float(b - Z975 * s), float(b + Z975 * s), m.spec.cov))
+        return coef_frame(self.spark, rows)
 
     @property
     def fit(self) -> DataFrame:

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sqltext as S
-from ..functions.tails import Z975, f_sf, norm_sf2
+from ..functions.tail_columns import f_p, normal_p
+from ..functions.tails import Z975
 
 COND_LIMIT = 1e12
 SQL_WIDTH = 8                 # predictors up to which a model is one of the fused SQL passes
@@ -148,14 +149,14 @@ class OLSFit:
             se = np.sqrt(np.diag(m.cov))
             for t, b, s in zip(m.terms, m.beta, se):
                 z = b / s if s > 0 else float("nan")
-                rows.append((mid, t, float(b), float(s), float(z), float(norm_sf2(z)),
-                             float(b - Z975 * s), float(b + Z975 * s), m.spec.cov))
-        return self.spark.createDataFrame(rows, COEF_SCHEMA)
+                rows.append((mid, t, float(b), float(s), float(z), float(b - Z975 * s), float(b + Z975 * s), m.spec.cov))
+        return coef_frame(self.spark, rows)
 
     @property
     def fit(self) -> DataFrame:
-        return self.spark.createDataFrame([fit_row(mid, m) for mid, m in self.models.items()],
-                                          FIT_SCHEMA)
+        rows = [fit_row(mid, m) for mid, m in self.models.items()]
+        df = self.spark.createDataFrame(rows, T.StructType([*_without(FIT_SCHEMA, "f_p").fields, T.StructField("d2", T.LongType())]))
+        return df.withColumn("f_p", f_p(F.col("f"), F.col("k"), F.col("d2"))).select(*FIT_SCHEMA.names)
 
 
 COEF_SCHEMA = T.StructType([
@@ -177,31 +178,41 @@ FIT_SCHEMA = T.StructType([
     T.StructField("status", T.StringType())])
 
 
+def _without(schema: T.StructType, name: str) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name])
+
+
+def coef_frame(spark, rows: list[tuple]) -> DataFrame:
+    """Coefficient rows without ``p``, which is a Column expression of ``z``."""
+    df = spark.createDataFrame(rows, _without(COEF_SCHEMA, "p"))
+    return df.withColumn("p", normal_p(F.col("z"))).select(*COEF_SCHEMA.names)
+
+
 def fit_row(mid: str, m: ModelResult) -> tuple:
+    """A row of the fit table without ``f_p``, with the F test's denominator degrees of freedom last."""
     nan = float("nan")
     if m.status != "ok":
-        return (mid, m.spec.y, int(m.n), int(m.n_total - m.n), m.k, None, None, None, None,
-                None, None, None, None, None, float(m.cond), m.n_groups, m.status)
+        return (mid, m.spec.y, int(m.n), int(m.n_total - m.n), m.k, None, None, None,
+                None, None, None, None, None, float(m.cond), m.n_groups, m.status, None)
     n, p, k = m.n, m.p, m.k
     r2 = 1.0 - m.ssr / m.syy if m.syy > 0 else nan
     adj = 1.0 - (1.0 - r2) * (n - 1) / (n - p) if n > p else nan
     ll = -0.5 * n * (math.log(2 * math.pi) + math.log(m.ssr / n) + 1.0) if m.ssr > 0 else nan
     aic = -2.0 * ll + 2.0 * p
     bic = -2.0 * ll + p * math.log(n)
-    f = fp = nan
+    f, d2 = nan, n - p
     if k > 0:
         b = m.beta[1:]
         V = m.cov[1:, 1:]
         try:
             f = float(b @ np.linalg.solve(V, b)) / k
             d2 = (m.n_groups - 1) if (m.spec.cov == "cluster" and m.n_groups) else (n - p)
-            fp = f_sf(f, k, d2)
         except np.linalg.LinAlgError:
             pass
     fl = lambda v: None if v is None else float(v)
     return (mid, m.spec.y if not m.spec.log_y else f"ln({m.spec.y})", int(n),
-            int(m.n_total - n), k, fl(r2), fl(adj), fl(f), fl(fp), fl(m.ssr),
-            math.sqrt(m.ssr / n), fl(ll), fl(aic), fl(bic), fl(m.cond), m.n_groups, "ok")
+            int(m.n_total - n), k, fl(r2), fl(adj), fl(f), fl(m.ssr),
+            math.sqrt(m.ssr / n), fl(ll), fl(aic), fl(bic), fl(m.cond), m.n_groups, "ok", int(d2))
 
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], sample: str = "per_model",

@@ -44,7 +44,7 @@ def qc_expectations(integrated: DataFrame, task_level: DataFrame, cluster_level:
     spark = integrated.sparkSession
     exp = spark.createDataFrame([(k, int(v)) for k, v in expected.items()], "check_name string, expected bigint")
     act = qc_actuals(integrated, task_level, cluster_level)
-    j = act.join(F.broadcast(exp), "check_name", "left")
+    j = act.join(exp, "check_name", "left")
     return j.select("check_name", "actual", "expected",
                     status_label(F.col("actual"), F.col("expected")).alias("status"))
 
@@ -67,9 +67,40 @@ def qc_fingerprint(task_level: DataFrame) -> DataFrame:
     return task_level.agg(*out)
 
 
+# What the reference's figure script asserts of each figure's
+# regression (model, statistic, value, tolerance; counts are exact).
+PUBLISHED_FIGURES = [
+    ("fig1_linear", "b1", 0.0596, 0.003),
+    ("fig1_log", "b1", 2.8144, 0.02),
+    ("fig1_linear", "r2", 0.011, 0.004),
+    ("fig1_log", "r2", 0.399, 0.01),
+    ("fig2_h2a", "b1", 0.6649, 0.01),
+    ("fig2_h2a", "n", 3364.0, 0.5),
+    ("fig3_h3", "b1", -0.0611, 0.003),
+    ("fig3_h3", "n", 508.0, 0.5),
+    ("fig3_h3", "r", -0.327, 0.01),
+]
+
+
+def expected_values(spark, rows: list[tuple] = PUBLISHED_FIGURES) -> DataFrame:
+    return spark.createDataFrame(rows, "model_id string, statistic string, value double, tol double")
+
+
 def qc_coefficients(coef: DataFrame, expected: DataFrame) -> DataFrame:
     """Q5: join a coef table with (model_id, term, value, tol) -> PASS/CHECK."""
-    j = coef.join(F.broadcast(expected), ["model_id", "term"])
+    j = coef.join(expected, ["model_id", "term"])
     ok = F.abs(F.col("coef") - F.col("value")) < F.col("tol")
     return j.select("model_id", "term", "coef", "value", "tol",
                     F.when(ok, F.lit("PASS")).otherwise(F.lit("CHECK")).alias("status"))
+
+
+def qc_statistics(regressions: DataFrame, expected: DataFrame) -> DataFrame:
+    """Q5: slopes, R^2, r and n of simple regressions (``model_id, b0, b1, r2,
+    r, n``) against ``model_id, statistic, value, tol`` -> PASS/CHECK; CHECK
+    also where the statistic is missing."""
+    long = regressions.select("model_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("actual")) for c in ("b0", "b1", "r2", "r", "n")])))
+    j = expected.join(long, ["model_id", "statistic"], "left")
+    ok = F.abs(F.col("actual") - F.col("value")) < F.col("tol")
+    return j.select("model_id", "statistic", "actual", "value", "tol",
+                    F.when(ok, F.lit("PASS")).otherwise(F.lit("CHECK")).alias("status"))

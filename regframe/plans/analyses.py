@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TECH_KEYWORDS, concat_names, keyword_flag
+from ..operators.describe import simple_linreg
 from ..operators.linear import ModelSpec, OLSFit, fit_ols
 from ..operators.mediation import mediation, moderation_frame
 
+# The variable lists, samples and control sets of the reference's
+# named analyses, which its published results depend on.
 SHARE = "task_conversation_share"
 TASK_VARS = [SHARE, "directive", "feedback_loop", "task_iteration", "learning", "validation",
              "automation_index", "augmentation_index", "risk_management_index", "thinking_fraction"]
@@ -31,6 +34,23 @@ CAUG = "cluster_augmentation_index"
 CAUTO = "cluster_automation_index"
 
 
+# The regressions behind the reference's figures (model, level, x, y, log of y).
+FIGURES = [("fig1_linear", "task", "augmentation_index", SHARE, False),
+           ("fig1_log", "task", "augmentation_index", SHARE, True),
+           ("fig2_h2a", "task", "risk_management_index", SHARE, False),
+           ("fig3_h3", "cluster", CAUG, THINK, False)]
+
+
+def figure_regressions(task_level: DataFrame, cluster_level: DataFrame) -> DataFrame:
+    """``model_id, b0, b1, r2, r, n`` of every figure's simple regression."""
+    out = None
+    for name, level, x, y, log_y in FIGURES:
+        r = simple_linreg(task_level if level == "task" else cluster_level, x, y, log_y)
+        r = r.select(F.lit(name).alias("model_id"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def h1_specs(cov: str = "HC3") -> list[ModelSpec]:
     return [ModelSpec("1a", SHARE, ["augmentation_index"], cov),
             ModelSpec("1b", SHARE, ["task_iteration", "learning"], cov),

@@ -207,20 +207,31 @@ def q_corr_cluster(spark, sf):
     return rnd(D.corr_pairwise(levels(spark, sf)["cluster_level"], P.CLUSTER_CORR_VARS), {"r": 8, "t": 6})
 
 
-FIG_PAIRS = [("fig1_linear", "task", "augmentation_index", P.SHARE, False),
-             ("fig1_log", "task", "augmentation_index", P.SHARE, True),
-             ("fig2_h2a", "task", "risk_management_index", P.SHARE, False),
-             ("fig3_h3", "cluster", P.CAUG, P.THINK, False)]
+def q_simple_linreg(spark, sf):
+    lv = levels(spark, sf)
+    return rnd(P.figure_regressions(lv["task_level"], lv["cluster_level"]), {"b0": 8, "b1": 8, "r2": 8, "r": 8})
 
 
-def q_simple_linreg(spark, sf):
+def q_qc_statistics(spark, sf):
+    """Q5: slopes, R^2, r and n of the figures' regressions against the published values."""
+    from ..operators.quality import expected_values, qc_statistics
     lv = levels(spark, sf)
+    found = qc_statistics(P.figure_regressions(lv["task_level"], lv["cluster_level"]), expected_values(spark))
+    return rnd(found, {"actual": 8})
+
+
+def q_key_constancy(spark, sf):
+    """Tasks whose task columns differ between the rows of the fan-out join (none), and clusters'
+    own columns by task (those of several clusters do)."""
+    integ = levels(spark, sf)["integrated"]
+    task = A.drop_present(integ, A.cluster_columns(integ))
+    own = levels(spark, sf)["cluster_level"].select("task_name", "cluster_name_1", "percent_users")
+    parts = [(name, A.one_row_per_key(d, "task_name")) for name, d in (("task_columns", task), ("cluster_columns", own))]
     out = None
-    for mid, lvl, x, y, lg in FIG_PAIRS:
-        src = lv["task_level"] if lvl == "task" else lv["cluster_level"]
-        r = D.simple_linreg(src, x, y, lg).select(F.lit(mid).alias("model_id"), "*")
+    for name, (_, bad) in parts:
+        r = bad.select(F.lit(name).alias("part"), "task_name", "n_rows")
         out = r if out is None else out.unionByName(r)
-    return rnd(out, {"b0": 8, "b1": 8, "r2": 8, "r": 8})
+    return out
 
 
 def q_share_total(spark, sf):
@@ -504,7 +515,7 @@ def q_coef_ci(spark, sf):
 
 def q_joint_f(spark, sf):
     f = P.plan_task_models(levels(spark, sf)["task_level"]).fit
-    return rnd(f.select("model_id", "k", "f"), {"f": 6})
+    return rnd(f.select("model_id", "k", "f", "f_p"), {"f": 6, "f_p": 8})
 
 
 def q_info_criteria(spark, sf):
@@ -535,8 +546,8 @@ def q_trim_influential(spark, sf):
 def q_resid_diagnostics(spark, sf):
     from ..operators.linear import resid_diagnostics
     r = P.plan_task_models(levels(spark, sf)["task_level"])
-    return rnd(resid_diagnostics(r).drop("cond", "omnibus", "omnibus_p"),
-               {"resid_skew": 6, "resid_kurtosis": 6, "jarque_bera": 4, "jb_p": 6})
+    return rnd(resid_diagnostics(r), {"resid_skew": 6, "resid_kurtosis": 6, "jarque_bera": 4, "jb_p": 6,
+                                      "cond": 6, "omnibus": 4, "omnibus_p": 6})
 
 
 def q_durbin_watson(spark, sf):
@@ -616,8 +627,8 @@ def q_shape_stats(spark, sf):
 
 
 def q_corr_pvalues(spark, sf):
-    c = D.corr_pairwise(levels(spark, sf)["task_level"], P.TASK_CORR_VARS)
-    return rnd(c.select("var_i", "var_j", "n", "t"), {"t": 6})
+    c = D.with_corr_pvalues(D.corr_pairwise(levels(spark, sf)["task_level"], P.TASK_CORR_VARS))
+    return rnd(c.select("var_i", "var_j", "n", "t", "p"), {"t": 6, "p": 8})
 
 
 def q_corr_matrix_wide(spark, sf):
@@ -827,8 +838,9 @@ def q_table_checksum(spark, sf):
 
 def q_coef_table(spark, sf):
     d = P.h3_sample(levels(spark, sf)["cluster_level"])
-    return coef_out(_fit(d, [_ms("3", P.THINK, [P.CAUG]), _ms("3_classical", P.THINK, [P.CAUG], cov="classical"),
-                             _ms("4", P.THINK, [P.CAUTO, P.CAUG])]))
+    c = _fit(d, [_ms("3", P.THINK, [P.CAUG]), _ms("3_classical", P.THINK, [P.CAUG], cov="classical"),
+                 _ms("4", P.THINK, [P.CAUTO, P.CAUG])]).coef
+    return rnd(c.select("model_id", "term", "coef", "se", "z", "p"), {"coef": 8, "se": 8, "z": 6, "p": 8})
 
 
 def q_boot_ci(spark, sf):
