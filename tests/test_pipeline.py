@@ -42,7 +42,8 @@ def test_release_files_through_cli(spark):
     manifest = default_manifest(root)
     build(spark, load_sources(spark, manifest), out, manifest=manifest)
     lv = load_built(spark, out)
-    analyze(spark, lv, out)
+    for _ in range(2):                                   # a second run leaves the same rows
+        analyze(spark, lv, out)
 
     from_files = P.plan_h1(lv["task_level"])
     in_memory = P.plan_h1(build_levels(src)["task_level"])
@@ -63,3 +64,15 @@ def test_release_files_through_cli(spark):
     assert len(rows("correlation_matrix_task")) == len(P.TASK_CORR_VARS)
     assert len(rows("correlation_matrix_cluster")) == len(P.CLUSTER_CORR_VARS)
     assert len(rows("delta_r2")) == 3 and len(rows("resid_diagnostics")) > 8
+
+    import hashlib
+    digests = {r["source"]: r["sha256"] for r in rows("qc_sources")}
+    for name, spec in manifest.items():
+        with open(spec.path, "rb") as f:
+            assert digests[name] == hashlib.sha256(f.read()).hexdigest()
+    assert len(rows("qc_coefficients")) == 3 and len(rows("qc_statistics")) == 9
+    assert len(rows("correlations")) == len(P.TASK_CORR_VARS) * (len(P.TASK_CORR_VARS) - 1) // 2 \
+        + len(P.CLUSTER_CORR_VARS) * (len(P.CLUSTER_CORR_VARS) - 1) // 2
+    runs = [r for r in rows("runs") if r["command"] == "analyze"]
+    assert len({r["run_id"] for r in runs}) == 2 and all(r["status"] == "done" for r in runs)
+    assert {(r["table_name"], r["analysis_id"]) for r in runs} >= {("coef", "H1_H2"), ("fit", "H6"), ("mediation", "H5")}
