@@ -7,21 +7,22 @@ its nearest pivot and its distance from it, and each pivot's vectors lie in
 sorted annuli of at most about ``BLOCK`` rows; the pivots come from a bounded
 sample, every vector is indexed.
 
-A query first reads the annulus around its own distance from its nearest
-pivot; that gives a k-th score. An annulus with distances r1..r2 from pivot p
-holds nothing nearer than max(d(q, p) - r2, r1 - d(q, p), 0). Queries then
-expand over the annuli in the order of that bound and stop at the first one
-that cannot hold a score as high as the k-th. Scores are integers, the bounds
-allow for rounding, and so results are exact with all ties.
+A query first reads the annuli around its own distance from its nearest
+pivots, as many as hold k vectors; that gives a k-th score. An annulus with distances r1..r2 from pivot p
+holds nothing nearer than max(d(q, p) - r2, r1 - d(q, p), 0), so of each
+pivot's annuli only those can hold a score as high as the k-th that meet an
+interval of distances around d(q, p). These intervals are joined with a table
+of the annuli's bounds, without any vector; then the queries that are left
+travel to their annuli, each of which is read once for some thousand queries.
+Scores are integers, the bounds allow for rounding, and so results are exact
+with all ties.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, cut, first_by_hash
@@ -29,9 +30,10 @@ from .vectors import matrix, pack, valid_vectors
 
 SCALE = 1024
 BLOCK = 2048
-QUERY_BLOCK = 512
+VISITORS = 4096       # queries that meet an annulus in one task, about
 SAMPLE = 4096         # vectors that the pivots are chosen from, at most
 PIVOTS = 64
+NEAREST = 3           # pivots whose annuli a query reads first
 _SLACK = 1e-6
 
 
@@ -76,51 +78,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-class _Held:
-    """The k best rows so far of each query of a block."""
-
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray, least: np.ndarray, k: int):
-        self.ids, self.vecs, self.k = ids, vecs, k
-        self.scores = [np.empty(0, np.int64) for _ in ids]
-        self.rows = [np.empty(0, np.int64) for _ in ids]
-        self.least = least.astype(float)  # a k-th score known to be reached; -inf if none
-
-    def visit(self, ids: np.ndarray, vecs: np.ndarray, high: np.ndarray) -> None:
-        """Meet a block whose scores are at most ``high`` for each query."""
-        need = np.flatnonzero(high >= self.least)
-        if not len(need):
-            return
-        got = products(self.vecs[need], vecs)
-        for row, i in zip(got, need.tolist()):
-            ok = np.flatnonzero((row >= self.least[i]) & (ids != self.ids[i]))
-            if not len(ok):
-                continue
-            scores = np.concatenate([self.scores[i], row[ok]])
-            rows = np.concatenate([self.rows[i], ids[ok]])
-            top = _best(scores, rows, self.k)
-            self.scores[i], self.rows[i] = scores[top], rows[top]
-            if len(top) == self.k:
-                self.least[i] = max(self.least[i], float(scores[top[-1]]))
-
-    def out(self) -> pa.RecordBatch:
-        n = [len(s) for s in self.scores]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n), pa.int64()),
-             pa.array([int(x) for r in self.rows for x in r], pa.int64()),
-             pa.array([int(x) for s in self.scores for x in s], pa.int64())],
-            names=["query_id", "vec_id", "score"])
-
-
-def _upper(q: np.ndarray, to_pivot: np.ndarray, r1: float, r2: float, longest: float) -> np.ndarray:
-    """The highest score that a row of an annulus can have with each query."""
-    gap = np.maximum(np.maximum(to_pivot - r2, r1 - to_pivot), 0.0)
-    gap = np.maximum(gap - _SLACK * (1 + r2), 0.0)
-    sq = (q * q).sum(1)
-    return (sq + longest - gap * gap) / 2 + _SLACK * (1 + sq + longest) + 1
-
-
-def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float, block: int) -> DataFrame:
-    """``block, pivot, r1, r2, ids, vecs``: one row an annulus, of at most about ``block`` vectors."""
+def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float, block: int) -> tuple[DataFrame, list]:
+    """``block, pivot, ring, n, r1, r2, ids, vecs``: one row an annulus, of at most about ``block`` vectors.
+
+    Beside it, for each pivot with vectors: ``pivot, low, high, step``, the least
+    and largest distance and the width of its rings.
+    """
     def key(batches):
         for b in batches:
             x = whole(matrix(b.column(1), width))
@@ -134,8 +97,9 @@ def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float,
     # annuli hold about equal numbers: a sketch of each pivot's distances, then salt where values repeat
     shares = (keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")))
     rings = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
-    width_of = F.greatest((F.col("high") - F.col("low")) / rings, F.lit(1e-9))
-    ringed = keyed.join(shares, "pivot").withColumn("ring", F.floor((F.col("r") - F.col("low")) / width_of).cast("long"))
+    step = F.greatest((F.col("high") - F.col("low")) / rings, F.lit(1e-9))
+    shares = cut(shares.select("pivot", "low", "high", step.alias("step")))  # a row a pivot
+    ringed = keyed.join(shares, "pivot").withColumn("ring", F.floor((F.col("r") - F.col("low")) / F.col("step")).cast("long"))
     crowd = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / block).alias("salts"))
     dealt = (ringed.join(crowd, ["pivot", "ring"])
              .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("salts")))
@@ -148,12 +112,109 @@ def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float,
         x = whole(matrix(table.column("vec"), width))[order]
         return pa.table({
             "block": table.column("block").slice(0, 1), "pivot": table.column("pivot").slice(0, 1),
+            "ring": table.column("ring").slice(0, 1), "n": pa.array([len(order)], pa.int64()),
             "r1": pa.array([r.min()]), "r2": pa.array([r.max()]),
             "ids": pa.array([pack(table.column("id").to_numpy()[order])], pa.binary()),
             "vecs": pa.array([pack(x)], pa.binary())})
 
-    return cut(dealt.groupBy("block").applyInArrow(
-        gather, "block string, pivot int, r1 double, r2 double, ids binary, vecs binary"))
+    index = cut(dealt.groupBy("block").applyInArrow(
+        gather, "block string, pivot int, ring long, n long, r1 double, r2 double, ids binary, vecs binary"))
+    return index, [tuple(r) for r in shares.orderBy("pivot").collect()]
+
+
+def _homes(queries: DataFrame, rings: DataFrame, shares: list, pivots: np.ndarray, width: int, k: int) -> DataFrame:
+    """``id, vec, block``: each query and the annuli next to it about its nearest pivots, k vectors or more."""
+    used = pivots[[p for p, *_ in shares]]
+    take = min(NEAREST, len(used))
+
+    def place(batches):
+        for b in batches:
+            q = whole(matrix(b.column(1), width))
+            d = _distances(np.column_stack([q, np.zeros(len(q))]), used)
+            near = np.argsort(d, axis=1, kind="stable")[:, :take].ravel()
+            row = np.repeat(np.arange(len(q)), take)
+            own = d[row, near]
+            at = np.array(shares, float).reshape(-1, 4)[near]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at[:, 0].astype(np.int32)), pa.array(own),
+                 pa.array(np.floor((np.clip(own, at[:, 1], at[:, 2]) - at[:, 1]) / at[:, 3]).astype(np.int64))],
+                names=["id", "vec", "pivot", "d", "near"])
+
+    placed = cut(queries.mapInArrow(place, "id long, vec array<double>, pivot int, d double, near long"))
+    gap = F.greatest(F.col("d") - F.col("r2"), F.col("r1") - F.col("d"), F.lit(0.0)).alias("gap")
+    # the rings about its own; only a query among empty rings looks at all of its pivots'
+    around = (placed.select("id", "pivot", "d", F.explode(F.sequence(F.col("near") - 2, F.col("near") + 2)).alias("ring"))
+              .join(rings, ["pivot", "ring"]).select("id", "block", "n", gap))
+    others = placed.join(around, "id", "left_anti").join(rings, "pivot").select("id", "block", "n", gap)
+    before = Window.partitionBy("id").orderBy("gap", "block").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (around.unionByName(others).withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .filter(F.col("held") <= k).select(F.col("id").alias("query"), "block"))  # k and the query itself
+    return (placed.dropDuplicates(["id"]).select("id", "vec").join(chosen, F.col("id") == F.col("query"))
+            .select("id", "vec", "block"))
+
+
+def surviving_visits(queries: DataFrame, rings: DataFrame, shares: list, pivots: np.ndarray, width: int,
+                     longest: float) -> DataFrame:
+    """``id, vec, least, block``: the annuli that can hold a score of at least ``least`` with a query."""
+    used = pivots[[p for p, *_ in shares]]
+    at = np.array(shares, float).reshape(-1, 4)
+
+    def reach(batches):
+        for b in batches:
+            q, least = whole(matrix(b.column(1), width)), b.column(2).to_numpy(zero_copy_only=False)
+            sq = (q * q).sum(1)
+            d = _distances(np.column_stack([q, np.zeros(len(q))]), used)
+            # a score s lies at the squared distance sq + longest - 2 s
+            square = sq + longest - 2 * (least - _SLACK * (1 + sq + longest) - 1)
+            far = np.sqrt(np.maximum(square, 0))[:, None] + _SLACK * (1 + at[:, 2])
+            low, high = np.maximum(d - far, at[:, 1]), np.minimum(d + far, at[:, 2])
+            row, pivot = np.nonzero((low <= high) & (square >= 0)[:, None])
+            low, high, start, step = low[row, pivot], high[row, pivot], at[pivot, 1], at[pivot, 3]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(least[row]),
+                 pa.array(at[pivot, 0].astype(np.int32)), pa.array(low), pa.array(high),
+                 pa.array(np.floor((low - start) / step).astype(np.int64) - 1),
+                 pa.array(np.floor((high - start) / step).astype(np.int64) + 1)],
+                names=["id", "vec", "least", "pivot", "low", "high", "first", "last"])
+
+    reached = queries.mapInArrow(reach, "id long, vec array<double>, least double, pivot int, low double, high double, "
+                                        "first long, last long")
+    return (reached.withColumn("ring", F.explode(F.sequence("first", "last"))).join(rings, ["pivot", "ring"])
+            .filter((F.col("r2") >= F.col("low")) & (F.col("r1") <= F.col("high")))
+            .select("id", "vec", "least", "block"))
+
+
+def _met(visits: DataFrame, index: DataFrame, width: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the k best of each visit ``id, vec, least, block`` with a score of at least ``least``.
+
+    An annulus that more than ``VISITORS`` queries visit is met in parts of them.
+    """
+    visits = cut(visits.select("id", "vec", "least", F.col("block").alias("place")))
+    parts = visits.groupBy("place").agg(F.ceil(F.count("*") / VISITORS).cast("long").alias("parts"))
+    left = (visits.join(parts, "place").withColumn("part", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("parts")))
+            .select(F.col("place").alias("block"), "part", "id", "vec", "least"))
+    right = (index.join(parts, F.col("block") == F.col("place")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+             .select("block", "part", "ids", "vecs"))
+
+    def meet(queries: pa.Table, annulus: pa.Table) -> pa.Table:
+        out_q, out_id, out_score = [], [], []
+        if queries.num_rows and annulus.num_rows:
+            ids = queries["id"].to_numpy()
+            q, least = whole(matrix(queries["vec"], width)), queries["least"].to_numpy()
+            rows = np.frombuffer(annulus["ids"][0].as_py(), np.int64)
+            x = np.frombuffer(annulus["vecs"][0].as_py(), np.float64).reshape(len(rows), width)
+            for lo in range(0, len(ids), 256):
+                for i, own in enumerate(products(q[lo:lo + 256], x), lo):
+                    ok = np.flatnonzero((own >= least[i]) & (rows != ids[i]))
+                    top = ok[_best(own[ok], rows[ok], k)]
+                    out_q += [int(ids[i])] * len(top)
+                    out_id += rows[top].tolist()
+                    out_score += [int(v) for v in own[top]]
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_id, pa.int64()),
+                         "score": pa.array(out_score, pa.int64())})
+
+    return (left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
+            .applyInArrow(meet, "query_id long, vec_id long, score long"))
 
 
 def top_inner_products(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10,
@@ -180,89 +241,20 @@ def top_inner_products(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     for i, row in enumerate(sample):
         picked[i, :len(row["vec"])] = row["vec"]
     pivots = choose_pivots(_lifted(whole(picked), longest), n_pivots)
-    index = build_index(rows, pivots, width, longest, block)
-
-    # queries in blocks, dealt by hash; each block is one row
-    n_blocks = math.ceil(stats["q"] / QUERY_BLOCK)
-    dealt = rows.filter(F.col("id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("long"))
-
-    def gather(t: pa.Table) -> pa.Table:
-        return pa.table({"qb": t.column("qb").slice(0, 1), "ids": pa.array([pack(t.column("id").to_numpy())], pa.binary()),
-                         "vecs": pa.array([pack(whole(matrix(t.column("vec"), width)))], pa.binary())})
-
-    queries = cut(dealt.groupBy("qb").applyInArrow(gather, "qb long, ids binary, vecs binary"))
-
-    def ids_of(blob) -> np.ndarray:
-        return np.frombuffer(blob, np.int64)
-
-    def vecs_of(blob) -> np.ndarray:
-        return np.frombuffer(blob, np.float64).reshape(-1, width) if width else np.zeros((0, 0))
-
-    # first ring: each query and the annulus of its nearest pivot around its own distance
-    def to_pivots(batches):
-        for b in batches:
-            for qb, ids, vecs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = ids_of(ids)
-                q = vecs_of(vecs) if width else np.zeros((len(own), 0))
-                d = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
-                near = d.argmin(1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qb] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(near, pa.int32()),
-                     pa.array(d[np.arange(len(own)), near], pa.float64()), pa.array([pack(v) for v in q], pa.binary())],
-                    names=["qb", "id", "pivot", "d", "vec"])
-
-    placed = queries.mapInArrow(to_pivots, "qb long, id long, pivot int, d double, vec binary")
-    rings = index.select("pivot", "block", "r1", "r2")
-    gap = F.greatest(F.col("d") - F.col("r2"), F.col("r1") - F.col("d"), F.lit(0.0))
-    home = (placed.join(rings, "pivot").groupBy("qb", "id")
-            .agg(F.min_by(F.struct("block", "vec"), F.struct(gap, F.col("block"))).alias("home")))
-    visits = (home.select("qb", "id", "home.block", "home.vec")
-              .join(index.select("block", F.col("ids").alias("row_ids"), F.col("vecs").alias("rows")), "block")
-              .select("qb", "id", "vec", "row_ids", "rows"))
-
-    def first(batches):
-        for b in batches:
-            out_qb, out_id, out_least = [], [], []
-            for qb, i, v, ri, rv in zip(*(b.column(j).to_pylist() for j in range(5))):
-                held = _Held(np.array([i]), vecs_of(v) if width else np.zeros((1, 0)), np.array([-np.inf]), k)
-                ids = ids_of(ri)
-                held.visit(ids, vecs_of(rv) if width else np.zeros((len(ids), 0)), np.array([np.inf]))
-                out_qb.append(qb)
-                out_id.append(i)
-                out_least.append(float(held.least[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_qb, pa.int64()), pa.array(out_id, pa.int64()),
-                                              pa.array(out_least, pa.float64())], names=["qb", "id", "least"])
-
-    least = cut(visits.mapInArrow(first, "qb long, id long, least double")
-                .groupBy("qb").agg(F.collect_list(F.struct("id", "least")).alias("least")))
-    blocks = queries.join(least, "qb")
-
-    # all annuli against all query blocks; a task meets them in the order of their bounds
-    pairs = (index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-             .select("qb", "pivot", "r1", "r2", F.col("ids").alias("row_ids"), F.col("vecs").alias("rows"))
-             .join(blocks, "qb"))
-
-    def meet(batches):
-        for b in batches:
-            cols = {n: b.column(n) for n in b.schema.names}
-            qbs = cols["qb"].to_pylist()
-            for qb in sorted(set(qbs)):
-                at = [i for i, x in enumerate(qbs) if x == qb]
-                ids = ids_of(cols["ids"][at[0]].as_py())
-                q = vecs_of(cols["vecs"][at[0]].as_py()) if width else np.zeros((len(ids), 0))
-                known = {x["id"]: x["least"] for x in cols["least"][at[0]].as_py()}
-                held = _Held(ids, q, np.array([known.get(int(i), -np.inf) for i in ids]), k)
-                d = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
-                high = {i: _upper(q, d[:, cols["pivot"][i].as_py()], cols["r1"][i].as_py(), cols["r2"][i].as_py(), longest)
-                        for i in at}
-                for i in sorted(at, key=lambda i: -high[i].max()):
-                    row_ids = ids_of(cols["row_ids"][i].as_py())
-                    x = vecs_of(cols["rows"][i].as_py()) if width else np.zeros((len(row_ids), 0))
-                    held.visit(row_ids, x, high[i])
-                yield held.out()
-
-    from pyspark.sql import Window
-    found = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")
+    index, shares = build_index(rows, pivots, width, longest, block)
+    rings = index.select("pivot", "ring", "n", "block", "r1", "r2")
+    queries = rows.filter(F.col("id") % every == 0).select("id", "vec")
+
+    home = cut(_homes(queries, rings, shares, pivots, width, k)
+               .select("id", "vec", F.lit(float("-inf")).alias("least"), "block"))
+    first = cut(_met(home, index, width, k))
+    known = (first.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("low"))
+             .select(F.col("query_id").alias("id"), F.col("low").cast("double").alias("low")))  # k scores a visit at most
+    bounded = (queries.join(known, "id", "left")
+               .select("id", "vec", F.coalesce("low", F.lit(float("-inf"))).alias("least")))
+    others = (surviving_visits(bounded, rings, shares, pivots, width, longest)
+              .join(home.select("id", "block"), ["id", "block"], "left_anti"))
+    found = first.unionByName(_met(others, index, width, k))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

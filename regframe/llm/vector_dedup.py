@@ -21,7 +21,8 @@ nodes with few, with many and with no found links each, and more of the last
 until ``AUDIT`` audited nodes have links or ``AUDIT_MOST`` are drawn. It is the
 mean over nodes with links of the share found, copies once, and no higher than
 the mean among those with few or with many. The overlap grows until it reaches
-``RECALL``. It is NULL if no audited node has links and not all were drawn.
+``RECALL``. It is NULL if no audited node has links and not all were drawn; then
+nothing speaks for lost links, and the overlap stays.
 """
 
 from __future__ import annotations
@@ -138,6 +139,8 @@ def range_search(x: np.ndarray, graph: list, start: int, own: int, threshold: fl
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the largest component goes first, so that no square over- or underflows."""
+    v = v / np.abs(v).max(axis=1, initial=0.0)[:, None]
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
@@ -332,7 +335,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
             links = _linked(nodes, centres, width, overlap, shard, threshold)
             counted = links.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
             recall = audit_recall(nodes, counted, width, threshold)
-            if (recall is not None and recall >= RECALL) or overlap >= len(centres):
+            if recall is None or recall >= RECALL or overlap >= len(centres):
                 break
             overlap = min(2 * overlap, len(centres))
         part = components(links.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

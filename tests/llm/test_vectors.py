@@ -118,3 +118,57 @@ def test_top_k_of_odd_tables(spark):
     assert top_inner_products(_frame(spark, [(7, [1.0])])).collect() == []
     big = [(0, [3e15, 1.0]), (1, [3e15, 2.0])]
     assert len(top_inner_products(_frame(spark, big[:1])).collect()) == 0
+
+
+def test_queries_visit_few_annuli_of_clustered_vectors(spark):
+    """Bounds prune before any vector moves, and no annulus above a k-th score is left out."""
+    from regframe.llm import topk
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 8)) * 4
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 8)) * 0.05
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    table = _frame(spark, rows)
+    seen = []
+    real = topk.surviving_visits
+
+    def counted(*args):
+        out = real(*args)
+        seen.append((out.count(), args[1].count()))
+        return out
+
+    topk.surviving_visits = counted
+    try:
+        got = top_inner_products(table, k=5, every=50, block=32, n_pivots=30).collect()
+    finally:
+        topk.surviving_visits = real
+    (visits, annuli), = seen
+    assert sorted(tuple(r) for r in got) == _brute(rows, 5, 50)
+    assert annuli > 60 and visits < 0.4 * 60 * annuli
+
+
+def test_crowded_annuli_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("regframe.llm.topk.VISITORS", 7)
+    rows = _vectors(400, seed=9)
+    got = top_inner_products(_frame(spark, rows), k=10, every=4, block=64, n_pivots=4).collect()
+    assert sorted(tuple(r) for r in got) == _brute(rows, 10, 4)
+
+
+def test_vectors_of_extreme_length(spark):
+    """Squares that over- or underflow change no cosine."""
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 0.01]), (3, [1e200, 2e200]), (4, [2e200, 4e200]), (5, [5e-324, 0.0]), (6, [1e308, 1e308]),
+            (7, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(table).collect()}
+    assert got == {1: (2, 1), 3: (2, 1), 4: (2, 1), 2: (1, 2), 5: (1, 2), 6: (1, 6), 7: (1, 6)}
+
+
+def test_a_table_without_links_is_dealt_once(spark, monkeypatch):
+    from regframe.llm import vector_dedup
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24))
+    turns = []
+    real = vector_dedup._linked
+    monkeypatch.setattr(vector_dedup, "_linked", lambda *a: turns.append(a[3]) or real(*a))
+    monkeypatch.setattr(vector_dedup, "AUDIT", 32)
+    got = near_duplicate_vectors(_frame(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)]), shard=64).collect()
+    assert turns == [3] and all(r.n_links == 0 and r.kept for r in got)
