@@ -66,7 +66,7 @@ def token_sequences(docs: DataFrame, vocab_path: str, id_col: str, text_col: str
                     end_id: int) -> DataFrame:
     """``part, at, n_tokens, doc_ids, ids``: the cut token stream of each partition.
 
-    The ids are 16-bit words, deflated until the shard's task writes them.
+    The ids are 16-bit words, compressed until the shard's task writes them.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -75,14 +75,14 @@ def token_sequences(docs: DataFrame, vocab_path: str, id_col: str, text_col: str
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(docs_id)
         part, own = TaskContext.get().partitionId(), codec(vocab_path)
-        tail = np.array([end_id], np.uint32).tobytes()
+        tail, packer = np.array([end_id], np.uint32).tobytes(), pa.Codec("zstd", 3)
         held, held_n, open_ids, at = [], 0, [], 0
 
         def out(rows):
             return pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(kind)),
-                 pa.array([zlib.compress(r[3], 1) for r in rows], pa.binary())], names=["part", "at", "n_tokens", "doc_ids", "ids"])
+                 pa.array([packer.compress(r[3], asbytes=True) for r in rows], pa.binary())], names=["part", "at", "n_tokens", "doc_ids", "ids"])
 
         rows = []
         for batch in batches:
@@ -127,7 +127,11 @@ def _write_whole(uri: str, name: str, data: bytes) -> None:
     draft = f"{folder}/.{name}.{task.taskAttemptId() if task else 'driver'}"
     with fs.open_output_stream(draft) as f:
         f.write(data)
-    fs.move(draft, f"{folder}/{name}")
+    whole = f"{folder}/{name}"
+    if fs.get_file_info(whole).type == pafs.FileType.File:  # an earlier attempt wrote the same bytes
+        fs.delete_file(draft)
+    else:
+        fs.move(draft, whole)
 
 
 def shard_name(shard: int) -> str:
@@ -144,6 +148,9 @@ def materialise(docs: DataFrame, vocab_path: str, path: str, id_col: str = "doc_
     ids. An empty table writes a manifest of 0 sequences and gives no rows.
     """
     spark = docs.sparkSession
+    most = max(codec(vocab_path).tok.get_vocab(with_added_tokens=True).values(), default=0)
+    if max(most, end_id) >= 1 << 16:
+        raise ValueError(f"ids up to {max(most, end_id)} do not fit 16 bits")
     held = f"{path}/_sequences"
     (token_sequences(docs, vocab_path, id_col, text_col, length, end_id)
      .write.option("compression", "uncompressed").parquet(held))
@@ -173,7 +180,8 @@ def materialise(docs: DataFrame, vocab_path: str, path: str, id_col: str = "doc_
     def write(t: pa.Table) -> pa.Table:
         t = t.sort_by("slot")
         shard = t.column("shard")[0].as_py()
-        bodies = [zlib.decompress(b) for b in t.column("ids").to_pylist()]
+        packer = pa.Codec("zstd")
+        bodies = [packer.decompress(b, stride, asbytes=True) for b in t.column("ids").to_pylist()]
         _write_whole(path, shard_name(shard), b"".join(bodies))
         used = t.column("n_tokens").to_pylist()
         return pa.table({

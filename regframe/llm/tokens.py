@@ -5,13 +5,16 @@ to white space. A text is therefore cut there into short units, and the ids of
 a text are the ids of its units in order. Units repeat, so a bounded cache in
 each Python worker answers most of them; the tokenizer's library answers the
 rest. Texts in which such cuts would not be safe (special-token strings, the
-separators U+001C-U+001F) are given to the library whole.
+separators U+001C-U+001F) are given to the library whole. For vocabularies that
+drop white space, one pass of the pre-token pattern over a text of plain letters
+gives its words, and only words are cached.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
 import regex
@@ -21,6 +24,9 @@ CACHE_UNITS = 1 << 17  # units held per cache generation and worker
 _RUNS = re.compile(r"\s*\S+|\s+")
 _UNSAFE = re.compile("[\x1c-\x1f]")
 _PLAIN_END = "ɐ"  # below it, case and normal form agree in every Unicode version
+_LATIN_END = "ƀ"  # below it, lower case stays below it, but for U+0130
+_BEYOND = re.compile(f"[{_LATIN_END}-\U0010ffff\u0130]")
+_CLASS = re.compile(r"\\p\{(L|N)\}")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -33,6 +39,20 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pre-token pattern for texts below ``_LATIN_END``, with its letter and number classes spelled out.
+
+    None for patterns with such a class outside brackets.
+    """
+    if _CLASS.search(re.sub(r"\[[^\]]*\]", "", pattern)):
+        return None
+
+    def spelled(match: re.Match) -> str:
+        return "".join(re.escape(chr(c)) for c in range(ord(_LATIN_END)) if unicodedata.category(chr(c))[0] == match[1])
+
+    return re.compile(_CLASS.sub(spelled, pattern))
+
+
 class Generations(dict):
     """A cache of two generations: when the young one is full it becomes the old one."""
 
@@ -74,8 +94,9 @@ class Codec:
         else:
             split = next(p for p in pre["pretokenizers"] if p["type"] == "Split")
             self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.plain = None if self.space_prefix else plain_pattern(split["pattern"]["Regex"])
         self._model = self.tok.model
-        self._words = Generations(self._word, cache_units)
+        self._words = Generations(self._word, cache_units if self.space_prefix else 2 * cache_units)
         self.units = Generations(self._spaced_unit if self.space_prefix else self._unit, cache_units)
 
     def _word(self, word: str) -> bytes:
@@ -109,6 +130,8 @@ class Codec:
         if self.special(text):
             return [self.library(text)]
         if not self.space_prefix:
+            if self.plain is not None and not _BEYOND.search(text):
+                return map(self._words.__getitem__, self.plain.findall(text.lower()))
             return map(self.units.__getitem__, text.split())
         if not text:
             return []

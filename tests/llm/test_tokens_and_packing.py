@@ -23,11 +23,24 @@ def test_ids_equal_the_library(path):
     texts = ["", " ", "  ", "a  b", "a \n b\tc ", " x", "it's we'll 'S", "<|endoftext|> a", "İstanbul ΑΣ Σ.",
              "a<|startoftext|>b <|ENDOFTEXT|>", "x" * 3000]
     texts += ["".join(rng.choice(signs) for _ in range(40)) for _ in range(1500)]
+    texts += ["".join(chr(rng.randrange(lo, 0x260)) for _ in range(30)) for lo in (0x20, 0x20, 0x100, 0x178) for _ in range(300)]
     own = Codec(path, cache_units=50)
     assert all(own.ids(t) == own.library(t) for t in texts)
     assert own.ids(None) == b""
 
 
+def test_plain_pattern_equals_the_pattern():
+    import regex
+    import regframe.llm.tokens as tokens
+    given = r"'s|'t|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    plain, whole = tokens.plain_pattern(given), regex.compile(given)
+    rng = random.Random(8)
+    for _ in range(3000):
+        body = "".join(c for c in (chr(rng.randrange(0x180)) for _ in range(12)) if not "\x1c" <= c <= "\x1f" and c != "\u0130")
+        assert max(body.lower(), default="") < "ƀ" and plain.findall(body.lower()) == whole.findall(body.lower())
+    assert tokens.plain_pattern(r"\p{L}+|x") is None
+
+
 def test_cache_generations_stay_bounded():
     g = Generations(lambda k: k * 2, 10)
     assert [g[i] for i in [*range(100), *range(100)]] == [2 * i for i in [*range(100), *range(100)]]
