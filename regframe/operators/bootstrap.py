@@ -160,9 +160,16 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
         if key is None:
             raise ValueError("iid scheme needs a row key")
         keys = [key] if isinstance(key, str) else list(key)
-        base = d.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("__g"), *moments)
-        if not base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # one shuffle by key deals the rows over all cores, because the expansion multiplies the work by B,
+        # which AQE cannot see, and shows keys that repeat; the copy serves every later pass
+        checkpoint_dir(df.sparkSession)
+        base = (d.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("__g"), *moments)
+                .repartition(max(spark_parallelism(df), 1), "__g")
+                .groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), *[F.first(n).alias(n) for n in _STATS])
+                .checkpoint(eager=True))
+        if not base.where("__n > 1").isEmpty():
             raise ValueError(f"key {keys} does not identify a row")
+        base = base.drop("__n")
     elif scheme == "cluster":
         if group is None:
             raise ValueError("cluster scheme needs a group column")
@@ -175,11 +182,10 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
     elif draw == "poisson":
         k1, k2 = _words(F.concat_ws(":", F.lit(str(seed)), F.col("__g")))
         r1, r2 = _words(F.concat(F.lit(f"{seed}:rep:"), F.col("rep").cast("string")))
-        # The expansion multiplies the work by B, which AQE cannot see when it
-        # sizes partitions by bytes: deal the rows over all cores first.
-        par = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-        words = (base.select(k1.alias("__k1"), k2.alias("__k2"), *_STATS).repartition(par)
-                 .crossJoin(F.broadcast(_replicates(df.sparkSession, B).select("rep", r1.alias("__r1"),
+        units = base.select(k1.alias("__k1"), k2.alias("__k2"), *_STATS)
+        if scheme == "cluster":                           # groups come out of an aggregate that AQE coalesces
+            units = units.repartition(max(spark_parallelism(df), 1))
+        words = (units.crossJoin(F.broadcast(_replicates(df.sparkSession, B).select("rep", r1.alias("__r1"),
                                                                              r2.alias("__r2")))))
         weighted = with_uniform(words).withColumn("__w", poisson1_weight(F.col("__u")))
         sums = weighted.groupBy("rep").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in _STATS])

@@ -728,6 +728,112 @@ def q_glm_status(spark, sf):
     return f.select("model_id", "n_used", "status")
 
 
+# ------------------------------------------- tails, guards, wide tables, runs
+
+def q_normal_tail(spark, sf):
+    """The two-sided normal tail of every task's standardised share."""
+    from ..functions.tail_columns import normal_p
+    d = levels(spark, sf)["task_level"].select("task_name", P.SHARE).na.drop()
+    whole = d.agg(F.avg(P.SHARE).alias("m"), F.stddev_samp(P.SHARE).alias("s"))            # one row
+    z = d.crossJoin(F.broadcast(whole)).select("task_name", ((F.col(P.SHARE) - F.col("m")) / F.col("s")).alias("z"))
+    return rnd(z.withColumn("p", normal_p(F.col("z"))), {"z": 6, "p": 6})
+
+
+def q_t_tail(spark, sf):
+    """Does a level-1 cluster's mean share of thinking differ from a half? One t-test a cluster."""
+    from ..functions.tail_columns import t_p
+    d = levels(spark, sf)["cluster_level"].select("cluster_name_1", P.THINK).na.drop()
+    g = d.groupBy("cluster_name_1").agg(F.count(F.lit(1)).alias("n"), F.avg(P.THINK).alias("m"), F.stddev_samp(P.THINK).alias("s"))
+    t = g.filter("n > 2 AND s > 0").select("cluster_name_1", "n", ((F.col("m") - 0.5) / (F.col("s") / F.sqrt("n"))).alias("t"))
+    return rnd(t.withColumn("p", t_p(F.col("t"), F.col("n") - 1)), {"t": 6, "p": 6})
+
+
+def q_safe_ratio(spark, sf):
+    """A ratio whose divisor may be 0 is NULL there."""
+    tb = levels(spark, sf)["task_base"]
+    return rnd(tb.select("task_name", F.try_divide("directive", "automation_index").alias("directive_part")), {"directive_part": 8})
+
+
+def q_min_rows_guard(spark, sf):
+    """A correlation needs more than two complete rows."""
+    cl = levels(spark, sf)["cluster_level"].select("cluster_name_1", "cluster_name_2", P.THINK, P.CAUG).na.drop(subset=[P.THINK, P.CAUG])
+    g = cl.groupBy("cluster_name_1", "cluster_name_2").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop(P.THINK, P.CAUG).alias("c"), F.var_pop(P.THINK).alias("u"), F.var_pop(P.CAUG).alias("v"))
+    r = F.when(F.col("n") > 2, F.try_divide("c", F.sqrt(F.col("u") * F.col("v"))))
+    return rnd(g.select("cluster_name_1", "cluster_name_2", "n", r.alias("r")), {"r": 8})
+
+
+def q_constant_predictor(spark, sf):
+    """The intercept is implicit, so a constant column is a status and stops no other model."""
+    d = levels(spark, sf)["task_level"].withColumn("one", F.lit(1.0))
+    f = _fit(d, [_ms("plain", P.SHARE, ["augmentation_index"]), _ms("with_constant", P.SHARE, ["augmentation_index", "one"])]).fit
+    return f.select("model_id", "n_used", "status")
+
+
+def q_present_columns(spark, sf):
+    """Variables that the table lacks are left out."""
+    tl = levels(spark, sf)["task_level"]
+    return D.coverage(tl, ["no_such_column", *P.TASK_VARS, "another"]).select("variable", "n_present", "n_rows")
+
+
+WIDE_X = ["directive", "feedback_loop", "task_iteration", "learning", "validation"]
+
+
+def _powers(df: DataFrame, names: list[str], power: int) -> DataFrame:
+    return df.withColumns({f"{c}_{power}": F.col(c) ** power for c in names})
+
+
+def q_ols_wide(spark, sf):
+    """L1, L15 for many predictors: the ratios, their squares and cubes, on moment blocks."""
+    d = _powers(_powers(levels(spark, sf)["task_level"], WIDE_X, 2), WIDE_X, 3)
+    x = [*WIDE_X, *(f"{c}_2" for c in WIDE_X), *(f"{c}_3" for c in WIDE_X[:2])]
+    c = _fit(d, [_ms("wide", P.SHARE, x), _ms("wide_classical", P.SHARE, x[:10], cov="classical")]).coef
+    return rnd(c.select("model_id", "term", "coef", "se"), {"coef": 6, "se": 6})
+
+
+def q_corr_wide(spark, sf):
+    """E9, M6 for many variables: all pairs from tiles of value and presence blocks."""
+    d = _powers(_powers(levels(spark, sf)["task_level"], P.TASK_VARS, 2), P.TASK_VARS, 3)
+    names = [*P.TASK_VARS, *(f"{c}_2" for c in P.TASK_VARS), *(f"{c}_3" for c in P.TASK_VARS[:6])]
+    return rnd(D.corr_pairwise(d, names).select("var_i", "var_j", "n", "r"), {"r": 8})
+
+
+def _two_runs(spark, sf) -> str:
+    """Descriptives written twice by the same command."""
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sources.files import Run
+    lv = levels(spark, sf)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    for _ in range(2):
+        with Run(spark, out, "describe") as run:
+            run.replace("descriptives", [("task", D.descriptives(lv["task_level"], P.TASK_VARS)),
+                                         ("cluster", D.descriptives(lv["cluster_level"], P.CLUSTER_VARS))])
+    return f"{out}/results"
+
+
+def q_run_replace(spark, sf):
+    """A table that was written twice holds its rows once."""
+    d = spark.read.parquet(f"{_two_runs(spark, sf)}/descriptives")
+    return rnd(d.select("analysis_id", "variable", "n", "mean"), {"mean": 8})
+
+
+def q_run_log(spark, sf):
+    """The manifest of both runs."""
+    d = spark.read.parquet(f"{_two_runs(spark, sf)}/runs")
+    d = d.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return d.groupBy("command", "step", "table_name", "analysis_id", "n_rows", "status").agg(
+        F.count_distinct("run_id").alias("n_runs"), F.bool_and(F.col("finished") >= F.col("started")).alias("in_order"))
+
+
+def q_qc_columns(spark, sf):
+    """Q2: columns of the three datasets, beside their rows."""
+    from ..operators.quality import qc_columns
+    lv = levels(spark, sf)
+    tables = {k: lv[k] for k in ("integrated", "task_level", "cluster_level")}
+    return qc_columns(tables).join(D.row_counts(tables), "table_name")
+
+
 # ------------------------------------------------- file sources and sinks
 # Release names of the cluster ratios (fixed values of the released file).
 RELEASE_NAMES = {
