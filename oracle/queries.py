@@ -776,6 +776,12 @@ SELECT 'integrated' AS table_name, {len(TASK_BASE_COLS) + len(CLUSTER_COLS) - 1}
 UNION ALL SELECT 'task_level', {len(TASK_BASE_COLS)}, count(*) FROM task_level
 UNION ALL SELECT 'cluster_level', {len(TASK_BASE_COLS) + len(CLUSTER_COLS) - 1}, count(*) FROM cluster_level""")
 
+Q["file_sha256"] = """
+SELECT part_no, strlen(body)::BIGINT AS length, sha256(body) AS sha256 FROM (
+  SELECT (c_custkey % 64)::INTEGER AS part_no,
+         string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS body
+  FROM customer GROUP BY ALL)"""
+
 Q["qc_statistics"] = W("", """
 SELECT model_id, statistic, round(actual, 8) AS actual, value::DOUBLE AS value, tol::DOUBLE AS tol,
        CASE WHEN abs(actual - value) < tol THEN 'PASS' ELSE 'CHECK' END AS status FROM (

@@ -909,11 +909,18 @@ def q_sink_csv(spark, sf):
 
 
 def q_file_sha256(spark, sf):
-    """SHA-256 of the bytes of the test tables' own files."""
+    """SHA-256 of the bytes of files, here of the customers written in 64 files by key."""
+    import uuid
+    from ..session import checkpoint_dir
     from ..sources.files import file_checksums
-    names = ("customer", "part", "lineitem", "documents")
-    found = file_checksums(spark, [f"{sf.rstrip('/')}/{n}.parquet" for n in names])
-    return found.select(F.regexp_extract("path", r"([^/]+\.parquet.*)$", 1).alias("file"), "length", "sha256")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"
+    lines = spark.read.parquet(f"{sf.rstrip('/')}/customer.parquet").select(
+        (F.col("c_custkey") % 64).cast("int").alias("part_no"), "c_custkey",
+        F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    ordered = lines.repartition(64, "part_no").sortWithinPartitions("part_no", "c_custkey")
+    ordered.select("part_no", "value").write.partitionBy("part_no").text(path)
+    found = file_checksums(spark, [path])
+    return found.select(F.regexp_extract("path", "part_no=([0-9]+)", 1).cast("int").alias("part_no"), "length", "sha256")
 
 
 def q_file_checksum(spark, sf):
