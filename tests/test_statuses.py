@@ -53,13 +53,18 @@ def test_percentiles_of_a_column_that_is_mostly_one_value(spark):
     assert percentiles(df, "v", probs, n_ranges=6).first()["q"] == pytest.approx(np.quantile(x, probs).tolist())
 
 
-def test_durbin_watson_splits_a_hot_order_value(spark):
+def test_durbin_watson_needs_an_order_and_not_a_partitioning(spark):
+    """A hot order value would leave its rows without an order among each other: an error, found in any split."""
     from pyspark.sql import functions as F
     from regframe.operators.describe import durbin_watson
-    rows = [(0 if i % 100 else i, math.sin(i)) for i in range(4_000)]
-    df = spark.createDataFrame(rows, "o long, e double").repartition(5)
+    df = spark.createDataFrame([(i, math.sin(i)) for i in range(4_000)], "o long, e double").repartition(5)
     a = durbin_watson(df, F.col("e"), "o", n_ranges=7)
     assert a == pytest.approx(durbin_watson(df.repartition(3), F.col("e"), "o", n_ranges=2), rel=1e-9)
+    hot = df.withColumn("o", F.when(F.col("o") % 100 == 0, F.col("o")).otherwise(0))
+    for n in (2, 7):
+        with pytest.raises(ValueError, match="3960 repeat"):
+            durbin_watson(hot, F.col("e"), "o", n_ranges=n)
+
 
 
 def test_omnibus_of_known_samples():
