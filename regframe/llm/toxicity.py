@@ -144,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def _one_of_near_copies(sample: DataFrame) -> DataFrame:
-    """Rows of the sample, those with an equal minimum of hashed word runs once."""
+    """Rows of the sample, those with an equal minimum of hashed word runs once, whatever the partitioning."""
     def run(batches):
         for batch in batches:
             low = []
@@ -156,8 +156,13 @@ def _one_of_near_copies(sample: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1).cast(pa.int32()), pa.array([x[0] for x in low], pa.int64()),
                  pa.array([x[1] for x in low], pa.int64())], names=["text", "toxic", "a", "b"])
 
-    return (sample.mapInArrow(run, "text string, toxic int, a long, b long")
-            .dropDuplicates(["a"]).dropDuplicates(["b"]).select("text", "toxic"))
+    made = sample.mapInArrow(run, "text string, toxic int, a long, b long")
+    # of copies the smallest by a hash stays, and it is toxic if any of them is
+    for key in ("a", "b"):
+        first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "a", "b")).alias("first")
+        made = (made.groupBy(F.col(key).alias("copy")).agg(first, F.max("toxic").alias("toxic"))
+                .select("first.text", "toxic", "first.a", "first.b"))
+    return made.select("text", "toxic")
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
@@ -251,27 +256,33 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     likely = counts.filter(f"toxic >= 3 and toxic >= clean and (toxic + clean) <= {n_toxic + n_clean}")
     lexicon = Lexicon(choose_terms([tuple(r) for r in likely.collect()], n_toxic, n_clean, n_tested))
 
-    def look(batches):  # features of the sample, and the phrases around hits
+    def phrases(batches):  # all phrases around hits, once a document
         auto = lexicon.automaton()
         for batch in batches:
-            y, x, phrases = [], [], []
+            y, found = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = fold(text)
-                y.append(int(toxic == 1))
-                x.append(list(features(f, lexicon, auto)))
-                phrases.append(sorted({p for s, e, _ in hits(f, auto) for p in neighbours(f, s, e) if p})[:200])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64())),
-                 pa.array(phrases, pa.list_(pa.string()))], names=["y", "x", "phrases"])
+                own = {p for s, e, _ in hits(f, auto) for p in neighbours(f, s, e) if p}
+                y += [int(toxic == 1)] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(found, pa.string())], names=["y", "p"])
 
-    seen = sample.mapInArrow(look, "y int, x array<double>, phrases array<string>")
-    rows = seen.select("y", "x").collect()  # at most max_fit rows of two numbers
-    exceptions = (seen.filter("y = 0 or size(phrases) > 0").select("y", F.explode("phrases").alias("p"))
+    exceptions = (apart.mapInArrow(phrases, "y int, p string")
                   .groupBy("p").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
                   .filter("toxic = 0 and n >= 3").orderBy(F.desc("n"), "p").limit(MAX_TERMS).collect())
+
+    def look(batches):  # features of the sample
+        auto = lexicon.automaton()
+        for batch in batches:
+            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(t == 1) for t in toxic], pa.int32()),
+                 pa.array([list(features(fold(t), lexicon, auto)) for t in texts], pa.list_(pa.float64()))], names=["y", "x"])
+
+    rows = sample.mapInArrow(look, "y int, x array<double>").collect()  # at most max_fit rows of two numbers
     lexicon.exceptions = frozenset(r["p"] for r in exceptions)
-    x = np.array([r["x"] for r in rows], float).reshape(-1, 2)
-    lexicon.curve = _logistic(x, np.array([r["y"] for r in rows], float))
+    rows = sorted((r["y"], *r["x"]) for r in rows)  # sums in one order, whatever the partitioning
+    lexicon.curve = _logistic(np.array([r[1:] for r in rows], float).reshape(-1, 2), np.array([r[0] for r in rows], float))
     return lexicon
 
 
@@ -292,7 +303,12 @@ def toxicity_score(text: Column, lexicon: Lexicon) -> Column:
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text",
                    threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns that bear these names are replaced."""
+    """``docs`` with ``score`` and ``predicted``; columns that bear these names are replaced.
+
+    Every row keeps its place: repeated rows score alike, a missing or empty
+    text scores as one without hits, texts of any length are read whole, and an
+    empty table gives no rows.
+    """
     kept = docs.drop("score", "predicted")
     scored = kept.withColumn("score", toxicity_score(F.col(quoted(text_col)), lexicon))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
