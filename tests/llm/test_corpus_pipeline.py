@@ -94,3 +94,25 @@ def test_packing_holds_every_id_once(stages):
     for p in pieces:
         ends[p.sequence_id] += p.length
     assert max(ends.values()) <= 2048
+
+
+def test_stages_of_odd_and_empty_tables_with_clashing_names(spark, odd_docs, no_docs):
+    """Missing and empty values, ties, repeated rows, names that the operators use themselves."""
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, no_docs, SF).columns == no_docs.columns
+        assert stage(spark, no_docs, SF).count() == 0, name
+        got = stage(spark, odd_docs, SF)
+        assert got.schema == odd_docs.schema, name
+        rows, given = Counter(r.doc_id for r in got.collect()), Counter(r.doc_id for r in odd_docs.collect())
+        if name in ("toxicity", "line dedup"):
+            assert rows == given, name
+        assert set(rows) <= set(given), name
+    assert P.STAGES[-1][1](spark, no_docs, SF).count() == 0
+    packed = P.STAGES[-1][1](spark, odd_docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in odd_docs.collect()}
+
+
+def test_the_whole_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0

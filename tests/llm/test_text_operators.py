@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from helpers import PII, Union, pii_spans, text, water_fill
 from pyspark.sql import functions as F
 
+import regframe.llm.minhash as minhash
 from regframe.llm.line_dedup import chunks, dedup_lines
 from regframe.llm.minhash import Sampler, common_words, near_duplicates, one_of_each, weighted_jaccard
 from regframe.llm.mixing import mix, mixed_documents, pivotal, pivotal_with_rest
@@ -52,6 +54,50 @@ def test_lexicon_learns_words_stems_and_leaves_clean_rows(spark, no_docs):
     assert score_toxicity(clash, lexicon).columns == ["doc_id", "text", "key", "score", "predicted"]
 
 
+def _fitting_rows(rng):
+    rows, labels = [], []
+    for i in range(500):
+        body, toxic = text(rng, 3), int(i % 5 == 0)
+        if i % 5 in (0, 1) and i % 2:
+            body += " late gronkers again"
+        if toxic:
+            body = f"{body} gronk {'zorbes' if i % 3 else 'gronkle'}"
+        rows.append((i, body))
+        labels.append((i, toxic))
+    rows += [(1000 + i, rows[i][1]) for i in range(60)]                # exact copies, some with another label
+    labels += [(1000 + i, int(i % 7 == 0)) for i in range(60)]
+    return rows, labels
+
+
+def test_the_lexicon_does_not_depend_on_the_partitioning(spark):
+    rows, labels = _fitting_rows(random.Random(21))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fits = [fit_lexicon(docs.repartition(n, order).sortWithinPartitions(order), marks.repartition(n))
+            for n, order in ((1, "doc_id"), (7, "text"), (3, F.rand(5)))]
+    assert fits[0].weights and all((f.weights, f.exceptions, f.curve) == (fits[0].weights, fits[0].exceptions, fits[0].curve)
+                                   for f in fits)
+    scores = [[r.score for r in score_toxicity(docs.repartition(3), f).orderBy("doc_id").collect()] for f in fits]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_hits_equal_every_term_tried_at_every_word():
+    rng = random.Random(22)
+    for _ in range(300):
+        weights = {}
+        for _ in range(rng.randint(1, 8)):
+            body = "".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
+            weights[body + rng.choice(["", " "])] = float(rng.randint(1, 9))
+        folded = "".join(rng.choice("aab .") for _ in range(rng.randint(0, 40)))
+        want = []
+        for m in re.finditer(r"[^\W_]+", folded):
+            found = [(w, m.start(), m.start() + len(t.rstrip(" "))) for t, w in weights.items()
+                     if (m.group() == t[:-1] if t.endswith(" ") else m.group().startswith(t))]
+            if found:
+                want.append((m.start(), max(found)[0]))
+        got = hits(folded, Lexicon(weights).automaton())
+        assert [(s, w) for s, _, w in got] == want
+
+
 # --- personal data --------------------------------------------------------
 
 def test_base_spans_equal_the_plain_patterns(spark):
@@ -234,6 +280,20 @@ def _edited(rng, body, n):
     return " ".join(words)
 
 
+def test_word_hashes_stand_for_the_words():
+    rng = random.Random(31)
+    named = {}
+    for _ in range(400):
+        body = "".join(rng.choice("abÀ😀İ\u00a0\u3000\x1c\x85\t\n  ") for _ in range(rng.randint(0, 40)))
+        words, got = body.lower().split(), minhash.word_hashes(body)
+        assert len(words) == len(got)
+        for word, h in zip(words, got.tolist()):
+            assert named.setdefault(word, h) == h
+    assert len(set(named.values())) == len(named)
+    long = minhash.word_hashes("x" * 70_000 + " " + "x" * 69_999)
+    assert len(set(long.tolist())) == 2
+
+
 def test_consistent_samples_agree_as_often_as_the_similarity(spark):
     rng = random.Random(10)
     sampler = Sampler(b"", b"", 2.0)
@@ -247,7 +307,12 @@ def test_consistent_samples_agree_as_often_as_the_similarity(spark):
     assert abs(same / total) < 0.04
 
 
-def test_classes_equal_brute_force(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("rare, growth", [(1e-3, 8), (0.05, 2)])
+def test_classes_equal_brute_force(spark, odd_docs, no_docs, monkeypatch, rare, growth):
+    """Also where rare words share the highest weight, as in tables of more than 1 / RARE texts."""
+    monkeypatch.setattr(minhash, "RARE", rare)
+    monkeypatch.setattr(minhash, "GROWTH", growth)
+    monkeypatch.setattr(minhash.common_words, "__defaults__", (rare,))
     rng = random.Random(11)
     rows = []
     for _ in range(25):
