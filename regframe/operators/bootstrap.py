@@ -9,9 +9,10 @@ Design
   uniform. Replicates are hashed before they are combined, so one is no
   shifted copy of another. Recomputing a lost partition gives the same
   weights (``rand()`` would not), and any engine can reproduce them.
-* IID scheme: every row is exploded into its B replicate weights inside the
-  task and immediately aggregated by replicate (partial aggregation), so the
-  shuffle carries B rows per partition, not B x n.
+* IID scheme: a task makes the weights of its rows for all replicates in numpy
+  blocks that stay in the processor's cache and adds them up there by a matrix
+  product, so the shuffle carries B rows per partition, not B x n, and no
+  weight ever becomes a row.
 * Cluster scheme: rows are first reduced to per-group sufficient statistics
   (one groupBy on the group key; a hot group is just one row), then groups
   are weighted per replicate -- B x G work, never a list of group rows.
@@ -37,10 +38,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from .describe import percentiles
 
 M32 = 4294967296            # 2^32
@@ -49,6 +51,8 @@ DRAW_MULT = 2246822519      # odd 32-bit multiplier for the block of a draw
 SEED_MULT = 3266489917      # odd 32-bit multiplier for the seed
 BLOCK = 65536               # units whose draws one task makes
 MIN_TASKS = 64
+TILE = 64, 1024             # replicates and units whose weights are made at once
+REP_BLOCK = 65536           # replicates whose sums one task holds
 
 
 def poisson1_thresholds() -> list[float]:
@@ -86,22 +90,94 @@ def with_uniform(df: DataFrame, name: str = "__u") -> DataFrame:
     return d.withColumn(name, u).drop("__a", "__b", "__k1", "__k2", "__r1", "__r2")
 
 
-def draw_uniforms(n: int, rep: int, block: int, seed: int, start: int = 0) -> np.ndarray:
-    """Uniforms of draws ``start .. start+n`` of a replicate in a block: the same mixing, in numpy."""
-    def mix(x):
-        return ((x ^ (x >> np.uint64(16))) * np.uint64(MIX)) % np.uint64(M32)
+def replicate_words(seed: int, reps) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit words of each replicate's md5, as :func:`_words` makes them."""
+    digests = [hashlib.md5(f"{seed}:rep:{rep}".encode()).hexdigest() for rep in reps]
+    return tuple(np.array([int(d[k:k + 8], 16) for d in digests], np.uint32) for k in (0, 8))
+
+
+def _mix_words(x: np.ndarray, spare: np.ndarray) -> None:
+    """:func:`_mix` in place; products of 32-bit words wrap around by themselves."""
+    np.right_shift(x, np.uint32(16), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    np.multiply(x, np.uint32(MIX), out=x)
+
+
+def _high_words(a: np.ndarray, b: np.ndarray) -> None:
+    """Turn ``a``, ``b`` (key word xor replicate word) in place into the upper 32 bits of the uniform and
+    the word that :func:`_exact` needs for the other 20."""
+    spare = np.empty_like(a)
+    _mix_words(a, spare)
+    np.bitwise_xor(b, a, out=b)
+    _mix_words(b, spare)
+    np.bitwise_xor(a, b, out=a)
+    _mix_words(a, spare)
+    np.right_shift(a, np.uint32(16), out=spare)
+    np.bitwise_xor(a, spare, out=a)
+
+
+def _exact(hi: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All 52 bits of the uniforms of :func:`_high_words`."""
+    lo = b ^ hi ^ (hi >> np.uint32(16))                   # the last shift and xor undoes itself
+    _mix_words(lo, np.empty_like(lo))
+    lo ^= lo >> np.uint32(16)
+    return (hi.astype(np.uint64) << np.uint64(20)) + (lo >> np.uint32(12))
 
-    digest = hashlib.md5(f"{seed}:rep:{rep}".encode()).hexdigest()
-    r1, r2 = np.uint64(int(digest[:8], 16)), np.uint64(int(digest[8:16], 16))
+
+def draw_words(n: int, block: int, seed: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The key words of draws ``start .. start+n`` of a block, the same for every replicate."""
     j = np.arange(start, start + n, dtype=np.uint64)
-    k1 = mix((j + np.uint64(seed * SEED_MULT % M32)) % np.uint64(M32))
-    k2 = mix((k1 + np.uint64(block * DRAW_MULT % M32)) % np.uint64(M32))
-    a, b = mix(k1 ^ r1), k2 ^ r2
-    b = mix(b ^ a)
-    a = mix(a ^ b)
-    b = mix(b ^ a)
-    hi, lo = a ^ (a >> np.uint64(16)), b ^ (b >> np.uint64(16))
-    return (hi * np.uint64(1 << 20) + (lo >> np.uint64(12))) / float(1 << 52)
+    k1 = ((j + np.uint64(seed * SEED_MULT % M32)) % np.uint64(M32)).astype(np.uint32)
+    _mix_words(k1, np.empty_like(k1))
+    k2 = k1 + np.uint32(block * DRAW_MULT % M32)
+    _mix_words(k2, np.empty_like(k2))
+    return k1, k2
+
+
+def draw_uniforms(n: int, rep: int, block: int, seed: int, start: int = 0) -> np.ndarray:
+    """Uniforms of draws ``start .. start+n`` of a replicate in a block: the same mixing, in numpy."""
+    k1, k2 = draw_words(n, block, seed, start)
+    r1, r2 = replicate_words(seed, [rep])
+    a, b = k1 ^ r1, k2 ^ r2
+    _high_words(a, b)
+    return _exact(a, b) / float(1 << 52)
+
+
+def draw_counts(n: int, words: tuple[np.ndarray, np.ndarray], r1, r2, size: int) -> np.ndarray:
+    """How often each of ``size`` units is among a replicate's first ``n`` draws: unit ``floor(u * size)``.
+
+    The upper 32 bits of u settle the unit unless ``u * size`` is that close below a whole number; only
+    those draws take all 52 bits."""
+    a, b = words[0][:n] ^ r1, words[1][:n] ^ r2
+    _high_words(a, b)
+    product = a.astype(np.uint64) * np.uint64(size)
+    unit = (product >> np.uint64(32)).astype(np.int64)
+    near = np.flatnonzero((product & np.uint64(M32 - 1)) >= np.uint64(max(M32 - 2 * size, 0)))
+    if len(near):
+        u = _exact(a[near], b[near]) / float(1 << 52)
+        unit[near] = np.minimum((u * size).astype(np.int64), size - 1)
+    return np.bincount(unit, minlength=size)
+
+
+def poisson1_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of words ``a``, ``b`` (key xor replicate; overwritten), equal to
+    :func:`poisson1_weight` of :func:`with_uniform`: thresholds are compared with the upper 32 bits,
+    and with all 52 where those are equal."""
+    _high_words(a, b)
+    weight = np.zeros(a.shape, np.uint8)
+    for t in poisson1_thresholds():
+        cut = math.ceil(t * (1 << 52))                    # u < t if its 52 bits are below this
+        if cut >= 1 << 52:                                # as all are below 1
+            break
+        top = np.uint32(cut >> 20)
+        above = a >= top
+        if not above.any():
+            break
+        weight += above
+        tie = a == top
+        if tie.any():
+            weight[tie] -= _exact(a[tie], b[tie]) < cut
+    return weight
 
 
 def poisson1_weight(u: Column) -> Column:
@@ -180,15 +256,7 @@ def boot_replicates(df: DataFrame, iv: str, med: str, dv: str, B: int = 5000, se
     if draw == "multinomial":
         sums = _multinomial(base, B, seed)
     elif draw == "poisson":
-        k1, k2 = _words(F.concat_ws(":", F.lit(str(seed)), F.col("__g")))
-        r1, r2 = _words(F.concat(F.lit(f"{seed}:rep:"), F.col("rep").cast("string")))
-        units = base.select(k1.alias("__k1"), k2.alias("__k2"), *_STATS)
-        if scheme == "cluster":                           # groups come out of an aggregate that AQE coalesces
-            units = units.repartition(max(spark_parallelism(df), 1))
-        words = (units.crossJoin(F.broadcast(_replicates(df.sparkSession, B).select("rep", r1.alias("__r1"),
-                                                                             r2.alias("__r2")))))
-        weighted = with_uniform(words).withColumn("__w", poisson1_weight(F.col("__u")))
-        sums = weighted.groupBy("rep").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in _STATS])
+        sums = _poisson(base, B, seed, spread=scheme == "cluster")
     else:
         raise ValueError("draw must be 'poisson' or 'multinomial'")
     a, b = _paths({n: F.col(n) for n in _STATS})
@@ -237,6 +305,43 @@ def dense_codes(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
             .select(key, (F.col("__off") + F.col("__rn")).cast("bigint").alias("code")))
 
 
+_SUMS = "rep long, " + ", ".join(f"{n} double" for n in _STATS)
+
+
+def _poisson(base: DataFrame, B: int, seed: int, spread: bool) -> DataFrame:
+    """Weighted sums per replicate: each unit has a Poisson(1) weight in each replicate. A task goes
+    through its units once for ``REP_BLOCK`` replicates, and holds their sums and one tile of weights."""
+    ship_package(base.sparkSession)
+    k1, k2 = _words(F.concat_ws(":", F.lit(str(seed)), F.col("__g")))
+    units = base.select(k1.alias("k1"), k2.alias("k2"), *_STATS)
+    if spread:                                            # groups come out of an aggregate that AQE coalesces
+        units = units.repartition(max(spark_parallelism(base), 1))
+
+    def pass_over(first: int, last: int):
+        def run(batches):
+            r1, r2 = (r[:, None] for r in replicate_words(seed, range(first, last)))
+            sums, any_unit = np.zeros((last - first, len(_STATS))), False
+            for batch in batches:
+                any_unit = any_unit or batch.num_rows > 0
+                w1, w2 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint32) for k in (0, 1))
+                x = np.column_stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(_STATS))])
+                for u in range(0, len(w1), TILE[1]):
+                    unit = slice(u, u + TILE[1])
+                    for r in range(0, last - first, TILE[0]):
+                        rep = slice(r, r + TILE[0])
+                        sums[rep] += poisson1_counts(w1[unit] ^ r1[rep], w2[unit] ^ r2[rep]).astype(float) @ x[unit]
+            if any_unit:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), *map(pa.array, sums.T.copy())],
+                                                 names=["rep", *_STATS])
+        return run
+
+    sums = None
+    for first in range(0, B, REP_BLOCK):
+        part = units.mapInArrow(pass_over(first, min(first + REP_BLOCK, B)), _SUMS)
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy("rep").agg(*[F.sum(n).alias(n) for n in _STATS])
+
+
 def _multinomial(base: DataFrame, B: int, seed: int, block: int = BLOCK) -> DataFrame:
     """Exact-size resampling: weighted sums per replicate of U draws with
     replacement from the U units, in dense codes of sorted key order.
@@ -245,6 +350,7 @@ def _multinomial(base: DataFrame, B: int, seed: int, block: int = BLOCK) -> Data
     one task. Few blocks are repeated for groups of replicates, so that at
     least ``MIN_TASKS`` tasks share the B x U draws."""
     spark = base.sparkSession
+    ship_package(spark)
     codes = dense_codes(base, "__g")
     checkpoint_dir(spark)
     units = base.join(codes, "__g").select("code", *_STATS).checkpoint(eager=True)
@@ -268,14 +374,17 @@ def _multinomial(base: DataFrame, B: int, seed: int, block: int = BLOCK) -> Data
     def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("code")
         x, rows = left[_STATS].to_numpy(float), []
-        for rep, k, n in zip(right["rep"], right["block"], right["n"]):
-            times = np.zeros(len(x), np.int64)
-            for lo in range(0, int(n), 1 << 20):
-                u = draw_uniforms(min(1 << 20, int(n) - lo), int(rep), int(k), seed, lo)
-                times += np.bincount(np.minimum((u * len(x)).astype(np.int64), len(x) - 1), minlength=len(x))
-            rows.append([rep, *(times @ x)])
-        return pd.DataFrame(rows, columns=["rep", *_STATS]).astype({"rep": "int64"})
+        for k, part in right.groupby("block"):
+            words = draw_words(int(part["n"].max()), int(k), seed)
+            r1, r2 = replicate_words(seed, part["rep"])
+            for at in range(0, len(part), 16):            # their counts meet the units in one matrix product
+                few = slice(at, at + 16)
+                times = np.array([draw_counts(int(n), words, p, q, len(x))
+                                  for n, p, q in zip(part["n"][few], r1[few], r2[few])], float)
+                rows.append(pd.DataFrame(times @ x, columns=_STATS).assign(rep=part["rep"].to_numpy()[few]))
+        out = pd.concat(rows) if rows else pd.DataFrame(columns=["rep", *_STATS])
+        return out[["rep", *_STATS]].astype({"rep": "int64"})
 
     sums = (blocks.groupBy("block", "part").cogroup(shares.groupBy("block", "part"))
-            .applyInPandas(draw, "rep long, " + ", ".join(f"{n} double" for n in _STATS)))
+            .applyInPandas(draw, _SUMS))
     return sums.groupBy("rep").agg(*[F.sum(n).alias(n) for n in _STATS])

@@ -164,6 +164,50 @@ def test_multinomial_over_many_blocks(med_df):
     assert len(sums) == 40 and {r["w"] for r in sums} == {600.0}
 
 
+def test_numpy_poisson_weights_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+    from regframe.operators import bootstrap as T
+    words = np.random.default_rng(3).integers(0, 2**32, (2, 400), dtype=np.uint32)
+    d = spark.createDataFrame([(int(a), int(b), 0, 0) for a, b in words.T], "__k1 long, __k2 long, __r1 long, __r2 long")
+    want = d.withColumn("a", F.col("__k1")).withColumn("b", F.col("__k2"))
+    rows = with_uniform(want).withColumn("w", T.poisson1_weight(F.col("__u"))).collect()
+    got = dict(zip(zip(*words.tolist()), T.poisson1_counts(*words.copy()).tolist()))
+    assert got == {(r.a, r.b): r.w for r in rows} and max(got.values()) > 3
+
+    def unmixed(x):
+        x = x * np.uint32(pow(T.MIX, -1, 2**32))
+        return x ^ (x >> np.uint32(16))
+
+    # words whose upper 32 bits are those of a threshold, so that the other 20 decide
+    first = np.random.default_rng(4).integers(0, 2**32, 300, dtype=np.uint32)
+    exact = np.array(T.poisson1_thresholds())
+    for t in exact[np.ceil(exact * 2.0**52) < 2.0**52]:
+        top = np.uint32(int(np.ceil(t * 2.0**52)) >> 20)
+        second = unmixed(np.full(300, top ^ (top >> np.uint32(16)))) ^ first
+        a, b = unmixed(first), unmixed(second) ^ first
+        hi, low = a.copy(), b.copy()
+        T._high_words(hi, low)
+        assert (hi == top).all()
+        u = T._exact(hi, low) / 2.0**52
+        assert T.poisson1_counts(a, b).tolist() == np.searchsorted(exact, u, side="right").tolist()
+
+
+def test_draw_counts_take_all_bits_near_whole_numbers():
+    from regframe.operators import bootstrap as T
+    n, seed = 400_000, 42
+    words, (r1, r2) = T.draw_words(n, 7, seed), T.replicate_words(seed, [11])
+    for size in (1, 997, 65_536):
+        unit = np.minimum((draw_uniforms(n, 11, 7, seed) * size).astype(int), size - 1)
+        assert T.draw_counts(n, words, r1[0], r2[0], size).tolist() == np.bincount(unit, minlength=size).tolist()
+
+
+def test_poisson_weights_never_become_rows(med_df):
+    reps = boot_replicates(med_df, "x", "m", "y", B=300, seed=7, scheme="iid", key="id")
+    plan = reps._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert reps.count() == 300
+
+
 @pytest.mark.parametrize("fam", ["binomial", "gamma"])
 def test_glm_hc3_option_matches_numpy(spark, fam):
     rng = np.random.default_rng(12)
