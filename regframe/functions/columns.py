@@ -37,15 +37,17 @@ TECH_KEYWORDS = ("software", "code", "coding", "debug", "program", "script",
 
 # Python's str.isspace() set (what pandas' str.strip removes) = Unicode
 # White_Space plus the four ASCII separators \x1c-\x1f.
-_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_EDGE_WS = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                             0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
 
 
 def normalize_key(c: Column | str) -> Column:
     """B1: lower-case and strip leading/trailing whitespace exactly as
     Python's ``str.strip()`` does (tabs, Unicode blanks and the ASCII
-    separators included; Spark's ``trim`` only strips spaces)."""
+    separators included; Spark's ``trim`` only strips spaces). Only the edges
+    are looked at, where a pattern would be tried at every character."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.lower(c), _EDGE_WS, "")
+    return F.btrim(F.lower(c), F.lit(_EDGE_WS))
 
 
 def present(df: DataFrame, cols: Iterable[str]) -> list[str]:

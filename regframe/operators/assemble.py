@@ -200,8 +200,9 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def build_levels(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Whole build (M1-M4) as lazy DataFrames."""
-    tb = assemble_task_base(frames)
+    """Whole build (M1-M4) as lazy DataFrames. The task base, one row per task, is kept: both parts
+    of the fan-out join and the task sample read it."""
+    tb = assemble_task_base(frames).persist()
     cp = prepare_clusters(frames["clusters"])
     integ = integrate_levels(tb, cp)
     return {"task_base": tb, "clusters_prepared": cp, "integrated": integ,

@@ -12,9 +12,10 @@ its key.
 
 Scale notes
 -----------
-* ``lineitem`` is the only large input. Per-part statistics are one
+* ``lineitem`` is the largest input. Per-part statistics are one
   partial/final aggregation of it on the part key; that part-sized table is
-  persisted and feeds the three task sources and the grand total.
+  joined to the names once, persisted, and feeds the three task sources. The
+  grand total scans one column.
 * Per-customer statistics read the lines joined to ``orders`` on the order
   key, through a per-(order, customer) pre-aggregate -- which the join's
   order-key partitioning already satisfies, so it adds no shuffle -- then a
@@ -24,7 +25,10 @@ Scale notes
 * The customer's top part needs the (customer, part) grain: that is the one
   wide shuffle, three columns wide, followed by an arg-max aggregate
   (``max(struct(spend, -partkey))``), not a window -- a customer holding a
-  third of all lines still combines map-side.
+  third of all lines is spread by its parts, and its maxima combine map-side.
+* ``part`` and ``customer`` grow with the lines, so their joins are merge
+  joins by hint: from a file's size Spark takes them for small enough to
+  collect on the driver and broadcast, long after they are not.
 * Grand totals (for percentage shares) are one-row aggregates attached with
   a broadcast cross join -- the broadcast side has exactly one row.
 """
@@ -55,6 +59,7 @@ CLUSTER_PATTERN_COLS = [
     "collab_validation_ratio",
     "collab_none_ratio",
 ]
+LINES_PER_TASK = 1_000_000   # lines that one task of a line-sized shuffle sorts or adds up
 THINK_DISCOUNT = 0.05        # a line "uses thinking" when discount >= 5 %
 RATIO_SUPPRESS = 0.08        # cluster ratios below this are withheld (NULL)
 THINK_SUPPRESS = 0.30        # cluster thinking ratio below this is withheld
@@ -74,10 +79,18 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("pattern"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _lineitem(spark, sf_dir)
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).drop("o_orderkey")
+def _line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of line-sized shuffles. Their number follows the number of lines (which Spark counts in the
+    files' footers), so that what one task sorts and adds up stays the same; sized by compressed bytes, as AQE
+    does, columns that compress well put many times as many lines into a task."""
+    return max(spark.sparkContext.defaultParallelism, -(-_lineitem(spark, sf_dir).count() // LINES_PER_TASK))
+
+
+def _lines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    n = tasks or _line_tasks(spark, sf_dir)
+    li = _lineitem(spark, sf_dir).repartition(n, "l_orderkey")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    return li.join(o.hint("merge"), li["l_orderkey"] == o["o_orderkey"]).drop("o_orderkey")
 
 
 _COUNTS = [f"c_{name}" for _, name in PATTERNS] + ["c_think"]
@@ -105,12 +118,13 @@ def task_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict
     """``task_pct`` lacks parts without a line of the first pattern,
     ``interaction`` those without one of the last, ``thinking`` those without
     a discounted line of the last."""
-    pp = _per_part(_lineitem(spark, sf_dir))
-    if persist:
-        pp = pp.persist()                                 # one row per part
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    total = pp.agg(F.sum("spend").alias("total_spend"))   # over all lines, as the share base
+    lines = _lineitem(spark, sf_dir)
+    pp = _per_part(lines)
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name").hint("merge")
+    total = lines.agg(F.sum("l_extendedprice").alias("total_spend"))   # over all lines, as the share base
     named = pp.join(part, pp["l_partkey"] == part["p_partkey"]).drop("l_partkey")
+    if persist:
+        named = named.persist()                           # one row per part
     name = _task_name(named).alias("task_name")
     task_pct = (named.filter(F.col(PATTERNS[0][1]) > 0).crossJoin(F.broadcast(total))
                 .select(name, (F.lit(100.0) * F.col("spend") / F.col("total_spend")).alias("pct")))
@@ -119,8 +133,9 @@ def task_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict
     return {"task_pct": task_pct, "interaction": interaction, "thinking": thinking}
 
 
-def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+def cluster_source(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    tasks = _line_tasks(spark, sf_dir)
+    lines = _lines(spark, sf_dir, tasks)
     # per customer, through a per-order pre-aggregate: grouping by
     # (order, customer) is satisfied by the join's order-key partitioning
     # (no shuffle), and counting the order rows gives "orders with lines"
@@ -132,9 +147,12 @@ def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
                        *[(F.col(f"c_{name}") / F.col("n_lines")).alias(f"r{i}")
                          for i, (_, name) in enumerate(PATTERNS, 1)],
                        (F.col("c_think") / F.col("n_lines")).alias("rt"))
+    if persist:
+        cust = cust.persist()                             # one row per customer, for the totals too
     # top part per customer: the one wide shuffle ((customer, part, spend)),
-    # then an arg-max aggregate (ties to the smaller part key) -- no window
-    top = (lines.groupBy("o_custkey", "l_partkey").agg(F.sum("l_extendedprice").alias("spend"))
+    # then an arg-max aggregate (ties to the smaller part key) -- no window.
+    # Hardly two lines share a pair, so they are added up behind the shuffle only
+    top = (lines.repartition(tasks, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey").agg(F.sum("l_extendedprice").alias("spend"))
            .groupBy(F.col("o_custkey").alias("t_custkey"))
            .agg(F.max(F.struct(F.col("spend"), (-F.col("l_partkey")).alias("neg_key"))).alias("best"))
            .select("t_custkey", (-F.col("best.neg_key")).alias("top_partkey")))
@@ -143,10 +161,10 @@ def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = cust.agg(F.sum("n_lines").alias("all_lines")).crossJoin(
         orders.agg(F.count(F.lit(1)).alias("all_orders")))
 
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").hint("merge")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name").hint("merge")
 
     j = (cust.join(top, cust["o_custkey"] == top["t_custkey"])
          .join(c, F.col("o_custkey") == c["c_custkey"])
@@ -176,6 +194,7 @@ def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def testdata_sources(spark: SparkSession, sf_dir: str, persist: bool = True) -> dict[str, DataFrame]:
     """``{task_pct, interaction, thinking, clusters}`` over the test tables.
 
-    ``persist`` keeps the per-part aggregate (recomputable from lineage if an
-    executor is lost), so the task files share one aggregation of the lines."""
-    return {**task_sources(spark, sf_dir, persist), "clusters": cluster_source(spark, sf_dir)}
+    ``persist`` keeps the per-part and the per-customer aggregate (recomputable
+    from lineage if an executor is lost), so the task files share one aggregation
+    of the lines, and the clusters and their totals another."""
+    return {**task_sources(spark, sf_dir, persist), "clusters": cluster_source(spark, sf_dir, persist)}

@@ -37,3 +37,12 @@ def test_hc3_matches_numpy(spark, n, k, parts, seed):
     V = XtXi @ ((Xc * ((e / (1 - h)) ** 2)[:, None]).T @ Xc) @ XtXi
     np.testing.assert_allclose(r.beta, b, rtol=1e-8, atol=1e-10)
     np.testing.assert_allclose(r.cov, V, rtol=1e-6, atol=1e-14)
+
+
+def test_normalize_key_strips_what_python_strips_without_a_pattern(spark):
+    blanks = [chr(i) for i in range(1, 0x10000) if chr(i).isspace()]
+    near = ["\u200b", "\u180e", "\ufeff", "\u2060", "\x1b", "\x21"]
+    texts = [f"{c}a{c} b{c}{c}" for c in blanks + near] + ["".join(blanks), "", "a\n b \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", normalize_key("s").alias("n"))
+    assert [(r.s, r.n) for r in df.collect()] == [(t, t.strip()) for t in texts]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()

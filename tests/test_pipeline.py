@@ -76,3 +76,36 @@ def test_release_files_through_cli(spark):
     runs = [r for r in rows("runs") if r["command"] == "analyze"]
     assert len({r["run_id"] for r in runs}) == 2 and all(r["status"] == "done" for r in runs)
     assert {(r["table_name"], r["analysis_id"]) for r in runs} >= {("coef", "H1_H2"), ("fit", "H6"), ("mediation", "H5")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_tables_are_never_broadcast(spark):
+    from regframe.sources.testdata import testdata_sources
+    for name, frame in testdata_sources(spark, SF, persist=False).items():
+        broadcast = [part.split("Scan parquet")[1:] for part in _plan(frame).split("BroadcastExchange")[1:]]
+        first = [scans[0].split("[")[1] for scans in broadcast if scans]          # columns below each broadcast
+        assert not any(k in c.split("]")[0] for c in first for k in ("c_custkey", "p_partkey")), name
+
+
+def test_line_sized_shuffles_follow_the_number_of_lines(spark, monkeypatch):
+    from regframe.sources import testdata as T
+    want = sorted(map(tuple, T.cluster_source(spark, SF, persist=False).collect()))
+    monkeypatch.setattr(T, "LINES_PER_TASK", 250)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert T._lines(spark, SF).rdd.getNumPartitions() == -(-lines // 250)
+    assert sorted(map(tuple, T.cluster_source(spark, SF, persist=False).collect())) == want
+
+
+def test_task_base_and_customers_are_kept_once(spark):
+    from regframe.operators.assemble import build_levels
+    from regframe.sources.testdata import testdata_sources
+    src = testdata_sources(spark, SF)
+    lv = build_levels(src)
+    assert lv["task_base"].storageLevel.useMemory
+    plan = _plan(lv["integrated"])
+    assert "InMemoryTableScan" in plan and "SortMergeJoin [o_orderkey" not in plan
+    assert "InMemoryTableScan" in _plan(src["clusters"])
+    lv["task_base"].unpersist()
