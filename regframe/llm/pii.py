@@ -19,6 +19,9 @@ non-overlapping matches.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,32 +51,58 @@ def _may_hold(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][ -]?[0-9]")
 
 
-def _running(steps: Column) -> Column:
-    """Running sums of an array, by chunks so that long arrays stay cheap."""
-    def sums(values: Column) -> Column:
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns computed once a row; a lambda that names a projected column would compute it at every call."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _running(df: DataFrame, steps: list[str], op: Callable[[Column, Column], Column] = operator.add) -> DataFrame:
+    """``df`` with the running sums, or another ``op``, of arrays of longs, by chunks so that long arrays stay cheap."""
+    def along(values: Column) -> Column:
         return F.slice(F.aggregate(values, F.array(F.lit(0).cast("long")),
-                                   lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))),
+                                   lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))),
                        2, F.greatest(F.size(values), F.lit(1)))
 
-    n = F.size(steps)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")),
-                         lambda k: sums(F.slice(steps, k * _CHUNK + 1, F.lit(_CHUNK))))
-    before = F.concat(F.array(F.lit(0).cast("long")), sums(F.transform(chunks, lambda c: F.element_at(c, -1))))
-    return F.flatten(F.transform(chunks, lambda c, k: F.transform(c, lambda x: x + F.get(before, k))))
+    def chunks(name: str) -> Column:
+        last = F.floor((F.greatest(F.size(name), F.lit(1)) - 1) / _CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: along(F.slice(name, k * _CHUNK + 1, F.lit(_CHUNK))))
 
+    def whole(name: str) -> Column:
+        return F.flatten(F.transform(f"c_{name}", lambda c, k: F.transform(c, lambda x: op(x, F.get(f"b_{name}", k)))))
 
-def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Matched strings, and the lengths of the pieces between them."""
-    return (F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            F.transform(F.split(text, pattern, -1), lambda s: F.length(s).cast("long")))
+    df = _once(df, {f"c_{name}": chunks(name) for name in steps})
+    df = _once(df, {f"b_{name}": F.concat(F.array(F.lit(0).cast("long")), along(F.transform(
+        f"c_{name}", lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0).cast("long"))))) for name in steps})
+    return _once(df.drop(*steps), {name: whole(name) for name in steps}).drop(
+        *[f"{x}_{name}" for x in "cb" for name in steps])
 
 
-def _spans(found: Column, gaps: Column) -> Column:
-    """``value, start, end`` of each match; offsets count code points, the end is exclusive."""
-    steps = F.transform(found, lambda m, i: F.get(gaps, i) + F.when(i == 0, F.lit(0)).otherwise(
-        F.length(F.get(found, i - 1))).cast("long"))
-    return F.zip_with(found, _running(steps), lambda m, s: F.struct(
-        m.alias("value"), s.alias("start"), (s + F.length(m)).alias("end")))
+def _with_spans(df: DataFrame, patterns: dict[str, str], may_hold: Callable[[str, Column], Column]) -> DataFrame:
+    """``df`` with an array a pattern: ``value, start, end`` of each match in ``text``.
+
+    Offsets count code points, the end is exclusive. They are the running sums
+    of the lengths of the matches and of the pieces between them.
+    """
+    def found(name: str) -> Column:
+        return F.when(may_hold(name, F.col("text")), F.regexp_extract_all("text", F.lit(patterns[name]), F.lit(0))).otherwise(
+            F.array().cast("array<string>"))
+
+    def gaps(name: str) -> Column:
+        return F.when(F.size(f"m_{name}") > 0, F.transform(F.split("text", patterns[name], -1), lambda s: F.length(s).cast("long")))
+
+    def steps(name: str) -> Column:
+        return F.transform(f"m_{name}", lambda m, i: F.get(f"g_{name}", i) + F.when(i == 0, F.lit(0)).otherwise(
+            F.length(F.get(f"m_{name}", i - 1))).cast("long"))
+
+    def spans(name: str) -> Column:
+        return F.zip_with(f"m_{name}", f"s_{name}", lambda m, s: F.struct(
+            m.alias("value"), s.alias("start"), (s + F.length(m)).alias("end")))
+
+    df = _once(df, {f"m_{name}": found(name) for name in patterns})
+    df = _once(df, {f"g_{name}": gaps(name) for name in patterns})
+    df = _once(df, {f"s_{name}": steps(name) for name in patterns})
+    df = _running(df, [f"s_{name}" for name in patterns])
+    return _once(df, {name: spans(name) for name in patterns}).drop(*[f"{x}_{name}" for x in "mgs" for name in patterns])
 
 
 def _digits(value: Column) -> Column:
@@ -103,22 +132,13 @@ def _check(kind: str):
     return lambda s: _holds(kind, s["value"])
 
 
-_EMPTY = "array<struct<value:string,start:long,end:long>>"
-
-
 def entity_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``row, id``, an array of spans a kind, and ``entities`` and ``text`` of rows that hold any."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
-    for kind in KINDS:
-        found, gaps = _matches(F.col("text"), PATTERNS[kind])
-        rows = rows.withColumn(f"m_{kind}", F.when(_may_hold(kind, F.col("text")), found).otherwise(
-            F.array().cast("array<string>")))
-        rows = rows.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, gaps))
-    for kind in KINDS:
-        kept = F.filter(_spans(F.col(f"m_{kind}"), F.col(f"g_{kind}")), _check(kind))
-        rows = rows.withColumn(kind, F.when(F.size(f"m_{kind}") > 0, kept).otherwise(F.array().cast(_EMPTY)))
-        rows = rows.drop(f"m_{kind}", f"g_{kind}")
+    rows = _with_spans(rows, {kind: PATTERNS[kind] for kind in KINDS}, _may_hold)
+    kept = {f"k_{kind}": F.filter(kind, _check(kind)) for kind in KINDS}
+    rows = _once(rows, kept).select("id", "text", *[F.col(f"k_{kind}").alias(kind) for kind in KINDS])
     entities = F.array_distinct(F.concat(*[F.transform(kind, _entity(kind)) for kind in KINDS]))
     return (rows.withColumn("entities", entities)
             .select(F.monotonically_increasing_id().alias("row"), "id", *KINDS, "entities",
@@ -134,12 +154,20 @@ def _terms(base: DataFrame, entities: DataFrame) -> DataFrame:
     listed = (base.select("row", F.explode("entities").alias("entity")).join(entities, "entity")
               .groupBy("row").agg(F.collect_list("entity").alias("entities")))
     rows = base.filter("text is not null").select("row", "text", F.concat(*KINDS).alias("own")).join(listed, "row")
-    found, gaps = _matches(F.col("text"), TERM)
-    rows = rows.withColumn("m", found).filter(F.size("m") > 0).withColumn("g", gaps)
-    rows = rows.select("row", "entities", "own", _spans(F.col("m"), F.col("g")).alias("spans"))
-    free = F.filter("spans", lambda s: ~F.exists("own", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return rows.select("row", "entities", F.transform(free, lambda s: F.struct(
-        F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end"))).alias("terms"))
+    rows = _with_spans(rows, {"term": TERM}, lambda name, text: F.lit(True)).filter(F.size("term") > 0)
+
+    def event(at: str, own: bool):
+        return lambda s: F.struct(s[at].alias("at"), F.lit(own).alias("own"), s["value"].alias("value"),
+                                  s["start"].alias("start"), s["end"].alias("end"))
+
+    # a term is free if no entity span that starts before its end ends after its start
+    events = F.array_sort(F.concat(F.transform("own", event("start", True)), F.transform("term", event("end", False))))
+    rows = _once(rows, {"events": events})
+    rows = _once(rows, {"ends": F.transform("events", lambda e: F.when(e["own"], e["end"]).otherwise(F.lit(0).cast("long")))})
+    rows = _once(_running(rows, ["ends"], F.greatest), {"marked": F.zip_with("events", "ends", lambda e, end: F.struct(
+        e.alias("e"), (~e["own"] & (end <= e["start"])).alias("free")))})
+    return rows.select("row", "entities", F.transform(F.filter("marked", lambda x: x["free"]), lambda x: F.struct(
+        F.lower(x["e"]["value"]).alias("term"), x["e"]["start"].alias("start"), x["e"]["end"].alias("end"))).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, entities: DataFrame, text_col: str, alpha: float = ALPHA,
