@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started here hand at most ``rows`` rows at once to Python.
+
+    A batch is held several times over: as Arrow buffers outside the JVM's heap,
+    as the worker's copy and as Python objects.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def first_by_hash(df: DataFrame, k: int, total: int, seed: int, *cols: str) -> DataFrame:
     """The ``k`` rows whose columns hash lowest, of a table of ``total`` rows.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, quoted, shared_folder
+from .common import discard, quoted, shared_folder, small_batches
 from .components import components
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ AGREE = 26            # of the BANDS * ROWS samples
 LEADERS = 4           # members of a mixed bucket that all others meet in the first round
 GROWTH = 4            # times as many in the next
 SEMI_BYTES = 32 << 20  # node lists up to this size are broadcast to the documents, larger ones are joined by shuffle
+BATCH = 512           # texts, or pairs of texts, handed to Python at once
+WORDS_HELD = 1 << 21  # distinct words of texts, 8 bytes each, that a task counts before it hands on the counts
 SIG_WORDS = -(-BANDS * ROWS // 7)
 _SIG = [f"s{i}" for i in range(SIG_WORDS)]
 _LOW = 0x007F7F7F7F7F7F7F
@@ -164,10 +166,21 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
 def common_words(texts: DataFrame, rare: float = RARE) -> tuple[bytes, bytes, float]:
     """Hashes of words in at least ``rare`` of the texts, their weights, and the weight of all others."""
     def count(batches):
+        held, size = [], 0
+
+        def counted():
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int32))], names=["word", "n"])
+
         for batch in batches:
-            found = [np.unique(word_hashes(text)) for text in batch.column(0).to_pylist()]
-            words, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int32))], names=["word", "n"])
+            for text in batch.column(0).to_pylist():
+                held.append(np.unique(word_hashes(text)))
+                size += len(held[-1])
+                if size >= WORDS_HELD:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
     n = texts.count()
     found = (texts.select("text").mapInArrow(count, "word long, n int")
@@ -377,14 +390,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that repeat an id and a text are in one class. Other columns are
     not read.
     """
-    return _classes(docs, id_col, text_col, threshold).select(
+    with small_batches(docs.sparkSession, BATCH):
+        found = _classes(docs, id_col, text_col, threshold)
+    return found.select(
         F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "class_size")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; all columns stay."""
-    kept = (_classes(docs, id_col, text_col, threshold).filter(F.col("id").eqNullSafe(F.col("class_id")))
+    with small_batches(docs.sparkSession, BATCH):
+        found = _classes(docs, id_col, text_col, threshold)
+    kept = (found.filter(F.col("id").eqNullSafe(F.col("class_id")))
             .select(F.col("id").alias("kept_id"), F.col("node").alias("kept_node")).distinct())
     packed = docs.select(F.struct("*").alias("row"), F.col(quoted(id_col)).alias("row_id"),
                          _text_node(F.col(quoted(text_col)).cast("string")).alias("row_node"))

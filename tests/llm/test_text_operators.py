@@ -6,6 +6,7 @@ import re
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import PII, Union, pii_spans, text, water_fill
 from pyspark.sql import functions as F
@@ -356,3 +357,26 @@ def test_classes_equal_brute_force(spark, odd_docs, no_docs, monkeypatch, rare,
     ids = sorted((r.doc_id or -1) for r in left.collect())
     assert ids == [-1, 1, 2, 3, 4, 5, 6, 7]
     assert near_duplicates(no_docs).collect() == [] and one_of_each(no_docs).collect() == []
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Batches of 10,000 texts, twice a pair, took executors beyond their memory."""
+    key, rows_seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, signatures = spark.conf.get(key), minhash._signatures
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, text(rng, 2)) for i in range(700)], "doc_id long, text string").coalesce(1)
+
+    def rows_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    def noted(rows, weights):
+        rows_seen.extend(r.n for r in rows.select("id").mapInArrow(rows_of, "n long").collect())
+        return signatures(rows, weights)
+
+    monkeypatch.setattr(minhash, "_signatures", noted)
+    assert near_duplicates(docs).count() == 700
+    assert sum(rows_seen) == 700 and max(rows_seen) <= 512 and spark.conf.get(key) == before
+    whole = common_words(docs)
+    monkeypatch.setattr(minhash, "WORDS_HELD", 50)  # counts handed on in many parts
+    assert common_words(docs) == whole and len(whole[0]) > 0
