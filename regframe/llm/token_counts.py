@@ -1,10 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact table of the corpus's most frequent pre-token units and
-their token counts. Every partition summarises the units of its whole texts in
+their token counts: words where a text's letters are plain, else what stands
+between spaces. Every partition summarises the units of its whole texts in
 a bounded sketch, the sketches merge in a tree, and the table is broadcast; its
 size is bounded by ``frequent`` entries of at most ``MAX_UNIT`` characters.
-Tier two is a bounded cache in each worker that encodes what the table lacks.
+Tier two are the bounded caches of ids in each worker, for what the table lacks.
 No unit is ever shuffled, and counts are exact whatever the table holds.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partition_sketches, quoted
-from .tokens import Generations, codec, irregular
+from .tokens import codec
 
 MAX_UNIT = 64
 FREQUENT = 1 << 16
@@ -31,38 +32,38 @@ _TABLES: dict = {}
 
 
 class UnitLengths(dict):
-    """Token counts of frequent units; a unit it lacks goes to the worker's cache."""
+    """Token counts of frequent units; a unit it lacks goes to the worker's caches of ids."""
 
     def __init__(self, packed: tuple[bytes, bytes], encode):
         units, lengths = packed
         counts = array("H")
         counts.frombytes(lengths)
         super().__init__(zip(units.decode().split("\x00"), counts) if counts else ())
-        self._rest = Generations(lambda unit: len(encode(unit)) // 4)
+        self._encode = encode
 
     def __missing__(self, unit):
-        return self._rest[unit]
-
-
-def _units(text: str, spaced: bool) -> list[str]:
-    return text.split(" ") if spaced else text.split()
+        return len(self._encode(unit)) // 4
 
 
 def _top(counts: Counter, keep: int) -> dict[str, int]:
-    return dict(nlargest(keep, counts.items(), key=lambda kv: (kv[1], kv[0])))
+    """The ``keep`` units of highest counts, equal ones from the last in order."""
+    if len(counts) <= keep:
+        return dict(counts)
+    least = sorted(counts.values(), reverse=True)[keep - 1]
+    top = {u: n for u, n in counts.items() if n > least}
+    return top | dict.fromkeys(nlargest(keep - len(top), (u for u, n in counts.items() if n == least)), least)
 
 
 def frequent_units(docs: DataFrame, text: str, vocab_path: str,
                    frequent: int = FREQUENT) -> tuple[bytes, bytes]:
     """The packed table: frequent units of all texts, and their token counts."""
-    spaced = codec(vocab_path).space_prefix
-
     def build(batches) -> bytes:
         counts: Counter = Counter()
+        parts = codec(vocab_path).parts
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if value:
-                    counts.update(_units(value, spaced))
+                    counts.update(parts(value))
                 if len(counts) > 8 * frequent:
                     counts = Counter(_top(counts, 2 * frequent))
         return pickle.dumps(_top(Counter({u: n for u, n in counts.items() if len(u) <= MAX_UNIT}), frequent))
@@ -75,12 +76,11 @@ def frequent_units(docs: DataFrame, text: str, vocab_path: str,
 
     found = pickle.loads(partition_sketches(docs.select(quoted(text)), build, merge))
     own = codec(vocab_path)
-    encode = own._spaced_unit if spaced else own._unit
     units, lengths = [], array("H")
     for unit in found:
         if "\x00" not in unit and not own.special(unit):
             units.append(unit)
-            lengths.append(len(encode(unit)) // 4)
+            lengths.append(len(own.part_ids(unit)) // 4)
     return "\x00".join(units).encode(), lengths.tobytes()
 
 
@@ -98,22 +98,17 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 
     def count(batches):
         own = codec(vocab_path)
-        spaced = own.space_prefix
-        encode = own._spaced_unit if spaced else own._unit
         if run not in _TABLES:
             _TABLES.clear()
-            _TABLES[run] = UnitLengths(packed.value, encode)
+            _TABLES[run] = UnitLengths(packed.value, own.part_ids)
         lengths = _TABLES[run].__getitem__
 
         def tokens(text: str | None) -> int:
             if not text:
                 return 0
-            if own.special(text) or spaced and irregular(text):
-                return len(own.ids(text)) // 4
-            if not spaced:
-                return sum(map(lengths, text.split()))
-            first, *rest = text.split(" ")
-            return len(own._unit(first)) // 4 + sum(map(lengths, rest))
+            if own.special(text):
+                return len(own.library(text)) // 4
+            return sum(map(lengths, own.parts(text)))
 
         for batch in batches:
             found = [tokens(t) for t in batch.column(1).to_pylist()]

@@ -5,9 +5,8 @@ to white space. A text is therefore cut there into short units, and the ids of
 a text are the ids of its units in order. Units repeat, so a bounded cache in
 each Python worker answers most of them; the tokenizer's library answers the
 rest. Texts in which such cuts would not be safe (special-token strings, the
-separators U+001C-U+001F) are given to the library whole. For vocabularies that
-drop white space, one pass of the pre-token pattern over a text of plain letters
-gives its words, and only words are cached.
+separators U+001C-U+001F) are given to the library whole. One pass of the pre-token
+pattern over a text of plain letters gives its words, and only words are cached.
 """
 
 from __future__ import annotations
@@ -94,18 +93,21 @@ class Codec:
         else:
             split = next(p for p in pre["pretokenizers"] if p["type"] == "Split")
             self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.plain = None if self.space_prefix else plain_pattern(split["pattern"]["Regex"])
+        self.plain = plain_pattern(_BRACKETED if self.space_prefix else split["pattern"]["Regex"])
         self._model = self.tok.model
-        self._words = Generations(self._word, cache_units if self.space_prefix else 2 * cache_units)
+        self._words = Generations(self._word, 4 * cache_units)
         self.units = Generations(self._spaced_unit if self.space_prefix else self._unit, cache_units)
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        own = word.isascii() and word.isprintable() and " " not in word  # its bytes stand for themselves
+        mapped = word if own else word.encode().decode("latin-1").translate(_BYTE_CHARS)
         return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        if unit and max(unit) < _PLAIN_END:
+        words = self.plain_words(unit)
+        if words is None and max(unit) < _PLAIN_END:
             words = self.pattern.findall(unit if self.space_prefix else unit.lower())
+        if words is not None:
             get = self._words.__getitem__
             return get(words[0]) if len(words) == 1 else b"".join(map(get, words))
         return self.library(unit)
@@ -125,16 +127,42 @@ class Codec:
         low = text.lower()
         return any(s in low for s in self.specials)
 
+    def plain_words(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text of plain letters, as they are cached; None for other texts."""
+        if self.plain is None or _BEYOND.search(text):
+            return None
+        return self.plain.findall(text if self.space_prefix else text.lower())
+
+    def parts(self, text: str) -> list[str]:
+        """Strings whose ids by ``part_ids``, in order, are those of a text without special strings."""
+        if (words := self.plain_words(text)) is not None:
+            return words
+        if not self.space_prefix:
+            return text.split()
+        if irregular(text):
+            return _RUNS.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *(" " + unit for unit in rest)]
+
+    def part_ids(self, part: str) -> bytes:
+        """Ids of one of ``parts``, by the cache of words or of units."""
+        ids = self._words.get(part)
+        if ids is not None:
+            return ids
+        if not _BEYOND.search(part):
+            return self._unit(part)
+        if not self.space_prefix:
+            return self.units[part]
+        return self.units[part[1:]] if part[0] == " " else self._unit(part)
+
     def pieces(self, text: str):
         """Encoded units of a text, in order."""
         if self.special(text):
             return [self.library(text)]
+        if (words := self.plain_words(text)) is not None:
+            return map(self._words.__getitem__, words)
         if not self.space_prefix:
-            if self.plain is not None and not _BEYOND.search(text):
-                return map(self._words.__getitem__, self.plain.findall(text.lower()))
             return map(self.units.__getitem__, text.split())
-        if not text:
-            return []
         if irregular(text):
             return map(self._unit, _RUNS.findall(text))
         first, *rest = text.split(" ")
@@ -148,6 +176,7 @@ class Codec:
 # Fixed value: the pre-token pattern of byte-level vocabularies of this family.
 BYTE_LEVEL_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
                       r"|\s+(?!\S)|\s+")
+_BRACKETED = re.sub(r" \?(\\p\{[LN]\})", r" ?[\1]", BYTE_LEVEL_PATTERN)
 
 
 def irregular(text: str) -> bool:

@@ -41,6 +41,33 @@ def test_plain_pattern_equals_the_pattern():
     assert tokens.plain_pattern(r"\p{L}+|x") is None
 
 
+def test_byte_level_texts_are_cut_into_the_words_of_the_whole_pattern():
+    """Words are encoded once, whatever marks and white space stand beside them."""
+    import regex
+    import regframe.llm.tokens as tokens
+    own = Codec(vocabulary("byte_bpe_50k.json"))
+    whole = regex.compile(tokens.BYTE_LEVEL_PATTERN)
+    rng = random.Random(5)
+    words = ["alpha", "beta", "don't", "it's", "naïve", "x2²", "Ünal", "_"]
+    marks = ["", ",", ".", "!?", "'", "\n", " ", "  ", "\t", "\u00a0", "-", ")", "''s"]
+    made = []
+    own._words = Generations(lambda w: made.append(w) or own._word(w), 1000)
+    for _ in range(2000):
+        text = rng.choice([" ", "", "\n"]) + "".join(rng.choice(words) + rng.choice(marks) + rng.choice([" ", " ", "", "\n"]) for _ in range(12))
+        assert own.parts(text) == whole.findall(text)
+        assert own.ids(text) == own.library(text) == b"".join(map(own.part_ids, own.parts(text)))
+    assert len(made) == len(set(made)) < 700
+
+
+def test_top_counts_are_those_of_a_full_sort():
+    from collections import Counter
+    from regframe.llm.token_counts import _top
+    rng = random.Random(6)
+    for keep in (1, 5, 40, 400):
+        counts = Counter("".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(300))
+        assert _top(counts, keep) == dict(sorted(counts.items(), key=lambda kv: (kv[1], kv[0]), reverse=True)[:keep])
+
+
 def test_cache_generations_stay_bounded():
     g = Generations(lambda k: k * 2, 10)
     assert [g[i] for i in [*range(100), *range(100)]] == [2 * i for i in [*range(100), *range(100)]]
