@@ -157,3 +157,13 @@ def test_shards_round_trip(spark, odd_docs, no_docs, tmp_path):
         assert zlib.crc32(want) == rows[slot].ids_crc32
     empty = f"file://{tmp_path}/none"
     assert M.materialise(no_docs, WORD, empty).collect() == [] and M.read_slots(spark, empty).collect() == []
+
+
+def test_a_worker_keeps_four_times_as_many_words_as_units():
+    own = Codec(vocabulary("word_bpe_49k.json"), cache_units=10)
+    made = []
+    own._words._make = lambda w: made.append(w) or own._word(w)
+    texts = [f"{a}{b}" for a in "abcde" for b in "fghijk"]  # 30 words
+    for _ in range(4):
+        assert [own.ids(t) for t in texts] == [own.library(t) for t in texts]
+    assert len(made) == 30
