@@ -60,19 +60,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int):
     """Jobs started here hand at most ``rows`` rows at once to Python.
 
     A batch is held several times over: as Arrow buffers outside the JVM's heap,
     as the worker's copy and as Python objects.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    before = int(spark.conf.get(key))
+    return _setting(spark, key, str(min(rows, before) if before > 0 else rows))
+
+
+def short_shuffles(spark: SparkSession):
+    """The shuffle files of a query started here go when it ends, not when the driver's JVM collects its plan.
+
+    For loops of many queries that each end in a written table.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def first_by_hash(df: DataFrame, k: int, total: int, seed: int, *cols: str) -> DataFrame:

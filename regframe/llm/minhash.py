@@ -15,7 +15,9 @@ compared exactly on the texts, and links of at least ``threshold`` join classes.
 
 Equal texts are one node. A bucket never makes all its pairs: its members meet
 a few leaders a round, and buckets whose members already share a class are done.
-Only the texts of pairs that passed the join are ever moved.
+Shingles that no other open text holds count for the union of a pair alone, which
+bounds the similarity; texts and pairs that cannot reach the threshold leave.
+Only the texts of open buckets and of pairs that passed the join are ever moved.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, quoted, shared_folder, small_batches
+from .common import discard, quoted, shared_folder, short_shuffles, small_batches
 from .components import components
 
 SHINGLE = 5
@@ -246,11 +248,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: tuple, threshold: flo
     return (with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean"))
 
 
-def _texts_of(pairs: DataFrame, there: DataFrame) -> DataFrame:
-    """``node, text`` of the nodes in ``pairs``."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the ``nodes``, as often as they occur."""
+    nodes = nodes.distinct()
     side = F.broadcast(nodes) if nodes.count() * 64 <= SEMI_BYTES else nodes
-    return there.select("node", "text").join(side, "node", "left_semi").dropDuplicates(["node"])
+    return texts.select("node", "text").join(side, "node", "left_semi")
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes in ``pairs``."""
+    return _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+
+def _own_weights(texts: DataFrame, weights: tuple) -> DataFrame:
+    """``node, own``: the weight of its shingles that no other of the ``texts`` holds; nodes without any are left out."""
+    def run(batches):
+        sampler = Sampler(*weights)
+        for batch in batches:
+            codes, weight, size = [], [], []
+            for text in batch.column(1).to_pylist():
+                code, w = sampler.shingles(text)
+                codes.append(code)
+                weight.append(w)
+                size.append(len(code))
+            if size:
+                halves = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+                halves = np.repeat(halves, size, axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(codes).view(np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                     pa.array(np.concatenate(weight))], names=["code", "hi", "lo", "weight"])
+
+    alone = (texts.select("node", "text").mapInArrow(run, "code long, hi long, lo long, weight double").groupBy("code")
+             .agg(F.count("*").alias("n"), F.max("hi").alias("hi"), F.max("lo").alias("lo"), F.max("weight").alias("weight"))
+             .filter("n = 1"))  # the halves of one node then
+    whole = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
+    return alone.groupBy("hi", "lo").agg(F.sum("weight").alias("own")).select(whole.alias("node"), "own")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of buckets whose members are not all of one class."""
+    keys = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo <> hi").select("key")
+    return rows.join(keys, "key")
+
+
+def _overlap_allows(x: str, y: str, threshold: float):
+    """Whether two structs' shared weights allow the similarity: their overlap is at most the smaller one."""
+    shared = F.least(f"{x}_shared", f"{y}_shared")
+    return (1 + threshold) * shared >= (threshold - 1e-9) * (F.col(f"{x}.weight") + F.col(f"{y}.weight"))
 
 
 def _may_link(a: str, b: str, threshold: float):
@@ -329,24 +373,35 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     pairs = tables.keep("pairs", met.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
                         .select(F.col("node").alias("a"), "b"))
     label = spark.createDataFrame([], "node binary, component binary")
-    done = tables.keep("done0", _verified(pairs, _texts_of(pairs, there), weights, threshold))
-    links, leaders, turn = done, LEADERS, 0
+    done = tables.keep("done0", _verified(pairs, _texts_of(pairs, there).dropDuplicates(["node"]), weights, threshold))
+    links, leaders, turn, texts = done, LEADERS, 0, None
     while True:
         links = links.filter("linked").select("a", "b")
         if not links.isEmpty():
             label = tables.keep("label", _relabelled(label, links))
         labelled = (member.join(label.select(F.col("node").alias("same"), "component"), F.col("me.node") == F.col("same"), "left")
                     .select("key", "me", F.coalesce("component", "me.node").alias("of")))
-        mixed = (labelled.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
-                 .filter("lo <> hi").select("key"))
-        open_rows = tables.keep("open", labelled.join(mixed, "key"))
+        open_rows = tables.keep("open", _mixed(labelled))
+        if open_rows.isEmpty():
+            break
+        nodes = open_rows.select(F.col("me.node").alias("node"))
+        if texts is None:  # later rounds have no other nodes
+            texts = tables.keep("texts", _only(there, nodes).dropDuplicates(["node"]))
+        own = _own_weights(_only(texts, nodes), weights).select(F.col("node").alias("held_by"), "own")
+        live = (open_rows.join(own, F.col("me.node") == F.col("held_by"), "left")
+                .select("key", "me", "of", (F.col("me.weight") - F.coalesce("own", F.lit(0.0))).alias("me_shared"))
+                .filter(F.col("me_shared") >= (threshold - 1e-9) * F.col("me.weight")))
+        open_rows = tables.keep("open", _mixed(live))
         if open_rows.isEmpty():
             break
         seat = F.pmod(F.xxhash64("me.node", F.lit(leaders)), F.lit(leaders))
-        heads = tables.keep("heads", open_rows.groupBy("key", seat.alias("seat")).agg(F.min(F.struct("me", "of")).alias("first"))
-                            .select("key", F.col("first.me").alias("head"), F.col("first.of").alias("head_of")))
+        heads = tables.keep("heads", open_rows.groupBy("key", seat.alias("seat"))
+                            .agg(F.min(F.struct("me", "of", "me_shared")).alias("first"))
+                            .select("key", F.col("first.me").alias("head"), F.col("first.of").alias("head_of"),
+                                    F.col("first.me_shared").alias("head_shared")))
         agree = _agreements([F.col(f"me.{c}") for c in _SIG], [F.col(f"head.{c}") for c in _SIG])
-        pairs = (open_rows.join(heads, "key").filter((F.col("of") != F.col("head_of")) & _may_link("me", "head", threshold))
+        pairs = (open_rows.join(heads, "key").filter((F.col("of") != F.col("head_of")) & _may_link("me", "head", threshold)
+                                                     & _overlap_allows("me", "head", threshold))
                  .select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b"),
                          agree.alias("agree")).distinct())
         before = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -355,7 +410,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
         best = tables.keep("best", best)
         turn += 1
-        links = tables.keep(f"done{turn}", _verified(best, _texts_of(best, there), weights, threshold))
+        links = tables.keep(f"done{turn}", _verified(best, _texts_of(best, texts), weights, threshold))
         done = done.unionByName(links)
         links = links.filter("linked").select("a", "b")
         if not links.isEmpty():
@@ -363,14 +418,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         rest = _apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), label)
         rest = tables.keep("rest", rest)
         turn += 1
-        links = tables.keep(f"done{turn}", _verified(rest, _texts_of(rest, there), weights, threshold))
+        links = tables.keep(f"done{turn}", _verified(rest, _texts_of(rest, texts), weights, threshold))
         done = done.unionByName(links)
         # leaders have now met every member of another class in their bucket
         met = heads.select("key", F.col("head.node").alias("node"))
         member = tables.keep("member", open_rows.select("key", "me").join(
             met, (open_rows["key"] == met["key"]) & (F.col("me.node") == F.col("node")), "left_anti"))
         leaders *= GROWTH
-    tables.drop("member", "pairs", "best", "rest", "open", "heads", *(f"done{i}" for i in range(turn + 1)))
+    tables.drop("member", "pairs", "best", "rest", "open", "texts", "heads", *(f"done{i}" for i in range(turn + 1)))
     named = signed.select("id", "node").join(label, "node", "left").select(
         "id", "node", F.coalesce("component", "node").alias("component"))
     classes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
@@ -390,7 +445,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that repeat an id and a text are in one class. Other columns are
     not read.
     """
-    with small_batches(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession, BATCH), short_shuffles(docs.sparkSession):
         found = _classes(docs, id_col, text_col, threshold)
     return found.select(
         F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "class_size")
@@ -399,7 +454,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; all columns stay."""
-    with small_batches(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession, BATCH), short_shuffles(docs.sparkSession):
         found = _classes(docs, id_col, text_col, threshold)
     kept = (found.filter(F.col("id").eqNullSafe(F.col("class_id")))
             .select(F.col("id").alias("kept_id"), F.col("node").alias("kept_node")).distinct())

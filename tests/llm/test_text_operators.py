@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import threading
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -380,3 +381,66 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     whole = common_words(docs)
     monkeypatch.setattr(minhash, "WORDS_HELD", 50)  # counts handed on in many parts
     assert common_words(docs) == whole and len(whole[0]) > 0
+
+
+def _with_own_words(rng, body, n, tag):
+    words = body.split(" ")
+    for i, at in enumerate(rng.sample(range(len(words)), n)):
+        words[at] = f"own{tag}x{i}"
+    return " ".join(words)
+
+
+def test_texts_whose_own_words_rule_out_a_link_are_not_compared(spark, monkeypatch):
+    """All pairs of a large group alike but below 0.8 were compared on their texts."""
+    rng = random.Random(41)
+    hub = " ".join(rng.choice(["lorem", "kabar", "sit", "amet", "dolor"]) + str(i) for i in range(200))
+    far = [_with_own_words(rng, hub, 9, i) for i in range(70)]  # about 45 of 196 shingles each
+    near = [_with_own_words(rng, hub, 1, f"n{i}") for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
+    compared, verified = [], minhash._verified
+
+    def noted(pairs, texts, weights, threshold):
+        compared.append(pairs.count())
+        return verified(pairs, texts, weights, threshold)
+
+    monkeypatch.setattr(minhash, "_verified", noted)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    sampler = Sampler(*common_words(docs))
+    sets = [sampler.shingles(t) for t in far + near]
+    u = Union(range(100))
+    for i in range(100):
+        for j in range(i):
+            if weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                u.join(i, j)
+    assert [got[i] for i in range(100)] == [u.top(i) for i in range(100)]
+    assert sum(compared) < 700  # of 4,950 pairs
+
+
+def test_own_weights_are_of_shingles_in_one_text_alone(spark):
+    rng = random.Random(42)
+    texts = [text(rng, 3) for _ in range(40)] + ["one two", "one two three four five", "Zero one two three four five", ""]
+    docs = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t) for t in set(texts)],
+                                 "node binary, text string")
+    weights = common_words(docs)
+    sampler = Sampler(*weights)
+    sets = {bytes(r.node): dict(zip(*(x.tolist() for x in sampler.shingles(r.text)))) for r in docs.collect()}
+    held = Counter(c for s in sets.values() for c in s)
+    want = {n: sum(w for c, w in s.items() if held[c] == 1) for n, s in sets.items()}
+    got = {bytes(r.node): r.own for r in minhash._own_weights(docs, weights).collect()}
+    assert got == {n: pytest.approx(w) for n, w in want.items() if w}
+
+
+def test_shuffle_files_of_a_round_go_with_it(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    rng = random.Random(43)
+    docs = spark.createDataFrame([(i, text(rng, 2)) for i in range(60)], "doc_id long, text string")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+    there = files()
+    found = near_duplicates(docs)
+    assert files() <= there and spark.conf.get(key) == before
+    assert found.count() == 60
